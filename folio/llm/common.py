@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Removes an execution's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Python-side working set: texts are handled in slices of about this many bytes.
 SLICE_BYTES = 2 << 20
 
@@ -32,9 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     It cuts lineage: a lost executor costs the tasks of the later stages only,
     and a table that several branches read is computed once.
     """
-    path = f"{shared_dir(df.sparkSession)}/folio/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")  # the table stands in for the shuffles that led to it
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
