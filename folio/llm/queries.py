@@ -6,14 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.bpe import bpe_digest
+from folio.llm.langid import predict_languages
 from folio.llm.packing import pack
 from folio.llm.simhash import simhash_components
+from folio.llm.substrings import dedup_substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -28,8 +34,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_best_fit_packing, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op6_byte_bpe, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
