@@ -10,6 +10,7 @@ from folio.llm.langid import predict_languages
 from folio.llm.packing import pack
 from folio.llm.simhash import simhash_components
 from folio.llm.substrings import dedup_substrings
+from folio.llm.toxicity import predict_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op6_byte_bpe, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op6_byte_bpe, op7_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
