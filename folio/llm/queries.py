@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm import chat
+from folio.llm.ann import nearest
 from folio.llm.bpe import bpe_digest
+from folio.llm.covertree import near_vectors
+from folio.llm.html import extract
 from folio.llm.langid import predict_languages
 from folio.llm.packing import pack
 from folio.llm.simhash import simhash_components
@@ -29,6 +33,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.preference_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -39,13 +51,36 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op8_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+_ALL = (
+    op1_language_id,
+    op2_simhash,
+    op3_best_fit_packing,
+    op4_html_extraction,
+    op5_preference_chat,
+    op6_byte_bpe,
+    op7_substring_dedup,
+    op8_projected_neighbours,
+    op9_cover_tree,
+    op10_toxicity,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op6_byte_bpe, op7_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preference_chat": chat.ORACLE_SQL}
