@@ -155,7 +155,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, tile:
     share what their id reaches; a null id takes no part in linking and gets a
     null component. An empty table gives no rows; other columns are ignored.
     """
-    fps = written(fingerprints(docs.select("doc_id", "text"), shingle=shingle), "fingerprints").select("doc_id", "fp")
+    fps = written(fingerprints(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "fingerprints")
     reps = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
     #: An id of several rows may stand for several fingerprints: its rows are one node.
     several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
