@@ -104,10 +104,14 @@ def cell_type(cell: str | Column) -> Column:
 TYPE_ORDER = ("boolean", "integer", "float", "date", "text", "empty")
 
 
+def _equals(value: str):
+    return lambda x: x == F.lit(value)
+
+
 def column_type(cells: Column, sample: int = 20) -> Column:
     """The most frequent type of a column's first cells; text for none."""
     types = F.transform(F.slice(cells, 1, sample), cell_type)
-    counts = [F.size(F.filter(types, lambda t, k=k: t == k)) for k in TYPE_ORDER]
+    counts = [F.size(F.filter(types, _equals(k))) for k in TYPE_ORDER]
     most = F.greatest(*counts)
     found = F.lit("text")
     for kind, n in reversed(list(zip(TYPE_ORDER, counts, strict=True))):

@@ -22,9 +22,13 @@ def select_cases(rows: DataFrame, order: str) -> DataFrame:
 
 def word_overlap(a: str | Column, b: str | Column) -> Column:
     """How many words of b over two bytes are in a, by the longer one's number of words."""
-    wa, wb = fields(a), fields(b)
-    common = F.size(F.filter(wb, lambda w: (F.octet_length(w) > 2) & F.array_contains(wa, w)))
-    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(common / F.greatest(F.size(wa), F.size(wb)))
+    both = F.array(F.struct(fields(a).alias("a"), fields(b).alias("b")))  # split once, not again for each word
+
+    def share(x: Column) -> Column:
+        common = F.size(F.filter(x["b"], lambda w: (F.octet_length(w) > 2) & F.array_contains(x["a"], w)))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(common / F.greatest(F.size(x["a"]), F.size(x["b"])))
+
+    return F.transform(both, share)[0]
 
 
 def answers_match(generated: str | Column, truth: str | Column) -> Column:

@@ -60,7 +60,7 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
     def slice_(i: Column) -> Column:
         own = F.slice(items, i * group + 1, F.lit(group))
         end = F.least((i + 1) * group, n)
-        return make(F.concat(F.lit("["), F.array_join(F.transform(own, F.to_json), ","), F.lit("]")), F.lit(1), F.lit(1), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
+        return make(F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: F.to_json(x)), ","), F.lit("]")), F.lit(1), F.lit(1), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
 
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / group).cast("int") - 1, F.lit(0))), slice_)
     chunks = F.when(v.isNull(), invalid).when((k == "object") & (F.size(entries) > 5) & (F.size(parts) > 0), parts).when((k == "array") & (n > 10), slices).otherwise(whole)
@@ -83,7 +83,7 @@ def json_metadata(docs: DataFrame, text: str = "text", depth: int = 6) -> DataFr
         inside = lambda x: F.when(kind(x) == "object", F.map_values(F.when(kind(x) == "object", x).try_cast(_MAP))).when(kind(x) == "array", F.when(kind(x) == "array", x).try_cast(_LIST)).otherwise(F.array().cast(_LIST))
         levels.append(F.flatten(F.transform(f"__l{k - 1}", inside)))
     found = found.withColumn(f"__l{depth - 1}", levels[-1])
-    every = F.transform(F.flatten(F.array(*(F.col(f"__l{k}") for k in range(depth)))), kind)
+    every = F.transform(F.flatten(F.array(*(F.col(f"__l{k}") for k in range(depth)))), lambda x: kind(x))
     count = lambda *kinds: F.size(F.filter(every, lambda x: x.isin(*kinds)))
     return found.select(
         *(c for c in docs.columns if c != text),

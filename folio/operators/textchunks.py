@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, base_name, fields, lines, stem, title_name, trim_space
+from folio.functions.text import WHITE, count_of, lines, stem, trim_space
 
 #: What makes a trimmed line a heading.
 HEADINGS = (rf"\A[A-Z][A-Z{WHITE}]+\z", rf"\A#+[{WHITE}]+.*\z", r"\A=+\z", r"\A-+\z", rf"\A[0-9]+\.[{WHITE}]+[A-Z].*\z", r"\A[A-Z][^.!?]*:\z")
@@ -23,9 +23,9 @@ def _any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 def is_heading(trimmed: Column) -> Column:
     """A heading by pattern, or a short line most of whose words begin with a capital, digit or sign (ASCII)."""
-    words = fields(trimmed)
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"\A[\x{00}-\x{60}\x{7B}-\x{7F}]")))
-    titled = (F.octet_length(trimmed) < 60) & (F.size(words).between(1, 8)) & (capital / F.greatest(F.size(words), F.lit(1)) > 0.6)
+    words = F.regexp_count(trimmed, F.lit(rf"[^{WHITE}]+"))
+    capital = F.regexp_count(trimmed, F.lit(rf"(?:\A|[{WHITE}])[\x{{00}}-\x{{08}}\x{{0E}}-\x{{1F}}\x{{21}}-\x{{60}}\x{{7B}}-\x{{7F}}]"))
+    titled = (F.octet_length(trimmed) < 60) & words.between(1, 8) & (capital > 0.6 * words)
     return (trimmed != "") & (_any(trimmed, HEADINGS) | titled)
 
 
@@ -142,8 +142,8 @@ def chunk_text(docs: DataFrame, text: str = "text", path: str = "path", max_line
     made = F.transform(kept, named)
     if max_lines > 0:
         made = F.flatten(F.transform(made, lambda c: F.when(c["line_end"] - c["line_start"] + 1 > max_lines, _parts(c, max_lines)).otherwise(F.array(c))))
-    out = rows.withColumn("__made", made).withColumn("__made", F.when(F.size("__made") > 0, F.col("__made")).otherwise(whole))
-    return out.select(*rest, F.posexplode("__made").alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
+    chosen = F.filter(F.array(made, whole), lambda x: F.size(x) > 0)[0]
+    return rows.select(*rest, F.posexplode(chosen).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
 
 
 def _parts(c: Column, size: int) -> Column:
@@ -177,7 +177,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "list_items": count(lambda x: x["i"]),
             "long_lines": count(lambda x: F.octet_length(x["line"]) > 80),
             "short_lines": count(lambda x: (F.octet_length(x["line"]) <= 80) & (F.octet_length(x["t"]) < 20)),
-            "word_count": total(lambda x: F.size(fields(x["t"]))),
+            "word_count": total(lambda x: F.regexp_count(x["t"], F.lit(rf"[^{WHITE}]+"))),
             "sentence_count": total(lambda x: F.regexp_count(x["t"], F.lit("[.!?]+"))),
         }
     ).drop("__lines")
@@ -203,8 +203,6 @@ def content_flags(text: str) -> dict[str, Column]:
     """Legal, instruction and version hints, a language hint, and the indentation style."""
     low = F.lower(F.col(text))
     any_of = lambda *words: low.rlike("|".join(w.replace(".", "[.]") for w in words))
-    from folio.functions.text import count_of
-
     return {
         "has_legal_content": any_of("copyright", "license"),
         "has_instructions": any_of("installation", "getting started"),
@@ -213,5 +211,3 @@ def content_flags(text: str) -> dict[str, Column]:
         "indentation_style": F.when(count_of(text, "\t") > count_of(text, "    "), "tabs").otherwise("spaces"),
     }
 
-
-__all__ = ["base_name", "chunk_text", "clean_heading", "content_flags", "document_type", "is_heading", "is_list_item", "line_table", "sections", "split_lines", "text_statistics", "title_name"]

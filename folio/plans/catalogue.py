@@ -1,15 +1,627 @@
-"""The catalogue of named queries and their DuckDB twins."""
+"""The catalogue of named queries and their DuckDB twins.
+
+Each entry applies a public operator to a whole driver table; the SQL states
+the same result independently. Queries without SQL are checked by tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import text as T
+from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks
+from folio.sources import files, registry
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+W = T.WHITE
+
+
+def _trim(x: str) -> str:
+    """SQL: a text without white space at its ends."""
+    return f"regexp_replace(regexp_replace({x}, '^[{W}]+', ''), '[{W}]+$', '')"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _words(x: str) -> str:
+    """SQL: a text's words."""
+    return f"list_filter(string_split_regex({x}, '[{W}]+'), lambda w: w <> '')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- vectors -----------------------------------------------------------------
+
+_COS = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated query set: every fiftieth vector."""
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(f"""
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, {_COS.format('q.embedding', 'c.embedding')} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format('q.embedding', 'c.embedding')} DESC, c.vec_id)::INT AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+  WHERE {_COS.format('q.embedding', 'c.embedding')} >= 0
+) WHERE rank <= 5""")
+def vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return search.top_k(v, _asked(v), 5, skip_self=True).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+SELECT vec_id, round({_COS.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 6) AS score FROM embeddings
+WHERE {_COS.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} >= 0
+ORDER BY {_COS.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} DESC, vec_id LIMIT 10""")
+def vector_topk_global(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    one = v.where("vec_id = 0").first()["embedding"]
+    return search.search(v, one, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _top_sql(where: str, least: float = 0.0, k: int = 3) -> str:
+    return f"""
+SELECT query_id, vec_id, rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format('q.embedding', 'c.embedding')} DESC, c.vec_id)::INT AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 WHERE {where} AND {_COS.format('q.embedding', 'c.embedding')} >= {least}
+) WHERE rank <= {k}"""
+
+
+@query(_top_sql("c.label = 3"))
+def vector_filter_eq(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return search.top_k(v, _asked(v), 3, filters={"label": 3}).select("query_id", "vec_id", "rank")
+
+
+@query(_top_sql("c.label IN (1, 4, 7)"))
+def vector_filter_in(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return search.top_k(v, _asked(v), 3, filters={"label": [1, 4, 7]}).select("query_id", "vec_id", "rank")
+
+
+@query(_top_sql("true", 0.25, 4))
+def vector_threshold(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return search.top_k(v, _asked(v), 4, threshold=0.25).select("query_id", "vec_id", "rank")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def vector_delete_ids(spark, sf_dir):
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id"))
+    return search.delete_by_ids(table(spark, sf_dir, "embeddings").select("vec_id", "label"), bad)
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE NOT coalesce(label IN (0, 9), false)")
+def vector_delete_filter(spark, sf_dir):
+    return search.delete_by_filter(table(spark, sf_dir, "embeddings").select("vec_id", "label"), {"label": [0, 9]})
+
+
+@query("SELECT len(embedding)::INT AS dimension, count(*) AS n FROM embeddings GROUP BY ALL")
+def vector_dimension(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH t AS (SELECT q.vec_id, q.label, arg_max(c.label, ({_COS.format('q.embedding', 'c.embedding')}, -c.vec_id)) AS found
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)
+SELECT count(*) AS cases, round(count_if(label = found) * 100.0 / count(*), 6) AS retrieval_accuracy FROM t""")
+def retrieval_accuracy_by_label(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = _asked(v).join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    best = search.top_k(v, _asked(v), 1, threshold=-1.0, skip_self=True).select("query_id", "label")
+    hit = F.col("wanted") == F.col("label")
+    return asked.join(best, "query_id").agg(F.count(F.lit(1)).alias("cases"), F.round(F.count_if(hit) * 100.0 / F.count(F.lit(1)), 6).alias("retrieval_accuracy"))
+
+
+# --- texts -------------------------------------------------------------------
+
+_HEADING = " OR ".join("regexp_matches(t, '(?s)" + p.replace(r"\A", "^").replace("'", "''") + "')" for p in textchunks.HEADINGS)
+_ITEM = " OR ".join("regexp_matches(t, '(?s)" + p.replace(r"\A", "^") + "')" for p in textchunks.LIST_ITEMS)
+_TITLED = rf"""(strlen(t) < 60 AND len({_words('t')}) BETWEEN 1 AND 8 AND
+  len(list_filter({_words('t')}, lambda w: regexp_matches(w, '^[\x{{00}}-\x{{60}}\x{{7B}}-\x{{7F}}]'))) > 0.6 * len({_words('t')}))"""
+_LINES = f"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+trimmed AS (SELECT *, {_trim('line')} AS t FROM raw),
+lines AS (SELECT doc_id, line_no::INT AS line_no, line, t, (t <> '' AND ({_HEADING} OR {_TITLED})) AS h, ({_ITEM}) AS i FROM trimmed)"""
+
+
+@query(rf"""{_LINES}
+SELECT doc_id, count(*)::INT AS total_lines, count_if(t = '')::INT AS empty_lines, count_if(t <> '')::INT AS content_lines,
+  count_if(h)::INT AS heading_count, count_if(t <> '' AND i)::INT AS list_items,
+  count_if(t <> '' AND strlen(line) > 80)::INT AS long_lines, count_if(t <> '' AND strlen(line) <= 80 AND strlen(t) < 20)::INT AS short_lines,
+  sum(CASE WHEN t = '' THEN 0 ELSE len({_words('t')}) END)::INT AS word_count,
+  sum(CASE WHEN t = '' THEN 0 ELSE len(regexp_extract_all(t, '[.!?]+')) END)::INT AS sentence_count,
+  CASE WHEN count_if(h) > 0 THEN 'sectioned' WHEN count_if(t <> '' AND i) > 0 THEN 'list_based' ELSE 'simple' END AS document_structure
+FROM lines GROUP BY doc_id""")
+def text_line_stats(spark, sf_dir):
+    made = textchunks.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "total_lines", "empty_lines", "content_lines", "heading_count", "list_items", "long_lines", "short_lines", "word_count", "sentence_count", "document_structure")
+
+
+@query(rf"""{_LINES} SELECT doc_id, line_no, {_trim(rf"regexp_replace(regexp_replace(t, '^#+[{W}]*', ''), ':$', '')")} AS title FROM lines WHERE h""")
+def text_headings(spark, sf_dir):
+    rows = textchunks.line_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.where("kind = 'heading'").select("doc_id", "line_no", textchunks.clean_heading(F.col("trimmed")).alias("title"))
+
+
+@query(f"{_LINES} SELECT doc_id, line_no, line FROM lines WHERE t <> '' AND i AND NOT h")
+def text_list_items(spark, sf_dir):
+    rows = textchunks.line_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.where("kind = 'list_item'").select("doc_id", "line_no", "line")
+
+
+_SECTIONS = f"""{_LINES},
+kinds AS (SELECT *, CASE WHEN t = '' THEN 'b' WHEN h THEN 'h' WHEN i THEN 'i' ELSE 'p' END AS k FROM lines),
+marked AS (SELECT *, sum((k = 'h')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec, max(line_no) OVER (PARTITION BY doc_id) AS n,
+  sum((k <> 'p')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS para FROM kinds),
+heads AS (SELECT doc_id, sec, line_no, t, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, n) AS line_end FROM marked WHERE k = 'h'),
+sections AS (
+  SELECT doc_id, 'paragraph' AS type, string_agg(line, chr(10) ORDER BY line_no) AS content, min(line_no) AS line_start, max(line_no) AS line_end FROM marked WHERE k = 'p' AND sec = 0 GROUP BY doc_id, para
+  UNION ALL SELECT doc_id, 'list_item', line, line_no, line_no FROM marked WHERE k = 'i'
+  UNION ALL SELECT x.doc_id, 'heading', coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) FROM marked m WHERE m.doc_id = x.doc_id AND m.sec = x.sec AND m.k = 'p'), ''), x.line_no, x.line_end FROM heads x
+)"""
+
+
+@query(f"{_SECTIONS} SELECT doc_id, type, md5(content) AS content_md5, line_start::INT AS line_start, line_end::INT AS line_end FROM sections")
+def text_sections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(textchunks.sections("text")).alias("s"))
+    return made.select("doc_id", "s.type", F.md5("s.content").alias("content_md5"), "s.line_start", "s.line_end")
+
+
+@query(f"""{_SECTIONS},
+good AS (SELECT * FROM sections WHERE strlen({_trim('content')}) >= 20),
+whole AS (SELECT doc_id, text, 1, len(string_split(text, chr(10))) FROM documents WHERE {_trim('text')} <> '' AND doc_id NOT IN (SELECT doc_id FROM good))
+SELECT doc_id, 'text_section' AS type, md5(content) AS content_md5, line_start::INT AS line_start, line_end::INT AS line_end FROM good
+UNION ALL SELECT doc_id, 'text_document', md5(text), 1, len(string_split(text, chr(10)))::INT FROM whole""")
+def text_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("docs/note_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return textchunks.chunk_text(docs).select("doc_id", "type", F.md5("content").alias("content_md5"), "line_start", "line_end")
+
+
+@query(f"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+blocks AS (SELECT doc_id, k, array_to_string(list_slice(l, k * 10 + 1, k * 10 + 10), chr(10)) AS content, k * 10 AS lo, least(k * 10 + 10, len(l)) - 1 AS hi
+  FROM (SELECT doc_id, l, unnest(range(0, (len(l) + 9) // 10)) AS k FROM parts))
+SELECT doc_id, (k + 1)::INT AS part, md5(content) AS content_md5, (lo + 1)::INT AS line_start, (hi + 1)::INT AS line_end FROM blocks WHERE {_trim('content')} <> ''""")
+def text_line_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(textchunks.split_lines(F.col("text"), 10)).alias("b"))
+    return docs.select("doc_id", (F.col("b.k") + 1).alias("part"), F.md5("b.content").alias("content_md5"), (F.col("b.from") + 1).alias("line_start"), (F.col("b.to") + 1).alias("line_end"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents)
+SELECT doc_id, contains(t, 'copyright') OR contains(t, 'license') AS has_legal_content, contains(t, 'installation') OR contains(t, 'getting started') AS has_instructions,
+  contains(t, 'version') OR contains(t, 'v1.') OR contains(t, 'release') AS has_version_info, contains(t, 'english') OR contains(t, 'en-us') AS english_hint,
+  CASE WHEN strlen(text) - strlen(replace(text, chr(9), '')) > (strlen(text) - strlen(replace(text, '    ', ''))) / 4 THEN 'tabs' ELSE 'spaces' END AS indentation_style FROM d""")
+def text_content_flags(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", *(c.alias(n) for n, c in textchunks.content_flags("text").items()))
+
+
+@query(f"SELECT doc_id, 'passage: ' || replace(text, chr(10), ' ') AS embed_input FROM documents WHERE {_trim('text')} <> ''")
+def embed_input_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(~T.is_blank("text")).select("doc_id", models.document_input("text").alias("embed_input"))
+
+
+@query(f"SELECT count(*) AS given, count_if({_trim('text')} = '') AS blank FROM documents")
+def embed_blank_skip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("given"), F.count_if(T.is_blank("text")).alias("blank"))
+
+
+_EXT = "CASE doc_id % 6 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.h' WHEN 4 THEN '.YAML' ELSE '' END"
+
+
+def _with_path(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("path", F.concat(F.lit("src/file_"), F.col("doc_id").cast("string"), F.expr(_EXT)))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lower({_EXT}) AS e, strlen(text) AS n FROM documents),
+b AS (SELECT *, CASE WHEN e IN ('.go', '.md') THEN 1024 WHEN e = '.py' THEN 768 WHEN e IN ('.h', '.yaml') THEN 512 END AS base FROM d),
+s AS (SELECT doc_id, coalesce(CASE WHEN n > 200000 THEN base * 2 WHEN n > 50000 THEN floor(base * 1.5) ELSE base END, CASE WHEN n > 200000 THEN 4096 WHEN n > 50000 THEN 2048 ELSE 2000 END)::INT AS size FROM b)
+SELECT doc_id, size, greatest(20, size)::INT AS min_bytes, least(200, greatest(5, floor(size / 8)))::INT AS max_lines, CASE WHEN floor(size * 0.1) >= size THEN floor(size / 4) ELSE floor(size * 0.1) END::INT AS overlap FROM s""")
+def chunk_size_recommendation(spark, sf_dir):
+    docs = _with_path(table(spark, sf_dir, "documents")).withColumn("size", split.recommended_size("path", F.octet_length("text")))
+    least, most = split.limits("size")
+    return docs.select("doc_id", "size", least.alias("min_bytes"), most.alias("max_lines"), split.effective_overlap("size").alias("overlap"))
+
+
+@query("SELECT doc_id, (strlen(text) // 4)::INT AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_trim('text')} AS t FROM documents),
+c AS (SELECT doc_id, t, length(regexp_replace(t, '[{W}]', '', 'g')) AS solid, length(regexp_replace(t, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS useful FROM d)
+SELECT doc_id, strlen(t) >= 50 AND solid > 0 AND useful >= 3 AND useful >= 0.25 * solid AS significant FROM c""")
+def significant_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", split.significant("text").alias("significant"))
+
+
+@query()
+def recursive_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return split.split_documents(docs, size=1000, overlap=0).select("doc_id", "chunk_index", "total_chunks", "content")
+
+
+@query()
+def overlap_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return split.split_documents(docs, size=1000, overlap=100, separators=("\n", " ")).select("doc_id", "chunk_index", "total_chunks", "content")
+
+
+_PARAGRAPHS = rf"""
+WITH p AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{{2,}}') AS parts FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS n, unnest(parts) AS raw FROM p),
+s AS (SELECT *, {_trim('raw')} AS content, strlen(raw) - strlen(replace(raw, chr(10), '')) AS breaks FROM e),
+paragraphs AS (SELECT doc_id, n, content, (1 + coalesce(sum(breaks + 2) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS line_start FROM s)"""
+
+
+@query(f"""{_PARAGRAPHS}
+SELECT doc_id, n::INT AS paragraph, md5(content) AS content_md5, line_start::INT AS line_start, (line_start + strlen(content) - strlen(replace(content, chr(10), '')))::INT AS line_end FROM paragraphs WHERE strlen(content) >= 20""")
+def paragraph_split(spark, sf_dir):
+    made = pdftext.paragraphs(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    return made.select("doc_id", "paragraph", F.md5("content").alias("content_md5"), "line_start", "line_end")
+
+
+@query(rf"""{_LINES},
+w AS (SELECT doc_id, line_no, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper FROM lines)
+SELECT doc_id, line_no, t AS line FROM w WHERE strlen(t) BETWEEN 5 AND 100 AND len({_words('t')}) BETWEEN 1 AND 10
+  AND (regexp_matches(t, '^(?:[0-9]+\.|Chapter[{W}]+[0-9]+|Section[{W}]+[0-9]+)') OR (letters > 0 AND upper > 0.6 * letters))""")
+def section_header_heuristic(spark, sf_dir):
+    rows = textchunks.line_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.where(pdftext.is_section_header("trimmed")).select("doc_id", "line_no", F.col("trimmed").alias("line"))
+
+
+@query(r"SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_]+', '_', 'g'), '^_+', ''), '_+$', ''), 60) AS identifier FROM pages")
+def identifier_sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.sanitised("url").alias("identifier"))
+
+
+_CHUNKED = """
+WITH b AS (SELECT doc_id, k, array_to_string(list_slice(l, k * 10 + 1, k * 10 + 10), chr(10)) AS content FROM (
+  SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(0, (len(string_split(text, chr(10))) + 9) // 10)) AS k FROM documents)),
+p AS (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM b)"""
+
+
+@query(f"""{_CHUNKED},
+f AS (SELECT doc_id, k, len(string_split(before, chr(10))) AS n, list_filter(string_split(before, chr(10)), lambda x: {_trim('x')} <> '' AND left({_trim('x')}, 1) <> '}}'
+  AND left({_trim('x')}, 2) NOT IN ('//', '/*')) AS said FROM p)
+SELECT doc_id, k::INT AS chunk_index, CASE WHEN n >= 2 AND len(said) > 0 THEN array_to_string(list_slice(said, greatest(len(said) - 2, 1), len(said)), chr(10)) END AS overlap FROM f""")
+def chunk_overlap_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    parts = F.split("text", "\n", -1)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(parts) / 10).cast("int") - 1), lambda k: F.array_join(F.slice(parts, k * 10 + 1, F.lit(10)), "\n"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(blocks).alias("chunk_index", "content"))
+    before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    return rows.withColumn("before", before).select("doc_id", "chunk_index", split.overlap_lines("before").alias("overlap"))
+
+
+# --- Markdown, CSV, JSON, YAML -----------------------------------------------
+
+_FENCED = rf"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+f AS (SELECT *, {_trim('line')} AS t, starts_with({_trim('line')}, '```') AS fence FROM raw),
+s AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS inside, strlen(t) - strlen(replace(t, '|', '')) AS pipes FROM f),
+r AS (SELECT *, strlen(t) >= 3 AND pipes >= 2 AND (regexp_matches(t, '[^|{W}]')) AS is_row FROM s)"""
+
+
+@query(rf"""{_FENCED}
+SELECT doc_id, count(*)::INT AS total_lines, count_if(regexp_matches(line, '^#{{1,6}}[{W}]+'))::INT AS heading_count, count_if(fence AND inside)::INT AS code_block_count,
+  count_if(inside)::INT AS code_lines, (count_if(inside) * 100 // count(*))::INT AS code_percentage, count_if(is_row)::INT AS table_rows,
+  count_if(regexp_matches(t, '^(?:[-*+] |[0-9]+\.[{W}]+)'))::INT AS list_count FROM r GROUP BY doc_id""")
+def markdown_stats(spark, sf_dir):
+    return markdown.statistics(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+
+
+@query(f"{_FENCED} SELECT doc_id, line_no::INT AS line_no, t AS line FROM r WHERE is_row")
+def markdown_table_rows(spark, sf_dir):
+    rows = markdown.line_table(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    return rows.where(markdown.is_table_row(F.col("line"))).select("doc_id", "line_no", T.trim_space("line").alias("line"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS s FROM documents),
+c AS (SELECT doc_id, strlen(s) - strlen(replace(s, ',', '')) AS a, strlen(s) - strlen(replace(s, ';', '')) AS b, strlen(s) - strlen(replace(s, chr(9), '')) AS c, strlen(s) - strlen(replace(s, '|', '')) AS p FROM d)
+SELECT doc_id, CASE WHEN greatest(a, b, c, p) IN (0, a) THEN 'comma' WHEN greatest(a, b, c, p) = b THEN 'semicolon' WHEN greatest(a, b, c, p) = c THEN 'tab' ELSE 'pipe' END AS delimiter FROM c""")
+def csv_delimiter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", csvchunks.delimiter_name(csvchunks.delimiter("text")).alias("delimiter"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)) OR contains(text, chr(13)) THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell FROM documents""")
+def csv_quote(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", csvchunks.quoted("text").alias("cell"))
+
+
+_ORDERS_CSV = "'o_orderkey,o_custkey,o_orderstatus,o_totalprice' || chr(10) || string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_totalprice, chr(10) ORDER BY o_orderkey)"
+
+
+def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV texts of orders, one for each 40 keys."""
+    row = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 40).alias("file_id"), "o_orderkey", row.alias("row"))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\n")
+    return rows.groupBy("file_id").agg(F.concat(F.lit("o_orderkey,o_custkey,o_orderstatus,o_totalprice\n"), own).alias("text")).withColumn("path", F.concat(F.lit("orders_"), F.col("file_id").cast("string"), F.lit(".csv")))
+
+
+@query("""
+SELECT floor(o_orderkey / 40)::BIGINT AS file_id, count(*)::INT AS row_count, 4 AS column_count, true AS has_header, 'comma' AS delimiter,
+  'integer,integer,text,float' AS column_types FROM orders GROUP BY 1""")
+def csv_header_detect(spark, sf_dir):
+    made = csvchunks.csv_metadata(_order_files(spark, sf_dir))
+    types = F.transform("column_types", lambda t: F.when(t == "boolean", "integer").otherwise(t))
+    return made.select("file_id", "row_count", "column_count", "has_header", "delimiter", F.array_join(types, ",").alias("column_types"))
+
+
+@query("""
+WITH o AS (SELECT floor(o_orderkey / 40)::BIGINT AS file_id, row_number() OVER (PARTITION BY floor(o_orderkey / 40) ORDER BY o_orderkey) - 1 AS k,
+  count(*) OVER (PARTITION BY floor(o_orderkey / 40)) AS n, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_totalprice::DECIMAL(15,2) AS line, o_orderkey FROM orders)
+SELECT file_id, (k // 10 + 1)::INT AS chunk, md5(string_agg(line, chr(10) ORDER BY o_orderkey)) AS content_md5, (min(k) + 2)::INT AS line_start, (max(k) + 2)::INT AS line_end
+FROM o WHERE n > 20 GROUP BY file_id, k // 10""")
+def csv_row_groups(spark, sf_dir):
+    made = csvchunks.chunk_csv(_order_files(spark, sf_dir), max_lines=15).where("type = 'csv_data'")
+    return made.select("file_id", F.col("chunk_index").alias("chunk"), F.md5("content").alias("content_md5"), "line_start", "line_end")
+
+
+@query("""
+SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN lower(t) IN ('true','false','yes','no','y','n','1','0','on','off') THEN 'boolean' WHEN regexp_matches(t, '^[+-]?[0-9]+$') AND try_cast(t AS BIGINT) IS NOT NULL THEN 'integer'
+  WHEN regexp_matches(t, '(?i)^[+-]?(?:inf|infinity|nan|(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?)$') THEN 'float'
+  WHEN strlen(t) IN (10, 11, 12, 15) AND (strlen(t) - strlen(replace(t, '-', '')) = 2 OR strlen(t) - strlen(replace(t, '/', '')) = 2 OR contains(t, ' ')) THEN 'date' ELSE 'text' END AS cell_type
+FROM (SELECT doc_id, trim(split_part(text, ' ', 2), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM documents)""".replace("\\\\", "\\"))
+def csv_column_types(spark, sf_dir):
+    second = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
+    return table(spark, sf_dir, "documents").select("doc_id", csvchunks.cell_type(second).alias("cell_type"))
+
+
+@query("SELECT event_id, json_valid(props) AS is_valid FROM events WHERE props IS NOT NULL UNION ALL SELECT -1 - doc_id, json_valid(text) FROM documents WHERE text IS NOT NULL")
+def json_validity(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("props is not null").select("event_id", jsonchunks.is_valid("props").alias("is_valid"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select((-1 - F.col("doc_id")).alias("event_id"), jsonchunks.is_valid("text").alias("is_valid"))
+    return events.union(docs)
+
+
+@query("SELECT event_id, key, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS value_kind, props ->> key AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def json_properties(spark, sf_dir):
+    rows = jsonchunks.properties(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    return rows.select("event_id", "key", "value_kind", F.regexp_replace("value", r'\A"|"\z', "").alias("value"))
+
+
+@query("""
+WITH g AS (SELECT floor(event_id / 25)::BIGINT AS group_id, row_number() OVER (PARTITION BY floor(event_id / 25) ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY floor(event_id / 25)) AS n FROM events WHERE props IS NOT NULL)
+SELECT group_id, 'items[' || (k // 5 * 5) || '-' || max(k) || ']' AS identifier FROM g WHERE n > 10 GROUP BY group_id, k // 5""")
+def json_array_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("props is not null").groupBy(F.floor(F.col("event_id") / 25).alias("group_id"))
+    texts = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), ","), F.lit("]")).alias("text")).withColumn("path", F.lit("events.json"))
+    return jsonchunks.chunk_json(texts).where("type = 'json_array_slice'").select("group_id", "identifier")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, contains(text, '---') AS has_document_separator, "
+    "contains(text, '...') AS has_document_terminator, contains(text, '|') OR contains(text, '>') AS has_multiline_strings, regexp_matches(text, '&[0-9A-Za-z_]+') AS has_anchors, regexp_matches(text, '\\*[0-9A-Za-z_]+') AS has_aliases, "
+    + ", ".join(f"contains(t, '{w}') AS has_{w}_config" for w in configs.CONFIG_WORDS)
+    + ", contains(t, 'apiversion') OR contains(t, 'kind:') AS kubernetes_manifest, contains(t, 'docker') OR contains(t, 'image:') AS has_docker_config, "
+    + " OR ".join(f"contains(t, '{w}')" for w in configs.CI_WORDS)
+    + " AS has_ci_config, contains(text, '%YAML') AS has_yaml_directive, contains(text, '%TAG') AS has_tag_directive FROM d"
+)
+def yaml_patterns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", *(c.alias(n) for n, c in configs.features("text").items()))
+
+
+# --- sources -----------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'documents' AS kind, source AS origin, coalesce(lang, '') AS language FROM documents")
+def metadata_merge_last_wins(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.lit
+    first = F.create_map(text("kind"), text("file"), text("origin"), F.col("source"))
+    second = F.create_map(text("kind"), text("documents"), text("language"), F.coalesce("lang", text("")))
+    own = docs.select("doc_id", registry.merged(first, second).alias("m"))
+    return own.select("doc_id", *(F.col("m")[k].alias(k) for k in ("kind", "origin", "language")))
+
+
+_URL = r"regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g')"
+_LIST = ", ".join
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_URL} || CASE page_id % 5 WHEN 0 THEN '.go' WHEN 1 THEN '.PNG' WHEN 2 THEN '/vendor/a.txt' WHEN 3 THEN '.md' ELSE '' END AS path, strlen(html) * 1000 AS length FROM pages)
+SELECT page_id, path FROM p WHERE length <= 10485760 AND NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), [{_LIST(repr(d) for d in files.SKIPPED_DIRS)}])
+  AND lower(regexp_extract(path, '(\\.[^./]*)$', 1)) NOT IN ({_LIST(repr(e) for e in files.BINARY)})""")
+def file_filter(spark, sf_dir):
+    tail = F.expr("CASE page_id % 5 WHEN 0 THEN '.go' WHEN 1 THEN '.PNG' WHEN 2 THEN '/vendor/a.txt' WHEN 3 THEN '.md' ELSE '' END")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*\z", ""), tail).alias("path"), (F.octet_length("html") * 1000).alias("length"))
+    return rows.where(files.is_wanted("path", "length")).select("page_id", "path")
+
+
+@query(f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'go' WHEN 2 THEN 'markdown' WHEN 4 THEN 'yaml' ELSE 'text' END AS parser FROM documents")
+def parser_dispatch(spark, sf_dir):
+    return _with_path(table(spark, sf_dir, "documents")).select("doc_id", registry.default_registry().for_file("path").alias("parser"))
+
+
+# --- messages, prompts, chains, evaluation ------------------------------------
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN role IN ('ai', 'assistant') THEN 'assistant' ELSE 'user' END AS service_role FROM conversations")
+def role_mapping(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", models.service_role("role").alias("service_role"))
+
+
+@query(f"SELECT conv_id, string_agg(CASE WHEN {_trim('text')} <> '' THEN text END, ' ' ORDER BY turn) AS flat FROM conversations GROUP BY conv_id")
+def message_flatten(spark, sf_dir):
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("parts"))
+    return rows.select("conv_id", models.message_text("parts").alias("flat"))
+
+
+@query("SELECT conv_id, coalesce(max(CASE WHEN role = 'system' THEN turn END), min(turn)) = min(turn) AS ok FROM conversations GROUP BY conv_id")
+def system_first(spark, sf_dir):
+    return models.system_first(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, turn, CASE (turn % 3) WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS answer FROM conversations")
+def fake_llm_cycle(spark, sf_dir):
+    return models.fake_answers(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["first", "second", "third"], "turn")
+
+
+@query("SELECT conv_id, turn, 'Q: ' || text || chr(10) || 'By: ' || role AS prompt FROM conversations")
+def prompt_format(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.template("Q: {{.query}}\nBy: {{.who}}", ("who", "role"), ("query", "text")).alias("prompt"))
+
+
+_QA = f"""
+WITH top AS ({_top_sql('c.vec_id <> q.vec_id', 0.2, 2)}),
+found AS (SELECT t.query_id, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY t.rank) AS context FROM top t JOIN documents d ON d.doc_id = t.vec_id GROUP BY 1),
+asked AS (SELECT e.vec_id AS query_id, 'What is ' || e.vec_id || '?' AS query, f.context FROM embeddings e LEFT JOIN found f ON f.query_id = e.vec_id WHERE e.vec_id % 50 = 0)"""
+_ANSWER = "replace(replace($t${0}$t$, '{{{{.query}}}}', query), '{{{{.context}}}}', context)".format(chains.ANSWER_PROMPT.replace("{", "{{").replace("}", "}}")).replace("{{{{", "{{").replace("}}}}", "}}")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("page_content"))
+    best = search.top_k(v, _asked(v), 2, threshold=0.2, skip_self=True).select("query_id", "vec_id", "rank")
+    asked = _asked(v).select("query_id", F.concat(F.lit("What is "), F.col("query_id").cast("string"), F.lit("?")).alias("query"))
+    return asked, best.join(docs, "vec_id")
+
+
+@query(f"{_QA} SELECT query_id, md5(CASE WHEN context IS NULL THEN query ELSE {_ANSWER} END) AS prompt_md5 FROM asked")
+def qa_context(spark, sf_dir):
+    asked, found = _questions(spark, sf_dir)
+    return chains.with_prompts(asked, found).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"""{_QA} SELECT query_id, context IS NOT NULL AND contains(context, 'the') AS used_context,
+  md5(CASE WHEN context IS NOT NULL AND contains(context, 'the') THEN {_ANSWER} ELSE query END) AS answer_md5 FROM asked""")
+def qa_validated(spark, sf_dir):
+    asked, found = _questions(spark, sf_dir)
+    # Stand-ins for models: the validator looks for a word in the context part of its prompt, the generator echoes.
+    says = lambda prompt: F.when(F.contains(F.element_at(F.split(prompt, "Context:\n", 2), 2), F.lit("the")), "Yes.").otherwise("No.")
+    context_only = lambda prompt: says(F.regexp_replace(prompt, r"(?s)\n\nQuestion: What is \d+\?\n\nReply:\z", ""))
+    made = chains.validated_qa(asked, found, context_only, lambda prompt: prompt)
+    return made.select("query_id", "used_context", F.md5("answer").alias("answer_md5"))
+
+
+@query(f"SELECT md5(p) AS passage_md5, min(doc_id) AS first_seen FROM (SELECT doc_id, {_trim('text')} AS p FROM documents) WHERE p <> '' GROUP BY p")
+def passage_dedup(spark, sf_dir):
+    return evaluate.distinct_passages(table(spark, sf_dir, "documents")).select(F.md5("passage").alias("passage_md5"), "first_seen")
+
+
+@query("SELECT conv_id AS query_id, arg_max(role, turn) AS query_text, arg_max(text, turn) AS ground_truth_answer FROM conversations WHERE turn % 2 = 1 AND trim(text) <> '' GROUP BY conv_id")
+def case_last_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("query_text"), F.col("text").alias("ground_truth_answer"), F.lit("").alias("relevant_passage"), (F.col("turn") % 2).alias("is_selected"), "turn")
+    return evaluate.select_cases(rows, "turn").select("query_id", "query_text", "ground_truth_answer")
+
+
+_OVERLAP = f"(len(list_filter({_words('b')}, lambda w: strlen(w) > 2 AND list_contains({_words('a')}, w)))::DOUBLE / greatest(len({_words('a')}), len({_words('b')})))"
+
+
+@query(f"""
+WITH p AS (SELECT item_id, doc_id, lower({_trim('i.text')}) AS a, lower({_trim('d.text')}) AS b FROM benchmark i JOIN documents d ON d.doc_id % 40 = i.item_id)
+SELECT item_id, doc_id, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE {_OVERLAP} END, 6) AS overlap, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR {_OVERLAP} > 0.5) AS matches FROM p""")
+def keyword_overlap(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % 40)
+    low = lambda c: F.lower(T.trim_space(c))
+    return docs.join(items, "item_id").select("item_id", "doc_id", F.round(evaluate.word_overlap(low("truth"), low("text")), 6).alias("overlap"), evaluate.answers_match("truth", "text").alias("matches"))
+
+
+_RESULTS = "SELECT l.doc_id, quality = 1 AS hit, toxic = 0 AS passed, n_chars / 1000.0 AS seconds, CASE WHEN n_chars < 100 THEN 'short' END AS error FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return joined.select("doc_id", (F.col("quality") == 1).alias("hit"), (F.col("toxic") == 0).alias("passed"), (F.col("n_chars") / 1000.0).alias("seconds"), F.when(F.col("n_chars") < 100, "short").alias("error"))
+
+
+@query(f"""
+WITH r AS ({_RESULTS}) SELECT count(*) AS cases, round(count_if(hit) * 100.0 / count(*), 6) AS retrieval_accuracy, round(count_if(passed) * 100.0 / count(*), 6) AS generation_accuracy,
+  round((count_if(hit) + count_if(passed)) * 100.0 / (2 * count(*)), 6) AS overall_accuracy, round(avg(CASE WHEN error IS NULL THEN seconds END), 6) AS mean_seconds, count(error) AS errors FROM r""")
+def eval_summary(spark, sf_dir):
+    made = evaluate.summary(_results(spark, sf_dir))
+    return made.select("cases", *(F.round(c, 6).alias(c) for c in ("retrieval_accuracy", "generation_accuracy", "overall_accuracy", "mean_seconds")), "errors")
+
+
+@query(f"""
+WITH r AS (SELECT source, count_if(quality = 1) * 100.0 / count(*) AS accuracy FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source)
+SELECT source, CASE WHEN accuracy >= 90 THEN 'excellent' WHEN accuracy >= 75 THEN 'good' WHEN accuracy >= 60 THEN 'fair' ELSE 'poor' END AS band FROM r""")
+def eval_banding(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    share = F.count_if(F.col("quality") == 1) * 100.0 / F.count(F.lit(1))
+    return joined.groupBy("source").agg(share.alias("accuracy")).select("source", evaluate.band("accuracy").alias("band"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_trim('text')} <> ''")
+def blank_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(~T.is_blank("text")).select("doc_id")
+
+
+@query()
+def deterministic_sample(spark, sf_dir):
+    """A sampling operator: ten rows by hash, the same for the same table."""
+    return table(spark, sf_dir, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(10).select("doc_id")
+
+
+# --- grammars over inline files -----------------------------------------------
+
+
+def _declared(language: codeblocks.Language, text: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return codeblocks.declarations(spark.createDataFrame([(0, text)], "doc_id long, text string"), language).drop("doc_id")
+
+    return run
+
+
+_QUERIES["go_chunks"] = _declared(codeblocks.GO, "package shop\n\n// Price of an item.\ntype Price struct {\n\tCents int\n}\n\nfunc (p Price) Add(q Price) Price {\n\treturn Price{p.Cents + q.Cents}\n}\n")
+_QUERIES["proto_chunks"] = _declared(codeblocks.PROTO, 'syntax = "proto3";\nmessage Outer {\n  message Inner {\n    string name = 1;\n  }\n  Inner inner = 1;\n}\nservice Find {\n  rpc Get(Outer) returns (stream Outer);\n}\n')
+_QUERIES["terraform_chunks"] = _declared(codeblocks.TERRAFORM, 'variable "region" {\n  default = "north"\n}\nresource "disk" "main" {\n  size = 3\n}\n')
+_QUERIES["ts_chunks"] = _declared(codeblocks.TYPESCRIPT, "export class Cart {\n  private items: string[] = [];\n  constructor() {\n  }\n  add(x: string): void {\n    this.items.push(x);\n  }\n}\n")
+
+
+@query()
+def yaml_chunks(spark, sf_dir):
+    text = "database:\n  host: a\n  port: 1\nserver:\n  port: 2\n  tls: true\nlogging:\n  level: info\nname: x\n"
+    return configs.chunk_yaml(spark.createDataFrame([(text, "app.yaml")], "text string, path string"))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("n_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return markdown.chunk_markdown(docs).select("doc_id", "type", "identifier", "line_start", "line_end", "content")
+
+
+@query(f"SELECT sha256(text) AS id, max(doc_id) AS doc_id FROM documents WHERE {_trim('text')} <> '' GROUP BY text")
+def content_ids(spark, sf_dir):
+    made = store.assign_ids(table(spark, sf_dir, "documents").where(~T.is_blank("text")).select("doc_id", F.col("text").alias("page_content")))
+    return made.groupBy("id").agg(F.max("doc_id").alias("doc_id"))
