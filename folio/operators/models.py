@@ -49,6 +49,12 @@ def retried(call: Callable[[list], list], retries: int = 3, delay: float = 2.0,
     return run
 
 
+def _placed(part: pd.Series, found: list) -> pd.Series:
+    """Results at the places of the inputs that were not null."""
+    rest = iter(found)
+    return pd.Series([next(rest) if ok else None for ok in part.notna()], index=part.index, dtype=object)
+
+
 def embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]], batch: int = 32, **retrying) -> Callable[[Column], Column]:
     """A column function that embeds texts; ``connect`` runs once in each task and gives the batch call. Null gives null."""
 
@@ -59,7 +65,7 @@ def embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]]
             found: list = []
             for lo in range(0, len(some), batch):
                 found += call(some.iloc[lo : lo + batch].tolist())
-            yield pd.Series([[float(x) for x in v] for v in found], index=some.index, dtype=object).reindex(part.index)
+            yield _placed(part, [[float(x) for x in v] for v in found])
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<float>")
@@ -101,7 +107,7 @@ def generator(connect: Callable[[], Callable[[list[str]], list[str]]], batch: in
             found: list = []
             for lo in range(0, len(some), batch):
                 found += call(some.iloc[lo : lo + batch].tolist())
-            yield pd.Series(found, index=some.index, dtype=object).reindex(part.index)
+            yield _placed(part, found)
 
     run.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "string")
