@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFram
     that loses none stays as it is, null included. ``n_chars``, where there is
     one, follows the text.
     """
-    joined = _with_runs(docs, window, gram)
+    joined = _with_runs(docs.select("doc_id", "text"), window, gram)
     changed = _kept(joined.where("runs is not null").select("doc_id", "text", "runs"), window, "doc_id long, text string, __removed long", True)
     cut = written(changed.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).dropDuplicates(["__doc"]), "cut")
     out = docs.join(cut, F.col("doc_id") == F.col("__doc"), "left").withColumn("text", F.coalesce("__text", "text"))
