@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called so (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 2 modulo 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -104,5 +112,6 @@ def per_text(df: DataFrame, text: str | Column, schema: T.StructType, make: Call
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     applied = F.arrow_udf(run, schema).asNondeterministic()  # else a later filter would run it twice
     source = F.col(text) if isinstance(text, str) else text
-    kept = [c for c in df.columns if c not in schema.names]
-    return df.select(*(F.col(f"`{c}`") for c in kept), applied(source).alias("__made")).select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"__made.`{c}`").alias(c) for c in schema.names))
+    made = fresh("__made", df.columns)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in schema.names]
+    return df.select(*kept, applied(source).alias(made)).select(*kept, *(F.col(f"`{made}`.`{c}`").alias(c) for c in schema.names))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import held_out, per_text, slices, utf8
+from folio.llm.common import fresh, held_out, per_text, slices, utf8
 
 ORDER = 4
 UNKNOWN = "und"
@@ -231,8 +231,9 @@ def keep_identified(docs: DataFrame, slack_bits: float = 64.0, **fitting) -> Dat
     language's tree than they have themselves, by over ``slack_bits``.
     """
     columns = docs.columns
-    own = docs.withColumns({f"__{c}": F.col(c) for c in _SCHEMA.names if c in columns})
+    aside = {c: fresh(f"__{c}", columns) for c in _SCHEMA.names if c in columns}
+    own = docs.withColumns({new: F.col(c) for c, new in aside.items()})
     found = identify(own, fit(docs, **fitting))
     excess = (F.coalesce("bits_per_byte", F.lit(0.0)) - 8) * F.octet_length(F.col("text"))
     found = found.where((F.col("lang_pred") != UNKNOWN) & (excess <= slack_bits))
-    return found.select(*(F.col(f"__{c}").alias(c) if c in _SCHEMA.names else F.col(f"`{c}`") for c in columns))
+    return found.select(*(F.col(aside[c]).alias(c) if c in aside else F.col(f"`{c}`") for c in columns))

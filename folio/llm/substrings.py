@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import words
-from folio.llm.common import flat, slices, utf8, written
+from folio.llm.common import flat, fresh, slices, utf8, written
 
 _Q = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -184,8 +184,10 @@ def _kept(joined: DataFrame, window: int, schema: str, texts_too: bool) -> DataF
 
 
 def _with_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    runs = duplicate_windows(docs, window, gram).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return docs.join(written(runs, "runs"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    """(doc_id, text, runs) of all rows; runs is null where nothing is to go."""
+    texts = docs.select("doc_id", "text")
+    runs = duplicate_windows(texts, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return texts.join(written(runs, "runs"), "doc_id", "left")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
@@ -198,7 +200,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFr
     document at the same places, so that repeated rows are all kept. Other
     columns are ignored; an empty table gives no rows.
     """
-    return _kept(_with_runs(docs.select("doc_id", "text"), window, gram).select("doc_id", "text", "runs"), window, "doc_id long, n_words long, n_removed long, kept_sha256 string", False)
+    return _kept(_with_runs(docs, window, gram), window, "doc_id long, n_words long, n_removed long, kept_sha256 string", False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
@@ -208,10 +210,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFram
     that loses none stays as it is, null included. ``n_chars``, where there is
     one, follows the text.
     """
-    joined = _with_runs(docs.select("doc_id", "text"), window, gram)
-    changed = _kept(joined.where("runs is not null").select("doc_id", "text", "runs"), window, "doc_id long, text string, __removed long", True)
-    cut = written(changed.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).dropDuplicates(["__doc"]), "cut")
-    out = docs.join(cut, F.col("doc_id") == F.col("__doc"), "left").withColumn("text", F.coalesce("__text", "text"))
+    changed = _with_runs(docs, window, gram).where("runs is not null")
+    new = fresh("__text", docs.columns)
+    cut = written(_kept(changed, window, "doc_id long, text string, __removed long", True).select("doc_id", F.col("text").alias(new)).dropDuplicates(["doc_id"]), "cut")
+    out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__doc").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(f"`{c}`" for c in docs.columns))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import held_out, per_text, slices, written
+from folio.llm.common import fresh, held_out, per_text, slices, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("асеорхуіјѕһԁԛԝκαεοιρυνητωβгкмнт", "aceopxyijshdqwkaeoipuvntwbrkmht", strict=True)) | {"ı": "i", "ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe"}
@@ -111,8 +111,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic, draw) of up to ``rows`` labelled rows that are not held out, drawn by hash of their ids."""
     learn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = learn.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").limit(rows).withColumnRenamed("doc_id", "__doc")
-    found = docs.where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("__doc"))  # rows bounds its size
+    drawn = learn.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").limit(rows)
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # rows bounds its size
     return found.select("text", "toxic", "draw")
 
 
@@ -209,6 +209,7 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
     columns = docs.columns
-    own = docs.withColumn("__score", F.col("score")) if "score" in columns else docs
+    aside = fresh("__score", columns)
+    own = docs.withColumn(aside, F.col("score")) if "score" in columns else docs
     found = score(own, fit(docs, labels, **fitting)).where(F.col("score") < threshold)
-    return found.select(*(F.col("__score").alias(c) if c == "score" else F.col(f"`{c}`") for c in columns))
+    return found.select(*(F.col(aside).alias(c) if c == "score" else F.col(f"`{c}`") for c in columns))
