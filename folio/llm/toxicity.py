@@ -116,6 +116,39 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return found.select("text", "toxic", "draw")
 
 
+def _evidence(p: int, n: int, rate: float) -> float:
+    """Twice the log-likelihood ratio of p bad rows among n against the overall rate."""
+    part = lambda k, expected: k * math.log(k / expected) if k else 0.0
+    return 2 * (part(p, n * rate) + part(n - p, n * (1 - rate)))
+
+
+def _surroundings(bad: DataFrame, terms: list[str]) -> dict[str, int]:
+    """In how many different surroundings (the word and its neighbours) each term stands in the bad rows.
+
+    Copies of one bad text make all its words look bad; their surroundings are the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ahocorasick.Automaton()
+        for k, t in enumerate(terms):
+            own.add_word(t, (k, len(t)))
+        own.make_automaton()
+        for batch in batches:
+            found = set()
+            for text in batch.column(0).to_pylist():
+                folded = fold(text)
+                for end, (k, size) in own.iter(folded):
+                    start = end - size + 1
+                    stop = folded.find(" ", folded.find(" ", start + 1) + 1)
+                    found.add((k, folded[folded.rfind(" ", 0, start) + 1 : stop if stop > 0 else None]))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())], names=["k", "around"])
+
+    if not terms:
+        return {}
+    counts = bad.select("text").mapInArrow(run, "k int, around string").distinct().groupBy("k").count().collect()
+    return {terms[r["k"]]: r["count"] for r in counts}
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, max_terms: int = 4_000, shortest: int = 4, longest: int = 7, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns terms, weights, exceptions and calibration from ``rows`` labelled rows at most."""
     drawn = written(sample(docs, labels, rows), "labelled")
@@ -135,11 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, max_terms: int =
     counts = drawn.select("text", "toxic").mapInArrow(split, "term string, toxic int").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n"))
     counts = written(counts, "terms")
     rate, p, n = bad / (bad + good), F.col("p"), F.col("n")
-    weight = F.log((p + 0.5) / (bad + 1)) - F.log((n - p + 0.5) / (good + 1))
-    evidence = 2 * (F.when(p > 0, p * F.log(p / (n * rate))).otherwise(0.0) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - rate)))).otherwise(0.0))
     bar = 2 * math.log(max(2, counts.count())) + 6  # many terms are tried, and some look bad by chance
-    strong = counts.withColumn("w", weight).where((F.col("w") > 2.5) & (p >= 0.6 * n) & (evidence >= bar))
-    found = {r["term"]: (r["w"], r["p"], r["n"]) for r in strong.orderBy(F.desc("w"), "term").limit(max_terms).collect()}
+    weight = F.log((p + 0.5) / (bad + 1)) - F.log((n - p + 0.5) / (good + 1))
+    strong = counts.withColumn("w", weight).where((F.col("w") > 2.5) & (p >= 0.6 * n) & (p >= 3)).orderBy(F.desc(p * p / n), "term").limit(max_terms)
+    found = {r["term"]: (r["w"], r["p"], r["n"]) for r in strong.collect()}
+    around = _surroundings(drawn.where("toxic = 1"), sorted(found))
+    for t, (w, own, all_) in list(found.items()):
+        here = min(own, around.get(t, 0))
+        if _evidence(here, all_ - own + here, rate) < bar:
+            del found[t]
+        else:
+            found[t] = (w, here, all_ - own + here)
     #: A beginning stays if it finds clearly more rows than each longer term; those it covers then go.
     most: dict[str, int] = {}
     for t, (_, own, _) in found.items():
