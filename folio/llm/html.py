@@ -3,10 +3,10 @@
 The standard library's streaming parser turns a page into lines, one a block
 element. Each line gets its text-to-tag ratio; the ratios are smoothed with a
 Gaussian and a threshold between two clusters of them selects content regions.
-The regions vote for the innermost element that holds most of their text, and
-that element's lines are the main text. What a page marks as no article
-(navigation, forms, adverts, comments of readers and the like) never joins a
-line; where it marks an article, exactly the lines inside it are taken.
+Where a page marks articles, those that lie in selected regions for the most
+part are the main text, as wholes; else the regions vote for the innermost element that holds
+most of their text. What a page marks as no article (navigation, forms,
+adverts, comments of readers and the like) never joins a line.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ _WHITE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags met in it, inside an article, numbers of the elements around it)."""
+    """Collects lines: (text, tags met in it, number of the outermost article around it or 0, numbers of the elements around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # element, drops its content, is an article, number
         self.dropping = self.articles = self.tags = self.number = 0
         self.words: list[str] = []
@@ -55,7 +55,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.words)).strip()
         if text:
-            self.lines.append((text, self.tags, self.articles > 0, tuple(x[3] for x in self.open if x[0] in HOLDERS)))
+            article = next((x[3] for x in self.open if x[2]), 0)
+            self.lines.append((text, self.tags, article, tuple(x[3] for x in self.open if x[0] in HOLDERS)))
             self.tags = 0
         self.words = []
 
@@ -138,13 +139,19 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.7) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    if any(x[2] for x in lines):  # the page says where its article is
-        return " ".join(x[0] for x in lines if x[2])
     if not lines:
         return ""
     ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], float)
     smooth = smoothed(ratios, sigma)
     chosen = smooth >= threshold(smooth)
+    articles: dict[int, list[int]] = {}
+    for (text, _, article, _), ok in zip(lines, chosen, strict=True):
+        if article:
+            sizes = articles.setdefault(article, [0, 0])
+            sizes[bool(ok)] += len(text)
+    selected = {k for k, (out, inside) in articles.items() if inside >= out} or set(articles)
+    if selected:
+        return " ".join(x[0] for x in lines if x[2] in selected)
     votes: dict[int, int] = {}
     for (text, _, _, around), ok in zip(lines, chosen, strict=True):
         for number in around if ok else ():

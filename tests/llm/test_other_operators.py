@@ -19,6 +19,12 @@ def test_article_is_taken_whole():
     assert html.main_text(page) == "A & B one two three four five " + PLAIN.strip()
 
 
+def test_articles_without_a_region_are_no_main_text():
+    links = "".join(f"<a href='{i}'>go {i}</a>" for i in range(9))
+    page = f"<body><main><article><h1>T</h1>{LONG}{LONG}</article></main>" + f"<article><p>{links}</p><p>{links}</p><p>{links}</p><p>{links}</p></article>"
+    assert html.main_text(page) == f"T {PLAIN.strip()} {PLAIN.strip()}"
+
+
 def test_regions_without_an_article():
     page = f"<body><div id='menu'><a>x</a><a>y</a></div><div id='content'><h1>T</h1>{LONG}<p>short</p>{LONG}</div><div class='sidebar'>{LONG}</div><div><a>1</a> <a>2</a></div><div id='cookie-notice'>{LONG}</div></body>"
     assert html.main_text(page) == f"T {PLAIN.strip()} short {PLAIN.strip()}"
