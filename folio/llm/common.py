@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Python-side working set: texts are handled in slices of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

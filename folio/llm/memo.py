@@ -12,47 +12,49 @@ from folio.llm.common import flat
 
 
 class PieceTable:
-    """Distinct pieces (by 64-bit hash) and their ids; emptied when it holds ``limit`` pieces."""
+    """Distinct pieces (by 64-bit hash) and their ids; emptied when it would pass ``limit`` pieces.
+
+    Keys are a sorted array, so that a piece takes a few dozen bytes.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 900_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _add(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
-        sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
+        sizes = np.fromiter((len(x) for x in found), np.int32, len(found))
         new = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        n, m = len(self.known), len(self.known) + len(keys)
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while m > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        if self.used + len(new) > len(self.ids):
+            grown = np.zeros(max(self.used + len(new), len(self.ids) * 3 // 2), np.int32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
         self.ids[self.used : self.used + len(new)] = new
-        self.starts[n:m] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[n:m] = sizes
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.used += len(new)
-        self.known.update(zip(keys, range(n, m), strict=True))
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.starts, self.lengths = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.starts, starts), (self.lengths, sizes)))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def look_up(self, hashes: np.ndarray, piece: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in order, and how many each has; ``piece(i)`` gives the bytes of the i-th."""
         codes, distinct = pd.factorize(hashes)
-        if len(self.known) + len(distinct) > self.limit and self.known:
+        if len(self.keys) + len(distinct) > self.limit:
             self._clear()
-        keys = distinct.tolist()
-        known = self.known
-        missing = [k for k, x in enumerate(keys) if x not in known]
-        if missing:
-            first = np.zeros(len(keys), np.int64)
+        known = self._find(distinct)[1]
+        if not known.all():
+            first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            self._add([keys[k] for k in missing], [piece(int(first[k])) for k in missing])
-        rows = np.fromiter((known[x] for x in keys), np.int64, len(keys))[codes]
-        lengths = self.lengths[rows]
+            self._add(distinct[~known], [piece(i) for i in first[~known].tolist()])
+        rows = self._find(distinct)[0][codes]
+        lengths = self.lengths[rows].astype(np.int64)
         return self.ids[flat(self.starts[rows], lengths)], lengths
