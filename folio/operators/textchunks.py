@@ -49,11 +49,12 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
 def _classified(text: str) -> Column:
     """Lines as structs (line, kind) of one document."""
 
-    def one(line: Column) -> Column:
-        t = trim_space(line)
-        return F.struct(line.alias("line"), F.when(t == "", "blank").when(is_heading(t), "heading").when(is_list_item(t), "list_item").otherwise("text").alias("kind"), t.alias("trimmed"))
+    def one(x: Column) -> Column:
+        t = x["trimmed"]
+        return F.struct(x["line"].alias("line"), F.when(t == "", "blank").when(is_heading(t), "heading").when(is_list_item(t), "list_item").otherwise("text").alias("kind"), t.alias("trimmed"))
 
-    return F.transform(lines(text), one)
+    trimmed = F.transform(lines(text), lambda x: F.struct(x.alias("line"), trim_space(x).alias("trimmed")))  # trimmed once for all tests
+    return F.transform(trimmed, one)
 
 
 _SECTION = "struct<type:string,title:string,content:string,line_start:int,line_end:int>"
