@@ -308,3 +308,30 @@ def test_windowed_counts(spark):
 
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_metadata_in_one_schema(spark):
+    from folio.operators.metadata import file_metadata
+    from folio.schema import FILE_METADATA
+
+    texts = {
+        "text": ("README.txt", "INTRO\n\nsome words here. And more!\n- item one of it\n"),
+        "csv": ("p.csv", "name,n\nann,10\nbob,20\n"),
+        "json": ("x.json", '{"a": [1, 2], "b": {"c": true}}'),
+        "markdown": ("g.md", "---\ntitle: Guide\nauthor: me\n---\n# One\n```go\nx\n```\n## Two\n"),
+        "yaml": ("k.yaml", "apiVersion: v1\nspec:\n  image: x\n  items:\n    - a\n# c\n"),
+        "go": ("m.go", 'package shop\n\nimport "fmt"\n\nfunc Show() {\n\tfmt.Println()\n}\n'),
+        "protobuf": ("m.proto", 'syntax = "proto3";\npackage a.b;\nimport "x.proto";\nmessage M {\n  int32 n = 1;\n}\n'),
+    }
+    got = {}
+    for parser, (path, text) in texts.items():
+        made = file_metadata(frame(spark, text, path), parser)
+        assert made.drop("doc_id").schema.simpleString() == FILE_METADATA.simpleString()
+        got[parser] = made.first()
+    assert got["text"].properties["document_type"] == "readme" and got["text"].symbols[0].name == "INTRO" and got["text"].properties["list_items"] == "1"
+    assert got["csv"].properties["row_count"] == "2" and [d.signature for d in got["csv"].definitions] == ["name: text", "n: integer"]
+    assert got["json"].properties["array_count"] == "1" and [s.name for s in got["json"].symbols] == ["a", "b"]
+    assert got["markdown"].properties["title"] == "Guide" and [(s.name, s.type) for s in got["markdown"].symbols] == [("One", "h1"), ("Two", "h2")] and got["markdown"].properties["author"] == "me"
+    assert got["yaml"].properties["kubernetes_manifest"] == "true" and [s.name for s in got["yaml"].symbols] == ["apiVersion", "spec"] and got["yaml"].properties["item_count"] == "1"
+    assert got["go"].imports == ["fmt"] and got["go"].properties["package"] == "shop" and got["go"].properties["total_function"] == "1" and got["go"].definitions[0].visibility == "public"
+    assert got["protobuf"].properties["syntax"] == "proto3" and got["protobuf"].imports == ["x.proto"] and got["protobuf"].properties["package"] == "a.b"
