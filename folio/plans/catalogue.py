@@ -232,7 +232,7 @@ def embed_input_text(spark, sf_dir):
     return docs.where(~T.is_blank("text")).select("doc_id", models.document_input("text").alias("embed_input"))
 
 
-@query(f"SELECT count(*) AS given, count_if({_trim('text')} = '') AS blank FROM documents")
+@query(f"SELECT count(*) AS given, count_if({_trim('text')} = '')::BIGINT AS blank FROM documents")
 def embed_blank_skip(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("given"), F.count_if(T.is_blank("text")).alias("blank"))
 
