@@ -42,7 +42,10 @@ def quoted(cell: str | Column, d: str | Column = ",") -> Column:
 
 
 def format_row(cells: Column, d: str | Column = ",") -> Column:
-    return F.array_join(F.transform(cells, lambda c: quoted(c, d)), d) if isinstance(d, str) else F.aggregate(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), quoted(cells[0], d), lambda s, c: F.concat(s, d, quoted(c, d)))
+    """Cells quoted where they need it, with delimiters between."""
+    d = F.lit(d) if isinstance(d, str) else d
+    joined = F.aggregate(cells, F.lit(None).cast("string"), lambda s, c: F.when(s.isNull(), quoted(c, d)).otherwise(F.concat(s, d, quoted(c, d))))
+    return F.coalesce(joined, F.lit(""))
 
 
 def records(text: str | Column, d: Column) -> Column:
