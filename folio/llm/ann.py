@@ -9,7 +9,6 @@ chi-square test says that no unseen point is likely to be nearer.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
