@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Removes an execution's shuffle files when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows in an Arrow batch; texts may be long, and a batch is held by Spark and by Python.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
 #: Python-side working set: texts are handled in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
@@ -29,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches where nobody has set them."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, _BATCH_ROWS)
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -113,5 +124,5 @@ def per_text(df: DataFrame, text: str | Column, schema: T.StructType, make: Call
     applied = F.arrow_udf(run, schema).asNondeterministic()  # else a later filter would run it twice
     source = F.col(text) if isinstance(text, str) else text
     made = fresh("__made", df.columns)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in schema.names]
+    kept = [F.col(f"`{c}`") for c in small_batches(df).columns if c not in schema.names]
     return df.select(*kept, applied(source).alias(made)).select(*kept, *(F.col(f"`{made}`.`{c}`").alias(c) for c in schema.names))

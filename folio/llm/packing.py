@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import words
-from folio.llm.common import slices, utf8, written
+from folio.llm.common import slices, small_batches, utf8, written
 from folio.llm.memo import PieceTable
 
 
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) ->
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "draw"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
 
 
 Bins = list[list[int]]

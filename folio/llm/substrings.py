@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import words
-from folio.llm.common import flat, fresh, slices, utf8, written
+from folio.llm.common import flat, fresh, slices, small_batches, utf8, written
 
 _Q = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -97,7 +97,7 @@ def _blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     names=["doc_id", "at", "n", "anchor", "content"],
                 )
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _BLOCK)
+    return small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _BLOCK)
 
 
 _WINDOW = "doc_id long, at int, one long, two long"
