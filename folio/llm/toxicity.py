@@ -13,7 +13,9 @@ import math
 import re
 import unicodedata
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -88,7 +90,10 @@ class Matcher:
                 best[start] = (size, weight)
         if not best:
             return 0.0, 0.0
-        total = sum(w for s, (n, w) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in covered))
+        covered.sort()
+        begins = [a for a, _ in covered]
+        reach = [-1, *accumulate((b for _, b in covered), max)]  # the furthest end among phrases that begin so early
+        total = sum(w for s, (n, w) in best.items() if reach[bisect_right(begins, s)] < s + n - 1)
         return total, total / math.sqrt(folded.count(" "))
 
     def probability(self, text: str | None) -> float:

@@ -311,6 +311,22 @@ def test_exception_phrases_and_length():
     assert one.features(None) == (0.0, 0.0)
 
 
+def test_exception_phrases_cover_like_all_pairs():
+    rng = random.Random(4)
+    words = ["ab", "abc", "abcd", "bc", "cd"]
+    for _ in range(200):
+        phrases = tuple({" " + " ".join(rng.choices(words, k=rng.randint(1, 4))) + " " for _ in range(rng.randint(0, 5))})
+        weights = {w: rng.random() + 0.1 for w in (" ab", " abc ", " bc ", " cd ")}
+        weights = {w: x for w, x in weights.items() if w not in phrases}
+        text = " ".join(rng.choices(words, k=30))
+        folded = toxicity.fold(text)
+        places = lambda t, s=folded: [i for i in range(len(s)) if s.startswith(t, i)]
+        spans = [(i, i + len(p)) for p in phrases for i in places(p)]
+        longest = {i: max((len(w), x) for w, x in weights.items() if i in places(w)) for w in weights for i in places(w)}
+        expected = sum(x for i, (n, x) in longest.items() if not any(a <= i and i + n <= b for a, b in spans))
+        assert toxicity.Matcher(toxicity.Lexicon(weights, phrases, (0.0, 1.0, 0.0))).features(text)[0] == pytest.approx(expected)
+
+
 def test_toxicity_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(0, None, None), (None, 1, 1), (3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
