@@ -273,7 +273,7 @@ def _placed(whole: DataFrame, capacity: int, poor_fill: float, round_: int) -> D
     return whole.mapInArrow(run, _PLACED)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, shard_pieces: int = 2048, islands: int = 2, population: int = 4, generations: int = 10, elite: int = 2, poor_fill: float = 0.97) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, shard_pieces: int = 2048, islands: int = 2, population: int = 4, generations: int = 10, elite: int = 2, poor_fill: float = 0.97, rounds: int = 8, stalled: float = 0.9) -> DataFrame:
     """Every piece of every document with its place in a sequence.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Texts
@@ -281,16 +281,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, shard_pieces: int = 2
     null ids are packed each for itself; other columns are not looked at; an
     empty table gives no rows. Only documents of more than ``capacity`` ids are
     cut. Shards hold about ``shard_pieces`` pieces whatever the documents are,
-    as pieces are dealt by a random draw.
+    as pieces are dealt by a random draw. Badly filled sequences stay as they are
+    where dealing again leaves more than a ``stalled`` share of the pieces in
+    such ones, and in the last of ``rounds``.
     """
     left = written(token_pieces(docs, path, capacity), "pieces")
     done: list[DataFrame] = []
-    for round_ in range(8):
-        n = left.count()
-        if not n and done:
-            break
+    n = left.count()
+    for round_ in range(rounds):
         shards = max(1, -(-n // shard_pieces))
-        last = shards == 1
+        last = shards == 1 or round_ == rounds - 1
         packed = (
             left.groupBy((F.col("draw") % shards).alias("shard"))
             .agg(F.sort_array(F.collect_list(F.struct("length", "draw", "doc_id", "piece", "start", "ids_crc32")), asc=False).alias("items"))
@@ -306,13 +306,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, shard_pieces: int = 2
         again = _evolved(migrated, capacity, population, generations, elite, 2 * round_ + 1)
         whole = again.groupBy("shard").agg(F.first("items").alias("items"), F.sort_array(F.collect_list(F.struct("island", "elite"))).alias("isles")).select("shard", "items", F.col("isles.elite").alias("elites"))
         placed = written(_placed(whole, capacity, 0.0 if last else poor_fill, round_), f"placed-{round_}")
+        poor = placed.where("poor").count()
+        if poor > stalled * n:
+            done.append(placed)
+            break
         done.append(placed.where(~F.col("poor")))
-        if last:
+        if not poor:
             break
+        n = poor
         left = placed.where("poor").select("doc_id", "piece", "start", "length", "ids_crc32", "draw")
         left = written(left.withColumn("draw", F.expr(f"shiftrightunsigned(xxhash64(draw, {round_}), 1)")), f"left-{round_}")
-    else:
-        raise RuntimeError("leftovers did not shrink to one shard")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -113,6 +113,13 @@ def test_packing_of_nothing(empty):
     assert packing.pack(empty, WORDS).collect() == []
 
 
+def test_packing_of_pieces_that_fill_no_sequence(spark):
+    docs = spark.range(2100).select(F.col("id").alias("doc_id"), F.expr("repeat('the ', 1199)").alias("text"))
+    rows = packing.pack(docs, WORDS).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(2100)) and len({r.sequence_id for r in rows}) == 2100
+    assert {(r.piece, r.start, r.length, r.offset) for r in rows} == {(0, 0, 1200, 0)}
+
+
 def test_genetic_steps_keep_every_item():
     ga = packing.Shard(np.random.default_rng(1).integers(1, 900, 200), 1000, (1,))
     pool = ga.evolve([], 6, 30)
