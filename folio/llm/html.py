@@ -29,6 +29,21 @@ BLOCKS = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol
 HOLDERS = frozenset("body div section article main td blockquote ul ol table".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that leave a head open.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements whose start ends an open p.
+ENDS_P = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table ul".split())
+_AROUND_P = ("article", "main", "body", "div", "td", "th", "li", "dd", "dt", "section", "blockquote", "table", "button", "object", "template")
+_CELL, _ITEM, _PART = ("td", "th"), ("dt", "dd"), ("thead", "tbody", "tfoot")
+#: What the start of an element ends besides, and the elements that this stays inside.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "table", "article", "section")),
+    **dict.fromkeys(_ITEM, (_ITEM, ("dl", "table", "article", "section"))),
+    **dict.fromkeys(("option", "optgroup"), (("option",), ("select", "datalist"))),
+    **dict.fromkeys(_CELL, (_CELL, ("tr", "table"))),
+    "tr": (("tr",), ("table", *_PART)),
+    **dict.fromkeys(_PART, (_PART, ("table",))),
+}
 #: Words of class, id or role that mark what is no article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|masthead|"
@@ -45,8 +60,11 @@ _WHITE = re.compile(r"\s+")
 class Lines(HTMLParser):
     """Collects lines: (text, tags met in it, number of the outermost article around it or 0, numbers of the elements around it)."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.kept = kept  # numbers of marked elements that are not dropped
+        self.marked: dict[int, list[int]] = {}  # outermost dropped for its marks: characters, articles, is of other articles
+        self.total = 0  # characters outside of elements that are always dropped
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # element, drops its content, is an article, number
         self.dropping = self.articles = self.tags = self.number = 0
@@ -66,17 +84,29 @@ class Lines(HTMLParser):
         elif tag in DROPPED:
             self.flush()
         self.tags += 1
+        if tag == "body" or (tag not in IN_HEAD and self.open and self.open[-1][0] == "head"):
+            self._close_to("head")
+        if tag in ENDS_P:
+            self._close_to("p", stop=_AROUND_P)
+        ends, stop = ENDS.get(tag, ((), ()))
+        if ends:
+            self._close_to(*ends, stop=stop)
         if tag in VOID:
             return
-        if tag == "p":
-            self._close_to("p", stop=("article", "main", "body", "div", "td", "li", "section", "blockquote"))
         own = dict(attrs)
         marked = _NOT_MARKS.sub(" ", " ".join(v for k in ("class", "id", "role") if (v := own.get(k))))
         dropped = tag in DROPPED and not (tag == "header" and self.articles)
         if tag == "article":
             dropped = bool(_OTHER_ARTICLE.search(marked))
         elif own and not dropped and tag not in ("html", "body", "main"):
-            dropped = bool(MARKS.search(marked)) or "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style") or ""))
+            hidden = "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style") or ""))
+            dropped = hidden or bool(MARKS.search(marked))
+            if dropped and not hidden:
+                dropped = self.number + 1 not in self.kept
+                if dropped and not self.dropping:
+                    self.marked[self.number + 1] = [0, 0, bool(_OTHER_ARTICLE.search(marked))]
+        if self.dropping and tag in ("article", "main") and (outer := self._outer()):
+            outer[1] += 1
         article = not dropped and (tag in ("article", "main") or own.get("role") in ("main", "article"))
         self.number += 1
         self.open.append((tag, dropped, article, self.number))
@@ -86,9 +116,16 @@ class Lines(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
-    def _close_to(self, tag: str, stop: tuple[str, ...] = ()) -> None:
+    def _outer(self) -> list[int] | None:
+        """What is known of the marked element that all is dropped for here."""
+        dropped = [x for x in self.open if x[1]]
+        if any(x[0] in DROPPED for x in dropped):
+            return None
+        return self.marked.get(dropped[0][3]) if dropped else None
+
+    def _close_to(self, *tags: str, stop: tuple[str, ...] = ()) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k][0] in tags:
                 for _, dropped, article, _ in self.open[k:]:
                     self.dropping -= dropped
                     self.articles -= article
@@ -106,6 +143,24 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropping:
             self.words.append(data)
+            self.total += len(data.strip())
+        elif outer := self._outer():
+            outer[0] += len(data.strip())
+            self.total += len(data.strip())
+
+
+def parsed(html: str, most: float = 0.9) -> Lines:
+    """The page's lines. A marked element around ``most`` of the text, or around an article and half of it, is not dropped."""
+    kept: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(kept)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        more = [k for k, (n, articles, other) in parser.marked.items() if n and not other and n >= (0.5 if articles else most) * parser.total]
+        if not more:
+            return parser
+        kept |= frozenset(more)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -134,11 +189,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.7) -> str:
     """The article's lines joined by one space; empty for null, empty or unmarked-up pages without text."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    lines = parsed(html).lines
     if not lines:
         return ""
     ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], float)

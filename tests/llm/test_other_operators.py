@@ -35,6 +35,23 @@ def test_odd_pages(page, text):
     assert html.main_text(page).replace("x y", "xy") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title><body><article><p>One.<p>Two.</article>", "One. Two."),
+        ("<html><head><meta charset=x><title>T</title><p>One.</p>", "One."),
+        ("<article><p class=notice>Ad.<h2>Head</h2><p>One.</article>", "Head One."),
+        ("<article><ul><li class=ad>Ad.<li>One.<li>Two.</ul></article>", "One. Two."),
+        ("<article><dl><dt>A<dd class=promo>Ad.<dt>B<dd>C</dl></article>", "A B C"),
+        ("<article><table><tr><td class=ad>Ad.<td>One.<tr><td>Two.</table></article>", "One. Two."),
+        ('<div class="content right-sidebar"><nav>Menu</nav><article><p>One.</p><p class="ad">Ad.</p></article></div>', "One."),
+        ('<body><div class="content right-sidebar"><p>One long line of text.</p></div><p>x</p></body>', "One long line of text."),
+    ],
+)
+def test_end_tags_left_out_and_marks_around_all(page, text):
+    assert text in html.main_text(page) and "Ad." not in html.main_text(page) and "Menu" not in html.main_text(page)
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     rows = [(1, "u", f"<article>{LONG}</article>"), (1, "u", f"<article>{LONG}</article>"), (None, None, None), (3, "v", "<p>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("extra", F.lit("e"))
