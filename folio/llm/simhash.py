@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import words
-from folio.llm.common import flat, per_text, utf8, written
+from folio.llm.common import flat, per_text, slices, small_batches, utf8, written
 from folio.llm.components import connected_components, merge_labels
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -166,7 +166,152 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, tile:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` but one for each component of near copies: the one of smallest doc_id (rows with a null id stay)."""
-    found = simhash_components(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(found, "copies"), "doc_id", "left_anti").select(docs.columns)
+_SKETCH = "doc_id long, key long, fp long, fp2 long, n int"
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def distinct_shingles(array: pa.Array, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingle hashes of each text in ascending order, and where each text's start."""
+    hashes, at = shingle_hashes(array, size, seed)
+    text = np.repeat(np.arange(len(array)), np.diff(at))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[first], np.concatenate([[0], np.cumsum(np.bincount(text[first], minlength=len(array)))]).astype(np.int64)
+
+
+def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each run of hashes as a set; zero for an empty one."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(hashes ^ (_SALT << np.uint64(1))), dtype=np.uint64)])
+    return words.mix(sums[at[1:]] - sums[at[:-1]])
+
+
+def _sketches(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """Each row's set key, two independent SimHashes of its set of shingles and the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                hashes, at = distinct_shingles(batch.column(1).slice(lo, hi - lo), shingle, seed)
+                found = (set_keys(hashes, at), majority(hashes, at), majority(words.mix(hashes ^ _SALT), at))
+                columns = [pa.array(x.view(np.int64)) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns, pa.array(np.diff(at).astype(np.int32))], names=["doc_id", "key", "fp", "fp2", "n"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+
+
+def _sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                hashes, at = distinct_shingles(batch.column(0).slice(lo, hi - lo), shingle, seed)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, at).view(np.int64)), lists], names=["key", "items"])
+
+    return small_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "key long, items array<long>")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, both: int, every: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = [batch.column(s).slice(k, 1).flatten() for s in (0, 1)]
+            fp = [s.field("fp").to_numpy().view(np.uint64) for s in sides]
+            key, label, fp2, n = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "label", "fp2", "n"))
+            fp2, n = fp2.view(np.uint64), n.astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            place = np.empty(len(key), np.int64)
+            place[order] = np.arange(len(key))
+            none = np.int64(1) << 62
+            best, count = np.full(len(key), none), np.zeros(len(key), np.int64)
+            for i, j in tile_links(*fp, radius):
+                d = np.bitwise_count(fp[0][i] ^ fp[1][j]).astype(np.int64)
+                j = j + len(fp[0])
+                d += np.bitwise_count(fp2[i] ^ fp2[j])
+                ok = (d <= both) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+                i, j, d = i[ok], j[ok], d[ok]
+                if every and len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j])), pa.array(d), pa.array(np.ones(len(i), np.int64))], names=["u", "v", "d", "n"])
+                elif len(i):
+                    for x, y in ((i, j), (j, i)):
+                        np.minimum.at(best, x, (d << 32) + place[y])
+                        count += np.bincount(x, minlength=len(key))
+            x = np.flatnonzero(best < none)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[order[best[x] & 0xFFFFFFFF]]), pa.array(best[x] >> 32), pa.array(count[x])], names=["u", "v", "d", "n"])
+
+
+def _tile_candidates(nodes: DataFrame, radius: int, both: int, every: bool, tile: int) -> DataFrame:
+    """Pairs (u, v) of nodes with different labels whose sketches lie near: all, or the nearest of each node in each tile pair.
+
+    Sets of a Jaccard similarity of 0.8 differ in size by a quarter at most, so
+    tiles are bands of sizes a little wider than that, compared with the next.
+    """
+    spark = nodes.sparkSession
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
+    counts = {r["p"]: r["count"] for r in nodes.groupBy(band.alias("p")).count().collect()}  # bands of a logarithm: under 100 rows
+    chunks = {p: -(-n // tile) for p, n in counts.items()}
+    if not chunks:
+        return spark.createDataFrame([], "u long, v long, d long, n long")
+    of = F.create_map(*(F.lit(x) for p in chunks.items() for x in p))
+    tiles = nodes.withColumn("p", band).withColumn("c", F.pmod(F.xxhash64("key"), of[F.col("p")]).cast("int"))
+    tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("key", "label", "fp", "fp2", "n")).alias("rows")), "tiles")
+    near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in (p, p + 1) if q in chunks]
+    pairs = spark.createDataFrame(near, "p int, q int, n int, m int").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    pairs = pairs.where("p < q or c <= d").select("p", "c", "q", "d")
+    right = tiles.select(F.col("p").alias("q"), F.col("c").alias("d"), F.col("rows").alias("other"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.join(tiles, ["p", "c"]).join(right, ["q", "d"]).repartition(max(1, min(sum(n * m for _, _, n, m in near), 4 * width)), "p", "c", "q", "d")
+    return spread.select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both, every), "u long, v long, d long, n long")
+
+
+def similar_links(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, both: int, tile: int, few: int = 16) -> DataFrame:
+    """Edges (u, v) between keys that join all candidates of Jaccard similarity 0.8 or more into the same components.
+
+    Every edge is checked on the sets themselves. A group of near copies has
+    far more candidates than its components need: while there are over ``few``
+    a node, only nearest ones of different components are checked, round by
+    round; at the end, all that still lie between components.
+    """
+    nodes = reps.where("n > 0").select("key", "node", "fp", "fp2", "n").withColumn("label", F.col("key"))
+    links, sets, every = docs.sparkSession.createDataFrame([], "u long, v long"), None, False
+    while True:
+        near = _tile_candidates(nodes, radius, both, False, tile)
+        near = written(near.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best"), F.sum("n").alias("n")), "nearest")
+        size = near.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("pairs")).first()
+        if not size["nodes"]:
+            return links
+        nodes = written(nodes.join(near.select(F.col("u").alias("key")), "key", "left_semi"), "nodes")
+        if sets is None:
+            sets = written(_sets(docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+        every = every or size["pairs"] <= few * size["nodes"]
+        pairs = _tile_candidates(nodes, radius, both, True, tile) if every else near.select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v"))
+        sides = [sets.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items")) for c in ("u", "v")]
+        checked = pairs.select("u", "v").distinct().join(sides[0], "u").join(sides[1], "v")
+        common = F.size(F.array_intersect("u_items", "v_items"))
+        found = written(checked.where(common * 9 >= (F.size("u_items") + F.size("v_items")) * 4).select("u", "v"), "links")  # 0.8 of the union
+        links = links.union(found)
+        if every:
+            return links
+        every = found.count() * 50 < size["nodes"]  # the nearest ones bring little more
+        of = connected_components(links).withColumnRenamed("node", "key")
+        nodes = written(nodes.drop("label").join(of, "key", "left").select("key", "node", "fp", "fp2", "n", F.coalesce("component", "key").alias("label")), "nodes")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 34, tile: int = 8192) -> DataFrame:
+    """The rows of ``docs`` but one for each component of near copies: the one of smallest doc_id (rows with a null id stay).
+
+    Near copies have a Jaccard similarity of at least 0.8 between their sets of
+    ``shingle`` words. Candidates are texts whose SimHashes differ by ``radius``
+    bits at most, and by ``both`` together with a second, independent one; they
+    are then compared exactly. Null and empty texts and texts without words are
+    copies of each other.
+    """
+    all_ = written(_sketches(docs.select("doc_id", "text"), shingle).where("doc_id is not null"), "sketches")
+    reps = written(all_.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("fp", "fp2", "n"))), "reps")
+    links = similar_links(docs.select("doc_id", "text"), reps, shingle, radius, both, tile)
+    ends = [reps.select(F.col("key").alias(c), F.col("node").alias(f"{c}_node")) for c in ("u", "v")]
+    joined = links.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    copies = all_.join(reps.select("key", "node"), "key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    roots = connected_components(joined.union(copies)).where("node <> component")
+    return docs.join(written(roots.select(F.col("node").alias("doc_id")), "copies"), "doc_id", "left_anti").select(docs.columns)

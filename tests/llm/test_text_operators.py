@@ -183,6 +183,24 @@ def test_simhash_empty_and_dedup(spark, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
 
 
+def test_near_copies_against_brute_force(spark):
+    r = random.Random(5)
+    texts = []
+    for copies, n, edits in [(60, 150, 1), *((3, r.randrange(6, 300), e) for e in range(12) for _ in range(3))]:
+        base = [f"w{r.randrange(5000)}" for _ in range(n)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(edits):
+                own[r.randrange(n)] = f"v{r.randrange(5000)}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    of = brute_components(range(len(sets)), near)
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(near) > 1000 and sorted(x.doc_id for x in kept.collect()) == sorted(set(of.values()))
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
