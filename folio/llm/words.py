@@ -12,6 +12,9 @@ _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_other = np.random.Generator(np.random.PCG64(20240301))
+#: Byte values of the hashes, one table for each independent hash.
+_BYTES = (_BYTE, _other.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +50,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are disjoint and ascending."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span; spans are disjoint and ascending. ``which`` (0 or 1) picks one of two."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -58,7 +61,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     gaps = np.diff(np.append(starts, ends[-1]))
     at = np.arange(len(part)) - np.repeat(starts - base, gaps)
     inside = at < np.repeat(lengths, gaps)
-    x = _BYTE[part] * places[np.where(inside, at, 0)]
+    x = _BYTES[which][part] * places[np.where(inside, at, 0)]
     x ^= x >> np.uint64(29)
     x *= inside
     return mix(np.add.reduceat(x, starts - base) + lengths.astype(np.uint64) * _STEP)

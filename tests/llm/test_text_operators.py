@@ -238,6 +238,31 @@ def test_substrings_against_brute_force(spark, small):
         assert cut == {d: (want[d][2] if want[d][1] else t) for d, t in data}
 
 
+def test_factors_are_a_parse(spark, small):
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join([f"a{i}"] * rnd.randrange(9) + passage[rnd.randrange(30) : 60 + rnd.randrange(30)] + ["b"] * rnd.randrange(30) + passage[: rnd.randrange(70)])) for i in range(40)]
+    for data in (rows, [(r.doc_id, r.text) for r in small.collect()]):
+        split = {d: re.findall("[^\x20\x09-\x0d]+", t or "") for d, t in data}
+        found = {r.doc_id: r.factors for r in substrings.factors(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        want = {d: n for d, (_, n, _) in brute_substrings(data, 20).items() if n}
+        assert {d: sum(f.length for f in fs) for d, fs in found.items()} == want
+        for d, fs in found.items():
+            end, before = 0, None
+            for f in fs:
+                assert f.start >= end and f.length > 0 and (f.ref_doc, f.ref_start) < (d, f.start)
+                assert split[d][f.start : f.start + f.length] == split[f.ref_doc][f.ref_start : f.ref_start + f.length]
+                assert before != (f.ref_doc, f.ref_start - f.start, f.start)  # else the factor before would have gone on
+                end = f.start + f.length
+                before = (f.ref_doc, f.ref_start - f.start, end)
+
+
+def test_a_long_copy_is_one_factor(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    docs = spark.createDataFrame([(1, text), (2, "x y " + text + " z")], "doc_id long, text string")
+    assert [[tuple(f) for f in r.factors] for r in substrings.factors(docs).collect()] == [[(2, 500, 1, 0)]]
+
+
 def test_substrings_odd(spark, odd, empty):
     assert substrings.dedup_substrings(empty).collect() == []
     rows = substrings.dedup_substrings(odd).collect()
@@ -251,18 +276,16 @@ def test_substrings_odd(spark, odd, empty):
 
 def test_code_lengths_are_exact(small):
     model = langid.fit(small)
-    trees, languages = langid.Trees(model), len(model.languages)
+    languages = len(model.languages)
     counts, followers, totals = ({} for _ in range(3))
-    for key, row in zip(model.keys.tolist(), model.counts.tolist(), strict=True):
+    for key, lang, n in zip(model.grams.tolist(), model.language.tolist(), model.counts.tolist(), strict=True):
         whole = key.to_bytes(5, "big")
         for k in range(1, 6):
             g = whole[5 - k :]
-            for lang, n in enumerate(row):
-                if n:
-                    if (g, lang) not in counts:
-                        followers[g[:-1], lang] = followers.get((g[:-1], lang), 0) + 1
-                    counts[g, lang] = counts.get((g, lang), 0) + n
-                    totals[g[:-1], lang] = totals.get((g[:-1], lang), 0) + n
+            if (g, lang) not in counts:
+                followers[g[:-1], lang] = followers.get((g[:-1], lang), 0) + 1
+            counts[g, lang] = counts.get((g, lang), 0) + n
+            totals[g[:-1], lang] = totals.get((g[:-1], lang), 0) + n
 
     def bits(past, byte, lang, k):
         if k == 0:
@@ -277,7 +300,9 @@ def test_code_lengths_are_exact(small):
     texts = ["The xqz", "日本 abc", "", "Ber er bestver. Von", small.first().text[:200]]
     import pyarrow as pa
 
-    got = trees.code_lengths(pa.array(texts))
+    whole = langid.code_lengths(pa.array(texts), model)
+    got = np.concatenate([langid.Trees(*model.table(k, k + 1)).code_lengths(pa.array(texts)) for k in range(languages)], axis=1)
+    assert got == pytest.approx(whole, rel=1e-12)
     for i, t in enumerate(texts):
         raw = b"\0" * 4 + t.encode()
         for lang in range(languages):
@@ -290,6 +315,13 @@ def test_languages_are_found(spark):
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97 and all(0 <= r.score <= 1 for r in found)
 
 
+def test_every_label_is_learned(spark):
+    words = lambda k: " ".join(f"{chr(0x4E00 + 7 * k + j)}{chr(0x4E00 + 7 * k + j + 1)}" for j in range(6))
+    rows = [(i, words(i % 250), f"l{i % 250:03}") for i in range(2000)]
+    found = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=100_000).collect()
+    assert len({r.lang_pred for r in found}) == 250 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in found]) > 0.99
+
+
 def test_language_odd(spark, odd, empty):
     assert langid.predict_languages(empty).collect() == []
     rows = langid.predict_languages(odd).collect()
@@ -306,6 +338,29 @@ def test_language_odd(spark, odd, empty):
 
 def test_folding():
     assert toxicity.fold("St00pid 1D1OT! pathétic, lоser 123 a1b2 3.14 $cum") == " stoopid idiot pathetic loser 123 a1b2 3 14 scum "
+    assert toxicity.fold("p0rn0 5h17 b1tch35 id10t5 a$$ mp3 100 2026 covid19 idiot!") == " porno shit bitches idiots ass mp3 100 2026 covid19 idiot "
+
+
+def test_many_stems_and_long_words(spark):
+    rnd = random.Random(6)
+    name = lambda k: "".join("bdfgklmnprst"[(k // 12**j) % 12] + "aeiou"[(k + j) % 5] for j in range(3))
+    rows, labels = [], []
+    for i in range(64_000):
+        words = [f"w{rnd.randrange(400)}" for _ in range(8)]
+        bad = i % 8 == 0
+        if bad:
+            words[3] = "z" * 60 if i % 400 == 0 else name(i // 8 % 240) + rnd.choice(["x", "y", "v", "q"])
+        elif i % 24 == 1:
+            words[3] = name(i // 24 % 240) + "harmless"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=64_000)
+    stems = [t for t in lexicon.weights if not t.endswith(" ")]
+    assert len(stems) > 200 and len(lexicon.exceptions) > 200
+    one = toxicity.Matcher(lexicon)
+    assert np.mean([one.features(f"w1 {name(k)}harmless w2")[0] == 0 for k in range(240)]) > 0.95
+    assert np.mean([one.features(f"w1 {name(k)}x w2")[0] > 0 for k in range(240)]) > 0.95
+    assert one.features("z" * 60)[0] > 0
 
 
 def test_toxic_words_are_learned(spark):
