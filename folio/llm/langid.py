@@ -47,35 +47,43 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Frozen counts: languages, packed grams of ORDER + 1 bytes, and each gram's count by language."""
+    """Frozen counts: languages, and packed grams of ORDER + 1 bytes with the language and the count of each."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, counts: np.ndarray):
-        self.uid, self.languages, self.keys, self.counts = uuid.uuid4().hex, languages, keys, counts
+    def __init__(self, languages: list[str], grams: np.ndarray, language: np.ndarray, counts: np.ndarray):
+        self.uid, self.languages, self.grams, self.language, self.counts = uuid.uuid4().hex, languages, grams, language, counts
+
+    def table(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of the languages lo..hi, and their counts in each."""
+        own = (self.language >= lo) & (self.language < hi)
+        keys, at = np.unique(self.grams[own], return_inverse=True)
+        counts = np.zeros((len(keys), hi - lo), np.int64)
+        np.add.at(counts, (at, self.language[own] - lo), self.counts[own])
+        return keys, counts
 
 
 def training_rows(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> DataFrame:
     return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("draw"))
 
 
-def fit(docs: DataFrame, rows_per_language: int = 300, max_languages: int = 200, max_row_bytes: int = 200_000) -> Model:
-    """Learns from labelled rows that are not held out.
+def fit(docs: DataFrame, rows_per_language: int = 300, sample_bytes: int = 16 << 20, max_row_bytes: int = 200_000) -> Model:
+    """Learns every label from labelled rows that are not held out.
 
-    The fit is bounded: about ``rows_per_language`` rows (drawn by hash, of up to
-    ``max_row_bytes`` bytes each) of the ``max_languages`` most frequent labels.
+    The fit is bounded: about ``rows_per_language`` rows of a label (drawn by
+    hash, of up to ``max_row_bytes`` bytes each), and fewer where all labels
+    together would take more than about ``sample_bytes``; the first row by hash
+    of each label is always in. Counts are kept for the grams that a language has.
     """
     rows = training_rows(docs).where(F.octet_length("text").between(1, max_row_bytes))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not frequent:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-    languages = sorted(r["lang"] for r in frequent)
-    share = F.create_map(*(F.lit(x) for r in frequent for x in (r["lang"], min(1.0, rows_per_language / r["count"]))))
-    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("text")).alias("size"), F.min(F.pmod("draw", F.lit(1 << 30))).alias("first")).toPandas().sort_values("lang")
+    if not len(labels):
+        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    wanted = np.minimum(labels["n"], np.minimum(rows_per_language, sample_bytes / len(labels) / labels["size"]))
+    labels["least"] = np.maximum(labels["first"] + 1, (wanted / labels["n"] * (1 << 30)).astype(np.int64))
+    bars = docs.sparkSession.createDataFrame(labels[["lang", "least"]])
+    drawn = rows.join(F.broadcast(bars), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("least"))  # a row for each label
     table = gram_counts(drawn).toPandas()
-    keys, at = np.unique(table["gram"].to_numpy(np.int64), return_inverse=True)
-    counts = np.zeros((len(keys), len(languages)), np.int64)
-    number = {x: k for k, x in enumerate(languages)}
-    np.add.at(counts, (at, table["lang"].map(number).to_numpy(np.int64)), table["n"].to_numpy(np.int64))
-    return Model(languages, keys, counts)
+    number = {x: k for k, x in enumerate(labels["lang"])}
+    return Model(list(number), table["gram"].to_numpy(np.int64), table["lang"].map(number).to_numpy(np.int32), table["n"].to_numpy(np.int64))
 
 
 def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +95,7 @@ def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Trees:
-    """Context trees of all languages over one alphabet of byte classes (0: bytes never seen).
+    """Context trees of some languages over one alphabet of byte classes (0: bytes never seen).
 
     ``value[k]`` holds the log2 probability of the last byte of each gram of k
     bytes, ``escape[k]`` that of leaving the context of k bytes; row 0 stands
@@ -95,10 +103,10 @@ class Trees:
     and the next byte's class to the gram of k bytes.
     """
 
-    def __init__(self, model: Model):
-        n_lang = len(model.languages)
-        keys = np.append(model.keys, 0)  # the zeros before a text are a context, though never a byte of one
-        counted = np.concatenate([model.counts, np.zeros((1, n_lang), np.int64)])
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        n_lang = counts.shape[1]
+        keys = np.append(keys, 0)  # the zeros before a text are a context, though never a byte of one
+        counted = np.concatenate([counts, np.zeros((1, n_lang), np.int64)])
         raw = [(keys >> (8 * (ORDER - k))) & 0xFF for k in range(ORDER + 1)]  # oldest byte first
         self.byte_class = np.zeros(256, np.int64)
         seen = np.unique(np.concatenate(raw))
@@ -177,16 +185,23 @@ class Trees:
 
 
 _SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-_built: dict[str, Trees] = {}
+_built: dict[str, list[Trees]] = {}
 
 
-def _trees(model: Model) -> Trees:
+def _trees(model: Model, together: int = 8) -> list[Trees]:
+    """The model's trees for a few languages each: a gram takes no room for languages of other groups."""
     if model.uid not in _built:
         _built.clear()  # one model a process at a time
-        _built[model.uid] = Trees(model)
+        count = len(model.languages)
+        _built[model.uid] = [Trees(*model.table(k, min(k + together, count))) for k in range(0, count, together)]
     return _built[model.uid]
 
 
+def code_lengths(array: pa.Array, model: Model) -> np.ndarray:
+    """Bits of every whole text under each language of the model."""
+    return np.concatenate([t.code_lengths(array) for t in _trees(model)], axis=1)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte of each whole text.
 
@@ -204,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             letter = np.array([x is not None and any(map(str.isalpha, x)) for x in array.to_pylist()], bool)
             if not frozen.languages:
                 return pa.RecordBatch.from_arrays([pa.array([UNKNOWN] * len(array)), pa.array(np.zeros(len(array))), pa.nulls(len(array), pa.float64())], names=_SCHEMA.names)
-            bits = _trees(frozen).code_lengths(array)
+            bits = code_lengths(array, frozen)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(best)), best]
             share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)

@@ -33,7 +33,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SWAP = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"(?<![^\W_])(?=[^\s]*[a-z])[a-z0-9@$!|€]*[0-9@$!|€][a-z0-9@$!|€]*[a-z](?![^\W_])")
+#: A substitute before a letter, with more of them at the word's end; or letters that end in signs. Numbers hold no letter.
+_MIXED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|€]*[0-9@$!|€][a-z0-9@$!|€]*[a-z][01345789@$€]*|[a-z]+[@$€]+)(?![^\W_])")
 _JUNCTION = re.compile(r"[^\W_]+")
 
 
@@ -49,7 +50,7 @@ def fold(text: str) -> str:
 def _terms(folded: str, least: int, most: int) -> set[str]:
     """Whole words (' word ') and word beginnings (' wor') of a folded text."""
     words = set(folded.split())
-    return {f" {w} " for w in words if len(w) <= 40} | {f" {w[:k]}" for w in words for k in range(least, min(most, len(w) - 1) + 1)}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(least, min(most, len(w) - 1) + 1)}
 
 
 class Lexicon:
@@ -154,8 +155,12 @@ def _surroundings(bad: DataFrame, terms: list[str]) -> dict[str, int]:
     return {terms[r["k"]]: r["count"] for r in counts}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, max_terms: int = 4_000, shortest: int = 4, longest: int = 7, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learns terms, weights, exceptions and calibration from ``rows`` labelled rows at most."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, shortest: int = 4, longest: int = 7, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learns terms, weights, exceptions and calibration from ``rows`` labelled rows at most.
+
+    The lexicon and its exception phrases have no bound of their own: they are
+    words and word beginnings that stand in several of those rows.
+    """
     drawn = written(sample(docs, labels, rows), "labelled")
     size = drawn.groupBy((F.col("toxic") == 1).alias("bad")).count().collect()
     bad, good = (sum(r["count"] for r in size if r["bad"] == x) for x in (True, False))
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, max_terms: int =
     rate, p, n = bad / (bad + good), F.col("p"), F.col("n")
     bar = 2 * math.log(max(2, counts.count())) + 6  # many terms are tried, and some look bad by chance
     weight = F.log((p + 0.5) / (bad + 1)) - F.log((n - p + 0.5) / (good + 1))
-    strong = counts.withColumn("w", weight).where((F.col("w") > 2.5) & (p >= 0.6 * n) & (p >= 3)).orderBy(F.desc(p * p / n), "term").limit(max_terms)
+    strong = counts.withColumn("w", weight).where((F.col("w") > 2.5) & (p >= 0.6 * n) & (p >= 3))
     found = {r["term"]: (r["w"], r["p"], r["n"]) for r in strong.collect()}
     around = _surroundings(drawn.where("toxic = 1"), sorted(found))
     for t, (w, own, all_) in list(found.items()):
@@ -191,12 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, max_terms: int =
             most[t[:k]] = max(most.get(t[:k], 0), own)
     stems = {t: x for t, x in found.items() if x[1] >= 1.3 * most.get(t, 0)}
     kept = {t: x for t, x in stems.items() if not any(t[:k] in stems and stems[t[:k]][0] >= x[0] - 0.5 for k in range(shortest + 1, len(t)))}
-    begun = sorted((t for t in kept if not t.endswith(" ")), key=len)
-    harmless: list[str] = list(exceptions)
-    if begun:
-        stem = F.coalesce(*(F.when(F.col("term").startswith(t), F.lit(t)) for t in begun[:200]))
-        longer = counts.where(F.col("term").endswith(" ") & stem.isNotNull() & (F.col("n") >= 3) & (F.col("p") <= 0.1 * F.col("n")))
-        harmless += [r["term"] for r in longer.orderBy(F.desc("n"), "term").limit(max_terms).collect()]
+    begun = docs.sparkSession.createDataFrame([(t,) for t in kept if not t.endswith(" ")], "stem string")
+    longer = counts.where(F.col("term").endswith(" ") & (F.col("n") >= 3) & (F.col("p") <= 0.1 * F.col("n"))).select("term")
+    starts = longer.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda k: F.substring("term", F.lit(1), k + 1))))
+    harmless = sorted({*exceptions, *(r["term"] for r in starts.join(F.broadcast(begun), "stem", "left_semi").select("term").distinct().collect())})
     lexicon = Lexicon({t: float(x[0]) for t, x in kept.items()}, tuple(harmless), (0.0, 1.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     Null and empty texts score as a text without matches. A column named score
     is replaced; other columns and repeated rows are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # max_terms bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # the labelled sample bounds it
 
     def make():
         own = shared.value
