@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows in an Arrow batch; texts may be long, and a batch is held by Spark and by Python.
-_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 
 #: Python-side working set: texts are handled in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
@@ -76,6 +76,27 @@ def drop(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str], other: list[str]) -> DataFrame:
+    """``pairs`` of block names with the blocks of both sides, spread over many tasks.
+
+    ``left`` is named by ``by`` and ``right`` by ``other``. A block of the left
+    side travels once for each pair; one of the right side once, to all of its pairs.
+    """
+    width = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(left, by).repartition(width, *other).join(right, other)
+
+
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, build: Callable[[], object]) -> object:
+    """``build()``, kept in this process until another key is asked for: a worker holds one model at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, made longer until no column is called so (letter case aside)."""
     taken = {c.lower() for c in columns}
@@ -135,6 +156,7 @@ def per_text(df: DataFrame, text: str | Column, schema: T.StructType, make: Call
             parts = [work(array.slice(lo, hi - lo)) for lo, hi in slices(array)] or [work(array)]
             table = pa.Table.from_batches(parts).combine_chunks()
             yield pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], names=table.column_names)
+            pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     applied = F.arrow_udf(run, schema).asNondeterministic()  # else a later filter would run it twice

@@ -1,9 +1,8 @@
 """Operator 2: SimHash near-dedup by tiled exact comparison.
 
-Distinct fingerprints are dealt to tiles by their population count. Every pair
-of tiles whose counts differ by no more than the radius is compared with numpy
-exclusive-or and bit counts; inside, blocks whose half-word population counts
-lie too far apart are skipped as well. A tile pair returns a spanning forest
+Distinct fingerprints are dealt to tiles by the population counts of their two
+half-words. Every pair of tiles whose counts differ by no more than the radius
+is compared with numpy exclusive-or and bit counts, the others are skipped. A tile pair returns a spanning forest
 of its links, not the links, so that a large group of near copies stays linear.
 """
 
@@ -14,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import words
-from folio.llm.common import flat, per_text, slices, small_batches, utf8, written
+from folio.llm.common import flat, meet, per_text, slices, small_batches, utf8, written
 from folio.llm.components import connected_components, merge_labels
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -122,32 +121,38 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
 
-def near_links(reps: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
+def near_links(reps: DataFrame, radius: int = 3, tile: int = 32768) -> DataFrame:
     """Edges (u, v) that join all of (fp, node) within ``radius`` bits of each other into the same components.
 
-    Work grows with the square of the distinct fingerprints, less the tile
-    pairs that are skipped; tiles hold about ``tile`` rows.
+    Tiles are named by the counts of both half-words and hold about ``tile``
+    rows at most; pairs of names that lie further apart than the radius are never
+    made. Work grows with the square of the distinct fingerprints, less those pairs.
     """
     spark = reps.sparkSession
-    ones = F.bit_count("fp")
-    counts = {r["p"]: r["count"] for r in reps.groupBy(ones.alias("p")).count().collect()}  # 65 rows at most
+    low, high = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)).cast("int"), F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int")
+    named = reps.withColumn("p", 64 * low + high)
+    counts = {r["p"]: r["count"] for r in named.groupBy("p").count().collect()}  # 33 x 33 rows at most
     chunks = {p: -(-n // tile) for p, n in counts.items()}
     if not chunks:
         return spark.createDataFrame([], "u long, v long")
-    of = F.create_map(*(F.lit(x) for p in chunks.items() for x in p))
-    tiles = reps.withColumn("p", ones.cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), of[F.col("p")]).cast("int"))
+    of = spark.createDataFrame(list(chunks.items()), "p int, n int")
+    tiles = named.join(F.broadcast(of), "p").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("fp", "node")).alias("rows")), "tiles")
-    near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in chunks if p <= q <= p + radius]
-    total = sum(n * m for _, _, n, m in near)
+    near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in chunks if p <= q and abs(p // 64 - q // 64) + abs(p % 64 - q % 64) <= radius]
+    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _forest(it, radius), "u long, v long")
+
+
+def _tile_pairs(spark: SparkSession, near: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(p, c, q, d): every chunk of the tiles named p with every chunk of those named q."""
     pairs = spark.createDataFrame(near, "p int, q int, n int, m int").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.where("p < q or c <= d").select("p", "c", "q", "d")
-    right = tiles.select(F.col("p").alias("q"), F.col("c").alias("d"), F.col("rows").alias("other"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(tiles, ["p", "c"]).join(right, ["q", "d"]).repartition(max(1, min(total, 4 * width)), "p", "c", "q", "d")
-    return both.select("rows", "other").mapInArrow(lambda it: _forest(it, radius), "u long, v long")
+    return pairs.where("p < q or c <= d").select("p", "c", "q", "d")
 
 
-def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 8192) -> DataFrame:
+def _other(tiles: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    return tiles.select(F.col("p").alias("q"), F.col("c").alias("d"), F.col("rows").alias("other")), ["p", "c"], ["q", "d"]
+
+
+def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 32768) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
     Null and empty texts and texts without words have fingerprint zero and link
@@ -257,12 +262,7 @@ def _tile_candidates(nodes: DataFrame, radius: int, both: int, every: bool, tile
     tiles = nodes.withColumn("p", band).withColumn("c", F.pmod(F.xxhash64("key"), of[F.col("p")]).cast("int"))
     tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("key", "label", "fp", "fp2", "n")).alias("rows")), "tiles")
     near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in (p, p + 1) if q in chunks]
-    pairs = spark.createDataFrame(near, "p int, q int, n int, m int").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.where("p < q or c <= d").select("p", "c", "q", "d")
-    right = tiles.select(F.col("p").alias("q"), F.col("c").alias("d"), F.col("rows").alias("other"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.join(tiles, ["p", "c"]).join(right, ["q", "d"]).repartition(max(1, min(sum(n * m for _, _, n, m in near), 4 * width)), "p", "c", "q", "d")
-    return spread.select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both, every), "u long, v long, d long, n long")
+    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both, every), "u long, v long, d long, n long")
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, both: int, tile: int, few: int = 16) -> DataFrame:
@@ -298,7 +298,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, b
         nodes = written(nodes.drop("label").join(of, "key", "left").select("key", "node", "fp", "fp2", "n", F.coalesce("component", "key").alias("label")), "nodes")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 34, tile: int = 8192) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 34, tile: int = 32768) -> DataFrame:
     """The rows of ``docs`` but one for each component of near copies: the one of smallest doc_id (rows with a null id stay).
 
     Near copies have a Jaccard similarity of at least 0.8 between their sets of
