@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folio.llm import words
-from folio.llm.common import per_text, utf8
+from folio.llm.common import per_text, resident, utf8
 from folio.llm.memo import PieceTable
 
 #: White space of more than one byte; texts that hold any take the plain path.
@@ -187,11 +187,14 @@ SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 IDS_SCHEMA = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
 
-@lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> tuple[BytePairs, PieceTable]:
     """One coder a process: the rank file is on every machine, as the library that brings it."""
-    pairs = BytePairs(load_ranks(path), pattern)
-    return pairs, PieceTable(pairs.pieces)
+
+    def build() -> tuple[BytePairs, PieceTable]:
+        pairs = BytePairs(load_ranks(path), pattern)
+        return pairs, PieceTable(pairs.pieces)
+
+    return resident(f"bytes {path} {pattern}", build)
 
 
 def encode_batch(array: pa.Array, path: str, pattern: str) -> tuple[BytePairs, np.ndarray, np.ndarray]:
@@ -203,7 +206,7 @@ def encode_batch(array: pa.Array, path: str, pattern: str) -> tuple[BytePairs, n
         each = [np.array(pairs.encode(raw[a:b].decode()), np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pairs, np.concatenate([np.zeros(0, np.int32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     lo, hi = chunks(data, offsets)
-    ids, sizes = table.look_up(words.span_hashes(data, lo, hi), lambda i: raw[lo[i] : hi[i]])
+    ids, sizes = table.look_up(data, lo, hi)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     return pairs, ids, ends[np.searchsorted(lo, offsets)]
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import fresh, held_out, per_text, slices, utf8
+from folio.llm.common import fresh, held_out, per_text, resident, slices, utf8
 
 ORDER = 4
 UNKNOWN = "und"
@@ -185,16 +185,12 @@ class Trees:
 
 
 _SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-_built: dict[str, list[Trees]] = {}
 
 
 def _trees(model: Model, together: int = 8) -> list[Trees]:
     """The model's trees for a few languages each: a gram takes no room for languages of other groups."""
-    if model.uid not in _built:
-        _built.clear()  # one model a process at a time
-        count = len(model.languages)
-        _built[model.uid] = [Trees(*model.table(k, min(k + together, count))) for k in range(0, count, together)]
-    return _built[model.uid]
+    count = len(model.languages)
+    return resident(model.uid, lambda: [Trees(*model.table(k, min(k + together, count))) for k in range(0, count, together)])
 
 
 def code_lengths(array: pa.Array, model: Model) -> np.ndarray:

@@ -8,13 +8,27 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
+from folio.llm import words
 from folio.llm.common import flat
 
 
+def heads(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span and its length, as two columns."""
+    if not len(lo):
+        return np.zeros((0, 2), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    first = padded[lo[:, None] + np.arange(8)].view(np.uint64)[:, 0]
+    size = np.minimum(hi - lo, 8).astype(np.uint64)
+    shift = np.uint64(64) - np.uint64(8) * np.maximum(size, np.uint64(1))
+    return np.column_stack([(first << shift) >> shift, (hi - lo).astype(np.uint64)])
+
+
 class PieceTable:
-    """Distinct pieces (by 64-bit hash) and their ids; emptied when it would pass ``limit`` pieces.
+    """Distinct pieces and their ids; emptied when it would pass ``limit`` pieces.
 
-    Keys are a sorted array, so that a piece takes a few dozen bytes.
+    Pieces are found by a 64-bit hash in a sorted array and confirmed by their
+    length and first eight bytes; one that meets another's hash is encoded by
+    itself. A piece takes a few dozen bytes.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 900_000):
@@ -22,11 +36,11 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, own: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
         sizes = np.fromiter((len(x) for x in found), np.int32, len(found))
         new = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
@@ -39,22 +53,29 @@ class PieceTable:
         self.used += len(new)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.starts, self.lengths = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.starts, starts), (self.lengths, sizes)))
+        self.keys, self.heads, self.starts, self.lengths = (np.insert(old, at, x[order], axis=0) for old, x in ((self.keys, keys), (self.heads, own), (self.starts, starts), (self.lengths, sizes)))
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
         return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def look_up(self, hashes: np.ndarray, piece: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in order, and how many each has; ``piece(i)`` gives the bytes of the i-th."""
-        codes, distinct = pd.factorize(hashes)
+    def look_up(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces data[lo[i]:hi[i]] in order, and how many each has."""
+        raw, own = data.tobytes(), heads(data, lo, hi)
+        codes, distinct = pd.factorize(words.span_hashes(data, lo, hi))
         if len(self.keys) + len(distinct) > self.limit:
             self._clear()
         known = self._find(distinct)[1]
         if not known.all():
             first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            self._add(distinct[~known], [piece(i) for i in first[~known].tolist()])
+            first = first[~known]
+            self._add(distinct[~known], own[first], [raw[lo[i] : hi[i]] for i in first.tolist()])
         rows = self._find(distinct)[0][codes]
         lengths = self.lengths[rows].astype(np.int64)
-        return self.ids[flat(self.starts[rows], lengths)], lengths
+        other = np.flatnonzero((self.heads[rows] != own).any(axis=1))
+        if not len(other):
+            return self.ids[flat(self.starts[rows], lengths)], lengths
+        alone = dict(zip(other.tolist(), self.encode([raw[lo[i] : hi[i]] for i in other.tolist()]), strict=True))
+        parts = [alone.get(i, self.ids[s : s + n]) for i, (s, n) in enumerate(zip(self.starts[rows], lengths, strict=True))]
+        return np.concatenate(parts).astype(np.int32), np.array([len(x) for x in parts], np.int64)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import words
-from folio.llm.common import slices, small_batches, utf8, written
+from folio.llm.common import resident, slices, small_batches, utf8, written
 from folio.llm.memo import PieceTable
 
 
@@ -71,8 +70,7 @@ class WordCoder:
         data = lower_simple(data)
         starts, ends = words.spans(data, offsets)
         starts, ends = words.cut_stops(data, starts, ends, words.simple_letters(data))
-        raw = data.tobytes()
-        ids, sizes = self.table.look_up(words.span_hashes(data, starts, ends), lambda i: raw[starts[i] : ends[i]])
+        ids, sizes = self.table.look_up(data, starts, ends)
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
 
 
@@ -85,9 +83,8 @@ def lower_simple(data: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return resident(f"words {path}", lambda: WordCoder(path))
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, draw long"

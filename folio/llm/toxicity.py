@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import fresh, held_out, per_text, slices, written
+from folio.llm.common import fresh, held_out, per_text, resident, slices, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("асеорхуіјѕһԁԛԝκαεοιρυνητωβгкмнт", "aceopxyijshdqwkaeoipuvntwbrkmht", strict=True)) | {"ı": "i", "ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe"}
@@ -217,14 +217,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, shortest: int =
 
 
 _SCHEMA = T.StructType([T.StructField("score", T.DoubleType())])
-_built: dict[str, Matcher] = {}
-
-
-def _matcher(lexicon: Lexicon) -> Matcher:
-    if lexicon.uid not in _built:
-        _built.clear()
-        _built[lexicon.uid] = Matcher(lexicon)
-    return _built[lexicon.uid]
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -239,7 +231,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
         own = shared.value
 
         def work(array: pa.Array) -> pa.RecordBatch:
-            one = _matcher(own).probability
+            one = resident(own.uid, lambda: Matcher(own)).probability
             return pa.RecordBatch.from_arrays([pa.array([one(x) for x in array.to_pylist()], pa.float64())], names=["score"])
 
         return work

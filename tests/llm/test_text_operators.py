@@ -414,3 +414,14 @@ def test_toxicity_odd(spark, odd, empty):
         assert toxicity.predict_toxicity(empty, marks).collect() == []
         rows = toxicity.predict_toxicity(odd, marks).collect()
         assert len(rows) == odd.count() and all(r.score is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_pieces_whose_hashes_meet(monkeypatch):
+    from folio.llm import memo, words
+
+    table = memo.PieceTable(lambda pieces: [list(p) for p in pieces])
+    monkeypatch.setattr(words, "span_hashes", lambda data, lo, hi, which=0: np.full(len(lo), 7, np.uint64))
+    data = np.frombuffer(b"abc de abc longer-than-eight x", np.uint8)
+    lo, hi = words.spans(data, np.array([0, len(data)]))
+    ids, sizes = table.look_up(data, lo, hi)
+    assert bytes(ids.astype(np.uint8)) == b"abcdeabclonger-than-eightx" and sizes.tolist() == [3, 2, 3, 17, 1]
