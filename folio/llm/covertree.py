@@ -1,10 +1,13 @@
 """Operator 9: embedding near-dedup by dual traversal of cover trees.
 
-Vectors of a label are dealt to blocks of bounded size and each block becomes a
-cover tree: nested levels whose radii halve. Two trees are walked together;
-a node pair is dropped when its centres lie further apart than both covering
-radii and the threshold allow, and taken whole when even its furthest pair
-links. A block pair returns link counts and a spanning forest, not its pairs.
+The top level of each large label's cover tree is fitted on a bounded sample: a
+net of centres, each of which covers the vectors nearest to it within a measured
+radius. Pairs of centres whose radii leave no room for a link are dropped before
+any vector moves. The blocks of the others become cover trees of their own:
+nested levels whose radii halve. Two trees are walked together; a node pair is
+dropped when its centres lie further apart than both covering radii and the
+threshold allow, and taken whole when even its furthest pair links. A block pair
+returns link counts and a spanning forest, not its pairs.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folio.llm.common import written
+from folio.llm.common import drop, meet, written
 from folio.llm.components import connected_components, merge_labels
-from folio.llm.vectors import content, cosines, matrix, unit, usable
+from folio.llm.vectors import bounded_sample, content, cosines, matrix, unit, usable
 
 _SLACK = 1e-7
 
@@ -31,7 +35,7 @@ class CoverTree:
     is the largest distance from the node's centre to any point below it.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = 24):
+    def __init__(self, points: np.ndarray, leaf: int = 96):
         self.order: list[int] = []
         self.centre: list[int] = []
         self.radius: list[float] = []
@@ -54,20 +58,23 @@ class CoverTree:
             x.append(0)
         return len(self.lo) - 1
 
+    def _square(self, own: np.ndarray, at: int) -> np.ndarray:
+        return np.maximum(0, 2 - 2 * (self.points[own] @ self.points[at]))
+
     def _fill(self, node: int, own: np.ndarray, centre: int, scale: float) -> None:
         """Node ``node`` covers the points ``own``, all within ``scale`` of point ``centre``."""
-        gap = np.sqrt(((self.points[own] - self.points[centre]) ** 2).sum(axis=1))
-        reach = float(gap.max())
+        reach = math.sqrt(float(self._square(own, centre).max())) + 1e-9
         self.centre[node], self.radius[node] = centre, reach
         self.lo[node], self.hi[node] = len(self.order), len(self.order) + len(own)
-        if len(own) <= self.leaf or reach < 1e-9:
+        if len(own) <= self.leaf or reach < 1e-7:
             self.order += own.tolist()
             return
         while scale >= reach:
             scale /= 2
         parts, rest, at = [], own, centre
         while len(rest):  # a net of centres more than ``scale`` apart, the old centre first
-            near = ((self.points[rest] - self.points[at]) ** 2).sum(axis=1) <= scale * scale
+            near = self._square(rest, at) <= scale * scale
+            near |= rest == at
             parts.append((at, rest[near]))
             rest = rest[~near]
             at = int(rest[0]) if len(rest) else -1
@@ -114,6 +121,21 @@ def links(a: np.ndarray, b: np.ndarray, ta: CoverTree, tb: CoverTree, least: flo
             stack += zip(own[r].tolist(), kb[c].tolist(), strict=True)
 
 
+def net(points: np.ndarray, count: int, enough: float) -> np.ndarray:
+    """Rows of up to ``count`` centres, each as far as can be from those before, until all points lie within ``enough``.
+
+    Any first part of them is a net: its centres lie at least its covering radius apart.
+    """
+    chosen, gap = [0], np.full(len(points), np.inf)
+    while len(chosen) < count:
+        gap = np.minimum(gap, np.maximum(0, 2 - 2 * (points @ points[chosen[-1]])))
+        furthest = int(np.argmax(gap))
+        if gap[furthest] <= enough * enough:
+            break
+        chosen.append(furthest)
+    return np.array(chosen)
+
+
 class _Block:
     def __init__(self, row: pa.StructArray):
         items = row.flatten()
@@ -130,17 +152,17 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
     """For each block pair: rows (node, node, links it found for the node) and forest rows (u, v, 0)."""
     blocks: dict[tuple, _Block] = {}
     for batch in batches:
-        keys = [batch.column(n).to_pylist() for n in ("label", "dim", "c", "d")]
-        for k, (label, dim, c, d) in enumerate(zip(*keys, strict=True)):
+        names = [list(zip(*(batch.column(n).to_pylist() for n in ("label", "dim", *side)), strict=True)) for side in (("a", "c"), ("b", "d"))]
+        for k, (left, right) in enumerate(zip(*names, strict=True)):
             pair = []
-            for number, name in ((c, "rows"), (d, "other")):
-                if (label, dim, number) not in blocks:
+            for name, column in ((left, "rows"), (right, "other")):
+                if name not in blocks:
                     if len(blocks) > 8:
                         blocks.clear()
-                    blocks[label, dim, number] = _Block(batch.column(name).slice(k, 1))
-                pair.append(blocks[label, dim, number])
+                    blocks[name] = _Block(batch.column(column).slice(k, 1))
+                pair.append(blocks[name])
             x, y = pair
-            same = c == d
+            same = left == right
             node = x.node if same else np.concatenate([x.node, y.node])
             place = np.empty(len(node), np.int64)
             order = np.argsort(node, kind="stable")
@@ -169,32 +191,98 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             )
 
 
-def near_vectors(table: DataFrame, least: float = 0.98, block: int = 2048) -> DataFrame:
+Centres = dict[tuple[str, int], np.ndarray]
+
+
+def _covered(reps: DataFrame, centres: Centres) -> DataFrame:
+    """``reps`` with the number of the nearest centre of their label, and how far it is; 0 and 2 without centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.empty(batch.num_rows, object)
+            keys[:] = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+            a, gap = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, 2.0)
+            for key in set(keys) & set(centres):
+                own = np.flatnonzero([k == key for k in keys])
+                near = unit(matrix(batch.column("embedding").take(pa.array(own)))) @ centres[key].T
+                a[own] = near.argmax(axis=1)
+                gap[own] = np.sqrt(np.maximum(0, 2 - 2 * near.max(axis=1)))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | {"a": pa.array(a), "gap": pa.array(gap)})
+
+    return reps.mapInArrow(run, T.StructType([*reps.schema.fields, T.StructField("a", T.IntegerType()), T.StructField("gap", T.DoubleType())]))
+
+
+def _near_centres(covers: DataFrame, centres: Centres, reach: float) -> DataFrame:
+    """(label, dim, a, b), a <= b: the pairs of covers that a link can join."""
+    rows = covers.select("label", "dim", "a", "radius").collect()  # as many as there are centres
+    radii: dict[tuple, dict[int, float]] = {}
+    for r in rows:
+        radii.setdefault((r["label"], r["dim"]), {})[r["a"]] = r["radius"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, dim, a in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "a")), strict=True):
+                own = radii[label, dim]
+                b = np.array(sorted(x for x in own if x >= a), np.int32)
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (centres[label, dim][b] @ centres[label, dim][a])))
+                b = b[apart <= own[a] + np.array([own[x] for x in b.tolist()]) + reach + 1e-6]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(b), pa.string()), pa.array(np.full(len(b), dim, np.int32)), pa.array(np.full(len(b), a, np.int32)), pa.array(b)], names=["label", "dim", "a", "b"])
+
+    spark = covers.sparkSession
+    names = spark.createDataFrame([(r["label"], r["dim"], r["a"]) for r in rows], "label string, dim int, a int")
+    return names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "label string, dim int, a int, b int")
+
+
+def near_vectors(table: DataFrame, least: float = 0.98, block: int = 2048, centres: int = 4096, sample_bytes: int = 16 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Rows link when their labels are equal and not null, their vectors equally
     long, and the cosine at least ``least``. Rows with an unusable vector, a
     null label or a null id link with nothing: n_links 0 and a component of
     their own id. Exact copies count as links of each other but are compared
-    once. Ids are taken as unique; an empty table gives no rows.
+    once. A row is its vector: ``n_links`` counts the other rows that its vector
+    links with, and rows that repeat an id have each their own vector's links
+    and component. An empty table gives no rows.
+
+    ``centres`` bounds the centres of all labels together and ``sample_bytes``
+    the sample that they are chosen from; labels of up to ``block`` vectors, and
+    those beyond the 64 largest, have none and are compared block by block.
     """
     spark = table.sparkSession
+    reach = math.sqrt(max(0.0, 2 - 2 * least))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     takes_part = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = rows.where(takes_part).select("vec_id", "label", "embedding", *content())
-    reps = written(keyed.groupBy("label", "h1", "h2", "dim").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "vectors")
-    sizes = written(reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "labels")
-    dealt = reps.join(sizes, ["label", "dim"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    packed = written(dealt.groupBy("label", "dim", "c").agg(F.collect_list(F.struct("node", "copies", "embedding")).alias("rows")), "blocks")
-    pairs = sizes.withColumn("c", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("d", F.explode(F.expr("sequence(c, blocks - 1)"))).drop("blocks")
-    right = packed.select("label", "dim", F.col("c").alias("d"), F.col("rows").alias("other"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(packed, ["label", "dim", "c"]).join(right, ["label", "dim", "d"]).repartition(4 * width, "label", "dim", "c", "d")
-    found = written(both.select("label", "dim", "c", "d", "rows", "other").mapInArrow(lambda it: _compare(it, least), _FOUND), "links")
+    key = ["label", "h1", "h2", "dim"]
+    reps = keyed.groupBy(*key).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    reps = written(reps.withColumn("node", F.xxhash64(*key)), "vectors")  # a class of equal vectors, whatever its ids
+    sampled = bounded_sample(reps, ["label", "dim"], "node", block, sample_bytes)
+    total = sum(n for n, _ in sampled.values())
+    wanted = {k: max(2, min(2 * -(-n // block), centres * n // max(1, total))) for k, (n, _) in sampled.items()}
+    chosen = {k: unit(x)[net(unit(x), wanted[k], reach)] for k, (_, x) in sampled.items()}
+    covered = written(_covered(reps.select("label", "dim", "node", "copies", "embedding"), chosen), "covered")
+    covers = written(covered.groupBy("label", "dim", "a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"), F.max("gap").alias("radius")), "covers")
+    dealt = covered.join(covers.select("label", "dim", "a", "n"), ["label", "dim", "a"]).withColumn("c", F.pmod(F.xxhash64("node", F.lit(9)), F.col("n")).cast("int"))
+    packed = written(dealt.groupBy("label", "dim", "a", "c").agg(F.collect_list(F.struct("node", "copies", "embedding")).alias("rows")), "blocks")
+    drop(covered)
+
+    named = spark.createDataFrame(list(chosen), "label string, dim int")
+    large = covers.join(F.broadcast(named), ["label", "dim"], "left_semi")
+    alone = covers.join(F.broadcast(named), ["label", "dim"], "left_anti").select("label", "dim", "a", F.col("a").alias("b"))
+    near = _near_centres(large, chosen, reach).union(alone) if chosen else alone
+    numbers = [covers.select("label", "dim", F.col("a").alias(x), F.col("n").alias(f"{x}_n")) for x in ("a", "b")]
+    pairs = near.join(numbers[0], ["label", "dim", "a"]).join(numbers[1], ["label", "dim", "b"])
+    pairs = pairs.withColumn("c", F.explode(F.expr("sequence(0, a_n - 1)"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a cover's names are many rows' work
+    pairs = pairs.withColumn("d", F.explode(F.expr("sequence(0, b_n - 1)"))).where("a < b or c <= d").select("label", "dim", "a", "c", "b", "d")
+    right = packed.select("label", "dim", F.col("a").alias("b"), F.col("c").alias("d"), F.col("rows").alias("other"))
+    both = meet(pairs, packed, right, ["label", "dim", "a", "c"], ["label", "dim", "b", "d"])
+    found = written(both.select("label", "dim", "a", "c", "b", "d", "rows", "other").mapInArrow(lambda it: _compare(it, least), _FOUND), "links")
+    drop(packed)
     roots = connected_components(found.where("n = 0").select("u", "v"))
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    done = reps.select("label", "h1", "h2", "dim", "node").join(counts, "node", "left").join(roots, "node", "left")
-    done = written(done.select("label", "h1", "h2", "dim", (F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
-    out = keyed.drop("embedding").join(done, ["label", "h1", "h2", "dim"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    classes = written(reps.select(*key, "node", "first").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")), "classes")
+    names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    done = classes.select(*key, "root", (F.col("n") - 1).alias("n_links")).join(names, "root")
+    out = keyed.drop("embedding").join(done, key).select("vec_id", "n_links", "component_id")
+    rest = rows.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

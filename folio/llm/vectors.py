@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,27 @@ def unit(x: np.ndarray) -> np.ndarray:
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row pair, in double precision on the vectors as given."""
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
+def bounded_sample(rows: DataFrame, by: list[str], draw: str, least: int, sample_bytes: int, groups: int = 64) -> dict[tuple, tuple[int, np.ndarray]]:
+    """Rows and sampled vectors of the groups with more than ``least`` rows, the ``groups`` largest of them.
+
+    Together the samples take about ``sample_bytes``; ``draw`` is a column of
+    random longs. Smaller groups, and any beyond the number, are not in the result.
+    """
+    size = F.first(F.size("embedding")).alias("size")
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), size).where(F.col("n") > least).orderBy(F.desc("n"), *by).limit(groups).collect()
+    if not large:
+        return {}
+    rate = min(1.0, sample_bytes / sum(8.0 * r["n"] * r["size"] for r in large))
+    named = rows.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in large], rows.select(*by).schema)
+    drawn = rows.join(F.broadcast(named), by).where(F.pmod(draw, F.lit(1 << 30)) <= rate * (1 << 30)).select(*by, "embedding").toArrow()
+    keys = list(zip(*(drawn.column(c).to_pylist() for c in by), strict=True))
+    out, at = {}, {}
+    for place, key in enumerate(keys):
+        at.setdefault(key, []).append(place)
+    for r in large:
+        key = tuple(r[c] for c in by)
+        if key in at:
+            out[key] = (r["n"], matrix(drawn.column("embedding").take(pa.array(at[key])).combine_chunks()))
+    return out
