@@ -149,6 +149,32 @@ def test_cover_tree_against_brute_force(vectors):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_cover_tree_with_repeated_ids(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, a)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.near_vectors(table).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1)]
+
+
+def test_covers_are_pruned_and_lose_no_link(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((12, 16))
+    x = base[r.integers(0, 12, 3000)] + 0.06 * r.standard_normal((3000, 16))
+    table = spark.createDataFrame([(i, [float(v) for v in row], "hot" if i % 3 else "cold") for i, row in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    scaled = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(3000) % 3 > 0
+    near = (scaled @ scaled.T >= 0.98) & (label[:, None] == label)
+    got = {row.vec_id: row.n_links for row in covertree.near_vectors(table, block=128).collect()}
+    assert [got[i] for i in range(3000)] == (near.sum(axis=1) - 1).tolist()
+    own = scaled[label]
+    centres = own[covertree.net(own, 32, 0.2)]
+    of = (own @ centres.T).argmax(axis=1)
+    radius = np.array([np.linalg.norm(own[of == k] - centres[k], axis=1).max() for k in range(len(centres))])
+    reached = np.linalg.norm(centres[:, None] - centres, axis=2) <= radius[:, None] + radius + 0.2
+    assert reached.mean() < 0.5  # pairs of blocks that are shipped at all
+
+
 def test_cover_tree_levels():
     points = np.random.default_rng(1).standard_normal((500, 6))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
@@ -195,19 +221,56 @@ def test_chi_square():
     assert ann.chi_square_below(np.array([0.0, 15.507]), 8) == pytest.approx([0.0, 0.95], abs=1e-4)
 
 
+def recall(x, found, k=5, every=50):
+    """Share of the true neighbours of every fiftieth row among those found."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in range(0, len(x), every):
+        c = x @ x[q]
+        c[q] = -9
+        want = set(np.argsort(-c)[:k].tolist())
+        hit, total = hit + len(want & found.get(q, set())), total + k
+    return hit / total
+
+
+@pytest.mark.parametrize("spread, most", [(None, 0.7), (0.5, 0.25), (0.1, 0.1)])
+def test_stopping_test_holds_early(spread, most):
+    """Unclustered, loosely and tightly clustered vectors: recall, and the share of rows verified."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    x = r.standard_normal((8000, 64))
+    if spread:
+        x = r.standard_normal((200, 64))[r.integers(0, 200, 8000)] + spread * x
+    items = pa.StructArray.from_arrays([pa.array([[i] for i in range(8000)]), pa.array(list(x))], names=["ids", "embedding"])
+    index, ratio = ann.Index(items, 16), ann.stopping_ratio(16, 0.96)
+    scaled = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {q: set(index.search(scaled[q], 6, ratio).tolist()) - {q} for q in range(0, 8000, 50)}
+    assert recall(x, found) >= 0.92 and index.verified / (8000 * 160) <= most
+
+
+def test_recall_over_cells(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.standard_normal((1500, 32)), r.standard_normal((30, 32))[r.integers(0, 30, 1500)] + 0.2 * r.standard_normal((1500, 32))])
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in ann.nearest(table, table.where("vec_id % 50 = 0"), block=200, query_block=7).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    assert all(len(v) == 5 for v in found.values()) and recall(x, found) >= 0.9
+
+
 def test_recall_on_a_driver_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     found = ann.nearest(table, table.where("vec_id % 50 = 0")).toPandas()
-    rows = table.toPandas()
-    x = np.array(rows.embedding.tolist(), float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    hit = total = 0
-    for k in np.flatnonzero(rows.vec_id % 50 == 0):
-        c = x @ x[k]
-        c[k] = -9
-        want = set(rows.vec_id[np.argsort(-c)[:5]])
-        hit, total = hit + len(want & set(found.vec_id[found.query_id == rows.vec_id[k]])), total + 5
-    assert hit >= 0.9 * total
+    rows = table.toPandas().sort_values("vec_id")
+    assert (rows.vec_id.to_numpy() == np.arange(len(rows))).all()
+    assert recall(np.array(rows.embedding.tolist(), float), {q: set(g.vec_id) for q, g in found.groupby("query_id")}) >= 0.9
+
+
+def test_splits_deal_evenly():
+    points = np.random.default_rng(2).standard_normal((4000, 6))
+    sizes = np.bincount(ann.Splits(points, 5).cells(points), minlength=32)
+    assert len(sizes) == 32 and sizes.min() > 100 and sizes.max() < 150
 
 
 # --- all -------------------------------------------------------------------------
