@@ -1,18 +1,21 @@
 """Operator 4: main text of HTML pages.
 
 The standard library's streaming parser turns a page into lines, one a block
-element. Each line gets its text-to-tag ratio; the ratios are smoothed with a
-Gaussian and a threshold between two clusters of them selects content regions.
-Where a page marks articles, those that lie in selected regions for the most
-part are the main text, as wholes; else the regions vote for the innermost element that holds
-most of their text. What a page marks as no article (navigation, forms,
-adverts, comments of readers and the like) never joins a line.
+element. Each line gets its text-to-tag ratio: characters outside of links by
+the tags in it. What the page says about itself only weighs: lines in articles
+weigh more, lines in what it marks as no article (navigation, forms, adverts,
+comments of readers and the like) far less. The ratios are smoothed with a
+Gaussian, and a threshold between two clusters of them selects content regions.
+The regions vote for the innermost element that holds most of their text, and
+its lines are the main text, but for lists of links and marked lines that the
+ratios don't select.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,12 @@ from pyspark.sql import types as T
 
 from folio.llm.common import per_text
 
-#: Elements whose content is no article text.
-DROPPED = frozenset("nav header footer aside form script style noscript template head title iframe object embed canvas svg math select button textarea input label option datalist dialog menu audio video map fieldset legend".split())
+#: Elements whose content is no text of a page's body.
+DROPPED = frozenset("script style noscript template head title iframe object embed canvas svg math select button textarea input label option datalist audio video map legend".split())
+#: Elements that mark their content as no article text.
+ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 #: Elements that begin and end a line.
-BLOCKS = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr br center details summary hgroup search".split())
+BLOCKS = frozenset("html body p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr br center details summary hgroup search nav header footer aside form dialog menu fieldset".split())
 #: Elements that can hold a whole article.
 HOLDERS = frozenset("body div section article main td blockquote ul ol table".split())
 #: Elements without an end tag.
@@ -51,84 +56,102 @@ MARKS = re.compile(
     r"comments?|commentlist|disqus|discussion|replies|reply|respond|pagination|pager|copyright|legal|disclaimer|toolbar|search\w*|skip\w*|hidden|sr-only|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Those that mark nothing inside of an article.
+_WEAK = re.compile(r"(?:^|[\s_-])(?:side|foot|discussion|reply|respond|copyright|legal|disclaimer|toolbar|search\w*)(?=$|[\s_-])", re.I)
 _NOT_MARKS = re.compile(r"(?:^|\s)(?:has|no|with|without|js|is)-\S+", re.I)
 _OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl\w+|responses?|related|recommend\w*|teasers?|promo\w*|sponsor\w*|ads?)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WHITE = re.compile(r"\s+")
 
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters inside of links
+    tags: int  # tags of inline elements
+    article: bool
+    holders: tuple[int, ...]  # numbers of the elements around it that can hold an article
+    marks: tuple[int, ...]  # numbers of the elements around it that mark it as no article
+
+
 class Lines(HTMLParser):
-    """Collects lines: (text, tags met in it, number of the outermost article around it or 0, numbers of the elements around it)."""
+    """Collects lines, and which marked elements hold an article."""
 
-    def __init__(self, kept: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.kept = kept  # numbers of marked elements that are not dropped
-        self.marked: dict[int, list[int]] = {}  # outermost dropped for its marks: characters, articles, is of other articles
-        self.total = 0  # characters outside of elements that are always dropped
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # element, drops its content, is an article, number
-        self.dropping = self.articles = self.tags = self.number = 0
+        self.lines: list[Line] = []
+        self.holding: set[int] = set()  # marked elements with an article inside
+        self.roots: set[int] = set()  # numbers of html and body elements
+        self.open: list[tuple[str, bool, bool, bool, int]] = []  # element, drops its content, is an article, is marked, number
+        self.other: set[int] = set()  # marked elements that are articles of others, or hidden
+        self.dropping = self.articles = self.links = self.number = 0
+        self.linked = self.tags = 0
         self.words: list[str] = []
 
     def flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.words)).strip()
         if text:
-            article = next((x[3] for x in self.open if x[2]), 0)
-            self.lines.append((text, self.tags, article, tuple(x[3] for x in self.open if x[0] in HOLDERS)))
-            self.tags = 0
+            holders = tuple(x[4] for x in self.open if x[0] in HOLDERS)
+            self.lines.append(Line(text, self.linked, self.tags, self.articles > 0, holders, tuple(x[4] for x in self.open if x[3])))
+            self.linked = self.tags = 0
         self.words = []
 
+    def _is_marked(self, tag: str, own: dict[str, str | None]) -> tuple[bool, bool]:
+        """Whether an element is marked as no article, and whether as another one than the page's own."""
+        if not own and tag not in ASIDE:
+            return False, False
+        words = _NOT_MARKS.sub(" ", " ".join(v for k in ("class", "id", "role") if (v := own.get(k))))
+        other = bool(_OTHER_ARTICLE.search(words))
+        if tag in ("html", "body", "main"):
+            return False, False
+        if tag == "article":
+            return other, other
+        if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style") or ""):
+            return True, True
+        if self.articles:
+            return (tag in ASIDE and tag != "header") or bool(MARKS.search(_WEAK.sub(" ", words))), other
+        return tag in ASIDE or bool(MARKS.search(words)), other
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
-            self.flush()
-        elif tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED:
             self.flush()
-        self.tags += 1
+        else:
+            self.tags += 1
         if tag == "body" or (tag not in IN_HEAD and self.open and self.open[-1][0] == "head"):
             self._close_to("head")
         if tag in ENDS_P:
             self._close_to("p", stop=_AROUND_P)
+        if tag == "a":
+            self._close_to("a", stop=_AROUND_P)
         ends, stop = ENDS.get(tag, ((), ()))
         if ends:
             self._close_to(*ends, stop=stop)
         if tag in VOID:
             return
         own = dict(attrs)
-        marked = _NOT_MARKS.sub(" ", " ".join(v for k in ("class", "id", "role") if (v := own.get(k))))
-        dropped = tag in DROPPED and not (tag == "header" and self.articles)
-        if tag == "article":
-            dropped = bool(_OTHER_ARTICLE.search(marked))
-        elif own and not dropped and tag not in ("html", "body", "main"):
-            hidden = "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style") or ""))
-            dropped = hidden or bool(MARKS.search(marked))
-            if dropped and not hidden:
-                dropped = self.number + 1 not in self.kept
-                if dropped and not self.dropping:
-                    self.marked[self.number + 1] = [0, 0, bool(_OTHER_ARTICLE.search(marked))]
-        if self.dropping and tag in ("article", "main") and (outer := self._outer()):
-            outer[1] += 1
-        article = not dropped and (tag in ("article", "main") or own.get("role") in ("main", "article"))
+        marked, other = self._is_marked(tag, own)
+        article = not marked and (tag in ("article", "main") or own.get("role") in ("main", "article"))
+        if article and not any(x[3] and x[4] in self.other for x in self.open):
+            self.holding.update(x[4] for x in self.open if x[3])
         self.number += 1
-        self.open.append((tag, dropped, article, self.number))
-        self.dropping += dropped
+        if other:
+            self.other.add(self.number)
+        if tag in ("html", "body"):
+            self.roots.add(self.number)
+        self.open.append((tag, tag in DROPPED, article, marked, self.number))
+        self.dropping += tag in DROPPED
         self.articles += article
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
-    def _outer(self) -> list[int] | None:
-        """What is known of the marked element that all is dropped for here."""
-        dropped = [x for x in self.open if x[1]]
-        if any(x[0] in DROPPED for x in dropped):
-            return None
-        return self.marked.get(dropped[0][3]) if dropped else None
-
     def _close_to(self, *tags: str, stop: tuple[str, ...] = ()) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
-                for _, dropped, article, _ in self.open[k:]:
+                for tag, dropped, article, _, _ in self.open[k:]:
                     self.dropping -= dropped
                     self.articles -= article
+                    self.links -= tag == "a"
                 del self.open[k:]
                 return
             if self.open[k][0] in stop:
@@ -137,30 +160,38 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
-        self.tags += 1
+        else:
+            self.tags += 1
         self._close_to(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.dropping:
             self.words.append(data)
-            self.total += len(data.strip())
-        elif outer := self._outer():
-            outer[0] += len(data.strip())
-            self.total += len(data.strip())
-
-
-def parsed(html: str, most: float = 0.9) -> Lines:
-    """The page's lines. A marked element around ``most`` of the text, or around an article and half of it, is not dropped."""
-    kept: frozenset[int] = frozenset()
-    while True:
-        parser = Lines(kept)
-        parser.feed(html)
-        parser.close()
-        parser.flush()
-        more = [k for k, (n, articles, other) in parser.marked.items() if n and not other and n >= (0.5 if articles else most) * parser.total]
-        if not more:
-            return parser
-        kept |= frozenset(more)
+            if self.links:
+                self.linked += len(data.strip())
+
+
+def parsed(html: str) -> Lines:
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    return parser
+
+
+def marked_lines(page: Lines, most: float = 0.9) -> np.ndarray:
+    """The outermost mark that counts on each line, or 0.
+
+    Marks don't count on elements around ``most`` of the page's text, or around
+    an article and half of the text: those hold the page, not a part of it.
+    """
+    size: dict[int, int] = {}
+    for line in page.lines:
+        for mark in line.marks:
+            size[mark] = size.get(mark, 0) + len(line.text)
+    total = sum(len(x.text) for x in page.lines)
+    void = {m for m, n in size.items() if m not in page.other and n >= (0.5 if m in page.holding else most) * total}
+    return np.array([next((m for m in x.marks if m not in void), 0) for x in page.lines])
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -175,41 +206,84 @@ def threshold(values: np.ndarray) -> float:
 
     Zero, so that everything passes, where the clusters are less than a factor of three apart.
     """
-    x = np.sort(np.log1p(values))
+    values = np.sort(values)
+    x = np.log1p(values)
     if len(x) < 2:
         return 0.0
     sums = np.cumsum(x)
     n = np.arange(1, len(x))
     low, high = sums[:-1] / n, (sums[-1] - sums[:-1]) / (len(x) - n)
     cut = int(np.argmax(n * (len(x) - n) * (high - low) ** 2))
-    return float(np.expm1(x[cut + 1])) if high[cut] - low[cut] > np.log(3) else 0.0
+    return float(values[cut + 1]) if high[cut] - low[cut] > np.log(3) else 0.0
+
+
+def ratios(page: Lines, marks: np.ndarray, article: float = 4.0, marked: float = 0.05) -> np.ndarray:
+    """Each line's text-to-tag ratio, weighed by whether it is in an article and whether it is marked as none."""
+    own = np.array([max(0, len(x.text) - x.linked) / (1 + x.tags) for x in page.lines], float)
+    return own * np.where([x.article for x in page.lines], article, 1.0) * np.where(marks > 0, marked, 1.0)
+
+
+def selected(page: Lines, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of content regions, the lines' smoothed ratios and marks.
+
+    Marked elements are smoothed by themselves, and selected only where they are
+    denser than the unmarked regions in spite of their weight.
+    """
+    marks = marked_lines(page)
+    ratio = ratios(page, marks)
+    smooth = np.zeros(len(ratio))
+    for group in set(marks.tolist()):
+        own = np.flatnonzero(marks == group)
+        smooth[own] = smoothed(ratio[own], sigma)
+    chosen = smooth >= threshold(smooth)
+    plain = chosen & (marks == 0)
+    if plain.any():
+        chosen &= (marks == 0) | (smooth >= smooth[plain].mean())
+    return chosen, smooth, marks
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.7) -> str:
-    """The article's lines joined by one space; empty for null, empty or unmarked-up pages without text."""
+    """The main text's lines joined by one space; empty for null, empty or unmarked-up pages without text."""
     if not html:
         return ""
-    lines = parsed(html).lines
+    page = parsed(html)
+    lines = page.lines
     if not lines:
         return ""
-    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], float)
-    smooth = smoothed(ratios, sigma)
-    chosen = smooth >= threshold(smooth)
-    articles: dict[int, list[int]] = {}
-    for (text, _, article, _), ok in zip(lines, chosen, strict=True):
-        if article:
-            sizes = articles.setdefault(article, [0, 0])
-            sizes[bool(ok)] += len(text)
-    selected = {k for k, (out, inside) in articles.items() if inside >= out} or set(articles)
-    if selected:
-        return " ".join(x[0] for x in lines if x[2] in selected)
+    chosen, _, marks = selected(page, sigma)
+    weight = [len(x.text) * (4 if x.article else 1) * bool(ok) for x, ok in zip(lines, chosen, strict=True)]
     votes: dict[int, int] = {}
-    for (text, _, _, around), ok in zip(lines, chosen, strict=True):
-        for number in around if ok else ():
-            votes[number] = votes.get(number, 0) + len(text)
-    least = share * sum(len(x[0]) for x, ok in zip(lines, chosen, strict=True) if ok)
-    holder = max((k for k, v in votes.items() if v >= least), default=None)  # a later number is further inside
-    return " ".join(x[0] for x, ok in zip(lines, chosen, strict=True) if (ok if holder is None else holder in x[3]))
+    for line, n in zip(lines, weight, strict=True):
+        for number in line.holders if n else ():
+            votes[number] = votes.get(number, 0) + n
+    holder = max((k for k, v in votes.items() if v >= share * sum(weight) and k not in page.roots), default=None)  # a later number is further inside
+    if holder is None:
+        first, last = np.flatnonzero(chosen)[[0, -1]]
+        while first and not marks[first - 1] and 2 * lines[first - 1].linked <= len(lines[first - 1].text):
+            first -= 1  # a title is short
+        inside = (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
+    else:
+        inside = np.array([holder in x.holders for x in lines])
+    listed = link_lists(lines, inside)
+    keep = inside & (chosen | ((marks == 0) & ~listed))
+    for way in (1, -1):  # links next to prose are smoothed up
+        for k in np.flatnonzero(keep)[::way]:
+            if not listed[k]:
+                break
+            keep[k] = False
+    if not keep.any():
+        keep = inside & chosen
+    return " ".join(x.text for x, ok in zip(lines, keep, strict=True) if ok)
+
+
+def link_lists(lines: list[Line], inside: np.ndarray, least: int = 3) -> np.ndarray:
+    """Lines that are links for the most part; in articles, runs of ``least`` or more of them."""
+    linky = np.array([2 * x.linked > len(x.text) for x in lines]) & inside
+    cut = np.flatnonzero(np.diff(np.concatenate([[False], linky, [False]]).astype(np.int8)))
+    long = np.zeros(len(lines), bool)
+    for a, b in zip(cut[::2], cut[1::2], strict=True):
+        long[a:b] = b - a >= least
+    return linky & (long | ~np.array([x.article for x in lines]))
 
 
 _SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

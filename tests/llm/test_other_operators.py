@@ -52,6 +52,74 @@ def test_end_tags_left_out_and_marks_around_all(page, text):
     assert text in html.main_text(page) and "Ad." not in html.main_text(page) and "Menu" not in html.main_text(page)
 
 
+HEAD = f"<h1>T</h1>{LONG}<p>Of.</p>{LONG}"
+TEXT = f"T {PLAIN.strip()} Of. {PLAIN.strip()}"
+LINKS = "<ul>" + "".join(f"<li><a href='{i}'>go there {i}</a></li>" for i in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav><a>m</a></nav><div class='layout sidebar-right'>{HEAD}</div></body>",
+        f"<body><div id='page' class='search-open'><nav><a>m</a></nav><article>{HEAD}</article></div></body>",
+        f"<body><div class='main no-sidebar notice'><article>{HEAD}</article></div></body>",
+        f"<body><nav><a>m</a></nav><div class='discussion'>{HEAD}</div><footer>foot text here</footer></body>",
+        f"<body><div id='menu'>{LINKS}</div><div><ul><li class='ad'>Ad.<li>T</ul>{LONG}<p>Of.</p>{LONG}</div></body>",
+        f"<body><p class='notice'>Ad.<div>{HEAD}</div></body>",
+        f"<article><h1>T</h1>{LONG}<p>Of.</p><section class='legal'>{LONG}</section></article>",
+        f"<body><form id='page'><div class='menu'><a>x</a></div><div class='content'>{HEAD}</div></form></body>",
+        f"<body><main>{LINKS}{HEAD}</main></body>",
+        f"<body><main>{HEAD}{LINKS}</main></body>",
+        f"<body><article class='teaser'>{LONG}</article><div>{HEAD}</div><article class='teaser'>{LONG}</article></body>",
+        f"<body><div class='comments'>{LONG}{LONG}{LONG}</div><article>{HEAD}</article></body>",
+        f"<body>{LINKS}{HEAD}{LINKS}</body>",
+    ],
+)
+def test_marks_weigh_and_lose_no_article(page):
+    assert html.main_text(page) == TEXT
+
+
+def test_regions_against_brute_force(spark):
+    """Ratios, smoothing and clustering written out over all pairs of lines and all cuts."""
+    import math
+
+    def brute(page, sigma=1.0):
+        marks = html.marked_lines(page).tolist()
+        ratio = [max(0, len(x.text) - x.linked) / (1 + x.tags) * (4 if x.article else 1) * (0.05 if m else 1) for x, m in zip(page.lines, marks, strict=True)]
+        smooth = []
+        for i, m in enumerate(marks):
+            own = [j for j in range(len(marks)) if marks[j] == m]
+            at = own.index(i)
+            near = [(math.exp(-0.5 * ((k - at) / sigma) ** 2), ratio[j]) for k, j in enumerate(own) if abs(k - at) <= 3]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        logs = sorted(math.log1p(x) for x in smooth)
+        least, best = 0.0, -1.0
+        for cut in range(1, len(logs)):
+            low, high = sum(logs[:cut]) / cut, sum(logs[cut:]) / (len(logs) - cut)
+            apart = cut * (len(logs) - cut) * (high - low) ** 2
+            if apart > best + 1e-12:
+                best, least = apart, math.expm1(logs[cut]) if high - low > math.log(3) else 0.0
+        chosen = [x >= least - 1e-9 for x in smooth]
+        plain = [x for x, ok, m in zip(smooth, chosen, marks, strict=True) if ok and not m]
+        return [ok and (not m or not plain or x >= sum(plain) / len(plain)) for x, ok, m in zip(smooth, chosen, marks, strict=True)]
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += [f"<div class='ad'>{LONG}</div>{LINKS}{HEAD}<div class='share'><p>x<p>y</div>", f"<nav>{LINKS}</nav>", f"<main>{LINKS}{HEAD}</main><aside>{LONG}</aside>"]
+    for text in pages:
+        page = html.parsed(text)
+        assert html.selected(page)[0].tolist() == brute(page)
+
+
+def test_ratios_decide_without_articles(spark):
+    """Driver pages with their article tags and marks taken away: the densest element is the article all the same."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for text in pages:
+        bare = text.replace("<article", "<div").replace("</article", "</div")
+        same += html.main_text(bare) == html.main_text(text)
+    assert same >= 0.95 * len(pages)
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     rows = [(1, "u", f"<article>{LONG}</article>"), (1, "u", f"<article>{LONG}</article>"), (None, None, None), (3, "v", "<p>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("extra", F.lit("e"))
