@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+#: The same characters as a text.
+WHITE_CHARACTERS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trim_space(c: str | Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(col(c), rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(col(c), F.lit(WHITE_CHARACTERS))
 
 
 def is_blank(c: str | Column) -> Column:

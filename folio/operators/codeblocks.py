@@ -109,40 +109,41 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
     """
     rest = [c for c in docs.columns if c != text]
     per_doc = declaration_lines(docs, language, text, key).groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "depth", "depth_after", "kind", "name"))).alias("all"))
-    starts = F.filter("all", lambda x: x["kind"].isNotNull())
-    rows = per_doc.withColumn("d", F.explode(starts))
-    d = F.col("d")
-    after = F.slice("all", d["line_no"], F.size("all"))
-    end = F.get(F.filter(after, lambda x: x["depth_after"] <= d["depth"]), F.lit(0))
-    rows = rows.withColumn("line_end", F.coalesce(end["line_no"], F.element_at("all", -1)["line_no"]))
-    own = F.transform(F.slice("all", d["line_no"], F.col("line_end") - d["line_no"] + 1), lambda x: x["line"])
-    around = F.filter("all", lambda x: x["kind"].isin("message", "service", "class", "interface", "enum", "oneof") & (x["line_no"] < d["line_no"]) & (x["depth"] < d["depth"]))
-    # Enclosing declarations: for each lower depth the last one before this line.
-    chain = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: F.get(F.reverse(F.filter(around, lambda x: x["depth"] == n)), F.lit(0))), lambda x: x.isNotNull())
-    labels = F.regexp_extract_all(d["name"], F.lit(r'"([^"]*)"'), F.lit(1))
-    name = F.when(F.lit(language.name == "terraform"), F.array_join(F.concat(F.array(d["kind"]), labels), ".")).otherwise(F.array_join(F.concat(F.transform(chain, lambda x: x["name"]), F.array(d["name"])), "."))
-    above = F.reverse(F.slice("all", F.lit(1), d["line_no"] - 1))
-    said = F.aggregate(
-        above,
-        F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(s["on"] & trim_space(x["line"]).rlike(r"\A(?://|/\*|\*|#)"), F.struct(F.lit(True).alias("on"), F.concat(F.array(trim_space(F.regexp_replace(x["line"], r"\A\s*(?://+|/\*+|\*+/?|#+)|\*/\s*\z", ""))), s["out"]).alias("out"))).otherwise(F.struct(F.lit(False).alias("on"), s["out"].alias("out"))),
-        lambda s: F.array_join(F.filter(s["out"], lambda x: x != ""), "\n"),
-    )
-    seen = F.when(d["line"].rlike(language.public) if language.name != "go" else d["name"].rlike(language.public), "public").otherwise("private")
-    return rows.select(
-        *rest,
-        d["kind"].alias("kind"),
-        d["name"].alias("name"),
-        name.alias("qualified_name"),
-        d["line_no"].alias("line_start"),
-        "line_end",
-        d["depth"].alias("depth"),
-        F.array_join(own, "\n").alias("content"),
-        trim_space(F.regexp_replace(d["line"], r"\{.*\z", "")).alias("signature"),
-        said.alias("documentation"),
-        seen.alias("visibility"),
-        F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:repeated\s+|optional\s+|required\s+)?(?:map<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+"))).alias("field_count"),
-    )
+
+    def one(d: Column) -> Column:
+        after = F.slice("all", d["line_no"], F.size("all"))
+        end = F.get(F.filter(after, lambda x: x["depth_after"] <= d["depth"]), F.lit(0))
+        last = F.coalesce(end["line_no"], F.element_at("all", -1)["line_no"])
+        own = F.transform(F.slice("all", d["line_no"], last - d["line_no"] + 1), lambda x: x["line"])
+        around = F.filter("all", lambda x: x["kind"].isin("message", "service", "class", "interface", "enum", "oneof") & (x["line_no"] < d["line_no"]) & (x["depth"] < d["depth"]))
+        # Enclosing declarations: for each lower depth the last one before this line.
+        chain = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: F.get(F.reverse(F.filter(around, lambda x: x["depth"] == n)), F.lit(0))), lambda x: x.isNotNull())
+        labels = F.regexp_extract_all(d["name"], F.lit(r'"([^"]*)"'), F.lit(1))
+        name = F.array_join(F.concat(F.array(d["kind"]), labels), ".") if language.name == "terraform" else F.array_join(F.concat(F.transform(chain, lambda x: x["name"]), F.array(d["name"])), ".")
+        above = F.reverse(F.slice("all", F.lit(1), d["line_no"] - 1))
+        said = F.aggregate(
+            above,
+            F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out")),
+            lambda s, x: F.when(s["on"] & trim_space(x["line"]).rlike(r"\A(?://|/\*|\*|#)"), F.struct(F.lit(True).alias("on"), F.concat(F.array(trim_space(F.regexp_replace(x["line"], r"\A\s*(?://+|/\*+|\*+/?|#+)|\*/\s*\z", ""))), s["out"]).alias("out"))).otherwise(F.struct(F.lit(False).alias("on"), s["out"].alias("out"))),
+            lambda s: F.array_join(F.filter(s["out"], lambda x: x != ""), "\n"),
+        )
+        seen = F.when(d["line"].rlike(language.public) if language.name != "go" else d["name"].rlike(language.public), "public").otherwise("private")
+        return F.struct(
+            d["kind"].alias("kind"),
+            d["name"].alias("name"),
+            name.alias("qualified_name"),
+            d["line_no"].alias("line_start"),
+            last.alias("line_end"),
+            d["depth"].alias("depth"),
+            F.array_join(own, "\n").alias("content"),
+            trim_space(F.regexp_replace(d["line"], r"\{.*\z", "")).alias("signature"),
+            said.alias("documentation"),
+            seen.alias("visibility"),
+            F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:repeated\s+|optional\s+|required\s+)?(?:map<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+"))).alias("field_count"),
+        )
+
+    made = F.transform(F.filter("all", lambda x: x["kind"].isNotNull()), one)  # within the row: no declaration carries the file's lines along
+    return per_doc.select(*rest, F.explode(made).alias("d")).select(*rest, "d.*")
 
 
 def imports(text: str | Column, language: Language) -> Column:

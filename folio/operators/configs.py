@@ -49,20 +49,19 @@ def chunk_yaml(docs: DataFrame, text: str = "text", path: str = "path") -> DataF
     """One chunk for up to three top-level keys (five items), else one for each key of two lines or more, or groups of 50 items."""
     rest = [c for c in docs.columns if c != text]
     found = docs.where(trim_space(text) != "").withColumn("__t", _first_document(F.col(text)))
-    state = "array<struct<key:string,at:int,own:array<string>>>"
+    found = found.withColumn("__l", lines("__t"))
 
-    def step(s: Column, x: Column) -> Column:
-        line = x["line"]
+    def start(line: Column, i: Column) -> Column:
         key = F.regexp_extract(line, r"\A([\"']?[^\s#\"'\-\[\]{}][^:\n]*?[\"']?):(?:\s|\z)", 1)
-        item = line.rlike(r"\A-(?:\s|\z)")
-        starts = (key != "") | item
-        last = F.size(s)
-        grown = F.transform(s, lambda g, i: F.when(i == last - 1, F.struct(g["key"].alias("key"), g["at"].alias("at"), F.array_append(g["own"], line).alias("own"))).otherwise(g))
-        new = F.struct(F.when(item, F.lit("-")).otherwise(key).alias("key"), x["at"].alias("at"), F.array(line).alias("own"))
-        return F.when(starts, F.array_append(s, new)).when(last > 0, grown).otherwise(s).cast(state)
-
-    numbered = F.transform(lines("__t"), lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("at")))
-    found = found.withColumn("__g", F.aggregate(numbered, F.array().cast(state), step))
+        return F.struct(F.when(line.rlike(r"\A-(?:\s|\z)"), "-").otherwise(key).alias("key"), (i + 1).cast("int").alias("at"))
+
+    found = found.withColumn("__s", F.filter(F.transform("__l", start), lambda x: x["key"] != ""))
+
+    def block(x: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("__s"), k + 1)["at"], F.size("__l") + 1)
+        return F.struct(x["key"].alias("key"), x["at"].alias("at"), F.slice("__l", x["at"], end - x["at"]).alias("own"))
+
+    found = found.withColumn("__g", F.transform("__s", block))
     make = lambda content, a, b, kind, label: F.struct(content.alias("content"), a.cast("int").alias("line_start"), b.cast("int").alias("line_end"), F.lit(kind).alias("type"), label.alias("identifier"))
     whole = F.array(make(F.col(text), F.lit(1), F.size(lines(text)), "yaml_document", title_name(path)))
     keys, items = F.filter("__g", lambda g: g["key"] != "-"), F.filter("__g", lambda g: g["key"] == "-")

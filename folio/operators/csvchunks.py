@@ -1,7 +1,8 @@
 """CSV held as text in a column: delimiter, records, headers, types, chunks.
 
-Records are read by a fold over a row's characters only where quotes occur;
-other texts are split by lines and delimiter, which stays in generated code.
+Texts without quotes are split by lines and delimiter. Where quotes are well
+placed, every second part between them is quoted, and only the others hold
+delimiters. A fold over characters is left for misplaced quotes alone.
 """
 
 from __future__ import annotations
@@ -77,7 +78,37 @@ def records(text: str | Column, d: Column) -> Column:
         )
 
     full = F.aggregate(F.split(F.concat(text, F.lit("\n")), ""), start, step, lambda s: s["rows"])
-    return F.when(F.contains(text, F.lit('"')), full).otherwise(plain)
+    return F.when(~F.contains(text, F.lit('"')), plain).when(_well_quoted(text, d), _by_quotes(text, d)).otherwise(full)
+
+
+#: Stand in for the delimiters and line feeds outside of quotes.
+_CELL, _ROW = "\x01", "\x02"
+
+
+def _well_quoted(text: Column, d: Column) -> Column:
+    """Quotes are even in number; each quoted part stands alone between delimiters, line feeds and the text's ends, or doubles a quote."""
+    parts = F.split(text, '"', -1)
+    last = F.size(parts) - 1
+    begins = lambda p: p.startswith(d) | p.startswith("\n")
+    ends = lambda p: F.rtrim(p).endswith(d) | p.rlike(r"\n *\z")
+
+    def fits(p: Column, i: Column) -> Column:
+        inner = (p == "") | ((begins(p) | (i == 0)) & (ends(p) | (i == last) | ((i == 0) & (F.trim(p) == ""))))
+        return (i % 2 == 1) | inner
+
+    return (last % 2 == 0) & ~text.rlike(f"[{_CELL}{_ROW}]") & F.forall(F.transform(parts, fits), lambda ok: ok)
+
+
+def _by_quotes(text: Column, d: Column) -> Column:
+    parts = F.split(text, '"', -1)
+    last = F.size(parts) - 1
+
+    def outside(p: Column, i: Column) -> Column:
+        marked = F.regexp_replace(F.translate(F.replace(p, d, F.lit(_CELL)), "\n", _ROW), f"([{_CELL}{_ROW}]) +", "$1")
+        return F.when((p == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.when(i == 0, F.ltrim(marked)).otherwise(marked))
+
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).otherwise(outside(p, i))), "")
+    return F.transform(F.filter(F.split(joined, _ROW, -1), lambda r: r != ""), lambda r: F.split(r, _CELL, -1))
 
 
 def has_header(rows: Column) -> Column:

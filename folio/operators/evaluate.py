@@ -21,11 +21,12 @@ def select_cases(rows: DataFrame, order: str) -> DataFrame:
 
 
 def word_overlap(a: str | Column, b: str | Column) -> Column:
-    """How many words of b over two bytes are in a, by the longer one's number of words."""
+    """How many words of b over two bytes are in a, by the longer one's number of words; by a map built once a row."""
     both = F.array(F.struct(fields(a).alias("a"), fields(b).alias("b")))  # split once, not again for each word
 
     def share(x: Column) -> Column:
-        common = F.size(F.filter(x["b"], lambda w: (F.octet_length(w) > 2) & F.array_contains(x["a"], w)))
+        known = F.array(F.map_from_arrays(F.array_distinct(x["a"]), F.transform(F.array_distinct(x["a"]), lambda w: F.lit(1))))
+        common = F.transform(known, lambda m: F.size(F.filter(x["b"], lambda w: (F.octet_length(w) > 2) & F.map_contains_key(m, w))))[0]
         return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(common / F.greatest(F.size(x["a"]), F.size(x["b"])))
 
     return F.transform(both, share)[0]
@@ -37,6 +38,30 @@ def answers_match(generated: str | Column, truth: str | Column) -> Column:
     return (col(generated) != "") & (col(truth) != "") & (F.contains(g, t) | F.contains(t, g) | (word_overlap(g, t) > 0.5))
 
 
+def overlapping_pairs(truths: DataFrame, answers: DataFrame, truth_id: str, answer_id: str, text: str = "text") -> DataFrame:
+    """Every pair of a truth and an answer that share a word of over two bytes: its ``overlap``, and whether they match.
+
+    Pairs meet through their words: words are counted within each answer first,
+    so that a frequent word is one row a document. Whether one text holds the
+    other is only looked up where all but two of one's words (those that a cut
+    may have shortened) are in the other.
+    """
+    sides = []
+    for rows, key in ((truths, truth_id), (answers, answer_id)):
+        low = rows.select(F.col(key), F.lower(trim_space(text)).alias("t")).where("t <> ''")
+        words = low.select(key, F.explode(fields("t")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+        sizes = words.groupBy(key).agg(F.sum("n").alias("total"), F.count_if(F.octet_length("w") > 2).alias("long"))
+        sides.append((low, words.where(F.octet_length("w") > 2), sizes))
+    (a, a_words, a_size), (b, b_words, b_size) = sides
+    met = a_words.select(truth_id, "w").join(b_words, "w").groupBy(truth_id, answer_id).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("common"))
+    met = met.join(a_size.withColumnsRenamed({"total": "a_total", "long": "a_long"}), truth_id).join(b_size.withColumnsRenamed({"total": "b_total", "long": "b_long"}), answer_id)
+    met = met.withColumn("overlap", F.col("n") / F.greatest("a_total", "b_total"))
+    may_hold = F.col("common") >= F.least("a_long", "b_long") - 2
+    held = met.where(may_hold).select(truth_id, answer_id).join(a.withColumnRenamed("t", "a"), truth_id).join(b.withColumnRenamed("t", "b"), answer_id)
+    held = held.where(F.contains("a", "b") | F.contains("b", "a")).select(truth_id, answer_id, F.lit(True).alias("held"))
+    return met.join(held, [truth_id, answer_id], "left").select(truth_id, answer_id, "overlap", (F.coalesce("held", F.lit(False)) | (F.col("overlap") > 0.5)).alias("matches"))
+
+
 def retrieval_hits(cases: DataFrame, found: DataFrame) -> DataFrame:
     """``cases`` with ``hit``: the passage ranked first is the labelled one."""
     first = found.where("rank = 1").select("query_id", trim_space("passage").alias("__p"))

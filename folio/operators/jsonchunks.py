@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, lines, title_name, trim_space
+from folio.functions.text import col, count_of, lines, title_name, trim_space
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
@@ -72,26 +72,33 @@ def _size(value: Column) -> Column:
     return F.when(k == "object", F.size(F.map_keys(F.when(k == "object", value).try_cast(_MAP)))).when(k == "array", F.size(F.when(k == "array", value).try_cast(_LIST))).otherwise(0)
 
 
-def json_metadata(docs: DataFrame, text: str = "text", depth: int = 6) -> DataFrame:
-    """Validity, root kind, numbers of objects, arrays and scalars, and depth, down to ``depth`` levels."""
+def json_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Validity, root kind, numbers of objects, arrays and scalars, and depth (1 for a scalar or an empty container).
+
+    Counted on the compact print, in which only brackets and scalars are left:
+    nesting has no limit of its own.
+    """
     found = docs.withColumn("__v", F.try_parse_json(F.col(text)))
-    root = kind(F.col("__v"))
-    level = F.when(F.col("__v").isNotNull(), F.array("__v")).otherwise(F.array().cast(_LIST))
-    levels = [level]
-    for k in range(1, depth):
-        found = found.withColumn(f"__l{k - 1}", levels[-1])
-        inside = lambda x: F.when(kind(x) == "object", F.map_values(F.when(kind(x) == "object", x).try_cast(_MAP))).when(kind(x) == "array", F.when(kind(x) == "array", x).try_cast(_LIST)).otherwise(F.array().cast(_LIST))
-        levels.append(F.flatten(F.transform(f"__l{k - 1}", inside)))
-    found = found.withColumn(f"__l{depth - 1}", levels[-1])
-    every = F.transform(F.flatten(F.array(*(F.col(f"__l{k}") for k in range(depth)))), lambda x: kind(x))
-    count = lambda *kinds: F.size(F.filter(every, lambda x: x.isin(*kinds)))
+    printed = F.coalesce(F.to_json("__v"), F.lit(""))
+    plain = F.replace(F.replace(printed, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', "s"), "s:", "")
+    found = found.withColumn("__shape", F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{},]+", "p"), ",", ""))
+    opens = lambda c: (c == "{") | (c == "[")
+    state = "struct<at:int,most:int>"
+
+    def step(s: Column, c: Column) -> Column:
+        at = s["at"] + F.when(opens(c), 1).when(c == "p", 0).otherwise(-1)
+        return F.struct(at.alias("at"), F.when(opens(c) | (c == "p"), F.greatest(s["most"], s["at"] + 1)).otherwise(s["most"]).alias("most")).cast(state)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")).cast(state)
+    marks = F.filter(F.split("__shape", ""), lambda c: c != "")
     return found.select(
         *(c for c in docs.columns if c != text),
         F.col("__v").isNotNull().alias("is_valid"),
-        root.alias("root_type"),
-        count("object").alias("object_count"),
-        count("array").alias("array_count"),
-        count("string", "number", "boolean", "null").alias("primitive_count"),
-        sum((F.when(F.size(f"__l{k}") > 0, 1).otherwise(0) for k in range(depth)), F.lit(0)).alias("depth"),
+        kind(F.col("__v")).alias("root_type"),
+        count_of("__shape", "{").alias("object_count"),
+        count_of("__shape", "[").alias("array_count"),
+        count_of("__shape", "p").alias("primitive_count"),
+        F.aggregate(marks, start, step, lambda s: s["most"]).alias("depth"),
         F.octet_length(text).alias("size_bytes"),
     )

@@ -37,12 +37,12 @@ def paragraphs(docs: DataFrame, text: str = "text", min_bytes: int = 20) -> Data
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<n:int,content:string,line_start:int,line_end:int>>").alias("out")).cast(state)
 
     def step(s: Column, x: Column) -> Column:
-        t = trim_space(x["p"])
+        t = x["t"]
         row = F.struct(x["n"].alias("n"), t.alias("content"), s["at"].alias("line_start"), (s["at"] + count_of(t, "\n")).alias("line_end"))
         out = F.when(F.octet_length(t) >= min_bytes, F.array_append(s["out"], row)).otherwise(s["out"])
         return F.struct((s["at"] + count_of(x["p"], "\n") + 2).alias("at"), out.alias("out")).cast(state)
 
-    numbered = F.transform(parts, lambda p, i: F.struct((i + 1).cast("int").alias("n"), p.alias("p")))
+    numbered = F.transform(parts, lambda p, i: F.struct((i + 1).cast("int").alias("n"), p.alias("p"), trim_space(p).alias("t")))
     return docs.select(*rest, F.explode(F.aggregate(numbered, start, step, lambda s: s["out"])).alias("x")).select(*rest, F.col("x.n").alias("paragraph"), "x.content", "x.line_start", "x.line_end")
 
 

@@ -1,21 +1,21 @@
 """Vector search and filters over collections held as DataFrames.
 
 Searches are exact: a block of queries meets every stored row once. Queries are
-broadcast only while their checked size stays under a bound; larger sets are
-cut into groups that each meet the table in their own partition of the join.
+broadcast only while their checked size in bytes stays under a bound; larger
+sets are cut into groups, and groups and blocks of rows meet in an equi-join
+whose keys are as many as there are partitions at least.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are broadcast up to so many; past it they are dealt to groups.
-BROADCAST_QUERIES = 20_000
+#: Queries are broadcast up to so many bytes; past it they are dealt to groups of that size.
+BROADCAST_BYTES = 64 << 20
 
 
 def as_doubles(vector: str | Column) -> Column:
@@ -50,13 +50,15 @@ def with_scores(table: DataFrame, queries: DataFrame, vector: str = "embedding",
     """Every stored row with every query and their cosine ``score``; norms are taken once a row."""
     stored = table.withColumn("__v", as_doubles(vector)).withColumn("__n", norm(F.col("__v")))
     asked = queries.select(query_id, as_doubles(query_vector).alias("__q")).withColumn("__m", norm(F.col("__q")))
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
+    size = asked.agg(F.sum(F.lit(8) * F.size("__q") + 64).alias("bytes")).first()["bytes"] or 0
+    if size <= BROADCAST_BYTES:
         met = stored.crossJoin(F.broadcast(asked))
-    else:  # each group of queries meets each row through an equi-join on the group's number
-        groups = math.ceil(n / BROADCAST_QUERIES)
-        asked = asked.withColumn("__g", F.pmod(F.xxhash64(query_id), F.lit(groups)).cast("int"))
-        met = stored.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(asked, "__g").drop("__g")
+    else:  # each block of rows meets each group of queries
+        groups, blocks = -(-size // BROADCAST_BYTES), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = asked.withColumn("__g", dealt(query_id, groups)).withColumn("__b", every(blocks))
+        met = stored.withColumn("__b", dealt("__v", blocks)).withColumn("__g", every(groups)).join(asked, ["__g", "__b"]).drop("__g", "__b")
     return met.withColumn("score", dot(F.col("__v"), F.col("__q")) / (F.col("__n") * F.col("__m"))).drop("__v", "__q", "__n", "__m")
 
 

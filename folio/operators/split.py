@@ -32,9 +32,11 @@ def _packed(text: Column, separator: str, size: int) -> Column:
 
 def _tail(text: Column, overlap: int) -> Column:
     """The last characters of a text that fit into ``overlap`` bytes; no character is cut."""
-    chars = F.split(F.expr("''") if text is None else F.right(text, F.lit(overlap)), "")
-    fits = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1))), lambda k: F.array_join(F.slice(chars, k, F.size(chars)), ""))
-    return F.when(F.octet_length(F.right(text, F.lit(overlap))) <= overlap, F.right(text, F.lit(overlap))).otherwise(F.coalesce(F.get(F.filter(fits, lambda x: F.octet_length(x) <= overlap), F.lit(0)), F.lit("")))
+    if not overlap:
+        return F.lit("")
+    end = F.hex(F.substring(F.encode(text, "UTF-8"), -overlap, overlap))
+    whole = F.unhex(F.regexp_replace(end, r"\A(?:[89AB][0-9A-F]){1,3}", "")).cast("string")  # without the rest of a cut character
+    return F.when(F.octet_length(text) <= overlap, text).otherwise(whole)
 
 
 def merge_with_overlap(chunks: Column, size: int, overlap: int) -> Column:

@@ -18,7 +18,7 @@ LIST_ITEMS = (rf"\A[-*+][{WHITE}]+.*\z", rf"\A[0-9]+\.[{WHITE}]+.*\z", rf"\A[a-z
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return c.rlike("(?s)" + "|".join(f"(?:{p})" for p in patterns))
+    return c.rlike(r"(?s)\A(?:" + "|".join(p.removeprefix(r"\A") for p in patterns) + ")")  # one anchor: no other place is tried
 
 
 def is_heading(trimmed: Column) -> Column:

@@ -544,17 +544,15 @@ def case_last_wins(spark, sf_dir):
     return evaluate.select_cases(rows, "turn").select("query_id", "query_text", "ground_truth_answer")
 
 
-_OVERLAP = f"(len(list_filter({_words('b')}, lambda w: strlen(w) > 2 AND list_contains({_words('a')}, w)))::DOUBLE / greatest(len({_words('a')}), len({_words('b')})))"
-
-
 @query(f"""
-WITH p AS (SELECT item_id, doc_id, lower({_trim('i.text')}) AS a, lower({_trim('d.text')}) AS b FROM benchmark i JOIN documents d ON d.doc_id % 40 = i.item_id)
-SELECT item_id, doc_id, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE {_OVERLAP} END, 6) AS overlap, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR {_OVERLAP} > 0.5) AS matches FROM p""")
+WITH a AS (SELECT item_id, lower({_trim('text')}) AS t FROM benchmark), b AS (SELECT doc_id, lower({_trim('text')}) AS t FROM documents),
+aw AS (SELECT DISTINCT item_id, unnest({_words('t')}) AS w FROM a), bw AS (SELECT doc_id, unnest({_words('t')}) AS w FROM b),
+c AS (SELECT item_id, doc_id, count(*) AS n FROM aw JOIN bw USING (w) WHERE strlen(w) > 2 GROUP BY ALL),
+o AS (SELECT item_id, doc_id, n::DOUBLE / greatest(len({_words('a.t')}), len({_words('b.t')})) AS overlap, contains(a.t, b.t) OR contains(b.t, a.t) AS held FROM c JOIN a USING (item_id) JOIN b USING (doc_id))
+SELECT item_id, doc_id, round(overlap, 6) AS overlap, held OR overlap > 0.5 AS matches FROM o""")
 def keyword_overlap(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % 40)
-    low = lambda c: F.lower(T.trim_space(c))
-    return docs.join(items, "item_id").select("item_id", "doc_id", F.round(evaluate.word_overlap(low("truth"), low("text")), 6).alias("overlap"), evaluate.answers_match("truth", "text").alias("matches"))
+    made = evaluate.overlapping_pairs(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return made.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), "matches")
 
 
 _RESULTS = "SELECT l.doc_id, quality = 1 AS hit, toxic = 0 AS passed, n_chars / 1000.0 AS seconds, CASE WHEN n_chars < 100 THEN 'short' END AS error FROM labels l JOIN documents d ON l.doc_id = d.doc_id"

@@ -187,14 +187,84 @@ def test_search(spark):
 
 
 def test_many_queries_take_the_grouped_way(spark, monkeypatch):
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 2)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 200)
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
     asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id long, query_vector array<float>")
     few = search.top_k(rows, asked, 2).select("query_id", "vec_id", "rank").collect()
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 100)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 10_000)
     assert sorted(few) == sorted(search.top_k(rows, asked, 2).select("query_id", "vec_id", "rank").collect())
 
 
+def test_grouped_search_uses_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 20_001 * 80 // 2)
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    asked = spark.range(20_001).select(F.col("id").alias("query_id"), F.array(F.rand(3), F.rand(4)).alias("query_vector"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = search.with_scores(rows, asked)
+        assert "BroadcastNestedLoopJoin" not in met._jdf.queryExecution().executedPlan().toString()
+        spread = met.groupBy(F.spark_partition_id()).count().collect()
+        assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in spread) == 400 * 20_001
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_quoted_csv_against_a_reader(spark):
+    import csv
+    import io
+    import random
+
+    r = random.Random(9)
+    texts = []
+    for _ in range(60):
+        rows = [[r.choice(["a", "b c", 'say "hi"', "x,y", "two\nlines", '""', "7", '"'  , ", "]) for _ in range(3)] for _ in range(r.randrange(1, 6))]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(rows)
+        texts.append((out.getvalue(), [[c.lstrip(" ") if c == c.lstrip(" ") else c for c in row] for row in rows]))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    got = {x.i: x.r for x in df.select("i", csvchunks.records("t", F.lit(",")).alias("r")).collect()}
+    assert [got[i] for i in range(len(texts))] == [rows for _, rows in texts]
+
+
+def test_misplaced_quotes_are_kept(spark):
+    df = spark.createDataFrame([('a"b,"c d"\n"e" f,g"',)], "t string")
+    assert df.select(csvchunks.records("t", F.lit(",")).alias("r")).first().r[0] == ['a"b', "c d"]
+
+
+def test_json_without_a_limit_of_depth(spark):
+    deep = "[" * 40 + '{"a": "x{[\\"]}", "b": [1, null, true]}' + "]" * 40
+    meta = jsonchunks.json_metadata(spark.createDataFrame([(deep,), ("3",), ("{}",), ("[1,",), (None,)], "text string")).collect()
+    assert [(m.is_valid, m.object_count, m.array_count, m.primitive_count, m.depth) for m in meta] == [(True, 1, 41, 4, 43), (True, 0, 0, 1, 1), (True, 1, 0, 0, 1), (False, 0, 0, 0, 0), (False, 0, 0, 0, 0)]
+
+
+def test_overlaps_cut_no_character(spark):
+    df = spark.createDataFrame([("aé日本😀",), ("ab",), ("",)], "t string")
+    for n in range(12):
+        got = [r.e for r in df.select(split._tail(F.col("t"), n).alias("e")).collect()]
+        for t, e in zip(("aé日本😀", "ab", ""), got, strict=True):
+            assert e == next(t[k:] for k in range(len(t) + 1) if len(t[k:].encode()) <= n)
+
+
+def test_overlapping_pairs_against_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: r.choice(["the", "cat", "sat", "on", "mat", "a", "rug", "dog"])
+    a = [(i, " ".join(word() for _ in range(r.randrange(5)))) for i in range(30)] + [(90, "  "), (91, None)]
+    b = [(i, " ".join(word() for _ in range(r.randrange(9)))) for i in range(40)] + [(80, "xcat sat onx"), (81, "The CAT")]
+    want = {}
+    for i, x in a:
+        for j, y in b:
+            x_, y_ = (x or "").strip().lower(), (y or "").strip().lower()
+            n = sum(len(w) > 2 and w in x_.split() for w in y_.split())
+            if n:
+                share = n / max(len(x_.split()), len(y_.split()))
+                want[i, j] = (round(share, 9), x_ in y_ or y_ in x_ or share > 0.5)
+    left, right = spark.createDataFrame(a, "i long, text string"), spark.createDataFrame(b, "j long, text string")
+    got = {(p.i, p.j): (round(p.overlap, 9), p.matches) for p in evaluate.overlapping_pairs(left, right, "i", "j").collect()}
+    assert got == want
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), models.hashing_embedding)
     docs = spark.createDataFrame([("a", "red apple"), ("b", "green pear"), ("", "blue sky"), (None, " ")], "id string, page_content string")
