@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import words
-from folio.llm.common import flat, meet, per_text, slices, small_batches, utf8, written
+from folio.llm.common import drop, flat, meet, per_text, slices, small_batches, utf8, written
 from folio.llm.components import connected_components, merge_labels
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -102,23 +102,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, block: int = 1024) ->
                 yield orders[0][i + r], orders[1][j + c]
 
 
+def _roots(node: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A spanning forest (u, v) of links between places of ``node``; v is the least node of u's tree."""
+    order = np.argsort(node, kind="stable")  # a lower place is a lower node
+    place = np.empty(len(node), np.int64)
+    place[order] = np.arange(len(node))
+    parent = np.arange(len(node))
+    for i, j in links:
+        merge_labels(parent, place[i], place[j])
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    u, v = node[order], node[order][parent]
+    keep = u != v
+    return pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             sides = [batch.column(s).slice(k, 1).flatten() for s in (0, 1)]
             fp = [s.field("fp").to_numpy().view(np.uint64) for s in sides]
             node = np.concatenate([s.field("node").to_numpy() for s in sides])
-            order = np.argsort(node, kind="stable")  # a lower place is a lower node
-            place = np.empty(len(node), np.int64)
-            place[order] = np.arange(len(node))
-            parent = np.arange(len(node))
-            for i, j in tile_links(fp[0], fp[1], radius):
-                merge_labels(parent, place[i], place[len(fp[0]) + j])
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
-            u, v = node[order], node[order][parent]
-            keep = u != v
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+            yield _roots(node, ((i, len(fp[0]) + j) for i, j in tile_links(fp[0], fp[1], radius)))  # noqa: B023
 
 
 def near_links(reps: DataFrame, radius: int = 3, tile: int = 32768) -> DataFrame:
@@ -217,37 +222,28 @@ def _sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
     return small_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "key long, items array<long>")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], radius: int, both: int, every: bool) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], radius: int, both: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the candidate pairs of each pair of tiles."""
     for batch in batches:
         for k in range(batch.num_rows):
             sides = [batch.column(s).slice(k, 1).flatten() for s in (0, 1)]
             fp = [s.field("fp").to_numpy().view(np.uint64) for s in sides]
-            key, label, fp2, n = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "label", "fp2", "n"))
+            key, fp2, n = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "fp2", "n"))
             fp2, n = fp2.view(np.uint64), n.astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            place = np.empty(len(key), np.int64)
-            place[order] = np.arange(len(key))
-            none = np.int64(1) << 62
-            best, count = np.full(len(key), none), np.zeros(len(key), np.int64)
-            for i, j in tile_links(*fp, radius):
-                d = np.bitwise_count(fp[0][i] ^ fp[1][j]).astype(np.int64)
-                j = j + len(fp[0])
-                d += np.bitwise_count(fp2[i] ^ fp2[j])
-                ok = (d <= both) & (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-                i, j, d = i[ok], j[ok], d[ok]
-                if every and len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j])), pa.array(d), pa.array(np.ones(len(i), np.int64))], names=["u", "v", "d", "n"])
-                elif len(i):
-                    for x, y in ((i, j), (j, i)):
-                        np.minimum.at(best, x, (d << 32) + place[y])
-                        count += np.bincount(x, minlength=len(key))
-            x = np.flatnonzero(best < none)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[order[best[x] & 0xFFFFFFFF]]), pa.array(best[x] >> 32), pa.array(count[x])], names=["u", "v", "d", "n"])
-
-
-def _tile_candidates(nodes: DataFrame, radius: int, both: int, every: bool, tile: int) -> DataFrame:
-    """Pairs (u, v) of nodes with different labels whose sketches lie near: all, or the nearest of each node in each tile pair.
+
+            def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for i, j in tile_links(*fp, radius):  # noqa: B023
+                    d = np.bitwise_count(fp[0][i] ^ fp[1][j]).astype(np.int64)  # noqa: B023
+                    j = j + len(fp[0])  # noqa: B023
+                    d += np.bitwise_count(fp2[i] ^ fp2[j])  # noqa: B023
+                    ok = (d <= both) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))  # noqa: B023
+                    yield i[ok], j[ok]
+
+            yield _roots(key, near())
+
+
+def _candidate_links(nodes: DataFrame, radius: int, both: int, tile: int) -> DataFrame:
+    """Edges (u, v) that join all nodes whose sketches lie near each other.
 
     Sets of a Jaccard similarity of 0.8 differ in size by a quarter at most, so
     tiles are bands of sizes a little wider than that, compared with the next.
@@ -257,45 +253,84 @@ def _tile_candidates(nodes: DataFrame, radius: int, both: int, every: bool, tile
     counts = {r["p"]: r["count"] for r in nodes.groupBy(band.alias("p")).count().collect()}  # bands of a logarithm: under 100 rows
     chunks = {p: -(-n // tile) for p, n in counts.items()}
     if not chunks:
-        return spark.createDataFrame([], "u long, v long, d long, n long")
+        return spark.createDataFrame([], "u long, v long")
     of = F.create_map(*(F.lit(x) for p in chunks.items() for x in p))
     tiles = nodes.withColumn("p", band).withColumn("c", F.pmod(F.xxhash64("key"), of[F.col("p")]).cast("int"))
-    tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("key", "label", "fp", "fp2", "n")).alias("rows")), "tiles")
+    tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("key", "fp", "fp2", "n")).alias("rows")), "tiles")
     near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in (p, p + 1) if q in chunks]
-    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both, every), "u long, v long, d long, n long")
+    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both), "u long, v long")
+
+
+def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many items each set of a shares with each of b; sets are (items, number of items of each)."""
+    rows = [np.repeat(np.arange(len(n)), n) for _, n in (a, b)]
+    out = np.zeros((len(a[1]), len(b[1])), np.float32)  # exact below 2**24
+    found, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    item = [at[: len(a[0])], at[len(a[0]) :]]
+    seen = [np.bincount(x, minlength=len(found)) for x in item]
+    often = np.flatnonzero(seen[0] * seen[1] > 64)
+    for lo in range(0, len(often), 4096):  # frequent items by a matrix product
+        column = np.full(len(found), -1)
+        column[often[lo : lo + 4096]] = np.arange(len(often[lo : lo + 4096]))
+        sides = []
+        for k in (0, 1):
+            own = column[item[k]] >= 0
+            side = np.zeros((out.shape[k], len(often[lo : lo + 4096])), np.float32)
+            side[rows[k][own], column[item[k][own]]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    rare = (seen[0] > 0) & (seen[1] > 0)
+    rare[often] = False
+    own = [rare[x] for x in item]
+    order = np.argsort(item[1][own[1]], kind="stable")
+    other = rows[1][own[1]][order]
+    first = np.searchsorted(item[1][own[1]][order], item[0][own[0]])
+    times = seen[1][item[0][own[0]]]
+    np.add.at(out, (np.repeat(rows[0][own[0]], times), other[flat(first, times)]), 1)
+    return out
+
+
+def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of chunks of a candidate component: a forest of the pairs of Jaccard similarity 0.8 or more."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sides = [batch.column(s).slice(k, 1).flatten() for s in (0, 1)]
+            key = [s.field("key").to_numpy() for s in sides]
+            n = [s.field("n").to_numpy().astype(np.int64) for s in sides]
+            common = common_counts(*((s.field("items").flatten().to_numpy(), m) for s, m in zip(sides, n, strict=True)))
+            i, j = np.nonzero(9 * common >= 4 * (n[0][:, None] + n[1][None, :]))  # 0.8 of the union
+            yield _roots(np.concatenate(key), iter([(i, j + len(key[0]))]))
 
 
-def similar_links(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, both: int, tile: int, few: int = 16) -> DataFrame:
+def similar_links(docs: DataFrame, reps: DataFrame, shingle: int, radius: int, both: int, tile: int, chunk_items: int = 1 << 18, chunk_sets: int = 1024) -> DataFrame:
     """Edges (u, v) between keys that join all candidates of Jaccard similarity 0.8 or more into the same components.
 
-    Every edge is checked on the sets themselves. A group of near copies has
-    far more candidates than its components need: while there are over ``few``
-    a node, only nearest ones of different components are checked, round by
-    round; at the end, all that still lie between components.
+    Candidates are gathered into components first. In each, one set is compared
+    with all others, which settles the components of plain copies; the sets that
+    it doesn't link meet all sets of their component in chunks of bounded size.
+    Every edge is checked on the sets themselves, and no pair is written out.
     """
-    nodes = reps.where("n > 0").select("key", "node", "fp", "fp2", "n").withColumn("label", F.col("key"))
-    links, sets, every = docs.sparkSession.createDataFrame([], "u long, v long"), None, False
-    while True:
-        near = _tile_candidates(nodes, radius, both, False, tile)
-        near = written(near.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best"), F.sum("n").alias("n")), "nearest")
-        size = near.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("pairs")).first()
-        if not size["nodes"]:
-            return links
-        nodes = written(nodes.join(near.select(F.col("u").alias("key")), "key", "left_semi"), "nodes")
-        if sets is None:
-            sets = written(_sets(docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle).join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-        every = every or size["pairs"] <= few * size["nodes"]
-        pairs = _tile_candidates(nodes, radius, both, True, tile) if every else near.select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v"))
-        sides = [sets.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items")) for c in ("u", "v")]
-        checked = pairs.select("u", "v").distinct().join(sides[0], "u").join(sides[1], "v")
-        common = F.size(F.array_intersect("u_items", "v_items"))
-        found = written(checked.where(common * 9 >= (F.size("u_items") + F.size("v_items")) * 4).select("u", "v"), "links")  # 0.8 of the union
-        links = links.union(found)
-        if every:
-            return links
-        every = found.count() * 50 < size["nodes"]  # the nearest ones bring little more
-        of = connected_components(links).withColumnRenamed("node", "key")
-        nodes = written(nodes.drop("label").join(of, "key", "left").select("key", "node", "fp", "fp2", "n", F.coalesce("component", "key").alias("label")), "nodes")
+    nodes = reps.where("n > 0").select("key", "node", "fp", "fp2", "n")
+    group = written(connected_components(_candidate_links(nodes, radius, both, tile)).select(F.col("node").alias("key"), F.col("component").alias("g")), "candidates")
+    ids = nodes.join(group, "key").select(F.col("node").alias("doc_id"))
+    sets = _sets(docs.join(ids.distinct(), "doc_id", "left_semi"), shingle).join(group, "key").dropDuplicates(["key"])
+    sets = written(sets.select("key", "g", F.size("items").alias("n"), "items"), "sets")
+    hubs = written(sets.where("key = g").select("g", F.col("n").alias("hub_n"), F.col("items").alias("hub")), "hubs")  # a component is named by one of its keys
+    near = F.size(F.array_intersect("items", "hub")) * 9 >= (F.col("n") + F.col("hub_n")) * 4
+    told = written(sets.join(hubs, "g").select("key", "g", "n", F.when(near, 0).otherwise(1).alias("kind")), "told")
+    links = told.where("kind = 0 and key <> g").select(F.col("key").alias("u"), F.col("g").alias("v"))
+    open_ = told.groupBy("g", "kind").agg(F.greatest(F.ceil(F.sum("n") / chunk_items), F.ceil(F.count(F.lit(1)) / chunk_sets)).cast("int").alias("chunks"))
+    open_ = written(open_.join(told.where("kind = 1").select("g").distinct(), "g", "left_semi"), "open")
+    dealt = told.join(open_, ["g", "kind"]).select("key", "g", "kind", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("c"))
+    packed = written(sets.drop("g").join(dealt, "key").groupBy("g", "kind", "c").agg(F.collect_list(F.struct("key", "n", "items")).alias("rows")), "chunks")
+    drop(sets, hubs)
+    names = packed.select("g", "kind", "c")
+    pairs = names.where("kind = 1").join(names.select("g", F.col("kind").alias("kind2"), F.col("c").alias("d")), "g").where("kind2 = 0 or c <= d")
+    right = packed.select("g", F.col("kind").alias("kind2"), F.col("c").alias("d"), F.col("rows").alias("other"))
+    both_ = meet(pairs, packed, right, ["g", "kind", "c"], ["g", "kind2", "d"])
+    found = written(both_.select("rows", "other").mapInArrow(_set_links, "u long, v long"), "links")
+    drop(packed)
+    return links.union(found)
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 34, tile: int = 32768) -> DataFrame:
@@ -303,8 +338,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int =
 
     Near copies have a Jaccard similarity of at least 0.8 between their sets of
     ``shingle`` words. Candidates are texts whose SimHashes differ by ``radius``
-    bits at most, and by ``both`` together with a second, independent one; they
-    are then compared exactly. Null and empty texts and texts without words are
+    bits at most, and by ``both`` together with a second, independent one; sets
+    that candidates connect are then compared exactly. Null and empty texts and texts without words are
     copies of each other.
     """
     all_ = written(_sketches(docs.select("doc_id", "text"), shingle).where("doc_id is not null"), "sketches")

@@ -201,6 +201,33 @@ def test_near_copies_against_brute_force(spark):
     assert len(near) > 1000 and sorted(x.doc_id for x in kept.collect()) == sorted(set(of.values()))
 
 
+def test_common_counts():
+    r = np.random.default_rng(2)
+    a, b = ([np.unique(r.integers(0, 60 if i % 3 else 5000, r.integers(1, 40))) for i in range(n)] for n in (50, 70))
+    pack = lambda x: (np.concatenate(x), np.array([len(s) for s in x]))
+    assert (simhash.common_counts(pack(a), pack(b)) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_a_group_of_loose_copies_in_chunks(spark):
+    """Copies of which only some pairs reach 0.8: chunks of a component lose no link and add none."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for _ in range(240):
+        own = list(base)
+        for _ in range(r.randrange(1, 7)):
+            own[r.randrange(160)] = f"v{r.randrange(9000)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(156)} for w in (t.split() for t in texts)]
+    near = [(i, j) for i in range(240) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = simhash._sketches(docs, 5).groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("fp", "fp2", "n")))
+    links = simhash.similar_links(docs, reps, 5, 20, 34, 64, chunk_sets=40)
+    node = {x.key: x.node for x in reps.collect()}
+    found = [(node[x.u], node[x.v]) for x in links.collect()]
+    assert brute_components(range(240), found) == brute_components(range(240), near) and len(set(brute_components(range(240), near).values())) > 1
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
