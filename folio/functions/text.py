@@ -21,6 +21,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trim_space(c: str | Column) -> Column:
     """Without white space at both ends."""
     return F.btrim(col(c), F.lit(WHITE_CHARACTERS))

@@ -151,21 +151,42 @@ def imports(text: str | Column, language: Language) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(col(text), F.lit("(?m)" + language.imports), F.lit(1)), lambda x: x != ""))
 
 
-def group_declarations(found: DataFrame, size: int = 3000, key: str = "doc_id") -> DataFrame:
-    """Top-level declarations packed in order into ``code_group`` chunks of up to ``size`` bytes; larger ones stand alone."""
-    top = found.where("depth = 0").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "content", "name"))).alias("all"))
-    state = "array<struct<content:string,line_start:int,line_end:int,names:array<string>>>"
+def go_header(text: str | Column) -> Column:
+    """A Go file's package line and its first import block, each with a blank line after it."""
+    package = F.regexp_extract(col(text), r"(?m)^package\s+\w+", 0)
+    block = F.regexp_extract(col(text), r"(?m)^import\s*(?:\([^)]*\)|[^\n(]+)", 0)
+    part = lambda x: F.when(x != "", F.concat(x, F.lit("\n\n"))).otherwise("")
+    return F.concat(part(package), part(block))
+
+
+def group_declarations(found: DataFrame, size: int = 3000, key: str = "doc_id", header: str | None = None) -> DataFrame:
+    """Top-level declarations packed in order into ``code_group`` chunks of up to ``size`` bytes; larger ones stand alone.
+
+    Each chunk begins with its file's ``header``, which the size doesn't count.
+    """
+    rest = [key, *([header] if header else [])]
+    top = found.where("depth = 0").groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "content", "name"))).alias("all"))
+    state = "struct<size:int,ends:array<int>>"
 
     def step(s: Column, x: Column) -> Column:
-        n = F.size(s)
-        last = F.get(s, n - 1)
-        fits = (n > 0) & (F.octet_length(last["content"]) + 2 + F.octet_length(x["content"]) <= size)
-        new = F.struct(x["content"].alias("content"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.array(x["name"]).alias("names"))
-        joined = F.struct(F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"), last["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.array_append(last["names"], x["name"]).alias("names"))
-        return F.when(fits, F.array_append(F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))), joined)).otherwise(F.array_append(s, new)).cast(state)
-
-    made = top.withColumn("__g", F.aggregate("all", F.array().cast(state), step))
-    return made.select(key, F.posexplode("__g").alias("chunk_index", "c")).select(key, "chunk_index", F.lit("code_group").alias("type"), "c.*")
+        """The number of each group's declarations so far, and the open group's bytes."""
+        n, last = F.octet_length(x["content"]), F.size(s["ends"])
+        fits = (last > 0) & (s["size"] + 2 + n <= size)
+        grown = F.concat(F.slice(s["ends"], F.lit(1), F.greatest(last - 1, F.lit(0))), F.array(F.element_at(s["ends"], -1) + 1))
+        return F.when(fits, F.struct((s["size"] + 2 + n).alias("size"), grown.alias("ends"))).otherwise(F.struct(n.alias("size"), F.array_append(s["ends"], F.coalesce(F.try_element_at(s["ends"], F.lit(-1)), F.lit(0)) + 1).alias("ends"))).cast(state)
+
+    ends = F.aggregate("all", F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("ends")).cast(state), step, lambda s: s["ends"])
+    made = top.withColumn("__e", ends)
+
+    def group(end: Column, k: Column) -> Column:
+        first = F.coalesce(F.get(F.col("__e"), k - 1), F.lit(0))
+        own = F.slice("all", first + 1, end - first)
+        return F.struct(
+            F.array_join(F.transform(own, lambda x: x["content"]), "\n\n").alias("content"), own[0]["line_start"].alias("line_start"), F.element_at(own, -1)["line_end"].alias("line_end"), F.transform(own, lambda x: x["name"]).alias("names")
+        )
+
+    made = made.select(*rest, F.posexplode(F.transform("__e", group)).alias("chunk_index", "c")).select(*rest, "chunk_index", F.lit("code_group").alias("type"), "c.*")
+    return made.withColumn("content", F.concat(header, "content")).drop(header) if header else made
 
 
 def totals(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, count_of, lines, title_name, trim_space
+from folio.functions.text import bound, col, count_of, lines, title_name, trim_space
 
 #: Delimiters in the order that decides ties, and their names.
 DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -51,7 +51,10 @@ def format_row(cells: Column, d: str | Column = ",") -> Column:
 
 def records(text: str | Column, d: Column) -> Column:
     """Records as arrays of cells; blank lines are left out, spaces before a cell dropped, quotes undone."""
-    text = F.regexp_replace(col(text), r"\r\n", "\n")
+    return bound(F.regexp_replace(col(text), r"\r\n", "\n"), lambda t: _records(t, d))
+
+
+def _records(text: Column, d: Column) -> Column:
     plain = F.transform(F.filter(F.split(text, "\n", -1), lambda x: x != ""), lambda x: F.transform(F.split(x, F.concat(F.lit(r"\Q"), d, F.lit(r"\E")), -1), lambda c: F.ltrim(c)))
     state = "struct<cell:string,row:array<string>,rows:array<array<string>>,inside:boolean,held:boolean>"
     none = F.array().cast("array<string>")
@@ -155,11 +158,16 @@ def column_type(cells: Column, sample: int = 20) -> Column:
 
 def parsed(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """``docs`` with delimiter, records, has_header, headers, rows (without the header) and ``ragged``."""
-    out = docs.withColumn("delimiter", delimiter(text, path)).withColumn("records", records(text, F.col("delimiter")))
-    first = F.size(F.col("records")[0])
-    out = out.withColumn("ragged", F.exists("records", lambda r: F.size(r) != first)).withColumn("has_header", has_header(F.col("records")))
-    body = F.when(F.col("has_header"), F.slice("records", 2, F.greatest(F.size("records") - 1, F.lit(0)))).otherwise(F.col("records"))
-    return out.withColumn("headers", F.when(F.col("has_header"), F.col("records")[0])).withColumn("rows", body)
+
+    def read(d: Column) -> Column:
+        return bound(records(text, d), lambda r: bound(has_header(r), lambda h: parts(d, r, h)))
+
+    def parts(d: Column, r: Column, h: Column) -> Column:
+        body = F.when(h, F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
+        return F.struct(d.alias("delimiter"), r.alias("records"), h.alias("has_header"), F.exists(r, lambda x: F.size(x) != F.size(r[0])).alias("ragged"), F.when(h, r[0]).alias("headers"), body.alias("rows"))
+
+    out = docs.withColumn("__p", bound(delimiter(text, path), read))
+    return out.select(*docs.columns, "__p.*")
 
 
 def rows_per_chunk(max_lines: int = 0, chunk_size: int = 0) -> Column:

@@ -51,7 +51,9 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
     def prop(e: Column) -> Column:
         quoted = F.concat(F.lit('"'), e["key"], F.lit('"'))
         at = F.array_position(F.transform(lines(text), lambda x: F.contains(x, quoted)), True)
-        return make(F.concat(F.lit("{"), quoted, F.lit(":"), e["value"], F.lit("}")), F.greatest(at, F.lit(1)), F.greatest(at, F.lit(1)), "json_property", e["key"])
+        own = F.concat(F.lit("{"), quoted, F.lit(":"), e["value"], F.lit("}"))
+        first = F.greatest(at, F.lit(1))
+        return make(own, first, first + indented_lines(own) - 1, "json_property", e["key"])
 
     parts = F.transform(F.filter(entries, large), prop)
     items = F.when(k == "array", v).try_cast(_LIST)
@@ -60,13 +62,27 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
     def slice_(i: Column) -> Column:
         own = F.slice(items, i * group + 1, F.lit(group))
         end = F.least((i + 1) * group, n)
-        return make(F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: F.to_json(x)), ","), F.lit("]")), F.lit(1), F.lit(1), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
+        printed = F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: F.to_json(x)), ","), F.lit("]"))
+        return make(printed, F.lit(1), indented_lines(printed), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
 
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / group).cast("int") - 1, F.lit(0))), slice_)
     chunks = F.when(v.isNull(), invalid).when((k == "object") & (F.size(entries) > 5) & (F.size(parts) > 0), parts).when((k == "array") & (n > 10), slices).otherwise(whole)
     return found.where(trim_space(text) != "").select(*rest, F.posexplode(chunks).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
 
 
+def _without_strings(compact: Column) -> Column:
+    """A compact print with each string, keys included, as one letter."""
+    plain = F.replace(F.replace(compact, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    return F.regexp_replace(plain, '"[^"]*"', "s")
+
+
+def indented_lines(compact: Column) -> Column:
+    """How many lines a compact print takes when it is indented: one an element, and two a container that holds any."""
+    bare = _without_strings(compact)
+    filled = count_of(bare, "{") + count_of(bare, "[") - count_of(bare, "{}") - count_of(bare, "[]")
+    return (1 + count_of(bare, ",") + 2 * filled).cast("int")
+
+
 def _size(value: Column) -> Column:
     k = kind(value)
     return F.when(k == "object", F.size(F.map_keys(F.when(k == "object", value).try_cast(_MAP)))).when(k == "array", F.size(F.when(k == "array", value).try_cast(_LIST))).otherwise(0)
@@ -80,8 +96,7 @@ def json_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = docs.withColumn("__v", F.try_parse_json(F.col(text)))
     printed = F.coalesce(F.to_json("__v"), F.lit(""))
-    plain = F.replace(F.replace(printed, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', "s"), "s:", "")
+    bare = F.regexp_replace(_without_strings(printed), "s:", "")
     found = found.withColumn("__shape", F.regexp_replace(F.regexp_replace(bare, r"[^\[\]{},]+", "p"), ",", ""))
     opens = lambda c: (c == "{") | (c == "[")
     state = "struct<at:int,most:int>"

@@ -1,4 +1,4 @@
-"""Text of paged documents: cleanup, section headers, paragraphs. Getting text out of PDF files is left to a given function."""
+"""Text of paged documents: cleanup, sections, paragraphs, cutting of what is too long. Getting text out of PDF files is left to a given function."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, count_of, fields, sanitised, trim_space
+from folio.functions.text import WHITE, col, count_of, fields, lines, sanitised, trim_space
 
 _BREAK = r"(?:\r\n|\r|\n){2,}"
 
@@ -29,6 +29,87 @@ def is_section_header(line: str | Column) -> Column:
     return fits & (named | ((letters > 0) & (upper > 0.6 * letters)))
 
 
+#: Patterns of section headers, in the order in which they are tried; letter case doesn't count.
+SECTION_PATTERNS = (
+    r"Chapter\s+[0-9]+\.?\s*.*",
+    r"Section\s+[0-9]+\.?\s*.*",
+    r"[0-9]+\.\s+[A-Z][^.]*",
+    r"[A-Z][A-Z\s]{10,}",
+    "Introduction",
+    "Abstract",
+    "Summary",
+    "Conclusion",
+    "References",
+    "Bibliography",
+    "Appendix",
+)
+#: What stands before each page's text in a document of several pages.
+PAGE_MARKER = "--- Page "
+
+
+def sections(docs: DataFrame, text: str = "text", min_bytes: int = 30) -> DataFrame:
+    """A row for each section of ``min_bytes`` or more: section (from 1), title, content, line_start, line_end, start_page.
+
+    The first pattern by which a document has any section decides its headers;
+    without one, the header test of lines does. A section is what stands between
+    its header's line and the next header; its page is that of the last page
+    marker up to its header.
+    """
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.where(F.col(text).isNotNull()).withColumn("__l", F.transform(lines(text), lambda x: F.struct(x.alias("line"), trim_space(x).alias("t"))))
+
+    def cut(is_header) -> Column:
+        heads = F.filter(F.transform("__l", lambda x, i: F.when(is_header(x["t"]), i)), lambda i: i.isNotNull())
+
+        def section(at: Column, k: Column, all_: Column) -> Column:
+            end = F.coalesce(F.get(all_, k + 1), F.size("__l"))
+            body = trim_space(F.array_join(F.transform(F.slice("__l", at + 2, end - at - 1), lambda x: x["line"]), "\n"))
+            marks = F.filter(F.slice("__l", F.lit(1), at + 1), lambda x: x["t"].startswith(PAGE_MARKER))
+            page = F.regexp_extract(F.coalesce(F.try_element_at(marks, F.lit(-1))["t"], F.lit("")), PAGE_MARKER + "([0-9]+)", 1).try_cast("int")
+            return F.struct(F.get("__l", at)["t"].alias("title"), body.alias("content"), (at + 1).cast("int").alias("line_start"), (at + 1 + count_of(body, "\n")).cast("int").alias("line_end"), page.alias("start_page"))
+
+        made = F.transform(F.array(heads), lambda h: F.transform(h, lambda at, k: section(at, k, h)))[0]
+        return F.filter(made, lambda s: F.octet_length(s["content"]) >= min_bytes)
+
+    some = lambda c: F.when(F.size(c) > 0, c)
+    by_pattern = [some(cut(lambda t, p=p: t.rlike(rf"(?i)\A(?:{p})\z"))) for p in SECTION_PATTERNS]
+    by_look = cut(lambda t: ~F.contains(t, F.lit(PAGE_MARKER.strip())) & is_section_header(t))
+    found = rows.select(*rest, F.posexplode(F.coalesce(*by_pattern, by_look)).alias("k", "s"))
+    return found.select(*rest, (F.col("k") + 1).alias("section"), "s.*")
+
+
+def split_oversized(chunks: DataFrame, most: int = 500, min_bytes: int = 30) -> DataFrame:
+    """Chunks of over ``most`` lines or bytes cut after the line with which a part reaches ``most`` of either; small parts are left out.
+
+    ``identifier`` and ``type`` of parts get ``_split_k`` and ``_split``.
+    """
+    state = "struct<lines:int,bytes:int,ends:array<int>>"
+    own = lines("content")
+    total = F.size(own)
+    start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("bytes"), F.array().cast("array<int>").alias("ends")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["lines"] + 1
+        size = s["bytes"] + F.octet_length(x["line"]) + F.when(s["lines"] > 0, 1).otherwise(0)
+        full = (n >= most) | (size >= most) | (x["k"] == total)
+        return F.when(full, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("bytes"), F.array_append(s["ends"], x["k"]).alias("ends"))).otherwise(F.struct(n.alias("lines"), size.alias("bytes"), s["ends"].alias("ends"))).cast(state)
+
+    numbered = F.transform(own, lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("k")))
+    large = (F.octet_length("content") > most) | (F.col("line_end") - F.col("line_start") + 1 > most)
+    rows = chunks.withColumn("__e", F.when(large, F.aggregate(numbered, start, step, lambda s: s["ends"])))
+
+    def part(end: Column, k: Column) -> Column:
+        first = F.coalesce(F.get(F.col("__e"), k - 1), F.lit(0))
+        return F.struct(F.array_join(F.slice(own, first + 1, end - first), "\n").alias("content"), (F.col("line_start") + first).alias("line_start"), (F.col("line_start") + end - 1).alias("line_end"))
+
+    parts = F.filter(F.transform("__e", part), lambda x: trim_space(x["content"]) != "")
+    named = F.transform(parts, lambda x, k: F.struct(x["content"].alias("content"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.concat("identifier", F.lit("_split_"), k.cast("string")).alias("identifier"), F.concat("type", F.lit("_split")).alias("type")))
+    whole = F.array(F.struct("content", "line_start", "line_end", "identifier", "type"))
+    rest = [c for c in chunks.columns if c not in ("content", "line_start", "line_end", "identifier", "type")]
+    out = rows.select(*rest, F.explode(F.coalesce(named, whole)).alias("c")).select(*rest, "c.*")
+    return out.where(F.octet_length(trim_space("content")) >= min_bytes)
+
+
 def paragraphs(docs: DataFrame, text: str = "text", min_bytes: int = 20) -> DataFrame:
     """A row for each paragraph of ``min_bytes`` trimmed bytes or more: number, content, first and last line."""
     rest = [c for c in docs.columns if c != text]

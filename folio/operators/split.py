@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import WHITE, col, extension, lines, token_estimate, trim_space
+from folio.storage import written
 
+#: Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", " ", "")
 _FOLD = "struct<cur:string,out:array<string>>"
 
@@ -17,7 +19,7 @@ def _fold(parts: Column, step) -> Column:
     return F.aggregate(parts, start, step, done)
 
 
-def _packed(text: Column, separator: str, size: int) -> Column:
+def _packed(text: Column, separator: str, size: int | Column) -> Column:
     """Parts between separators, joined again while they stay within ``size`` bytes."""
     quoted = rf"\Q{separator}\E" if separator else ""
 
@@ -54,7 +56,7 @@ def merge_with_overlap(chunks: Column, size: int, overlap: int) -> Column:
     return F.when(F.size(chunks) > 1, _fold(chunks, step)).otherwise(chunks)
 
 
-def recursive_split(text: str | Column, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> Column:
+def recursive_split(text: str | Column, size: int | Column = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """Chunks of a text of up to ``size`` bytes: paragraphs before lines before words before characters.
 
     A part that is too long goes on to the next separator; where overlaps are
@@ -114,7 +116,7 @@ def significant(content: str | Column, least: int = 50, share: float = 0.25, few
     return (F.octet_length(trimmed) >= least) & (solid > 0) & (useful >= fewest) & (useful >= share * solid)
 
 
-def post_process(chunks: DataFrame, size: int, max_lines: int, least: int = 50) -> DataFrame:
+def post_process(chunks: DataFrame, size: int | Column, max_lines: int | Column, least: int = 50) -> DataFrame:
     """Chunks worth keeping, those of over twice ``size`` tokens cut by lines into ``type``_part rows."""
     from folio.operators.textchunks import split_lines
 
@@ -135,6 +137,38 @@ def post_process(chunks: DataFrame, size: int, max_lines: int, least: int = 50)
     )
 
 
+def split_files(files: DataFrame, registry, text: str = "text", path: str = "path", window: int = 4096) -> DataFrame:
+    """From files to enriched chunks in one call.
+
+    Each file is tested for content worth splitting, chunked by its own parser
+    with sizes that follow its extension and length, and its chunks are filtered
+    and cut. A file whose parser leaves nothing falls back to recursive
+    splitting (``text_fallback``); one without significant content stays whole
+    (``original``). ``enriched_content`` adds the file's header line and the end
+    of the chunk before. Paths are taken as unique; null texts are left out.
+
+    Columns: path, chunk_index, total_chunks, content, type, identifier,
+    line_start, line_end, token_count, enriched_content.
+    """
+    given = files.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
+    sized = given.withColumn("worth", significant("text")).withColumn("size", recommended_size("path", F.octet_length("text")))
+    worth = sized.where("worth")
+    keep = ["path", "content", "type", "identifier", "line_start", "line_end", "token_count"]
+    chunks = registry.chunk_files(worth).where("type <> 'file'").select("path", "chunk_index", "content", "type", "identifier", "line_start", "line_end")
+    made = chunks.join(worth.select("path", "size"), "path")
+    made = written(post_process(made, F.col("size"), limits("size")[1]).select("chunk_index", *keep), "chunks")
+    total = F.size(lines("text"))
+    left = worth.join(made.select("path").distinct(), "path", "left_anti")
+    pieces = left.withColumn("__c", recursive_split("text", F.col("size"), 0)).select("path", total.alias("n"), F.posexplode("__c").alias("chunk_index", "content"))
+    fallback = pieces.select("chunk_index", "path", "content", F.lit("text_fallback").alias("type"), F.concat("path", F.lit("_part_"), F.col("chunk_index").cast("string")).alias("identifier"), F.lit(1).alias("line_start"), F.col("n").alias("line_end"), token_estimate("content").alias("token_count"))
+    original = sized.where(~F.coalesce("worth", F.lit(False))).select(F.lit(0).alias("chunk_index"), "path", F.col("text").alias("content"), F.lit("original").alias("type"), F.col("path").alias("identifier"), F.lit(1).alias("line_start"), total.alias("line_end"), token_estimate("text").alias("token_count"))
+    every = made.unionByName(fallback).unionByName(original)
+    order = Window.partitionBy("path").orderBy("chunk_index", "line_start", "type")
+    every = every.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("path")).cast("int"))
+    every = every.withColumn("__head", F.when(F.col("type") != "original", file_header("path", F.lit(""))).otherwise(""))
+    return enrich(every, "path", "chunk_index", "__head", window).drop("__head")
+
+
 def overlap_lines(content: str | Column, most: int = 3) -> Column:
     """Up to three last lines that say something: not blank, no closing brace, no comment. Null where there are none."""
     parts = lines(content)

@@ -107,13 +107,13 @@ def sections(text: str, mode: str = "full") -> Column:
     return F.aggregate(_classified(text), start, step, finish)
 
 
-def split_lines(content: Column, size: int) -> Column:
+def split_lines(content: Column, size: int | Column) -> Column:
     """Blocks of ``size`` lines as structs (k, content, from, to), blank ones left out; from and to count from 0."""
     parts = lines(content)
     count = F.ceil(F.size(parts) / size).cast("int")
     blocks = F.transform(
         F.sequence(F.lit(0), count - 1),
-        lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, k * size + 1, F.lit(size)), "\n").alias("content"), (k * size).alias("from"), (F.least((k + 1) * size, F.size(parts)) - 1).alias("to")),
+        lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, k * size + 1, size if isinstance(size, Column) else F.lit(size)), "\n").alias("content"), (k * size).alias("from"), (F.least((k + 1) * size, F.size(parts)) - 1).alias("to")),
     )
     return F.filter(blocks, lambda b: trim_space(b["content"]) != "")
 

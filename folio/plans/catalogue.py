@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -32,6 +32,43 @@ def _words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '[{W}]+'), lambda w: w <> '')"
 
 
+def _packed(parts: str, sep: str, size: int) -> str:
+    """SQL: a list's texts joined by ``sep`` from the first on while they stay within ``size`` bytes; empty ones are skipped."""
+    start = f"list_transform(list_filter({parts}, lambda p: p <> ''), lambda p: {{'cur': p, 'done': []::VARCHAR[]}})"
+    step = f"lambda s, x: CASE WHEN strlen(s.cur) + {len(sep)} + strlen(x.cur) <= {size} THEN {{'cur': s.cur || {_quote(sep)} || x.cur, 'done': s.done}} ELSE {{'cur': x.cur, 'done': list_append(s.done, s.cur)}} END"
+    return f"coalesce(list_transform([list_reduce({start}, {step})], lambda r: list_append(r.done, r.cur))[1], []::VARCHAR[])"
+
+
+def _quote(x: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in x) or "''"
+
+
+def _merged(parts: str, size: int, overlap: int) -> str:
+    """SQL: a list's texts joined by line feeds within ``size`` bytes, each further one after the end of the one before."""
+    tail = f"coalesce(list_filter(list_transform(range(0, {overlap + 1}), lambda k: right(s.cur, ({overlap} - k)::INT)), lambda t: strlen(t) <= {overlap})[1], '')"
+    step = f"lambda s, x: CASE WHEN strlen(s.cur) + 1 + strlen(x.cur) <= {size} THEN {{'cur': s.cur || chr(10) || x.cur, 'done': s.done}} ELSE {{'cur': {tail} || chr(10) || x.cur, 'done': list_append(s.done, s.cur)}} END"
+    start = f"list_transform({parts}, lambda p: {{'cur': p, 'done': []::VARCHAR[]}})"
+    return f"list_transform([list_reduce({start}, {step})], lambda r: list_append(r.done, r.cur))[1]"
+
+
+def _split(text: str, size: int, overlap: int, separators: tuple[str, ...], level: int = 0) -> str:
+    """SQL: the recursive split of one text."""
+    if not separators:
+        return f"[{text}]"
+    deeper = f"lambda p{level}: CASE WHEN strlen(p{level}) <= {size} THEN [p{level}] ELSE {_split(f'p{level}', size, overlap, separators[1:], level + 1)} END"
+    parts = f"string_split({text}, {_quote(separators[0])})" if separators[0] else f"regexp_extract_all({text}, '(?s).')"
+    flat = f"flatten(list_transform({_packed(parts, separators[0], size)}, {deeper}))"
+    if not overlap:
+        return flat
+    return f"list_transform([{flat}], lambda l{level}: CASE WHEN len(l{level}) > 1 THEN {_merged(f'l{level}', size, overlap)} ELSE l{level} END)[1]"
+
+
+def _split_sql(size: int, overlap: int, separators: tuple[str, ...]) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN strlen(text) <= {size} THEN [text] ELSE {_split('text', size, overlap, separators)} END AS parts FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, unnest(range(0, len(parts)))::INT AS chunk_index, len(parts)::INT AS total_chunks, md5(unnest(parts)) AS content_md5 FROM d"""
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -268,16 +305,37 @@ def significant_content(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", split.significant("text").alias("significant"))
 
 
-@query()
+@query(_split_sql(1000, 0, ("\n\n", "\n", " ", "")))
 def recursive_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return split.split_documents(docs, size=1000, overlap=0).select("doc_id", "chunk_index", "total_chunks", "content")
+    return split.split_documents(docs, size=1000, overlap=0).select("doc_id", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(_split_sql(1000, 100, ("\n", " ")))
 def overlap_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return split.split_documents(docs, size=1000, overlap=100, separators=("\n", " ")).select("doc_id", "chunk_index", "total_chunks", "content")
+    return split.split_documents(docs, size=1000, overlap=100, separators=("\n", " ")).select("doc_id", "chunk_index", "total_chunks", F.md5("content").alias("content_md5"))
+
+
+#: The survey's patterns, for SQL.
+_HEADER = "regexp_matches(t, '(?i)^(?:{})$')"
+_HEADERS = " UNION ALL ".join(f"SELECT doc_id, line_no, t, {k} AS p FROM lines WHERE {_HEADER.format(x)}" for k, x in enumerate(pdftext.SECTION_PATTERNS))
+
+
+@query(rf"""{_LINES},
+w AS (SELECT doc_id, line_no, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper FROM lines WHERE NOT contains(t, '--- Page')),
+heads AS ({_HEADERS} UNION ALL SELECT doc_id, line_no, t, 99 FROM w WHERE strlen(t) BETWEEN 5 AND 100 AND len({_words('t')}) BETWEEN 1 AND 10
+  AND (regexp_matches(t, '^(?:[0-9]+\.|Chapter[{W}]+[0-9]+|Section[{W}]+[0-9]+)') OR (letters > 0 AND upper > 0.6 * letters))),
+spans AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id, p ORDER BY line_no) AS next FROM heads),
+bodies AS (SELECT s.doc_id, s.p, s.line_no, s.t, {_trim("string_split(any_value(d.text), chr(10))[s.line_no + 1 : coalesce(s.next - 1, 1000000000)].array_to_string(chr(10))")} AS content
+  FROM spans s JOIN documents d USING (doc_id) GROUP BY s.doc_id, s.p, s.line_no, s.t, s.next),
+good AS (SELECT * FROM bodies WHERE strlen(content) >= 30),
+best AS (SELECT doc_id, min(p) AS p FROM good GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS section, t AS title, md5(content) AS content_md5, line_no::INT AS line_start,
+  (line_no + strlen(content) - strlen(replace(content, chr(10), '')))::INT AS line_end FROM good JOIN best USING (doc_id, p)""")
+def pdf_sections(spark, sf_dir):
+    made = pdftext.sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "section", "title", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
 _PARAGRAPHS = rf"""
@@ -375,13 +433,30 @@ def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.concat(F.lit("o_orderkey,o_custkey,o_orderstatus,o_totalprice\n"), own).alias("text")).withColumn("path", F.concat(F.lit("orders_"), F.col("file_id").cast("string"), F.lit(".csv")))
 
 
-@query("""
-SELECT floor(o_orderkey / 40)::BIGINT AS file_id, count(*)::INT AS row_count, 4 AS column_count, true AS has_header, 'comma' AS delimiter,
-  'integer,integer,text,float' AS column_types FROM orders GROUP BY 1""")
+_CELLS = """
+WITH c AS (SELECT floor(o_orderkey / 40)::BIGINT AS file_id, o_orderkey, [o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(15,2)::VARCHAR] AS cells FROM orders),
+headed AS (SELECT DISTINCT file_id, -1 AS o_orderkey, ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice'] AS cells FROM c WHERE file_id % 2 = 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o_orderkey) AS k FROM (FROM c UNION ALL FROM headed)),
+pair AS (SELECT file_id, max(cells) FILTER (k = 1) AS a, max(cells) FILTER (k = 2) AS b, count(*) AS n FROM numbered GROUP BY file_id),
+head AS (SELECT file_id, n, n < 2 OR list_sum(list_transform(range(1, 5), lambda i: (NOT regexp_matches(a[i], '^[-+]?[0-9]+[.]?[0-9]*$'))::INT + (a[i] <> b[i])::INT + (strlen(a[i]) < 30)::INT)) > 4 AS has_header FROM pair),
+body AS (SELECT x.file_id, unnest(x.cells) AS cell, unnest([1, 2, 3, 4]) AS col, k - h.has_header::INT AS place FROM numbered x JOIN head h USING (file_id) WHERE k > h.has_header::INT),
+kinds AS (SELECT file_id, col, CASE WHEN cell IN ('0', '1') THEN 0 WHEN regexp_matches(cell, '^[0-9]+$') THEN 1 WHEN regexp_matches(cell, '^[-0-9]+[.][0-9]+$') THEN 2 ELSE 4 END AS kind FROM body WHERE place <= 20),
+counted AS (SELECT file_id, col, kind, count(*) AS n FROM kinds GROUP BY ALL),
+best AS (SELECT file_id, col, arg_max(kind, (n, -kind)) AS kind FROM counted GROUP BY ALL)"""
+_KIND = "CASE kind WHEN 0 THEN 'boolean' WHEN 1 THEN 'integer' WHEN 2 THEN 'float' ELSE 'text' END"
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV texts of orders, every second one without its header line."""
+    return _order_files(spark, sf_dir).withColumn("text", F.when(F.col("file_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"\A[^\n]*\n", "")))
+
+
+@query(f"""{_CELLS}
+SELECT h.file_id, (h.n - h.has_header::INT)::INT AS row_count, (SELECT max(len(cells)) FROM numbered)::INT AS column_count, h.has_header, 'comma' AS delimiter,
+  (SELECT string_agg({_KIND}, ',' ORDER BY col) FROM best b WHERE b.file_id = h.file_id) AS column_types FROM head h WHERE h.n > 1""")
 def csv_header_detect(spark, sf_dir):
-    made = csvchunks.csv_metadata(_order_files(spark, sf_dir))
-    types = F.transform("column_types", lambda t: F.when(t == "boolean", "integer").otherwise(t))
-    return made.select("file_id", "row_count", "column_count", "has_header", "delimiter", F.array_join(types, ",").alias("column_types"))
+    made = csvchunks.csv_metadata(_mixed_files(spark, sf_dir)).where("row_count > 0")
+    return made.select("file_id", "row_count", "column_count", "has_header", "delimiter", F.array_join("column_types", ",").alias("column_types"))
 
 
 @query("""
@@ -394,14 +469,10 @@ def csv_row_groups(spark, sf_dir):
     return made.select("file_id", F.col("chunk_index").alias("chunk"), F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
-@query("""
-SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN lower(t) IN ('true','false','yes','no','y','n','1','0','on','off') THEN 'boolean' WHEN regexp_matches(t, '^[+-]?[0-9]+$') AND try_cast(t AS BIGINT) IS NOT NULL THEN 'integer'
-  WHEN regexp_matches(t, '(?i)^[+-]?(?:inf|infinity|nan|(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?)$') THEN 'float'
-  WHEN strlen(t) IN (10, 11, 12, 15) AND (strlen(t) - strlen(replace(t, '-', '')) = 2 OR strlen(t) - strlen(replace(t, '/', '')) = 2 OR contains(t, ' ')) THEN 'date' ELSE 'text' END AS cell_type
-FROM (SELECT doc_id, trim(split_part(text, ' ', 2), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM documents)""".replace("\\\\", "\\"))
+@query(f"{_CELLS} SELECT file_id, col::INT AS column_number, {_KIND} AS column_type FROM best")
 def csv_column_types(spark, sf_dir):
-    second = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
-    return table(spark, sf_dir, "documents").select("doc_id", csvchunks.cell_type(second).alias("cell_type"))
+    made = csvchunks.csv_metadata(_mixed_files(spark, sf_dir)).where("row_count > 0")
+    return made.select("file_id", F.posexplode("column_types").alias("column_number", "column_type")).withColumn("column_number", F.col("column_number") + 1)
 
 
 @query("SELECT event_id, json_valid(props) AS is_valid FROM events WHERE props IS NOT NULL UNION ALL SELECT -1 - doc_id, json_valid(text) FROM documents WHERE text IS NOT NULL")
@@ -466,9 +537,44 @@ def file_filter(spark, sf_dir):
     return rows.where(files.is_wanted("path", "length")).select("page_id", "path")
 
 
-@query(f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'go' WHEN 2 THEN 'markdown' WHEN 4 THEN 'yaml' ELSE 'text' END AS parser FROM documents")
+_NAMES = "CASE id % 9 WHEN 0 THEN '.go' WHEN 1 THEN '_test.go' WHEN 2 THEN '.Md' WHEN 3 THEN '.h' WHEN 4 THEN '.YAML' WHEN 5 THEN '.d.ts' WHEN 6 THEN '/Makefile' WHEN 7 THEN '.json.bak' ELSE '' END"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') || {_NAMES.replace('id', 'page_id')} AS path FROM pages),
+e AS (SELECT page_id, lower(regexp_extract(path, '([.][^./]*)$', 1)) AS ext FROM p),
+owner AS (SELECT * FROM (VALUES ('.go', 'go'), ('.md', 'markdown'), ('.yaml', 'yaml'), ('.ts', 'typescript'), ('.json', 'json'), ('.csv', 'csv'), ('.tf', 'terraform'), ('.proto', 'protobuf'), ('.pdf', 'pdf')) o(ext, parser))
+SELECT page_id, coalesce(parser, 'text') AS parser FROM e LEFT JOIN owner USING (ext)""")
 def parser_dispatch(spark, sf_dir):
-    return _with_path(table(spark, sf_dir, "documents")).select("doc_id", registry.default_registry().for_file("path").alias("parser"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*\z", ""), F.expr(_NAMES.replace("id", "page_id"))).alias("path"))
+    return pages.select("page_id", registry.default_registry().for_file("path").alias("parser"))
+
+
+_LOADED = "CASE doc_id % 4 WHEN 0 THEN 'notes/a_' || doc_id || '.txt' WHEN 1 THEN 'data/b_' || doc_id || '.json' WHEN 2 THEN 'logs/c_' || doc_id || '.log' ELSE 'other/d_' || doc_id END"
+
+
+@query(f"""{_SECTIONS},
+p AS (SELECT doc_id, text, {_LOADED} AS path FROM documents WHERE text IS NOT NULL),
+parts AS (
+  SELECT doc_id, CASE WHEN type = 'heading' THEN 1 ELSE 0 END AS late, 'text_section' AS type, content, line_start, line_end FROM sections WHERE strlen({_trim('content')}) >= 20 AND doc_id % 4 <> 1
+  UNION ALL SELECT doc_id, 0, CASE WHEN json_valid(text) THEN 'json_document' ELSE 'json_invalid' END, text, 1, len(string_split(text, chr(10))) FROM p WHERE doc_id % 4 = 1 AND {_trim('text')} <> ''),
+rest AS (SELECT doc_id, 0, CASE WHEN {_trim('text')} = '' THEN 'file' ELSE 'text_document' END, text, 1, len(string_split(text, chr(10))) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM parts)),
+every AS (FROM parts UNION ALL FROM rest)
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY line_end, late) - 1)::INT AS chunk_index, count(*) OVER (PARTITION BY path)::INT AS total_chunks, type, md5(content) AS content_md5,
+  line_start::INT AS line_start, line_end::INT AS line_end FROM every JOIN p USING (doc_id)""")
+def repository_chunks(spark, sf_dir):
+    """The loader's path: files, parsers by file name, chunks, whole files where there are none, totals."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.expr(_LOADED).alias("path"), "text")
+    made = registry.default_registry().chunk_files(docs)
+    return made.select("path", "chunk_index", "total_chunks", "type", F.md5("content").alias("content_md5"), "line_start", "line_end")
+
+
+@query()
+def enriched_chunks(spark, sf_dir):
+    """From files to enriched chunks: parsers, sizes by extension, filters, fallback and context."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.expr(_LOADED).alias("path"), "text")
+    made = split.split_files(docs, registry.default_registry())
+    return made.select("path", "chunk_index", "total_chunks", "type", "line_start", "line_end", "token_count", F.md5("enriched_content").alias("enriched_md5"))
 
 
 # --- messages, prompts, chains, evaluation ------------------------------------
@@ -591,32 +697,142 @@ def deterministic_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(10).select("doc_id")
 
 
-# --- grammars over inline files -----------------------------------------------
+# --- grammars over files built from tables -------------------------------------
 
 
-def _declared(language: codeblocks.Language, text: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return codeblocks.declarations(spark.createDataFrame([(0, text)], "doc_id long, text string"), language).drop("doc_id")
+def _files(rows: DataFrame, by: str, order: str, part: Column, head: Column | None = None) -> DataFrame:
+    """(file_id, text): the parts of each group in order, a blank line between them, after a head."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda x: x["p"])
+    joined = F.array_join(parts, "\n")
+    return rows.groupBy(F.col(by).alias("file_id")).agg((F.concat(head, joined) if head is not None else joined).alias("text"))
 
-    return run
 
+def _declared(files: DataFrame, language: codeblocks.Language) -> DataFrame:
+    found = codeblocks.declarations(files, language, key="file_id")
+    return found.select("file_id", "kind", "qualified_name", "line_start", "line_end", "depth", F.md5("content").alias("content_md5"))
 
-_QUERIES["go_chunks"] = _declared(codeblocks.GO, "package shop\n\n// Price of an item.\ntype Price struct {\n\tCents int\n}\n\nfunc (p Price) Add(q Price) Price {\n\treturn Price{p.Cents + q.Cents}\n}\n")
-_QUERIES["proto_chunks"] = _declared(codeblocks.PROTO, 'syntax = "proto3";\nmessage Outer {\n  message Inner {\n    string name = 1;\n  }\n  Inner inner = 1;\n}\nservice Find {\n  rpc Get(Outer) returns (stream Outer);\n}\n')
-_QUERIES["terraform_chunks"] = _declared(codeblocks.TERRAFORM, 'variable "region" {\n  default = "north"\n}\nresource "disk" "main" {\n  size = 3\n}\n')
-_QUERIES["ts_chunks"] = _declared(codeblocks.TYPESCRIPT, "export class Cart {\n  private items: string[] = [];\n  constructor() {\n  }\n  add(x: string): void {\n    this.items.push(x);\n  }\n}\n")
 
+def _blocks_sql(source: str, stride: int, before: int, rows: list[tuple[str, str, int, int, int, str]]) -> str:
+    """SQL: declarations (kind, name, first and last line in a block, depth, content) of blocks of ``stride`` lines; k is a block's place from 0."""
+    return " UNION ALL ".join(
+        f"SELECT file_id, '{kind}' AS kind, {name} AS qualified_name, (k * {stride} + {before + first})::INT AS line_start, (k * {stride} + {before + last})::INT AS line_end, {depth}::INT AS depth, md5({content}) AS content_md5 FROM ({source})"
+        for kind, name, first, last, depth, content in rows
+    )
 
-@query()
+
+_PLACE = "row_number() OVER (PARTITION BY {0} ORDER BY {1}) - 1 AS k"
+_SUPPLIERS = f"SELECT s_nationkey AS file_id, s_suppkey AS id, s_name AS name, {_PLACE.format('s_nationkey', 's_suppkey')} FROM supplier"
+_NL = "chr(10)"
+
+
+def _lined(*lines: str) -> str:
+    """SQL: lines joined by line feeds; {id} and {name} stand for the row's values."""
+    return f" || {_NL} || ".join("'" + x.replace("'", "''").replace("{id}", "' || id || '").replace("{name}", "' || name || '") + "'" for x in lines)
+
+
+def _spelled(*lines: str, id_: str, name: str = "") -> Column:
+    """The same lines as an expression, with a line feed after the last."""
+    out: Column = F.lit("\n".join(lines) + "\n")
+    return F.replace(F.replace(out, F.lit("{id}"), F.col(id_).cast("string")), F.lit("{name}"), F.col(name) if name else F.lit(""))
+
+
+_TF = ('resource "supplier" "s_{id}" {', '  name = "{name} {"', "  tags = { kind = 1 }", "}")
+
+
+@query(_blocks_sql(_SUPPLIERS, 5, 0, [("resource", "'resource.supplier.s_' || id", 1, 4, 0, _lined(*_TF))]))
+def terraform_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    return _declared(_files(rows, "s_nationkey", "s_suppkey", _spelled(*_TF, id_="s_suppkey", name="s_name")), codeblocks.TERRAFORM)
+
+
+_GO = ("// S{id} is {name}.", "type S{id} struct {", "\tName string // }", "}", "", "func (s S{id}) Show() string {", '\treturn "{" + s.Name', "}")
+
+
+@query(_blocks_sql(_SUPPLIERS, 9, 4, [("struct", "'S' || id", 2, 4, 0, _lined(*_GO[1:4])), ("method", "'Show'", 6, 8, 0, _lined(*_GO[5:]))]))
+def go_chunks(spark, sf_dir):
+    return _declared(_go_files(spark, sf_dir), codeblocks.GO)
+
+
+def _go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", _spelled(*_GO, id_="s_suppkey", name="s_name"), F.lit('package shop\n\nimport "fmt"\n\n'))
+
+
+@query(f"""
+WITH d AS (SELECT file_id, k, unnest([{_lined(*_GO[1:4])}, {_lined(*_GO[5:])}]) AS content, unnest([1, 2]) AS part FROM ({_SUPPLIERS})),
+f AS (SELECT file_id, {_packed("list(content ORDER BY k, part)", chr(10) * 2, 300)} AS groups FROM d GROUP BY file_id)
+SELECT file_id, unnest(range(0, len(groups)))::INT AS chunk_index, md5('package shop' || {_NL} || {_NL} || 'import "fmt"' || {_NL} || {_NL} || unnest(groups)) AS content_md5 FROM f""")
+def go_groups(spark, sf_dir):
+    found = codeblocks.declarations(_go_files(spark, sf_dir).withColumn("header", codeblocks.go_header("text")), codeblocks.GO, key="file_id")
+    made = codeblocks.group_declarations(found, size=300, key="file_id", header="header")
+    return made.select("file_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+_PB = ("message N{id} {", "  string name = 1; // {", "  message Inner {", "    int32 id = 1;", "  }", "}")
+_NATIONS = f"SELECT n_regionkey AS file_id, n_nationkey AS id, n_name AS name, {_PLACE.format('n_regionkey', 'n_nationkey')} FROM nation"
+
+
+@query(_blocks_sql(_NATIONS, 7, 0, [("message", "'N' || id", 1, 6, 0, _lined(*_PB)), ("message", "'N' || id || '.Inner'", 3, 5, 1, _lined(*_PB[2:5]))]))
+def proto_chunks(spark, sf_dir):
+    return _declared(_files(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", _spelled(*_PB, id_="n_nationkey", name="n_name")), codeblocks.PROTO)
+
+
+_TS = ("export class P{id} {", "  private size: number = {id};", "  constructor() {", "  }", "  show(x: string): string {", '    return "}" + x;', "  }", "}")
+_PARTS = f"SELECT p_size AS file_id, p_partkey AS id, '' AS name, {_PLACE.format('p_size', 'p_partkey')} FROM part"
+
+
+@query(
+    _blocks_sql(
+        _PARTS,
+        9,
+        0,
+        [("class", "'P' || id", 1, 8, 0, _lined(*_TS)), ("property", "'P' || id || '.size'", 2, 2, 1, _lined(_TS[1])), ("constructor", "'P' || id || '.constructor'", 3, 4, 1, _lined(*_TS[2:4])), ("method", "'P' || id || '.show'", 5, 7, 1, _lined(*_TS[4:7]))],
+    )
+)
+def ts_chunks(spark, sf_dir):
+    return _declared(_files(table(spark, sf_dir, "part"), "p_size", "p_partkey", _spelled(*_TS, id_="p_partkey")), codeblocks.TYPESCRIPT)
+
+
+_SETTINGS = ("settings:", "  level: high", "  on: true", "# a remark")
+
+
+@query(f"""
+WITH n AS (SELECT n_regionkey AS file_id, 'nations:' || {_NL} || string_agg('  - ' || n_name, {_NL} ORDER BY n_nationkey) AS content, count(*) AS n FROM nation GROUP BY 1),
+parts AS (SELECT file_id, 'nations' AS identifier, content, 2 AS line_start, 2 + n AS line_end FROM n WHERE n > 1
+  UNION ALL SELECT file_id, 'settings', {_lined(*_SETTINGS)}, 3 + n, 6 + n FROM n)
+SELECT file_id, identifier, md5(content) AS content_md5, line_start::INT AS line_start, line_end::INT AS line_end FROM parts""")
 def yaml_chunks(spark, sf_dir):
-    text = "database:\n  host: a\n  port: 1\nserver:\n  port: 2\n  tls: true\nlogging:\n  level: info\nname: x\n"
-    return configs.chunk_yaml(spark.createDataFrame([(text, "app.yaml")], "text string, path string"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("  - "), x["n_name"])), "\n")
+    text = F.concat(F.lit("kind: region\nnations:\n"), names, F.lit("\n" + "\n".join(_SETTINGS) + "\nsize: 3\nlast: x"))
+    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("file_id")).agg(text.alias("text")).withColumn("path", F.lit("app.yaml"))
+    return configs.chunk_yaml(rows).select("file_id", "identifier", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
-@query()
+_MARKED = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || '## ') WHEN 1 THEN '# Start' || chr(10) || replace(text, '. ', '.' || chr(10) || '### part ') ELSE text || chr(10) || '```go' || chr(10) || 'func x() {}' || chr(10) || '```' || chr(10) || '# End #' END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_MARKED} AS text FROM documents WHERE {_trim('text')} <> ''),
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM d),
+f AS (SELECT *, starts_with({_trim('line')}, '```') AS fence FROM raw),
+s AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS inside FROM f),
+h AS (SELECT *, CASE WHEN inside OR fence THEN 0 ELSE length(regexp_extract(line, '^(#{{1,6}})[{W}]+', 1)) END AS level FROM s),
+g AS (SELECT *, inside OR fence AS code, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, sum((fence AND inside)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block,
+  CASE WHEN level > 0 THEN {_trim(f"regexp_replace(regexp_replace(line, '^#+[{W}]+', ''), '[{W}]+#+[{W}]*$', '')")} END AS title FROM h),
+codes AS (SELECT doc_id, section, block, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT fence), '') AS content, min(line_no) AS line_start, max(line_no) AS line_end FROM g WHERE code GROUP BY ALL),
+worth AS (SELECT * FROM codes WHERE len(string_split(content, chr(10))) > 50 OR regexp_matches(lower(content), 'func |function |class |def |public static void main|module[.]exports') OR (contains(lower(content), 'const ') AND contains(lower(content), 'async'))),
+body AS (SELECT * FROM g WHERE NOT (code AND (doc_id, block) IN (SELECT (doc_id, block) FROM worth))),
+heads AS (SELECT doc_id, line_no, level, title, section FROM g WHERE level > 0),
+names AS (SELECT doc_id, coalesce((SELECT nullif(regexp_replace(regexp_replace(line, '^#[ 	]+', ''), '[ 	#]*$', ''), '') FROM raw r WHERE r.doc_id = d.doc_id AND regexp_matches(line, '^#[ 	]+') ORDER BY line_no LIMIT 1), 'N ' || doc_id) AS name FROM d),
+sections AS (SELECT doc_id, section, {_trim("string_agg(line, chr(10) ORDER BY line_no)")} AS content, min(line_no) AS line_start, max(line_no) AS line_end, max(level) AS level, max(title) AS title FROM body GROUP BY ALL),
+above AS (SELECT i.doc_id, i.section, string_agg(j.title, ' > ' ORDER BY j.level) AS chain FROM heads i JOIN heads j ON i.doc_id = j.doc_id AND j.line_no < i.line_no AND j.level < i.level
+  WHERE NOT EXISTS (SELECT 1 FROM heads k WHERE k.doc_id = i.doc_id AND k.line_no > j.line_no AND k.line_no < i.line_no AND k.level <= j.level) GROUP BY ALL)
+SELECT doc_id, CASE WHEN level > 0 THEN 'section' ELSE 'document' END AS type, coalesce(title, name) AS identifier, coalesce(chain, '') AS parent_context, line_start::INT AS line_start, line_end::INT AS line_end, md5(content) AS content_md5
+  FROM sections JOIN names USING (doc_id) LEFT JOIN above USING (doc_id, section) WHERE content <> ''
+UNION ALL SELECT doc_id, 'code_block', name || ' - code ' || block, '', line_start, line_end, md5(content) FROM worth JOIN names USING (doc_id)""")
 def markdown_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("n_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
-    return markdown.chunk_markdown(docs).select("doc_id", "type", "identifier", "line_start", "line_end", "content")
+    docs = table(spark, sf_dir, "documents").where(~T.is_blank("text"))
+    docs = docs.select("doc_id", F.expr(_MARKED.replace("chr(10)", "char(10)")).alias("text"), F.concat(F.lit("n_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return markdown.chunk_markdown(docs).select("doc_id", "type", "identifier", "parent_context", "line_start", "line_end", F.md5("content").alias("content_md5"))
 
 
 @query(f"SELECT sha256(text) AS id, max(doc_id) AS doc_id FROM documents WHERE {_trim('text')} <> '' GROUP BY text")

@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, extension, repaired
+from folio.storage import written
 
 #: Directories that are never read.
 SKIPPED_DIRS = (".git", ".svn", ".hg", "vendor", "node_modules", "__pycache__", "build", "dist", "target", "out", "bin", ".vscode", ".idea", ".vs", ".DS_Store", "Thumbs.db")
 #: Extensions of files that hold no text.
-BINARY = tuple(f".{x}" for x in "exe dll so dylib png jpg jpeg gif bmp tiff svg ico zip tar gz rar 7z bz2 xz mp3 mp4 avi mov wav flac ogg doc docx xls xlsx ppt pptx bin dat db sqlite".split())
+BINARY = (
+    ".exe", ".dll", ".so", ".dylib", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".svg", ".ico", ".zip", ".tar", ".gz", ".rar", ".7z", ".bz2", ".xz",
+    ".mp3", ".mp4", ".avi", ".mov", ".wav", ".flac", ".ogg", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".bin", ".dat", ".db", ".sqlite",
+)
 MAX_FILE = 10 * 1024 * 1024
 
 
@@ -42,7 +46,7 @@ def scan(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: S
 
     The length test reaches the file scan, so that large files are not opened.
     ``total_budget`` keeps files, in path order, while their sizes add up to no
-    more; it needs one ordered pass over the file list and is off by default.
+    more; it needs the sums of ranges of the file list and is off by default.
     """
     if not root:
         raise ValueError("a path is needed")
@@ -51,11 +55,22 @@ def scan(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: S
     relative = F.regexp_replace(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), base, F.lit(r"/\E")), 2), -1), r"\A/+", "")
     found = raw.where(F.col("length") <= max_file).withColumn("path", relative).where(is_wanted("path", "length", include, exclude, more_dirs, max_file))
     if total_budget is not None:
-        names = found.select("path", "length").withColumn("before", F.sum("length").over(Window.orderBy("path")))
-        found = found.join(names.where(F.col("before") <= total_budget).select("path"), "path", "left_semi")
+        found = found.join(_within_budget(found.select("path", "length"), total_budget), "path", "left_semi")
     return found.select("path", repaired("content").alias("text"), "length", "modificationTime")
 
 
+def _within_budget(names: DataFrame, total: int) -> DataFrame:
+    """Paths, in order, whose sizes add up to ``total`` at most: sums of ranges of paths first, then sums within each range."""
+    spark = names.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = names.repartitionByRange(width, "path").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "file-sizes")
+    sums = ranged.groupBy("part").agg(F.sum("length").alias("size"))  # a row for each range
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum("length").over(Window.partitionBy("part").orderBy("path"))
+    return ranged.join(F.broadcast(offsets), "part").withColumn("sum", F.col("offset") + within).where(F.col("sum") <= total).select("path")
+
+
 @contextlib.contextmanager
 def cloned(url: str, ref: str | None = None) -> Iterator[str]:
     """A shallow clone in a folder of the driver that goes afterwards; read it out, or copy it to shared storage, inside."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import base_name, col, extension
+from folio.storage import written
 
 
 @dataclass(frozen=True)
@@ -62,24 +63,28 @@ class Registry:
         """Chunks of all files, each by its own parser; a file without chunks is one whole chunk.
 
         Columns: path, chunk_index, total_chunks, content, line_start, line_end, type, identifier.
+        The files are read once: they are written to the shared folder in a part
+        for each parser, and a parser reads its own part. Paths are taken as unique.
         """
         from folio.operators.textchunks import chunk_text
 
         named = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("parser", self.for_file("path"))
+        named = written(named, "files", by="parser")
         keep = ["path", "chunk_index", "content", "line_start", "line_end", "type", "identifier"]
         out = None
         for name, parser in self.parsers.items():
             own = named.where(F.col("parser") == name).select("path", "text")
-            made = (parser.chunk or chunk_text)(own).select(*keep)
+            made = (parser.chunk or chunk_text)(own).select(*(F.col(c).cast("int") if c in ("chunk_index", "line_start", "line_end") else c for c in keep))
             out = made if out is None else out.unionByName(made)
-        whole = named.join(out.select("path").distinct(), "path", "left_anti").select("path", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(1).alias("line_start"), F.size(F.split("text", "\n", -1)).alias("line_end"), F.lit("file").alias("type"), base_name("path").alias("identifier"))
-        every = out.unionByName(whole)
-        totals = every.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
-        return every.join(totals, "path")
+        every = named.select("path", "text").join(out, "path", "left")
+        alone = F.col("chunk_index").isNull()
+        whole = {"chunk_index": F.lit(0), "content": F.coalesce("text", F.lit("")), "line_start": F.lit(1), "line_end": F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)), "type": F.lit("file"), "identifier": base_name("path")}
+        every = every.select("path", *(F.when(alone, whole[c]).otherwise(F.col(c)).alias(c) for c in keep[1:]))
+        return every.withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("path")).cast("int"))
 
 
 def default_registry() -> Registry:
-    """Parsers of the ten formats."""
+    """Parsers of the ten formats; their names, extensions and bare names are fixed values."""
     from folio.operators import codeblocks, configs, csvchunks, jsonchunks, markdown, textchunks
 
     def code(language: codeblocks.Language) -> Callable[[DataFrame], DataFrame]:
@@ -90,13 +95,18 @@ def default_registry() -> Registry:
 
         return chunk
 
+    def grouped(files: DataFrame) -> DataFrame:
+        found = codeblocks.declarations(files.withColumn("header", codeblocks.go_header("text")), codeblocks.GO, "text", "path")
+        made = codeblocks.group_declarations(found, key="path", header="header")
+        return made.withColumn("identifier", F.concat("path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")))
+
     def marked(files: DataFrame) -> DataFrame:
         found = markdown.chunk_markdown(files.withColumn("file", F.col("path")), "text", "path", "file")
         return found.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("line_start")) - 1)
 
     out = Registry()
     for parser in (
-        Parser("go", (".go",), code(codeblocks.GO), refuses=r"_test\.go\z"),
+        Parser("go", (".go",), grouped, refuses=r"_test\.go\z"),
         Parser("markdown", (".md", ".markdown"), marked),
         Parser("json", (".json",), jsonchunks.chunk_json),
         Parser("yaml", (".yaml", ".yml"), configs.chunk_yaml),

@@ -265,6 +265,59 @@ def test_overlapping_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_sections_of_paged_text(spark):
+    text = "--- Page 1 ---\nChapter 1. Start\nsome words that are long enough to stay\n\nmore of them\n--- Page 2 ---\nchapter 2\nshort\nCHAPTER 3 end\nother words that are long enough to stay"
+    rows = pdftext.sections(spark.createDataFrame([(1, text), (2, "Abstract\n" + "w1 " * 20 + "\nINTRODUCTION TEXT\n" + "v1 " * 20), (3, None), (4, "nothing here")], "doc_id long, text string")).collect()
+    got = [(r.doc_id, r.section, r.title, r.line_start, r.line_end, r.start_page) for r in rows]
+    assert got == [(1, 1, "Chapter 1. Start", 2, 5, 1), (1, 2, "CHAPTER 3 end", 9, 9, 2), (2, 1, "INTRODUCTION TEXT", 3, 3, None)]
+
+
+def test_oversized_chunks_are_cut(spark):
+    content = "\n".join(f"line number {i} of the text" for i in range(10))
+    df = spark.createDataFrame([("a", content, 5, 14, "t"), ("b", "short but long enough to stay here", 1, 1, "t"), ("c", "tiny", 1, 1, "t")], "identifier string, content string, line_start int, line_end int, type string")
+    rows = pdftext.split_oversized(df, most=60, min_bytes=10).orderBy("identifier").collect()
+    assert [(r.identifier, r.type, r.line_start, r.line_end) for r in rows] == [("a_split_0", "t_split", 5, 7), ("a_split_1", "t_split", 8, 10), ("a_split_2", "t_split", 11, 13), ("a_split_3", "t_split", 14, 14), ("b", "t", 1, 1)]
+    assert "\n".join(r.content for r in rows[:4]) == content
+
+
+def test_files_to_enriched_chunks(spark):
+    prose = "\n\n".join(f"SECTION {c}\n" + "many words of a text that goes on and on here. " * 3 for c in "ABC")
+    rows = [("a.txt", prose), ("b.json", "no json, but words that are significant and long enough to be split at all"), ("c.txt", "- -- --- !!"), ("d.txt", ""), ("e.txt", None), ("f.go", "package p\n\n" + "\n\n".join(f"func F{i}() {{\n\tprintln(\"some text that is long\")\n}}" for i in range(4)))]
+    rows.append(("g.txt", "\n".join(["word word word."] * 3 + ["", ""]) * 9))
+    got = {}
+    for r in split.split_files(spark.createDataFrame(rows, "path string, text string"), registry.default_registry()).collect():
+        got.setdefault(r.path, []).append(r)
+    assert set(got) == {"a.txt", "b.json", "c.txt", "d.txt", "f.go", "g.txt"}
+    a = sorted(got["a.txt"], key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in a] == [0, 1, 2] and {r.total_chunks for r in a} == {3} and all("// File: a.txt" in r.enriched_content and r.enriched_content.endswith(r.content) for r in a)
+    assert [r.type for r in got["c.txt"]] == [r.type for r in got["d.txt"]] == ["original"] and got["c.txt"][0].enriched_content == "- -- --- !!"
+    assert got["b.json"][0].type == "json_invalid" and got["f.go"][0].content.startswith("package p\n\nfunc F0")
+    assert all(r.type == "text_section" or r.type == "text_fallback" for r in got["g.txt"])
+    assert split.split_files(spark.createDataFrame([], "path string, text string"), registry.default_registry()).collect() == []
+
+
+def test_go_groups_carry_package_and_imports(spark):
+    go = 'package shop\n\nimport (\n\t"fmt"\n)\n\nimport "os"\n\nfunc a() {\n\tfmt.Println(1)\n}\n\nfunc b() {\n\tfmt.Println(2)\n}\n'
+    docs = frame(spark, go).withColumn("header", codeblocks.go_header("text"))
+    rows = codeblocks.group_declarations(codeblocks.declarations(docs, codeblocks.GO), size=40, header="header").orderBy("chunk_index").collect()
+    head = 'package shop\n\nimport (\n\t"fmt"\n)\n\n'
+    assert [r.content for r in rows] == [head + "func a() {\n\tfmt.Println(1)\n}", head + "func b() {\n\tfmt.Println(2)\n}"]
+    assert len(codeblocks.group_declarations(codeblocks.declarations(docs, codeblocks.GO), header="header").collect()) == 1
+
+
+def test_json_property_lines(spark):
+    wide = '{\n"a": {"x": 1, "y": {}, "z": [1]},\n"b": 1,\n"c": 1,\n"d": 2,\n"e": 3,\n"f": "a text, of {more} than [twenty] bytes"}'
+    rows = {r.identifier: (r.line_start, r.line_end) for r in jsonchunks.chunk_json(frame(spark, wide)).collect()}
+    assert rows == {"a": (2, 10), "f": (7, 9)}  # as many lines as an indented print has
+
+
+def test_budget_keeps_files_in_order(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"f{i:02}.txt").write_text("x" * (i + 1))
+    kept = sorted(r.path for r in files.scan(spark, str(tmp_path), total_budget=30).collect())
+    assert kept == [f"f{i:02}.txt" for i in range(7)]
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), models.hashing_embedding)
     docs = spark.createDataFrame([("a", "red apple"), ("b", "green pear"), ("", "blue sky"), (None, " ")], "id string, page_content string")
@@ -341,7 +394,7 @@ def test_scan_and_registry(spark, tmp_path):
     assert {r.path for r in files.scan(spark, str(root), include=["go"]).collect()} == {"main.go"}
     assert {r.path for r in files.scan(spark, str(root), exclude=[".GO"]).collect()} == {"docs/a.txt", "bad.md"}
     made = registry.default_registry().chunk_files(files.scan(spark, str(root))).collect()
-    assert {(r.path, r.type) for r in made} == {("docs/a.txt", "text_section"), ("bad.md", "section"), ("main.go", "function")}
+    assert {(r.path, r.type) for r in made} == {("docs/a.txt", "text_section"), ("bad.md", "section"), ("main.go", "code_group")}
     tagged = registry.with_metadata(registry.default_registry().chunk_files(files.scan(spark, str(root)))).first()
     assert tagged.metadata["source"] == tagged.path
     with pytest.raises(ValueError):
