@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Removes an execution's shuffle files when it ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from folio.storage import drop, shared_dir, written
 
 #: Rows in an Arrow batch; texts may be long, and a batch is held by Spark and by Python.
 _BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 
+__all__ = ["drop", "fresh", "flat", "held_out", "meet", "per_text", "resident", "shared_dir", "slices", "small_batches", "utf8", "written"]
+
 #: Python-side working set: texts are handled in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    A session on one machine may leave it unset and gets a local folder; a
-    cluster may not, as its executors couldn't read each other's tables.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="folio-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after bounding the session's Arrow batches where nobody has set them."""
     conf = df.sparkSession.conf
@@ -46,36 +30,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    It cuts lineage: a lost executor costs the tasks of the later stages only,
-    and a table that several branches read is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    try:
-        spark.conf.set(_CLEAN, "true")  # the table stands in for the shuffles that led to it
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes the files of tables that ``written`` made and that nothing reads any more."""
-    for df in tables:
-        spark, own = df.sparkSession, f"{shared_dir(df.sparkSession)}/folio/"
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if own in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str], other: list[str]) -> DataFrame:
     """``pairs`` of block names with the blocks of both sides, spread over many tasks.
 

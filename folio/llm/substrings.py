@@ -133,7 +133,7 @@ def seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, at, n, ref_doc, ref_at): runs of n windows from word ``at`` on, and where the index holds them earlier."""
     blocks = written(_blocks(docs, window, gram), "blocks")
     shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("content").alias("a"), F.max("content").alias("b")).where("k > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    met = written(blocks.join(shared, "anchor"), "met")
+    met = written(blocks.join(written(shared, "anchors"), "anchor"), "met")  # of two tables: a frequent anchor can be split
     drop(blocks)
     place = F.struct("doc_id", "at")
     index = written(met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at", "n", "mixed")).alias("f"), F.count(F.lit(1)).alias("k")), "index")
@@ -146,7 +146,7 @@ def seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
     loose = written(_window_hashes(texts.join(edges, "doc_id").select("doc_id", "text", "spans"), window), "windows")
     drop(index)
     earliest = loose.groupBy("one", "two").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("one", "two", F.col("f.doc_id").alias("ref_doc"), F.col("f.at").alias("ref_at"))
-    single = loose.join(earliest, ["one", "two"]).where("doc_id <> ref_doc or at <> ref_at")
+    single = loose.join(written(earliest, "earliest"), ["one", "two"]).where("doc_id <> ref_doc or at <> ref_at")
     single = written(single.select("doc_id", "at", F.lit(1).alias("n"), "ref_doc", "ref_at"), "single")
     drop(loose)
     return whole.union(single)
