@@ -1,5 +1,6 @@
 """Plans keep the shape that holds at scale."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import search, split, textchunks
@@ -34,3 +35,22 @@ def test_chunking_has_no_shuffle_and_no_python(spark):
 def test_deletes_are_anti_joins(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label")
     assert "LeftAnti" in plan(search.delete_by_ids(v, v.where("label = 1")))
+
+
+def test_core_stays_without_the_optional_part(monkeypatch):
+    """A missing library of the optional subpackage leaves the core queries as they are."""
+    import importlib
+
+    import __spark_entry__
+    from folio.plans import catalogue
+
+    real = importlib.import_module
+
+    def missing(name, *args):
+        if name.startswith(("folio.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError("no module named xxhash", name="xxhash")
+        return real(name, *args)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(__spark_entry__.queries()) == set(catalogue.queries())
