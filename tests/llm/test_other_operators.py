@@ -356,6 +356,41 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_remove_what_is_planted_and_keep_the_rest(spark):
+    """Junk, toxic texts, copies, near copies and a shared passage among clean documents, stage by stage."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = [r.text for r in table.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").limit(5).collect()]
+    clean = table.join(labels.where("toxic = 0 and quality = 1"), "doc_id").where("length(text) between 1500 and 4000").dropDuplicates(["text"]).orderBy("doc_id").limit(12).collect()
+    passage = " ".join(f"unheard{i} of{i}" for i in range(40))
+    near = clean[0].text.split(" ")
+    near[len(near) // 2] = "changed"
+    planted = {
+        90_001: "12345 67890 -- 0000 !!! 424242", 90_002: "", 90_003: None,
+        **{91_000 + i: t for i, t in enumerate(toxic)},
+        92_000: clean[0].text, 92_001: clean[0].text, 92_002: " ".join(near),
+        93_000: clean[1].text[:700] + " " + passage, 93_001: clean[2].text[:700] + " " + passage + " the end of it",
+    }
+    rows = [(i, t, "en", "planted", len(t or "")) for i, t in planted.items()]
+    docs = table.unionByName(spark.createDataFrame(rows, table.schema))
+    kept, texts = {}, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf), name)
+        texts[name] = {r.doc_id: r.text for r in docs.collect()}
+        kept[name] = set(texts[name])
+    own = set(planted)
+    assert kept["language_id"] & own == own - {90_001, 90_002, 90_003}
+    assert not kept["toxicity"] & set(range(91_000, 91_005)) and {92_000, 93_000, 93_001} <= kept["toxicity"]
+    ids = {r.doc_id for r in clean}
+    assert ids <= kept["language_id"] and len(ids - kept["toxicity"]) <= 1
+    assert not kept["simhash_dedup"] & {92_000, 92_001, 92_002} and {93_000, 93_001} <= kept["simhash_dedup"]
+    first, second = texts["substring_dedup"][93_000], texts["substring_dedup"][93_001]
+    assert passage in first and "unheard" not in second and second.endswith("the end of it")
+    packed = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}
+    assert packed == kept["substring_dedup"] == kept["simhash_dedup"]
+
+
 def test_every_number_is_registered():
     import __spark_entry__
 
