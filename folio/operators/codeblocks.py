@@ -1,7 +1,7 @@
 """Code and schema languages by lines and brace depth: declarations as chunks, and their counts.
 
 Depth is a running sum over one document's lines, with string literals and
-comments blanked first; a declaration begins at its nesting level and ends
+comments blanked first, over several lines as well; a declaration begins at its nesting level and ends
 where the depth returns to it. This finds the constructs that matter for
 retrieval; it is no compiler front end, and odd layouts stay in one chunk.
 """
@@ -74,23 +74,31 @@ TYPESCRIPT = Language(
 LANGUAGES = {x.name: x for x in (GO, PROTO, TERRAFORM, TYPESCRIPT)}
 
 
-def _bare(line: Column, comment: str) -> Column:
-    """A line without string literals and line comments."""
-    plain = F.regexp_replace(line, r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'" + r"|`[^`]*`", '""')
-    return F.regexp_replace(plain, rf"{comment}.*\z", "")
+_LITERALS = (r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`]*+`", r"/\*(?s:.*?)\*/")
+
+
+def bare(text: str | Column, language: Language) -> Column:
+    """The text without string literals, comments and heredocs; its line feeds stay, so that lines keep their numbers."""
+    heredoc = (r"<<[-~]?(\w+)\n(?s:.*?)\n[ \t]*\1\b",) if language.name == "terraform" else ()
+    comments = tuple(dict.fromkeys((f"{language.comment}[^\n]*+", "//[^\n]*+")))
+    literals = _LITERALS if language.name != "terraform" else (_LITERALS[0], _LITERALS[3])  # an apostrophe is plain there
+    pattern = "|".join((*heredoc, *comments, *literals))
+    tokens = F.regexp_extract_all(col(text), F.lit(rf"(?:{pattern})|[^\"'`/#<]++|[\s\S]"), F.lit(0))
+    blank = lambda t: F.regexp_replace(t, r"[^\n]", "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) > 1, F.when(t.rlike(rf"\A(?:{pattern})\z"), blank(t)).otherwise(t)).otherwise(t)), "")
 
 
 def declaration_lines(docs: DataFrame, language: Language, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each line: depth before and after it, and the declaration it begins (kind, name), if any."""
     rest = [c for c in docs.columns if c != text]
-    rows = docs.select(*rest, F.posexplode(lines(text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
-    bare = _bare(F.col("line"), language.comment)
-    change = F.length(F.regexp_replace(bare, r"[^{(]", "")) - F.length(F.regexp_replace(bare, r"[^})]", ""))
+    both = F.arrays_zip(lines(text).alias("line"), lines(bare(text, language)).alias("bare"))
+    rows = docs.select(*rest, F.posexplode(both).alias("line_no", "x")).select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.line", "x.bare")
+    change = F.length(F.regexp_replace("bare", r"[^{(]", "")) - F.length(F.regexp_replace("bare", r"[^})]", ""))
     before = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("depth_after", F.sum(change).over(before)).withColumn("depth", F.col("depth_after") - change)
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, pattern, level in reversed(language.declarations):
-        hit = F.col("line").rlike(pattern) & (F.col("depth") <= level) & ((F.lit(level) != 1) | (F.col("depth") == 1))
+        hit = F.col("line").rlike(pattern) & F.col("bare").rlike(r"\S") & (F.col("depth") <= level) & ((F.lit(level) != 1) | (F.col("depth") == 1))
         kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(name)
     return rows.withColumn("kind", kind).withColumn("name", name)
 

@@ -45,8 +45,34 @@ def _first_document(text: Column) -> Column:
     return F.get(F.split(body, r"(?m)^(?:---|\.\.\.)[ \t]*$", 2), F.lit(0))
 
 
+def is_broken(text: str | Column) -> Column:
+    """Whether a line's own place shows that a text is no YAML.
+
+    A tab indents a line; a key stands deeper than one that has a value already;
+    or an item follows such a key at its own depth. Texts with block scalars,
+    quotes or flow brackets over several lines aren't told.
+    """
+    t = col(text)
+    own = F.filter(lines(t), lambda x: x.rlike(r"\A\s*[^\s#]") & ~x.rlike(r"\A(?:---|\.\.\.|%)"))
+    value = r"\A( *)(?:- )*[^\s#\"'\-\[\]{}][^:]*:[ \t]+[^\s#&!|>]"
+    depth = lambda x: F.length(F.regexp_extract(x, r"\A( *)", 1))
+    key, item = r"\A *[^\s#\"'\-\[\]{}][^:]*:(?:\s|\z)", r"\A *-(?:\s|\z)"
+
+    def wrong(x: Column, k: Column, all_: Column) -> Column:
+        before = F.get(all_, k - 1)
+        told = before.rlike(value) & ~before.rlike(item)
+        deeper = told & (depth(x) > depth(before)) & x.rlike(key)
+        above = F.try_element_at(F.filter(F.slice(all_, F.lit(1), k), lambda y: depth(y) <= depth(x)), F.lit(-1))
+        mixed = x.rlike(item) & (depth(above) == depth(x)) & above.rlike(value) & ~above.rlike(item)
+        return F.coalesce(deeper | mixed, F.lit(False))
+
+    plain = ~t.rlike(r"(?m)[|>][+-]?\d?[ \t]*$|[\[{][^\]}\n]*$|:[ \t]*[\"'][^\"'\n]*$")
+    broken = F.transform(F.array(own), lambda a: F.exists(F.transform(a, lambda x, k: wrong(x, k, a)), lambda w: w))[0]
+    return F.coalesce(t.rlike(r"(?m)^ *\t+ *[^\s#]") | (plain & broken), F.lit(False))
+
+
 def chunk_yaml(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """One chunk for up to three top-level keys (five items), else one for each key of two lines or more, or groups of 50 items."""
+    """One chunk for up to three top-level keys (five items), else one for each key of two lines or more, or groups of 50 items; ``yaml_invalid`` for what is_broken tells."""
     rest = [c for c in docs.columns if c != text]
     found = docs.where(trim_space(text) != "").withColumn("__t", _first_document(F.col(text)))
     found = found.withColumn("__l", lines("__t"))
@@ -74,5 +100,6 @@ def chunk_yaml(docs: DataFrame, text: str = "text", path: str = "path") -> DataF
         return make(F.array_join(F.transform(own, lambda g: F.array_join(g["own"], "\n")), "\n"), first["at"], last["at"] + F.size(last["own"]) - 1, "yaml_sequence", F.concat(F.lit("items["), (i * 50).cast("string"), F.lit("-"), (F.least((i + 1) * 50, n) - 1).cast("string"), F.lit("]")))
 
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 50).cast("int") - 1, F.lit(0))), group)
-    chunks = F.when((F.size(keys) > 3) & (F.size(parts) > 0), parts).when((F.size(keys) == 0) & (n > 5), groups).otherwise(whole)
+    invalid = F.array(make(F.col(text), F.lit(1), F.size(lines(text)), "yaml_invalid", title_name(path)))
+    chunks = F.when(is_broken(text), invalid).when((F.size(keys) > 3) & (F.size(parts) > 0), parts).when((F.size(keys) == 0) & (n > 5), groups).otherwise(whole)
     return found.select(*rest, F.posexplode(chunks).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")

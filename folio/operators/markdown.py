@@ -43,6 +43,15 @@ def front_value(text: str | Column, key: str) -> Column:
     return F.when(found != "", found)
 
 
+def front_values(text: str | Column) -> Column:
+    """All top-level ``key: value`` lines of the front matter as a map, quotes taken off; of a repeated key the last."""
+    found = F.filter(lines(F.coalesce(front_matter(text), F.lit(""))), lambda x: x.rlike(r"\A[A-Za-z0-9_-]+:"))
+    value = lambda x: F.regexp_extract(x, r"\A[A-Za-z0-9_-]+:[ \t]*[\"']?(.*?)[\"']?[ \t\r]*\z", 1)
+    pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"\A([A-Za-z0-9_-]+):", 1).alias("key"), value(x).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
 def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each line with ``in_code`` (an opening fence counts, its closing one doesn't), ``level`` and ``title`` of headings.
 

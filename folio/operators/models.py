@@ -71,6 +71,39 @@ def embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]]
     return F.pandas_udf(run, "array<float>")
 
 
+def try_embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]], batch: int = 32, **retrying) -> Callable[[Column], Column]:
+    """Like ``embedder``, but a struct (vector, error): a batch that fails for good costs its own rows only."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = retried(connect(), **retrying)
+        for part in texts:
+            vectors, errors = ([None] * len(part) for _ in range(2))
+            places = [k for k, ok in enumerate(part.notna()) if ok]
+            for lo in range(0, len(places), batch):
+                own = places[lo : lo + batch]
+                try:
+                    for k, v in zip(own, call(part.iloc[own].tolist()), strict=True):
+                        vectors[k] = [float(x) for x in v]
+                except Exception as e:  # noqa: BLE001 - whatever the service raises is this batch's status
+                    for k in own:
+                        errors[k] = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "vector array<float>, error string")
+
+
+def embedding_status(rows: DataFrame, result: str = "embedded") -> DataFrame:
+    """One row for rows with a column of ``try_embedder``: given, embedded, failed, skipped (no input), status and a first error.
+
+    The status is ok, partial (some failed), failed (all did), or empty.
+    """
+    error, vector = F.col(f"{result}.error"), F.col(f"{result}.vector")
+    counts = rows.agg(F.count(F.lit(1)).alias("given"), F.count(vector).alias("embedded"), F.count(error).alias("failed"), F.min(error).alias("first_error"))
+    status = F.when(F.col("given") == 0, "empty").when(F.col("failed") == 0, "ok").when(F.col("embedded") > 0, "partial").otherwise("failed")
+    return counts.select("given", "embedded", "failed", (F.col("given") - F.col("embedded") - F.col("failed")).alias("skipped"), status.alias("status"), "first_error")
+
+
 def http_embedder(url: str, timeout: float = 60.0) -> Callable[[], Callable[[list[str]], list]]:
     """A connector to a service that takes {"texts", "task"} at /embed and answers {"embeddings"}."""
 

@@ -30,7 +30,3 @@ FILE_METADATA = T.StructType(
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     ]
 )
-
-#: A message: who speaks, and its text parts in order.
-MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(T.StringType()))])
-EVAL_CASE = "query_id long, query_text string, ground_truth_answer string, relevant_passage string"

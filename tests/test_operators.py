@@ -305,6 +305,69 @@ def test_go_groups_carry_package_and_imports(spark):
     assert len(codeblocks.group_declarations(codeblocks.declarations(docs, codeblocks.GO), header="header").collect()) == 1
 
 
+def test_literals_over_lines_don_t_count(spark):
+    go = "package p\n\nvar s = `\nfunc fake() {\n`\n\n/* type Gone struct {\n */\nfunc real() {\n\tx := '{'\n\t// {\n}\n\nfunc after() {}\n"
+    rows = [(r.name, r.line_start, r.line_end) for r in codeblocks.declarations(frame(spark, go), codeblocks.GO).orderBy("line_start").collect()]
+    assert rows == [("s", 3, 3), ("real", 9, 12), ("after", 14, 14)]
+    tf = 'resource "a" "b" {\n  text = <<-EOT\n    variable "x" {\n    it\'s {\n  EOT\n}\noutput "c" {\n  value = 1 # {\n}\n'
+    rows = [(r.qualified_name, r.line_start, r.line_end) for r in codeblocks.declarations(frame(spark, tf), codeblocks.TERRAFORM).orderBy("line_start").collect()]
+    assert rows == [("resource.a.b", 1, 6), ("output.c", 7, 9)]
+
+
+@pytest.mark.parametrize(
+    "text, broken",
+    [
+        ("---\nname: test\n  invalid: indentation\n    more: problems\n- list item without proper structure\n", True),
+        ("a: 1\n\tb: 2\n", True),
+        ("a: 1\nb:\n- x\n- y\nc:\n  d: 1\n", False),
+        ("- a: 1\n  b: 2\n- c\n", False),
+        ("a: text that\n  goes on\nb: 2", False),
+        ("a: |\n  x: y\n   z: w\n", False),
+        ("a: 1\n- b\n", True),
+    ],
+)
+def test_broken_yaml(spark, text, broken):
+    assert [r.type for r in configs.chunk_yaml(frame(spark, text, "a.yaml")).collect()] == ["yaml_invalid" if broken else "yaml_document"]
+
+
+def test_front_values(spark):
+    got = frame(spark, "---\ntitle: 'A'\nmy-key: b c\nlist:\n  - x\ntitle: B\n---\ntext").select(markdown.front_values("text").alias("m")).first().m
+    assert got == {"my-key": "b c", "list": "", "title": "B"}
+
+
+def test_failed_batches_cost_their_own_rows(spark):
+    def connect():
+        def call(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return call
+
+    rows = spark.createDataFrame([("a",), ("bad",), (None,), ("ccc",)], "t string").coalesce(1)
+    made = rows.withColumn("embedded", models.try_embedder(connect, batch=1)("t"))
+    assert [(r.embedded.vector, r.embedded.error) for r in made.collect()] == [([1.0, 1.0], None), (None, "ValueError: refused"), (None, None), ([3.0, 1.0], None)]
+    status = models.embedding_status(made).first()
+    assert (status.given, status.embedded, status.failed, status.skipped, status.status) == (4, 2, 1, 1, "partial")
+    assert models.embedding_status(made.where("t = 'bad'")).first().status == "failed" and models.embedding_status(made.limit(0)).first().status == "empty"
+
+
+def test_store_versions(spark, tmp_path):
+    connect = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    store = Store(spark, str(tmp_path / "store"), connect=connect, config=BatchConfig(embedding_batch_size=1), most=3)
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, page_content string")
+    done = store.add(rows(("a", "one"), ("b", "two"), ("b", "two"), ("c", " "))).first()
+    assert (done.given, done.blank, done.written) == (4, 1, 2)
+    for k in range(5):
+        store.add(rows(("a", f"again {k}"), (f"n{k}", "new")))
+        store.delete(rows(("b", "x")).select("id"))
+        held = {r.id: r.page_content for r in store.read("documents").collect()}
+        assert held == {"a": f"again {k}"} | {f"n{j}": "new" for j in range(k + 1)}
+    assert len(store._versions("documents")) <= 4
+    asked = spark.createDataFrame([(1, "again 4")], "query_id long, q string").withColumn("query_vector", F.array(F.lit(7.0), F.lit(1.0)))
+    assert [r.id for r in store.retriever(1)(asked).collect()] == ["a"]
+
+
 def test_json_property_lines(spark):
     wide = '{\n"a": {"x": 1, "y": {}, "z": [1]},\n"b": 1,\n"c": 1,\n"d": 2,\n"e": 3,\n"f": "a text, of {more} than [twenty] bytes"}'
     rows = {r.identifier: (r.line_start, r.line_end) for r in jsonchunks.chunk_json(frame(spark, wide)).collect()}
@@ -331,7 +394,7 @@ def test_store(spark, tmp_path):
     store.delete_where({"page_content": "blue sky"})
     assert [r.id for r in store.read("documents").collect()] == ["a"]
     store.drop("documents")
-    assert not store.exists("documents") and store.health()
+    assert not store.exists("documents")
     with pytest.raises(KeyError):
         store.read("documents")
     assert resolve_name(None, "n") == "n" and BatchConfig(batch_size=5000).clamped().batch_size == 1000
