@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import flat, meet, written
+from folio.llm.common import drop, flat, meet, written
 from folio.llm.vectors import bounded_sample, content, cosines, matrix, unit, usable
 
 _SLACK = 1e-9
@@ -228,6 +228,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, low: int = 16, sur
     sampled = bounded_sample(index, ["dim"], "h1", block, sample_bytes)
     splits = {dim: Splits(unit(x) @ projection(dim, low), min(levels, int(np.ceil(np.log2(n / block))))) for (dim,), (n, x) in sampled.items()}
     placed = written(_with_cells(index, splits, low), "cells")
+    drop(index)
     bounds = [f(F.col("point")[j]).alias(f"{name}{j}") for j in range(low) for name, f in (("low", F.min), ("high", F.max))]
     boxes = {}
     for dim in splits:  # a few vector lengths, and cells that ``levels`` bounds
@@ -236,6 +237,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, low: int = 16, sur
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     dealt = placed.join(sizes, ["dim", "cell"]).withColumn("c", F.pmod(F.xxhash64("h1"), F.col("n")).cast("int"))
     packed = written(dealt.groupBy("dim", "cell", "c").agg(F.collect_list(F.struct("ids", "embedding")).alias("rows")), "blocks")
+    drop(placed)
 
     asked = queries.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")).dropDuplicates(["vec_id"])
     asked = written(_with_cells(asked, splits, low), "asked")

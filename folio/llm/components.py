@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import drop, written
 
 
 def merge_labels(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -43,5 +43,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = written(both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lower = written(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(lower.select("x", "m")).distinct(), "edges")
+        old, now = now, written(small.union(lower.select("x", "m")).distinct(), "edges")
+        drop(old, least, large, lower)
     raise RuntimeError("components did not settle")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import words
-from folio.llm.common import resident, slices, small_batches, utf8, written
+from folio.llm.common import drop, resident, slices, small_batches, utf8, written
 from folio.llm.memo import PieceTable
 
 
@@ -303,6 +303,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, shard_pieces: int = 2
         again = _evolved(migrated, capacity, population, generations, elite, 2 * round_ + 1)
         whole = again.groupBy("shard").agg(F.first("items").alias("items"), F.sort_array(F.collect_list(F.struct("island", "elite"))).alias("isles")).select("shard", "items", F.col("isles.elite").alias("elites"))
         placed = written(_placed(whole, capacity, 0.0 if last else poor_fill, round_), f"placed-{round_}")
+        drop(left)
         poor = placed.where("poor").count()
         if poor > stalled * n:
             done.append(placed)

@@ -144,7 +144,9 @@ def near_links(reps: DataFrame, radius: int = 3, tile: int = 32768) -> DataFrame
     tiles = named.join(F.broadcast(of), "p").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("fp", "node")).alias("rows")), "tiles")
     near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in chunks if p <= q and abs(p // 64 - q // 64) + abs(p % 64 - q % 64) <= radius]
-    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _forest(it, radius), "u long, v long")
+    links = written(meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _forest(it, radius), "u long, v long"), "links")
+    drop(tiles)
+    return links
 
 
 def _tile_pairs(spark: SparkSession, near: list[tuple[int, int, int, int]]) -> DataFrame:
@@ -172,6 +174,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, tile:
     repeated = fps.join(several, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     roots = written(connected_components(near_links(reps, radius, tile).union(repeated)), "components")
     of = written(reps.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    drop(reps, roots)
     joined = fps.join(of, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -258,7 +261,9 @@ def _candidate_links(nodes: DataFrame, radius: int, both: int, tile: int) -> Dat
     tiles = nodes.withColumn("p", band).withColumn("c", F.pmod(F.xxhash64("key"), of[F.col("p")]).cast("int"))
     tiles = written(tiles.groupBy("p", "c").agg(F.collect_list(F.struct("key", "fp", "fp2", "n")).alias("rows")), "tiles")
     near = [(p, q, chunks[p], chunks[q]) for p in chunks for q in (p, p + 1) if q in chunks]
-    return meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both), "u long, v long")
+    links = written(meet(_tile_pairs(spark, near), tiles, *_other(tiles)).select("rows", "other").mapInArrow(lambda it: _candidates(it, radius, both), "u long, v long"), "near")
+    drop(tiles)
+    return links
 
 
 def common_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -349,4 +354,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int =
     joined = links.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     copies = all_.join(reps.select("key", "node"), "key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
     roots = connected_components(joined.union(copies)).where("node <> component")
-    return docs.join(written(roots.select(F.col("node").alias("doc_id")), "copies"), "doc_id", "left_anti").select(docs.columns)
+    gone = written(roots.select(F.col("node").alias("doc_id")), "copies")
+    drop(all_, reps)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import fresh, held_out, per_text, resident, slices, written
+from folio.llm.common import drop, fresh, held_out, per_text, resident, slices, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("асеорхуіјѕһԁԛԝκαεοιρυνητωβгкмнт", "aceopxyijshdqwkaeoipuvntwbrkmht", strict=True)) | {"ı": "i", "ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe"}
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 16_000, shortest: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.float64()), batch.column(1).cast(pa.int32())], names=["total", "dense", "toxic"])
 
     seen = drawn.select("text", "toxic").mapInArrow(measure, "total double, dense double, toxic int").toPandas()
+    drop(drawn, counts)
     w = _logistic(np.log1p(seen[["total", "dense"]].clip(lower=0).to_numpy()), (seen["toxic"] == 1).to_numpy(float))
     if min(w[1:]) < 0:  # one of the two carries nothing of its own
         w[:2], w[2] = _logistic(np.log1p(seen[["total"]].clip(lower=0).to_numpy()), (seen["toxic"] == 1).to_numpy(float)), 0.0
