@@ -82,9 +82,10 @@ def repaired(c: str | Column) -> Column:
 
 
 def sanitised(c: str | Column, limit: int = 60) -> Column:
-    """Lower-case letters, digits and underscores; other runs become one underscore, none at the ends."""
-    clean = F.regexp_replace(F.lower(col(c)), r"[^a-z0-9_]+", "_")
-    return F.substring(F.regexp_replace(clean, r"\A_+|_+\z", ""), 1, limit)
+    """Lower-case letters, digits and single underscores for all other runs, none at the ends; ``untitled_section`` where nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9_]+", "_"), r"\A_+|_+\z", "")
+    cut = F.substring(F.regexp_replace(clean, "_{2,}", "_"), 1, limit)
+    return F.when(cut == "", "untitled_section").otherwise(cut)
 
 
 def template(text: str, *pairs: tuple[str, str | Column]) -> Column:

@@ -71,6 +71,8 @@ TYPESCRIPT = Language(
     r"""^\s*import\b.*?["']([^"']+)["']""",
     r"^\s*export\b|\bpublic\b|^\s*constructor\b",
 )
+#: A Terraform block's attributes and blocks, each on its own line.
+_ATTRIBUTE, _NESTED = r"\A\s*[\w-]+\s*=(?!=)", r'\A\s*[\w-]+(?:\s+"[^"]*")*\s*\{'
 LANGUAGES = {x.name: x for x in (GO, PROTO, TERRAFORM, TYPESCRIPT)}
 
 
@@ -136,6 +138,9 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
             lambda s: F.array_join(F.filter(s["out"], lambda x: x != ""), "\n"),
         )
         seen = F.when(d["line"].rlike(language.public) if language.name != "go" else d["name"].rlike(language.public), "public").otherwise("private")
+        inner = F.filter(F.slice("all", d["line_no"], last - d["line_no"] + 1), lambda x: (x["depth"] == d["depth"] + 1) & (x["line_no"] > d["line_no"]))
+        within = lambda pattern: F.size(F.filter(inner, lambda x: x["line"].rlike(pattern)))
+        blocks = [within(_ATTRIBUTE).alias("attribute_count"), within(_NESTED).alias("nested_block_count")] if language.name == "terraform" else []
         return F.struct(
             d["kind"].alias("kind"),
             d["name"].alias("name"),
@@ -148,6 +153,7 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
             said.alias("documentation"),
             seen.alias("visibility"),
             F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:repeated\s+|optional\s+|required\s+)?(?:map<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+"))).alias("field_count"),
+            *blocks,
         )
 
     made = F.transform(F.filter("all", lambda x: x["kind"].isNotNull()), one)  # within the row: no declaration carries the file's lines along
@@ -159,6 +165,39 @@ def imports(text: str | Column, language: Language) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(col(text), F.lit("(?m)" + language.imports), F.lit(1)), lambda x: x != ""))
 
 
+def terraform_annotations(found: DataFrame) -> DataFrame:
+    """Terraform declarations with ``annotations``: block type, counts, and what the labels say for each type of block."""
+    labels = F.regexp_extract_all("name", F.lit(r'"([^"]*)"'), F.lit(1))
+    label = lambda k: F.get(labels, F.lit(k))
+    only = lambda kind, value: F.when(F.col("kind").isin(kind), value)
+    source = F.regexp_extract("content", r'(?m)^\s*source\s*=\s*"([^"]*)"', 1)
+    values = {
+        "block_type": F.col("kind"),
+        "line_count": F.col("line_end") - F.col("line_start") + 1,
+        "attribute_count": F.col("attribute_count"),
+        "nested_block_count": F.col("nested_block_count"),
+        "resource_type": only("resource", label(0)),
+        "resource_name": only("resource", label(1)),
+        "data_type": only("data", label(0)),
+        "data_name": only("data", label(1)),
+        "module_name": only("module", label(0)),
+        "module_source": only("module", F.nullif(source, F.lit(""))),
+        "variable_name": only("variable", label(0)),
+        "output_name": only("output", label(0)),
+        "provider_name": only("provider", label(0)),
+        "local_count": only("locals", F.col("attribute_count")),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()))
+    return found.withColumn("annotations", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
+
+
+def rpc_streams(signature: str | Column) -> Column:
+    """Whether an rpc takes and gives streams, as a struct (takes, gives)."""
+    parts = F.split(col(signature), r"\breturns\b", 2)
+    streams = lambda k: F.coalesce(F.get(parts, F.lit(k)).rlike(r"\(\s*stream\s"), F.lit(False))
+    return F.struct(streams(0).alias("takes"), streams(1).alias("gives"))
+
+
 def go_header(text: str | Column) -> Column:
     """A Go file's package line and its first import block, each with a blank line after it."""
     package = F.regexp_extract(col(text), r"(?m)^package\s+\w+", 0)

@@ -83,6 +83,12 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def throughput(rows: DataFrame, started: str, ended: str) -> DataFrame:
+    """One row: documents, the seconds from the first start to the last end, and documents a second (null without time)."""
+    span = (F.max(F.unix_micros(ended)) - F.min(F.unix_micros(started))) / 1_000_000
+    return rows.agg(F.count(F.lit(1)).alias("documents"), span.alias("seconds")).withColumn("per_second", F.when(F.col("seconds") > 0, F.col("documents") / F.col("seconds")))
+
+
 def band(percent: str | Column) -> Column:
     p = col(percent)
     return F.when(p >= 90, "excellent").when(p >= 75, "good").when(p >= 60, "fair").otherwise("poor")

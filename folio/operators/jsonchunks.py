@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, count_of, lines, title_name, trim_space
+from folio.storage import written
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
@@ -88,6 +89,39 @@ def _size(value: Column) -> Column:
     return F.when(k == "object", F.size(F.map_keys(F.when(k == "object", value).try_cast(_MAP)))).when(k == "array", F.size(F.when(k == "array", value).try_cast(_LIST))).otherwise(0)
 
 
+def signature(value: Column) -> Column:
+    """``object{n properties}``, ``array[n] of`` its first item's kind, or the kind of a scalar."""
+    k, n = kind(value), _size(value).cast("string")
+    first = F.get(F.when(k == "array", value).try_cast(_LIST), F.lit(0))
+    return F.when(k == "object", F.concat(F.lit("object{"), n, F.lit(" properties}"))).when(k == "array", F.concat(F.lit("array["), n, F.lit("]"), F.when(first.isNotNull(), F.concat(F.lit(" of "), kind(first))).otherwise(""))).otherwise(k)
+
+
+def paths(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each value of each valid text: ``path`` (root, a.b[0]), ``key``, ``value_type`` (object, array, primitive), ``level``.
+
+    One level of nesting is unfolded at a time, for as long as any document has
+    a further one; a level is written to the shared folder before the next.
+    """
+    rest = [c for c in docs.columns if c != text]
+    names = {c: F.col(f"`{c}`") for c in rest}
+    level = docs.select(*names.values(), F.lit("root").alias("path"), F.lit("").alias("key"), F.col(text).alias("__t")).where(is_valid("__t"))
+    out, depth = None, 0
+    while True:
+        now = written(level.withColumn("__k", kind(F.parse_json("__t"))), "json-level")
+        if now.isEmpty():
+            break
+        own = now.select(*names.values(), "path", "key", F.when(F.col("__k").isin("object", "array"), F.col("__k")).otherwise("primitive").alias("value_type"), F.lit(depth).alias("level"))
+        out = own if out is None else out.union(own)
+        at_root = F.col("path") == "root"
+        fields = now.where("__k = 'object'").select(*names.values(), "path", F.explode(F.map_entries(F.parse_json("__t").cast(_MAP))).alias("e"))
+        fields = fields.select(*names.values(), F.when(at_root, F.col("e.key")).otherwise(F.concat("path", F.lit("."), "e.key")).alias("path"), F.col("e.key").alias("key"), F.to_json("e.value").alias("__t"))
+        items = now.where("__k = 'array'").select(*names.values(), "path", F.posexplode(F.parse_json("__t").cast(_LIST)).alias("i", "e"))
+        place = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]"))
+        level = fields.union(items.select(*names.values(), F.concat("path", place).alias("path"), place.alias("key"), F.to_json("e").alias("__t")))
+        depth += 1
+    return out if out is not None else now.select(*names.values(), "path", "key", F.lit("").alias("value_type"), F.lit(0).alias("level"))
+
+
 def json_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     """Validity, root kind, numbers of objects, arrays and scalars, and depth (1 for a scalar or an empty container).
 

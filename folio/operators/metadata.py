@@ -58,13 +58,16 @@ def csv_metadata(docs: DataFrame, text: str = "text", path: str = "path", key: s
 
 
 def json_metadata(docs: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
-    """Top-level keys as symbols; validity, counts, depth and size as properties."""
+    """Top-level keys as symbols and, with signatures, definitions; validity, counts, depth and size as properties."""
     found = jsonchunks.json_metadata(docs.where(F.col(text).isNotNull()).withColumn("__t", F.col(text)), text)
     v = F.try_parse_json("__t")
-    entries = F.array_sort(F.transform(F.map_entries(F.when(F.col("root_type") == "object", v).try_cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), jsonchunks.kind(e["value"]).alias("kind"))))
-    symbols = F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,kind:string>>")), lambda e: _symbol(e["key"], e["kind"], F.lit(None), F.lit(None), F.lit(True)))
+    entries = F.array_sort(F.transform(F.map_entries(F.when(F.col("root_type") == "object", v).try_cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), jsonchunks.kind(e["value"]).alias("kind"), jsonchunks.signature(e["value"]).alias("signature"))))
+    entries = F.coalesce(entries, F.array().cast("array<struct<key:string,kind:string,signature:string>>"))
+    form = lambda e: F.when(e["kind"].isin("object", "array"), e["kind"]).otherwise("property")
+    definitions = F.transform(entries, lambda e: _definition(form(e), e["key"], F.lit(None), F.lit(None), F.lit("public"), e["signature"], F.lit("")))
+    symbols = F.transform(entries, lambda e: _symbol(e["key"], e["kind"], F.lit(None), F.lit(None), F.lit(True)))
     names = ("is_valid", "root_type", "object_count", "array_count", "primitive_count", "depth", "size_bytes")
-    return _made(found, "json", path, key, F.array(), F.array(), symbols, _properties(**{n: F.col(n) for n in names}))
+    return _made(found, "json", path, key, F.array(), definitions, symbols, _properties(**{n: F.col(n) for n in names}))
 
 
 def markdown_metadata(docs: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:

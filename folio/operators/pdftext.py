@@ -127,6 +127,23 @@ def paragraphs(docs: DataFrame, text: str = "text", min_bytes: int = 20) -> Data
     return docs.select(*rest, F.explode(F.aggregate(numbered, start, step, lambda s: s["out"])).alias("x")).select(*rest, F.col("x.n").alias("paragraph"), "x.content", "x.line_start", "x.line_end")
 
 
+def likely_title(text: str | Column) -> Column:
+    """Of the first five lines (the fifth with all that follows), the first of 11 to 149 trimmed bytes that is among the first two or mostly capitalised."""
+    first = F.transform(F.split(col(text), "\n", 5), lambda x, i: F.struct(trim_space(x).alias("t"), i.alias("i")))
+
+    def fits(x: Column) -> Column:
+        words = fields(x["t"])
+        capital = F.size(F.filter(words, lambda w: w.rlike(r"\A\p{Lu}")))
+        return F.octet_length(x["t"]).between(11, 149) & ((x["i"] < 2) | (capital >= 0.6 * F.size(words)))
+
+    return F.get(F.filter(first, fits), F.lit(0))["t"]
+
+
+def pages_metadata(pages: DataFrame, text: str = "text", path: str = "path", page: str = "page") -> DataFrame:
+    """(path, page_count, title): how many pages each document has, and what its first page is likely called."""
+    return pages.groupBy(path).agg(F.max(page).cast("int").alias("page_count"), likely_title(F.min_by(text, page)).alias("title"))
+
+
 def page_chunks(pages: DataFrame, text: str = "text", name: str = "path", page: str = "page", min_bytes: int = 20) -> DataFrame:
     """Paragraph chunks of pages with identifiers made of file, page and paragraph."""
     found = paragraphs(pages.withColumn(text, cleaned(text)), text, min_bytes)

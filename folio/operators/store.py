@@ -40,6 +40,19 @@ def assign_ids(docs: DataFrame, content: str = "page_content") -> DataFrame:
     return docs.withColumn("id", F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(F.sha2(F.col(content), 256)))
 
 
+def payloads(docs: DataFrame, content: str = "page_content", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``payload``: content and metadata columns as one JSON object with typed values; nulls are left out."""
+    return docs.withColumn("payload", F.to_json(F.struct(F.col(content).alias("page_content"), *metadata)))
+
+
+def documents(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """``rows`` with ``page_content`` and ``metadata`` (a map of the other values, lists as JSON) of a payload."""
+    v = F.try_parse_json(F.col(payload))
+    rest = F.map_filter(v.try_cast("map<string,variant>"), lambda k, x: k != "page_content")
+    text = lambda k, x: F.coalesce(x.try_cast("string"), F.to_json(x))
+    return rows.withColumn("page_content", F.try_variant_get(v, "$.page_content", "string")).withColumn("metadata", F.transform_values(rest, text))
+
+
 class Store:
     """Named collections. A change writes what it adds and the ids it takes away beside the versions before it.
 

@@ -322,6 +322,14 @@ _HEADER = "regexp_matches(t, '(?i)^(?:{})$')"
 _HEADERS = " UNION ALL ".join(f"SELECT doc_id, line_no, t, {k} AS p FROM lines WHERE {_HEADER.format(x)}" for k, x in enumerate(pdftext.SECTION_PATTERNS))
 
 
+@query(rf"""{_LINES},
+five AS (SELECT doc_id, line_no, CASE WHEN line_no = 5 THEN (SELECT {_trim("string_agg(x.line, chr(10) ORDER BY x.line_no)")} FROM lines x WHERE x.doc_id = l.doc_id AND x.line_no >= 5) ELSE t END AS t FROM lines l WHERE line_no <= 5),
+fits AS (SELECT * FROM five WHERE strlen(t) BETWEEN 11 AND 149 AND (line_no <= 2 OR len(list_filter({_words('t')}, lambda w: regexp_matches(w, '^\p{{Lu}}'))) >= 0.6 * len({_words('t')})))
+SELECT d.doc_id, (SELECT arg_min(t, line_no) FROM fits f WHERE f.doc_id = d.doc_id) AS title FROM documents d""")
+def likely_title(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", pdftext.likely_title("text").alias("title"))
+
+
 @query(rf"""{_LINES},
 w AS (SELECT doc_id, line_no, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper FROM lines WHERE NOT contains(t, '--- Page')),
 heads AS ({_HEADERS} UNION ALL SELECT doc_id, line_no, t, 99 FROM w WHERE strlen(t) BETWEEN 5 AND 100 AND len({_words('t')}) BETWEEN 1 AND 10
@@ -361,7 +369,7 @@ def section_header_heuristic(spark, sf_dir):
     return rows.where(pdftext.is_section_header("trimmed")).select("doc_id", "line_no", F.col("trimmed").alias("line"))
 
 
-@query(r"SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_]+', '_', 'g'), '^_+', ''), '_+$', ''), 60) AS identifier FROM pages")
+@query(r"SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_', ''), '_$', ''), 60), ''), 'untitled_section') AS identifier FROM pages")
 def identifier_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.sanitised("url").alias("identifier"))
 
@@ -488,6 +496,17 @@ def json_properties(spark, sf_dir):
     return rows.select("event_id", "key", "value_kind", F.regexp_replace("value", r'\A"|"\z', "").alias("value"))
 
 
+_NESTED = "'{\"a\": {\"b\": [1, {\"c\": null}], \"e\": ' || props || '}, \"d\": []}'"
+
+
+@query(f"""
+WITH d AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {_NESTED} ELSE props END AS t FROM events WHERE props IS NOT NULL)
+SELECT event_id, CASE fullkey WHEN '$' THEN 'root' ELSE substr(fullkey, 3) END AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'primitive' END AS value_type FROM d, json_tree(d.t)""")
+def json_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("props is not null").select("event_id", F.expr(f"CASE WHEN event_id % 3 = 0 THEN {_NESTED} ELSE props END").alias("text"))
+    return jsonchunks.paths(rows).select("event_id", "path", "value_type")
+
+
 @query("""
 WITH g AS (SELECT floor(event_id / 25)::BIGINT AS group_id, row_number() OVER (PARTITION BY floor(event_id / 25) ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY floor(event_id / 25)) AS n FROM events WHERE props IS NOT NULL)
 SELECT group_id, 'items[' || (k // 5 * 5) || '-' || max(k) || ']' AS identifier FROM g WHERE n > 10 GROUP BY group_id, k // 5""")
@@ -745,6 +764,15 @@ def terraform_chunks(spark, sf_dir):
     return _declared(_files(rows, "s_nationkey", "s_suppkey", _spelled(*_TF, id_="s_suppkey", name="s_name")), codeblocks.TERRAFORM)
 
 
+@query(f"SELECT file_id, id::BIGINT AS id, 'resource' AS block_type, 'supplier' AS resource_type, '4' AS line_count, '2' AS attribute_count, '0' AS nested_block_count FROM ({_SUPPLIERS})")
+def terraform_annotations(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    files_ = _files(rows, "s_nationkey", "s_suppkey", _spelled(*_TF, id_="s_suppkey", name="s_name"))
+    made = codeblocks.terraform_annotations(codeblocks.declarations(files_, codeblocks.TERRAFORM, key="file_id"))
+    note = lambda k: F.col("annotations")[k].alias(k)
+    return made.select("file_id", F.regexp_extract(F.col("annotations")["resource_name"], r"s_(\d+)", 1).cast("long").alias("id"), *map(note, ("block_type", "resource_type", "line_count", "attribute_count", "nested_block_count")))
+
+
 _GO = ("// S{id} is {name}.", "type S{id} struct {", "\tName string // }", "}", "", "func (s S{id}) Show() string {", '\treturn "{" + s.Name', "}")
 
 

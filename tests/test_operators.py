@@ -352,6 +352,41 @@ def test_failed_batches_cost_their_own_rows(spark):
     assert models.embedding_status(made.where("t = 'bad'")).first().status == "failed" and models.embedding_status(made.limit(0)).first().status == "empty"
 
 
+def test_payloads_come_back(spark):
+    from folio.operators.store import documents, payloads
+
+    docs = spark.createDataFrame([(1, "text", 3, True, ["a", "b"], None), (2, None, None, None, None, 1.5)], "id long, page_content string, n int, ok boolean, tags array<string>, x double")
+    got = {r.id: (r.page_content, r.metadata) for r in documents(payloads(docs, metadata=("n", "ok", "tags", "x")).drop("page_content")).collect()}
+    assert got == {1: ("text", {"n": "3", "ok": "true", "tags": '["a","b"]'}), 2: (None, {"x": "1.5"})}
+
+
+def test_annotations_signatures_and_titles(spark):
+    tf = 'module "net" {\n  source = "./net"\n  size = 3\n  rule "in" {\n    port = 1\n  }\n}\nlocals {\n  a = 1\n  b = { c = 2 }\n}\n'
+    notes = {r.kind: r.annotations for r in codeblocks.terraform_annotations(codeblocks.declarations(frame(spark, tf), codeblocks.TERRAFORM)).collect()}
+    assert notes["module"] == {"block_type": "module", "line_count": "7", "attribute_count": "2", "nested_block_count": "1", "module_name": "net", "module_source": "./net"}
+    assert notes["locals"]["local_count"] == "2"
+    rpc = spark.createDataFrame([("rpc Get(stream A) returns (B)",), ("rpc Get(A) returns (stream B)",)], "s string").select(codeblocks.rpc_streams("s").alias("r")).collect()
+    assert [(x.r.takes, x.r.gives) for x in rpc] == [(True, False), (False, True)]
+    values = spark.createDataFrame([('{"a": 1, "b": 2}',), ("[true, 1]",), ("[]",), ("3",)], "t string")
+    assert [r.s for r in values.select(jsonchunks.signature(F.parse_json("t")).alias("s")).collect()] == ["object{2 properties}", "array[2] of boolean", "array[0]", "number"]
+    pages = spark.createDataFrame([("p", 1, "short\n\nnot a title but long enough\nThe Title Of This\nrest"), ("p", 2, "second page")], "path string, page int, text string")
+    got = pdftext.pages_metadata(pages).first()
+    assert (got.page_count, got.title) == (2, "The Title Of This")
+
+
+def test_json_paths(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "d": []}'), (2, "7"), (3, "{")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.path, r.value_type, r.level) for r in jsonchunks.paths(rows).collect())
+    assert got == [(1, "a", "object", 1), (1, "a.b", "array", 2), (1, "a.b[0]", "primitive", 3), (1, "a.b[1]", "object", 3), (1, "a.b[1].c", "primitive", 4), (1, "d", "array", 1), (1, "root", "object", 0), (2, "root", "primitive", 0)]
+    assert jsonchunks.paths(rows.limit(0)).collect() == []
+
+
+def test_throughput(spark):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS a, timestamp'2024-01-01 00:00:01' + make_interval(0, 0, 0, 0, 0, 0, id) AS b FROM range(5)")
+    got = evaluate.throughput(rows, "a", "b").first()
+    assert (got.documents, got.seconds, got.per_second) == (5, 5.0, 1.0) and evaluate.throughput(rows.limit(0), "a", "b").first().per_second is None
+
+
 def test_store_versions(spark, tmp_path):
     connect = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
     store = Store(spark, str(tmp_path / "store"), connect=connect, config=BatchConfig(embedding_batch_size=1), most=3)
