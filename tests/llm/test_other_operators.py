@@ -217,6 +217,18 @@ def test_cover_tree_against_brute_force(vectors):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_a_large_group_of_near_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal(16) + 0.01 * r.standard_normal((1500, 16))
+    table = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = covertree.near_vectors(table, block=256).collect()
+    assert {(q.n_links, q.component_id) for q in got} == {(1499, 0)} and sum(q.kept for q in got) == 1
+    points = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tree = covertree.CoverTree(points)
+    taken = [(len(i) * len(j), whole) for i, j, whole in covertree.links(points, points, tree, tree, 0.98, (x, x))]
+    assert any(whole for _, whole in taken) and len(taken) < 50  # whole nodes, not pairs
+
+
 def test_cover_tree_with_repeated_ids(spark):
     a, b = [1.0, 0.0], [0.0, 1.0]
     rows = [(1, a), (1, a), (1, b), (2, b), (3, a)]

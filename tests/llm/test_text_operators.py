@@ -176,6 +176,17 @@ def test_tiles_skip_nothing_near():
     assert got == {(i, j) for i in range(800) for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= 3).tolist()}
 
 
+def test_a_large_group_gives_forests_not_pairs(spark):
+    base, r = 0x0F0F_3C3C_5555_1234, random.Random(3)
+    fps = sorted({base ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) for _ in range(3000)})
+    reps = spark.createDataFrame([(fp, i) for i, fp in enumerate(fps)], "fp long, node long")
+    links = simhash.near_links(reps, 3, 400)
+    near = sum((a ^ b).bit_count() <= 3 for k, a in enumerate(fps) for b in fps[:k])
+    assert len(fps) > 1000 and near > 20_000 and links.count() < 20 * len(fps)
+    want = brute_components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    assert brute_components(range(len(fps)), [(x.u, x.v) for x in links.collect()]) == want
+
+
 def test_simhash_empty_and_dedup(spark, empty):
     assert simhash.simhash_components(empty).collect() == []
     docs = spark.createDataFrame([(2, "a b c d", "x"), (1, "a b c d", "y"), (3, "other words in this one", None), (None, "a b c d", "z")], "doc_id long, text string, fp string")
