@@ -6,7 +6,9 @@ that Java's and RE2's regular expressions read alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The White_Space characters as a regular-expression class body.
@@ -26,6 +28,15 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def exploded(df: DataFrame, rest: Sequence[str | Column], values: Column, place: str, item: str) -> DataFrame:
+    """``rest`` of ``df`` and a row for each item of ``values`` with its place from 0.
+
+    The outer form is used since Spark would compute the array of a plain
+    explode twice, once to drop rows with none before.
+    """
+    return df.select(*rest, F.posexplode_outer(values).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def trim_space(c: str | Column) -> Column:
     """Without white space at both ends."""
     return F.btrim(col(c), F.lit(WHITE_CHARACTERS))

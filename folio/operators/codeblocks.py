@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, lines, trim_space
+from folio.functions.text import col, exploded, lines, trim_space
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def declaration_lines(docs: DataFrame, language: Language, text: str = "text", k
     """A row for each line: depth before and after it, and the declaration it begins (kind, name), if any."""
     rest = [c for c in docs.columns if c != text]
     both = F.arrays_zip(lines(text).alias("line"), lines(bare(text, language)).alias("bare"))
-    rows = docs.select(*rest, F.posexplode(both).alias("line_no", "x")).select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.line", "x.bare")
+    rows = exploded(docs, rest, both, "line_no", "x").select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.line", "x.bare")
     change = F.length(F.regexp_replace("bare", r"[^{(]", "")) - F.length(F.regexp_replace("bare", r"[^})]", ""))
     before = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("depth_after", F.sum(change).over(before)).withColumn("depth", F.col("depth_after") - change)
@@ -157,7 +157,7 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
         )
 
     made = F.transform(F.filter("all", lambda x: x["kind"].isNotNull()), one)  # within the row: no declaration carries the file's lines along
-    return per_doc.select(*rest, F.explode(made).alias("d")).select(*rest, "d.*")
+    return exploded(per_doc, rest, made, "__k", "d").select(*rest, "d.*")
 
 
 def imports(text: str | Column, language: Language) -> Column:
@@ -232,7 +232,7 @@ def group_declarations(found: DataFrame, size: int = 3000, key: str = "doc_id",
             F.array_join(F.transform(own, lambda x: x["content"]), "\n\n").alias("content"), own[0]["line_start"].alias("line_start"), F.element_at(own, -1)["line_end"].alias("line_end"), F.transform(own, lambda x: x["name"]).alias("names")
         )
 
-    made = made.select(*rest, F.posexplode(F.transform("__e", group)).alias("chunk_index", "c")).select(*rest, "chunk_index", F.lit("code_group").alias("type"), "c.*")
+    made = exploded(made, rest, F.transform("__e", group), "chunk_index", "c").select(*rest, "chunk_index", F.lit("code_group").alias("type"), "c.*")
     return made.withColumn("content", F.concat(header, "content")).drop(header) if header else made
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, lines, title_name, trim_space
+from folio.functions.text import col, exploded, lines, title_name, trim_space
 
 #: Words that mark kinds of configuration.
 CONFIG_WORDS = ("database", "server", "api", "logging", "auth", "cache", "environment", "deployment")
@@ -102,4 +102,4 @@ def chunk_yaml(docs: DataFrame, text: str = "text", path: str = "path") -> DataF
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 50).cast("int") - 1, F.lit(0))), group)
     invalid = F.array(make(F.col(text), F.lit(1), F.size(lines(text)), "yaml_invalid", title_name(path)))
     chunks = F.when(is_broken(text), invalid).when((F.size(keys) > 3) & (F.size(parts) > 0), parts).when((F.size(keys) == 0) & (n > 5), groups).otherwise(whole)
-    return found.select(*rest, F.posexplode(chunks).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
+    return exploded(found, rest, chunks, "chunk_index", "c").select(*rest, "chunk_index", "c.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import bound, col, count_of, lines, title_name, trim_space
+from folio.functions.text import bound, col, count_of, exploded, lines, title_name, trim_space
 
 #: Delimiters in the order that decides ties, and their names.
 DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe"}
@@ -147,13 +147,9 @@ def _equals(value: str):
 
 def column_type(cells: Column, sample: int = 20) -> Column:
     """The most frequent type of a column's first cells; text for none."""
-    types = F.transform(F.slice(cells, 1, sample), cell_type)
-    counts = [F.size(F.filter(types, _equals(k))) for k in TYPE_ORDER]
-    most = F.greatest(*counts)
-    found = F.lit("text")
-    for kind, n in reversed(list(zip(TYPE_ORDER, counts, strict=True))):
-        found = F.when((n == most) & (n > 0), kind).otherwise(found)
-    return found
+    names = F.array(*(F.lit(k) for k in TYPE_ORDER))
+    pick = lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))).otherwise("text")
+    return bound(F.transform(F.slice(cells, 1, sample), cell_type), lambda types: bound(F.array(*(F.size(F.filter(types, _equals(k))) for k in TYPE_ORDER)), pick))
 
 
 def parsed(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
@@ -200,7 +196,7 @@ def chunk_csv(docs: DataFrame, text: str = "text", path: str = "path", max_lines
     single = F.array(make(F.col(text), F.lit(1), total, "csv_document", name))
     fallback = F.array(make(F.col(text), F.lit(1), total, "csv_fallback", name))
     chunks = F.when(F.col("ragged"), fallback).when(n <= 20, single).otherwise(F.concat(head, groups))
-    return found.select(*rest, F.posexplode(chunks).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
+    return exploded(found, rest, chunks, "chunk_index", "c").select(*rest, "chunk_index", "c.*")
 
 
 def csv_metadata(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, count_of, lines, title_name, trim_space
+from folio.functions.text import col, count_of, exploded, lines, title_name, trim_space
 from folio.storage import written
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
@@ -27,7 +27,7 @@ def properties(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c != text]
     found = docs.withColumn("__v", v).where(kind(F.col("__v")) == "object")
     pairs = F.array_sort(F.transform(F.map_entries(F.col("__v").cast(_MAP)), lambda e: F.struct(e["key"].alias("key"), kind(e["value"]).alias("value_kind"), F.to_json(e["value"]).alias("value"))))
-    return found.select(*rest, F.explode(pairs).alias("p")).select(*rest, "p.*")
+    return exploded(found, rest, pairs, "__k", "p").select(*rest, "p.*")
 
 
 def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_lines: int = 0, min_bytes: int = 20) -> DataFrame:
@@ -68,7 +68,7 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
 
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / group).cast("int") - 1, F.lit(0))), slice_)
     chunks = F.when(v.isNull(), invalid).when((k == "object") & (F.size(entries) > 5) & (F.size(parts) > 0), parts).when((k == "array") & (n > 10), slices).otherwise(whole)
-    return found.where(trim_space(text) != "").select(*rest, F.posexplode(chunks).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
+    return exploded(found.where(trim_space(text) != ""), rest, chunks, "chunk_index", "c").select(*rest, "chunk_index", "c.*")
 
 
 def _without_strings(compact: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, count_of, lines, title_name, trim_space
+from folio.functions.text import WHITE, col, count_of, exploded, lines, title_name, trim_space
 
 _SEPARATOR = rf"\A\|?([{WHITE}]*:?-+:?[{WHITE}]*\|)+[{WHITE}]*:?-+:?[{WHITE}]*\|?\z"
 
@@ -57,7 +57,7 @@ def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     The fence state is a running sum over one document's lines.
     """
-    rows = docs.select(*(c for c in docs.columns if c != text), F.posexplode(lines(text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    rows = exploded(docs, [c for c in docs.columns if c != text], lines(text), "line_no", "line").withColumn("line_no", F.col("line_no") + 1)
     fence = trim_space("line").startswith("```")
     before = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("is_fence", fence).withColumn("in_code", F.sum(F.col("is_fence").cast("int")).over(before) % 2 == 1)

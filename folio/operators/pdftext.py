@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, count_of, fields, lines, sanitised, trim_space
+from folio.functions.text import WHITE, col, count_of, exploded, fields, lines, sanitised, trim_space
 
 _BREAK = r"(?:\r\n|\r|\n){2,}"
 
@@ -74,7 +74,7 @@ def sections(docs: DataFrame, text: str = "text", min_bytes: int = 30) -> DataFr
     some = lambda c: F.when(F.size(c) > 0, c)
     by_pattern = [some(cut(lambda t, p=p: t.rlike(rf"(?i)\A(?:{p})\z"))) for p in SECTION_PATTERNS]
     by_look = cut(lambda t: ~F.contains(t, F.lit(PAGE_MARKER.strip())) & is_section_header(t))
-    found = rows.select(*rest, F.posexplode(F.coalesce(*by_pattern, by_look)).alias("k", "s"))
+    found = exploded(rows, rest, F.coalesce(*by_pattern, by_look), "k", "s")
     return found.select(*rest, (F.col("k") + 1).alias("section"), "s.*")
 
 
@@ -106,7 +106,7 @@ def split_oversized(chunks: DataFrame, most: int = 500, min_bytes: int = 30) ->
     named = F.transform(parts, lambda x, k: F.struct(x["content"].alias("content"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.concat("identifier", F.lit("_split_"), k.cast("string")).alias("identifier"), F.concat("type", F.lit("_split")).alias("type")))
     whole = F.array(F.struct("content", "line_start", "line_end", "identifier", "type"))
     rest = [c for c in chunks.columns if c not in ("content", "line_start", "line_end", "identifier", "type")]
-    out = rows.select(*rest, F.explode(F.coalesce(named, whole)).alias("c")).select(*rest, "c.*")
+    out = exploded(rows, rest, F.coalesce(named, whole), "__k", "c").select(*rest, "c.*")
     return out.where(F.octet_length(trim_space("content")) >= min_bytes)
 
 
@@ -124,7 +124,7 @@ def paragraphs(docs: DataFrame, text: str = "text", min_bytes: int = 20) -> Data
         return F.struct((s["at"] + count_of(x["p"], "\n") + 2).alias("at"), out.alias("out")).cast(state)
 
     numbered = F.transform(parts, lambda p, i: F.struct((i + 1).cast("int").alias("n"), p.alias("p"), trim_space(p).alias("t")))
-    return docs.select(*rest, F.explode(F.aggregate(numbered, start, step, lambda s: s["out"])).alias("x")).select(*rest, F.col("x.n").alias("paragraph"), "x.content", "x.line_start", "x.line_end")
+    return exploded(docs, rest, F.aggregate(numbered, start, step, lambda s: s["out"]), "__k", "x").select(*rest, F.col("x.n").alias("paragraph"), "x.content", "x.line_start", "x.line_end")
 
 
 def likely_title(text: str | Column) -> Column:

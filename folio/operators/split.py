@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, extension, lines, token_estimate, trim_space
+from folio.functions.text import WHITE, col, exploded, extension, lines, token_estimate, trim_space
 from folio.storage import written
 
 #: Separators from coarse to fine.
@@ -77,7 +77,7 @@ def split_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """A row for each chunk with ``chunk_index`` and ``total_chunks``; null texts have none."""
     made = docs.withColumn("__chunks", recursive_split(text, **options))
     rest = [c for c in docs.columns if c != text]
-    return made.select(*rest, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("chunk_index", "content"))
+    return exploded(made, [*rest, F.size("__chunks").alias("total_chunks")], F.col("__chunks"), "chunk_index", "content")
 
 
 def recommended_size(path: str | Column, length: str | Column, default: int = 2000) -> Column:

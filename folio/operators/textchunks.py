@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, count_of, lines, stem, trim_space
+from folio.functions.text import WHITE, count_of, exploded, lines, stem, trim_space
 
 #: What makes a trimmed line a heading.
 HEADINGS = (rf"\A[A-Z][A-Z{WHITE}]+\z", rf"\A#+[{WHITE}]+.*\z", r"\A=+\z", r"\A-+\z", rf"\A[0-9]+\.[{WHITE}]+[A-Z].*\z", r"\A[A-Z][^.!?]*:\z")
@@ -40,7 +40,7 @@ def clean_heading(trimmed: Column) -> Column:
 
 def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line: ``line_no`` from 1, ``line``, ``trimmed``, ``kind`` (blank, heading, list_item, text)."""
-    rows = docs.select(*(c for c in docs.columns if c != text), F.posexplode(lines(text)).alias("line_no", "line"))
+    rows = exploded(docs, [c for c in docs.columns if c != text], lines(text), "line_no", "line")
     rows = rows.withColumn("line_no", F.col("line_no") + 1).withColumn("trimmed", trim_space("line"))
     trimmed = F.col("trimmed")
     return rows.withColumn("kind", F.when(trimmed == "", "blank").when(is_heading(trimmed), "heading").when(is_list_item(trimmed), "list_item").otherwise("text"))
@@ -144,7 +144,7 @@ def chunk_text(docs: DataFrame, text: str = "text", path: str = "path", max_line
     if max_lines > 0:
         made = F.flatten(F.transform(made, lambda c: F.when(c["line_end"] - c["line_start"] + 1 > max_lines, _parts(c, max_lines)).otherwise(F.array(c))))
     chosen = F.filter(F.array(made, whole), lambda x: F.size(x) > 0)[0]
-    return rows.select(*rest, F.posexplode(chosen).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
+    return exploded(rows, rest, chosen, "chunk_index", "c").select(*rest, "chunk_index", "c.*")
 
 
 def _parts(c: Column, size: int) -> Column:

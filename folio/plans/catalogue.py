@@ -229,7 +229,7 @@ sections AS (
 @query(f"{_SECTIONS} SELECT doc_id, type, md5(content) AS content_md5, line_start::INT AS line_start, line_end::INT AS line_end FROM sections")
 def text_sections(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(textchunks.sections("text")).alias("s"))
+    made = T.exploded(docs.where(F.col("text").isNotNull()), ["doc_id"], textchunks.sections("text"), "k", "s")
     return made.select("doc_id", "s.type", F.md5("s.content").alias("content_md5"), "s.line_start", "s.line_end")
 
 
@@ -480,7 +480,7 @@ def csv_row_groups(spark, sf_dir):
 @query(f"{_CELLS} SELECT file_id, col::INT AS column_number, {_KIND} AS column_type FROM best")
 def csv_column_types(spark, sf_dir):
     made = csvchunks.csv_metadata(_mixed_files(spark, sf_dir)).where("row_count > 0")
-    return made.select("file_id", F.posexplode("column_types").alias("column_number", "column_type")).withColumn("column_number", F.col("column_number") + 1)
+    return T.exploded(made, ["file_id"], F.col("column_types"), "column_number", "column_type").withColumn("column_number", F.col("column_number") + 1)
 
 
 @query("SELECT event_id, json_valid(props) AS is_valid FROM events WHERE props IS NOT NULL UNION ALL SELECT -1 - doc_id, json_valid(text) FROM documents WHERE text IS NOT NULL")
