@@ -36,7 +36,7 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
     Objects of up to five keys and arrays of up to ten items stay whole; larger
     objects give one chunk for each property that is large enough, larger arrays
     groups of items. What is no JSON is one ``json_invalid`` chunk. Values are
-    printed compactly with sorted keys.
+    printed with sorted keys, indented by two spaces.
     """
     rest = [c for c in docs.columns if c != text]
     found = docs.where(F.col(text).isNotNull()).withColumn("__v", F.try_parse_json(F.col(text)))
@@ -54,7 +54,7 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
         at = F.array_position(F.transform(lines(text), lambda x: F.contains(x, quoted)), True)
         own = F.concat(F.lit("{"), quoted, F.lit(":"), e["value"], F.lit("}"))
         first = F.greatest(at, F.lit(1))
-        return make(own, first, first + indented_lines(own) - 1, "json_property", e["key"])
+        return make(indented(own), first, first + indented_lines(own) - 1, "json_property", e["key"])
 
     parts = F.transform(F.filter(entries, large), prop)
     items = F.when(k == "array", v).try_cast(_LIST)
@@ -64,7 +64,7 @@ def chunk_json(docs: DataFrame, text: str = "text", path: str = "path", max_line
         own = F.slice(items, i * group + 1, F.lit(group))
         end = F.least((i + 1) * group, n)
         printed = F.concat(F.lit("["), F.array_join(F.transform(own, lambda x: F.to_json(x)), ","), F.lit("]"))
-        return make(printed, F.lit(1), indented_lines(printed), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
+        return make(indented(printed), F.lit(1), indented_lines(printed), "json_array_slice", F.concat(F.lit("items["), (i * group).cast("string"), F.lit("-"), (end - 1).cast("string"), F.lit("]")))
 
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / group).cast("int") - 1, F.lit(0))), slice_)
     chunks = F.when(v.isNull(), invalid).when((k == "object") & (F.size(entries) > 5) & (F.size(parts) > 0), parts).when((k == "array") & (n > 10), slices).otherwise(whole)
@@ -77,6 +77,26 @@ def _without_strings(compact: Column) -> Column:
     return F.regexp_replace(plain, '"[^"]*"', "s")
 
 
+def indented(compact: Column) -> Column:
+    """A compact print with line feeds, two spaces a level, and ``<``, ``>`` and ``&`` escaped."""
+    tokens = F.regexp_extract_all(compact, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:]+'), F.lit(0))
+    state = "struct<out:string,level:int,opened:boolean>"
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("level"), F.lit(False).alias("opened")).cast(state)
+    line = lambda level: F.concat(F.lit("\n"), F.repeat(F.lit("  "), level))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        level = s["level"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        before = F.when(s["opened"] & ~closes, line(s["level"])).when(closes & ~s["opened"], line(level)).otherwise("")
+        after = F.when(t == ",", line(s["level"])).when(t == ":", " ").otherwise("")
+        return F.struct(F.concat(s["out"], before, t, after).alias("out"), level.alias("level"), opens.alias("opened")).cast(state)
+
+    out = F.aggregate(tokens, start, step, lambda s: s["out"])
+    for sign, escaped in (("<", r"\u003c"), (">", r"\u003e"), ("&", r"\u0026")):
+        out = F.replace(out, F.lit(sign), F.lit(escaped))
+    return out
+
+
 def indented_lines(compact: Column) -> Column:
     """How many lines a compact print takes when it is indented: one an element, and two a container that holds any."""
     bare = _without_strings(compact)

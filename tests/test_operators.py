@@ -374,6 +374,21 @@ def test_annotations_signatures_and_titles(spark):
     assert (got.page_count, got.title) == (2, "The Title Of This")
 
 
+def test_indented_json(spark):
+    import json
+
+    texts = ['{"b": [1, {"c": null, "d": []}, "x, {y}: \\"z\\" \\\\"], "a": {}, "e": -1.5e3, "f": [[true], [{}]]}', "[]", "3", '"a: b"', '[1]']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.p for r in df.select(jsonchunks.indented(F.to_json(F.parse_json("t"))).alias("p")).collect()]
+    assert [json.loads(g) for g in got] == [json.loads(t) for t in texts]
+    want = [json.dumps(json.loads(t), indent=2, sort_keys=True) for t in texts]
+    assert [g.replace("-1500.0", "X").replace("-1.5E3", "X").replace("-1500", "X") for g in got] == [w.replace("-1500.0", "X") for w in want]
+    lines = [r.n for r in df.select(jsonchunks.indented_lines(F.to_json(F.parse_json("t"))).alias("n")).collect()]
+    assert lines == [len(w.split("\n")) for w in want]
+    shown = spark.createDataFrame([('["<a> & b"]',)], "t string").select(jsonchunks.indented(F.col("t")).alias("p")).first().p
+    assert shown == '[\n  "\\u003ca\\u003e \\u0026 b"\n]'
+
+
 def test_json_paths(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "d": []}'), (2, "7"), (3, "{")], "doc_id long, text string")
     got = sorted((r.doc_id, r.path, r.value_type, r.level) for r in jsonchunks.paths(rows).collect())
