@@ -65,7 +65,7 @@ def training_rows(docs: DataFrame, lang: str = "lang", text: str = "text", id_co
     return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("draw"))
 
 
-def fit(docs: DataFrame, rows_per_language: int = 300, sample_bytes: int = 16 << 20, max_row_bytes: int = 200_000) -> Model:
+def fit(docs: DataFrame, rows_per_language: int = 300, sample_bytes: int = 8 << 20, max_row_bytes: int = 200_000) -> Model:
     """Learns every label from labelled rows that are not held out.
 
     The fit is bounded: about ``rows_per_language`` rows of a label (drawn by
