@@ -83,6 +83,13 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def drawn(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """(draw, key): n draws with replacement, the same for the same rows. Draw k takes the row whose id hashes least with the seed and k."""
+    least = lambda k: F.min_by(key, F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:{k}"))))
+    found = rows.where(F.col(key).isNotNull()).agg(F.array(*map(least, range(n))).alias("found"))
+    return found.select(F.posexplode("found").alias("draw", key)).where(F.col(key).isNotNull())
+
+
 def throughput(rows: DataFrame, started: str, ended: str) -> DataFrame:
     """One row: documents, the seconds from the first start to the last end, and documents a second (null without time)."""
     span = (F.max(F.unix_micros(ended)) - F.min(F.unix_micros(started))) / 1_000_000

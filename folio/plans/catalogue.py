@@ -710,10 +710,10 @@ def blank_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~T.is_blank("text")).select("doc_id")
 
 
-@query()
+@query("SELECT k::INT AS draw, arg_min(doc_id, md5(doc_id || ':7:' || k)) AS doc_id FROM documents, range(10) r(k) GROUP BY k")
 def deterministic_sample(spark, sf_dir):
-    """A sampling operator: ten rows by hash, the same for the same table."""
-    return table(spark, sf_dir, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(10).select("doc_id")
+    """A sampling operator: ten draws with replacement by hash, the same for the same table."""
+    return evaluate.drawn(table(spark, sf_dir, "documents"), "doc_id", 10)
 
 
 # --- grammars over files built from tables -------------------------------------
