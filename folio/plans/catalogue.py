@@ -32,7 +32,7 @@ def _words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '[{W}]+'), lambda w: w <> '')"
 
 
-def _packed(parts: str, sep: str, size: int) -> str:
+def _packed(parts: str, sep: str, size: int | str) -> str:
     """SQL: a list's texts joined by ``sep`` from the first on while they stay within ``size`` bytes; empty ones are skipped."""
     start = f"list_transform(list_filter({parts}, lambda p: p <> ''), lambda p: {{'cur': p, 'done': []::VARCHAR[]}})"
     step = f"lambda s, x: CASE WHEN strlen(s.cur) + {len(sep)} + strlen(x.cur) <= {size} THEN {{'cur': s.cur || {_quote(sep)} || x.cur, 'done': s.done}} ELSE {{'cur': x.cur, 'done': list_append(s.done, s.cur)}} END"
@@ -51,7 +51,7 @@ def _merged(parts: str, size: int, overlap: int) -> str:
     return f"list_transform([list_reduce({start}, {step})], lambda r: list_append(r.done, r.cur))[1]"
 
 
-def _split(text: str, size: int, overlap: int, separators: tuple[str, ...], level: int = 0) -> str:
+def _split(text: str, size: int | str, overlap: int, separators: tuple[str, ...], level: int = 0) -> str:
     """SQL: the recursive split of one text."""
     if not separators:
         return f"[{text}]"
@@ -588,7 +588,38 @@ def repository_chunks(spark, sf_dir):
     return made.select("path", "chunk_index", "total_chunks", "type", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
-@query()
+def _significant(x: str) -> str:
+    """SQL: content worth keeping."""
+    t = _trim(x)
+    return rf"(strlen({t}) >= 50 AND length(regexp_replace({t}, '[^\p{{L}}\p{{Nd}}]', '', 'g')) >= greatest(3, 0.25 * length(regexp_replace({t}, '[{W}]', '', 'g'))))"
+
+
+_SIZE = """coalesce(CASE WHEN strlen(text) > 200000 THEN base * 2 WHEN strlen(text) > 50000 THEN floor(base * 1.5) ELSE base END,
+  CASE WHEN strlen(text) > 200000 THEN 4096 WHEN strlen(text) > 50000 THEN 2048 ELSE 2000 END)::INT"""
+_SAYS = f"list_filter(string_split(before, chr(10)), lambda x: {_trim('x')} <> '' AND left({_trim('x')}, 1) <> '}}' AND left({_trim('x')}, 2) NOT IN ('//', '/*'))"
+
+
+@query(f"""{_SECTIONS},
+p AS (SELECT doc_id, text, path, CASE doc_id % 4 WHEN 0 THEN 1024 WHEN 1 THEN 512 END AS base FROM (SELECT doc_id, text, {_LOADED} AS path FROM documents WHERE text IS NOT NULL)),
+sized AS (SELECT doc_id, text, path, len(string_split(text, chr(10))) AS n_lines, {_SIZE} AS size, {_significant('text')} AS worth FROM p),
+parts AS (
+  SELECT doc_id, CASE WHEN type = 'heading' THEN 1 ELSE 0 END AS late, 'text_section' AS type, content, line_start, line_end FROM sections WHERE strlen({_trim('content')}) >= 20 AND doc_id % 4 <> 1
+  UNION ALL SELECT doc_id, 0, CASE WHEN json_valid(text) THEN 'json_document' ELSE 'json_invalid' END, text, 1, n_lines FROM sized WHERE doc_id % 4 = 1),
+every AS (FROM parts UNION ALL SELECT doc_id, 0, 'text_document', text, 1, n_lines FROM sized WHERE doc_id NOT IN (SELECT doc_id FROM parts)),
+found AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_end, late) AS k, type, content, line_start, line_end FROM every),
+good AS (SELECT f.*, path, size, greatest(5, least(200, size // 8)) AS most, string_split(content, chr(10)) AS l FROM found f JOIN sized USING (doc_id) WHERE worth AND {_significant('content')}),
+blocks AS (SELECT *, unnest(range(0, (len(l) + most - 1) // most)) AS b FROM good WHERE strlen(content) // 4 > 2 * size),
+cut AS (SELECT doc_id, k, type || '_part_' || (b + 1) AS type, array_to_string(list_slice(l, b * most + 1, b * most + most), chr(10)) AS content, line_start + b * most AS line_start, line_start + least(b * most + most, len(l)) - 1 AS line_end FROM blocks),
+kept AS (SELECT * FROM cut WHERE strlen({_trim('content')}) >= 50),
+made AS (FROM kept UNION ALL SELECT doc_id, k, type, content, line_start, line_end FROM good WHERE (doc_id, k) NOT IN (SELECT (doc_id, k) FROM kept)),
+pieces AS (SELECT doc_id, n_lines, CASE WHEN strlen(text) <= size THEN [text] ELSE {_split('text', 'size', 0, split.SEPARATORS)} END AS c FROM sized WHERE worth AND doc_id NOT IN (SELECT doc_id FROM made)),
+all_ AS (FROM made UNION ALL SELECT doc_id, unnest(range(0, len(c))), 'text_fallback', unnest(c), 1, n_lines FROM pieces UNION ALL SELECT doc_id, 0, 'original', text, 1, n_lines FROM sized WHERE NOT worth),
+ordered AS (SELECT path, row_number() OVER w - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, type, line_start, line_end, content, lag(content) OVER w AS before, strlen(content) // 4 AS own,
+  CASE WHEN type <> 'original' THEN '// File: ' || path || chr(10) ELSE '' END AS head FROM all_ JOIN p USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY k, line_start, type)),
+said AS (SELECT *, {_SAYS} AS says, own + strlen(head) // 4 <= 4096 AS with_head FROM ordered),
+noted AS (SELECT *, CASE WHEN len(string_split(before, chr(10))) >= 2 AND len(says) > 0 THEN '// Previous context:' || chr(10) || array_to_string(list_slice(says, greatest(len(says) - 2, 1), len(says)), chr(10)) || chr(10) || '// Current section:' || chr(10) END AS mark FROM said)
+SELECT path, chunk_index::INT AS chunk_index, total_chunks::INT AS total_chunks, type, line_start::INT AS line_start, line_end::INT AS line_end, own::INT AS token_count,
+  md5(CASE WHEN strlen(mark) // 4 <= 4096 - own - CASE WHEN with_head THEN strlen(head) // 4 ELSE 0 END THEN mark ELSE '' END || CASE WHEN with_head THEN head ELSE '' END || content) AS enriched_md5 FROM noted""")
 def enriched_chunks(spark, sf_dir):
     """From files to enriched chunks: parsers, sizes by extension, filters, fallback and context."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.expr(_LOADED).alias("path"), "text")
