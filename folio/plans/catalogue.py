@@ -6,6 +6,7 @@ the same result independently. Queries without SQL are checked by tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks
 from folio.sources import files, registry
+from folio.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -430,7 +432,17 @@ def csv_quote(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", csvchunks.quoted("text").alias("cell"))
 
 
-_ORDERS_CSV = "'o_orderkey,o_custkey,o_orderstatus,o_totalprice' || chr(10) || string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_totalprice, chr(10) ORDER BY o_orderkey)"
+@query("""
+WITH d AS (SELECT doc_id, text, contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)) OR contains(text, chr(13)) AS quoted FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(replace(CASE WHEN quoted THEN text ELSE ltrim(text, ' ') END, chr(13) || chr(10), chr(10))) AS cell_md5 FROM d""")
+def csv_records(spark, sf_dir):
+    """Whole texts written as quoted cells of CSV files and read again."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    row = F.concat(F.col("doc_id").cast("string"), F.lit(","), csvchunks.quoted("text"))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", row.alias("row")))), lambda x: x["row"])
+    texts = docs.groupBy(F.floor(F.col("doc_id") / 20).alias("file_id")).agg(F.array_join(own, "\n").alias("text"))
+    rows = T.exploded(texts, ["file_id"], csvchunks.records("text", F.lit(",")), "k", "r")
+    return rows.select(F.col("r")[0].cast("long").alias("doc_id"), F.md5(F.col("r")[1]).alias("cell_md5"))
 
 
 def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,6 +571,33 @@ def file_filter(spark, sf_dir):
 _NAMES = "CASE id % 9 WHEN 0 THEN '.go' WHEN 1 THEN '_test.go' WHEN 2 THEN '.Md' WHEN 3 THEN '.h' WHEN 4 THEN '.YAML' WHEN 5 THEN '.d.ts' WHEN 6 THEN '/Makefile' WHEN 7 THEN '.json.bak' ELSE '' END"
 
 
+@query(f"""
+WITH p AS (SELECT page_id, lower(regexp_extract(CASE page_id % 5 WHEN 0 THEN 'a.go' WHEN 1 THEN 'b.Md' WHEN 2 THEN 'gen/c.go' WHEN 3 THEN 'd' ELSE 'e.tar.gz' END, '([.][^./]*)$', 1)) AS ext FROM pages)
+SELECT page_id, 'include' AS list FROM p WHERE ext IN ('.go', '.txt') AND page_id % 5 <> 2
+UNION ALL SELECT page_id, 'exclude' FROM p WHERE ext NOT IN ('.md', '.gz')""")
+def file_lists(spark, sf_dir):
+    """The loader's include and exclude lists, and a further directory to skip."""
+    name = F.expr("CASE page_id % 5 WHEN 0 THEN 'a.go' WHEN 1 THEN 'b.Md' WHEN 2 THEN 'gen/c.go' WHEN 3 THEN 'd' ELSE 'e.tar.gz' END")
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("path"), F.lit(1).alias("length"))
+    included = rows.where(files.is_wanted("path", "length", include=["go", ".TXT"], more_dirs=["gen"]))
+    excluded = rows.where(files.is_wanted("path", "length", exclude=[".md"]))
+    return included.select("page_id", F.lit("include").alias("list")).union(excluded.select("page_id", F.lit("exclude").alias("list")))
+
+
+@query("""
+WITH a AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'new ' || vec_id ELSE 'old ' || vec_id END AS page_content, label FROM embeddings WHERE vec_id % 7 <> 0)
+SELECT vec_id::VARCHAR AS id, page_content, label FROM a WHERE label <> 3""")
+def store_changes(spark, sf_dir):
+    """A collection after an upsert of all vectors, one of every tenth, a delete by ids and one by a filter."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("old "), F.col("vec_id").cast("string")).alias("page_content"), "label", F.col("embedding").alias("vector"))
+    held = store.Store(spark, f"{shared_dir(spark)}/folio/stores-{uuid.uuid4().hex}")
+    held.add(rows)
+    held.add(rows.where("id % 10 = 0").withColumn("page_content", F.concat(F.lit("new "), "id")))
+    held.delete(rows.where("id % 7 = 0").select("id"))
+    held.delete_where({"label": 3})
+    return held.read("documents").select("id", "page_content", "label")
+
+
 @query(f"""
 WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') || {_NAMES.replace('id', 'page_id')} AS path FROM pages),
 e AS (SELECT page_id, lower(regexp_extract(path, '([.][^./]*)$', 1)) AS ext FROM p),

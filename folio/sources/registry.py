@@ -66,10 +66,17 @@ class Registry:
         The files are read once: they are written to the shared folder in a part
         for each parser, and a parser reads its own part. Paths are taken as unique.
         """
-        from folio.operators.textchunks import chunk_text
+        return self.chunk_dealt(self.deal(files, text, path))
 
+    def deal(self, files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+        """(path, text, parser) of all files, written to the shared folder in a part for each parser."""
         named = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("parser", self.for_file("path"))
-        named = written(named, "files", by="parser")
+        return written(named, "files", by="parser")
+
+    def chunk_dealt(self, named: DataFrame) -> DataFrame:
+        """The chunks of files that ``deal`` has written."""
+        from folio.operators.textchunks import chunk_text
+
         keep = ["path", "chunk_index", "content", "line_start", "line_end", "type", "identifier"]
         out = None
         for name, parser in self.parsers.items():

@@ -50,7 +50,6 @@ def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``written`` made and that nothing reads any more."""
     for df in tables:
         spark, own = df.sparkSession, f"{shared_dir(df.sparkSession)}/folio/"
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if own in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table in {own + f.split(own, 1)[1].split("/", 1)[0] for f in df.inputFiles() if own in f}:  # the folder of the whole table
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folio.functions.text import repaired
 from folio.sources.files import MAX_FILE, is_wanted
 from folio.sources.registry import Registry, default_registry
+from folio.storage import drop
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,7 +30,15 @@ def ingest(spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None
     write by key or by batch number.
     """
     parsers = registry or default_registry()
-    return stream_files(spark, root, **options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda files, n: sink(parsers.chunk_files(files), n)).trigger(availableNow=True).start()
+
+    def batch(files: DataFrame, n: int) -> None:
+        dealt = parsers.deal(files)
+        try:
+            sink(parsers.chunk_dealt(dealt), n)
+        finally:
+            drop(dealt)
+
+    return stream_files(spark, root, **options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
