@@ -16,6 +16,7 @@ from folio.functions import text as T
 from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks
 from folio.sources import files, registry
 from folio.storage import shared_dir
+from folio.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -584,6 +585,24 @@ def file_lists(spark, sf_dir):
     return included.select("page_id", F.lit("include").alias("list")).union(excluded.select("page_id", F.lit("exclude").alias("list")))
 
 
+@query("""
+SELECT strftime(time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf_dir):
+    """The streaming aggregate over the whole table as one batch."""
+    made = ingest.windowed_counts(table(spark, sf_dir, "events"))
+    return made.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT doc_id, md5(text || chr(10)) AS content_md5, strlen(text) + 1 AS length FROM documents WHERE text IS NOT NULL")
+def scanned_files(spark, sf_dir):
+    """Documents written as a tree of text files, one each, and scanned again."""
+    root = f"{shared_dir(spark)}/folio/tree-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    found = files.scan(spark, root)
+    return found.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), F.md5("text").alias("content_md5"), "length")
+
+
 @query("""
 WITH a AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'new ' || vec_id ELSE 'old ' || vec_id END AS page_content, label FROM embeddings WHERE vec_id % 7 <> 0)
 SELECT vec_id::VARCHAR AS id, page_content, label FROM a WHERE label <> 3""")
