@@ -13,14 +13,12 @@ from folio.llm.common import flat
 
 
 def heads(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each span and its length, as two columns."""
-    if not len(lo):
-        return np.zeros((0, 2), np.uint64)
+    """The first eight bytes of each span and its length in one number; spans of up to seven bytes have each their own."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    first = padded[lo[:, None] + np.arange(8)].view(np.uint64)[:, 0]
-    size = np.minimum(hi - lo, 8).astype(np.uint64)
-    shift = np.uint64(64) - np.uint64(8) * np.maximum(size, np.uint64(1))
-    return np.column_stack([(first << shift) >> shift, (hi - lo).astype(np.uint64)])
+    at_each_byte = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    size = (hi - lo).astype(np.uint64)
+    shift = np.uint64(64) - np.uint64(8) * np.minimum(np.maximum(size, np.uint64(1)), np.uint64(8))
+    return ((at_each_byte[lo] << shift) >> shift) ^ (size << np.uint64(56))
 
 
 class PieceTable:
@@ -36,7 +34,7 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
@@ -53,7 +51,7 @@ class PieceTable:
         self.used += len(new)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.heads, self.starts, self.lengths = (np.insert(old, at, x[order], axis=0) for old, x in ((self.keys, keys), (self.heads, own), (self.starts, starts), (self.lengths, sizes)))
+        self.keys, self.heads, self.starts, self.lengths = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.heads, own), (self.starts, starts), (self.lengths, sizes)))
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
@@ -73,7 +71,7 @@ class PieceTable:
             self._add(distinct[~known], own[first], [raw[lo[i] : hi[i]] for i in first.tolist()])
         rows = self._find(distinct)[0][codes]
         lengths = self.lengths[rows].astype(np.int64)
-        other = np.flatnonzero((self.heads[rows] != own).any(axis=1))
+        other = np.flatnonzero(self.heads[rows] != own)
         if not len(other):
             return self.ids[flat(self.starts[rows], lengths)], lengths
         alone = dict(zip(other.tolist(), self.encode([raw[lo[i] : hi[i]] for i in other.tolist()]), strict=True))
