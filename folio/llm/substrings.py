@@ -44,11 +44,12 @@ class Text:
         self.lo, self.hi = words.spans(self.data, offsets)
         self.first = np.searchsorted(self.lo, offsets)  # word number where each text starts
         self.n = np.diff(self.first)
-        self.hash = words.span_hashes(self.data, self.lo, self.hi)
+        hashes = words.several_hashes(self.data, self.lo, self.hi)
+        self.hash = hashes[0]
         size = 1 << max(16, int(len(self.hash)).bit_length())
         self.up, self.down = _powers(size)
         #: Sums over two independent hashes of the words.
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.up[: len(h)])]) for h in (self.hash, words.span_hashes(self.data, self.lo, self.hi, 1))]
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.up[: len(h)])]) for h in hashes]
 
     def run(self, start: np.ndarray, length: np.ndarray | int, which: int = 0) -> np.ndarray:
         """Hash ``which`` (0 or 1, independent of each other) of runs of words."""

@@ -52,19 +52,32 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each span; spans are disjoint and ascending. ``which`` (0 or 1) picks one of two."""
+    return several_hashes(data, starts, ends, (which,))[0]
+
+
+def several_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+    """Independent hashes of each span."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in which]
     lengths = ends - starts
     places = _places(int(lengths.max()))
     base = int(starts[0])
-    part = data[base : ends[-1]]
+    part, first = data[base : ends[-1]], starts - base
+    small = np.int32 if len(part) < 2**31 else np.int64
     gaps = np.diff(np.append(starts, ends[-1]))
-    at = np.arange(len(part)) - np.repeat(starts - base, gaps)
-    inside = at < np.repeat(lengths, gaps)
-    x = _BYTES[which][part] * places[np.where(inside, at, 0)]
-    x ^= x >> np.uint64(29)
-    x *= inside
-    return mix(np.add.reduceat(x, starts - base) + lengths.astype(np.uint64) * _STEP)
+    at = np.arange(len(part), dtype=small)
+    at -= np.repeat(first.astype(small), gaps)
+    inside = at < np.repeat(lengths.astype(small), gaps)
+    at *= inside
+    place = places[at]
+    out = []
+    for k in which:
+        x = _BYTES[k][part]
+        x *= place
+        x ^= x >> np.uint64(29)
+        x *= inside
+        out.append(mix(np.add.reduceat(x, first) + lengths.astype(np.uint64) * _STEP))
+    return out
 
 
 def counts_by_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
