@@ -25,18 +25,20 @@ class PieceTable:
     """Distinct pieces and their ids; emptied when it would pass ``limit`` pieces.
 
     Pieces are found by a 64-bit hash in a sorted array and confirmed by their
-    length and first eight bytes; one that meets another's hash is encoded by
-    itself. A piece takes a few dozen bytes.
+    length and first eight bytes, or, with ``whole``, by all their bytes; one
+    that meets another's hash is encoded by itself. A piece takes a few dozen bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 900_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 900_000, whole: bool = False):
+        self.encode, self.limit, self.whole = encode, limit, whole
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.text_starts, self.text_sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _add(self, keys: np.ndarray, own: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode(pieces)
@@ -51,8 +53,32 @@ class PieceTable:
         self.used += len(new)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
+        if self.whole:
+            self._keep(pieces, order, at)
         self.keys, self.heads, self.starts, self.lengths = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.heads, own), (self.starts, starts), (self.lengths, sizes)))
 
+    def _keep(self, pieces: list[bytes], order: np.ndarray, at: np.ndarray) -> None:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.text_used + len(raw) > len(self.text):
+            grown = np.zeros(max(self.text_used + len(raw), len(self.text) * 3 // 2), np.uint8)
+            grown[: self.text_used] = self.text[: self.text_used]
+            self.text = grown
+        self.text[self.text_used : self.text_used + len(raw)] = raw
+        sizes = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
+        starts = self.text_used + np.cumsum(sizes) - sizes
+        self.text_used += len(raw)
+        self.text_starts, self.text_sizes = np.insert(self.text_starts, at, starts[order]), np.insert(self.text_sizes, at, sizes[order])
+
+    def _differ(self, rows: np.ndarray, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The spans whose bytes aren't those of the piece that their hash found."""
+        size = hi - lo
+        other = self.text_sizes[rows] != size
+        long = np.flatnonzero(~other & (size > 7))  # the rest is told by its head
+        if len(long):
+            same = data[flat(lo[long], size[long])] == self.text[flat(self.text_starts[rows[long]], size[long])]
+            other[long] = ~np.logical_and.reduceat(same, np.cumsum(size[long]) - size[long])
+        return other
+
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
         return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
@@ -71,7 +97,10 @@ class PieceTable:
             self._add(distinct[~known], own[first], [raw[lo[i] : hi[i]] for i in first.tolist()])
         rows = self._find(distinct)[0][codes]
         lengths = self.lengths[rows].astype(np.int64)
-        other = np.flatnonzero(self.heads[rows] != own)
+        other = self.heads[rows] != own
+        if self.whole:
+            other |= self._differ(rows, data, lo, hi)
+        other = np.flatnonzero(other)
         if not len(other):
             return self.ids[flat(self.starts[rows], lengths)], lengths
         alone = dict(zip(other.tolist(), self.encode([raw[lo[i] : hi[i]] for i in other.tolist()]), strict=True))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import chat
+from folio.llm import chat, codes, trie
 from folio.llm.ann import nearest
 from folio.llm.bpe import bpe_digest
 from folio.llm.covertree import near_vectors
 from folio.llm.html import extract
 from folio.llm.langid import predict_languages
 from folio.llm.packing import pack
+from folio.llm.pieces import piece_digest
 from folio.llm.simhash import simhash_components
 from folio.llm.substrings import dedup_substrings
 from folio.llm.toxicity import predict_toxicity
@@ -64,6 +65,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digest(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_language_id,
     op2_simhash,
@@ -75,6 +89,9 @@ _ALL = (
     op8_projected_neighbours,
     op9_cover_tree,
     op10_toxicity,
+    op11_prefix_trie,
+    op12_sentencepiece,
+    op13_vector_codes,
 )
 
 
@@ -83,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preference_chat": chat.ORACLE_SQL}
+    return {"op5_preference_chat": chat.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op13_vector_codes": codes.ORACLE_SQL}
