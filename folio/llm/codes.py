@@ -110,7 +110,7 @@ def _rows(batches: Iterator[pa.RecordBatch], slice_rows: int = 4096) -> Iterator
             for p in np.unique(parts):
                 own = some.filter(pa.array(parts == p))
                 values = own.column("value").flatten().to_numpy(zero_copy_only=False)
-                yield int(p), own, values.reshape(own.num_rows, -1)
+                yield int(p), own, values.reshape(own.num_rows, len(values) // max(own.num_rows, 1))
 
 
 _TOTALS = "part int, entry int, place int, total decimal(38,0)"
@@ -173,7 +173,8 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
     n, width = found["n"], -(-found["dim"] // parts)
     padded = F.concat(integers(scale=scale), F.array_repeat(F.lit(0).cast("long"), F.lit(width * parts) - F.size("embedding")))
     kept = written(usable.select("vec_id", "label", F.monotonically_increasing_id().alias("row"), padded.alias("ints")), "code_rows")
-    start = np.array(_first(kept, entries), np.int64).reshape(-1, width * parts)
+    first = _first(kept, entries)
+    start = np.array(first, np.int64).reshape(len(first), width * parts)
     books = Codebooks([start[:, p * width : (p + 1) * width] for p in range(parts)])
     cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.struct(p.alias("part"), F.slice("ints", p * width + 1, F.lit(width)).alias("value")))
     placed = kept.select("vec_id", "label", "row", F.explode(cut).alias("p")).select("vec_id", "label", "row", "p.part", "p.value")
