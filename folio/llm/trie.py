@@ -219,7 +219,7 @@ def _numbers(labels: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndar
     return number[: len(labels)], number[len(labels) :]
 
 
-def prefix_trie(conversations: DataFrame, heavy: int = 1000, group: int = 100, heads: int = 6) -> DataFrame:
+def prefix_trie(conversations: DataFrame, heavy: int = 100, group: int = 100, heads: int = 6) -> DataFrame:
     """One row for each distinct prefix of rebuilt conversations, the empty one included.
 
     conv_id is the smallest member, depth the number of turns, parent_conv_id
