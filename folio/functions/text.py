@@ -28,6 +28,27 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def staged(items: Column, *stages) -> Column:
+    """An array of structs with further fields, a stage at a time.
+
+    A stage takes the struct and its place and gives new columns by name; a
+    field that a stage made is computed once, however often later ones use it.
+    """
+    for stage in stages:
+        items = F.transform(items, _adding(stage))
+    return items
+
+
+def _adding(stage):
+    def add(x: Column, i: Column) -> Column:
+        out = x
+        for name, value in stage(x, i).items():
+            out = out.withField(name, value)
+        return out
+
+    return add
+
+
 def exploded(df: DataFrame, rest: Sequence[str | Column], values: Column, place: str, item: str) -> DataFrame:
     """``rest`` of ``df`` and a row for each item of ``values`` with its place from 0.
 

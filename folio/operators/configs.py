@@ -1,8 +1,4 @@
-"""YAML texts: features, patterns, top-level keys as chunks.
-
-Blocks of a mapping or sequence at the left margin are cut by lines; a nested
-tree isn't built. Of several documents the first is chunked.
-"""
+"""YAML texts: features, patterns, and chunks of the top level by the node tree."""
 
 from __future__ import annotations
 
@@ -10,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, exploded, lines, title_name, trim_space
+from folio.operators import yamltree
 
 #: Words that mark kinds of configuration.
 CONFIG_WORDS = ("database", "server", "api", "logging", "auth", "cache", "environment", "deployment")
@@ -40,66 +37,51 @@ def features(text: str | Column) -> dict[str, Column]:
     return out
 
 
-def _first_document(text: Column) -> Column:
-    body = F.regexp_replace(text, r"\A(?:%[^\n]*\n|#[^\n]*\n|[ \t]*\n)*---[^\n]*\n", "")
-    return F.get(F.split(body, r"(?m)^(?:---|\.\.\.)[ \t]*$", 2), F.lit(0))
-
-
-def is_broken(text: str | Column) -> Column:
-    """Whether a line's own place shows that a text is no YAML.
-
-    A tab indents a line; a key stands deeper than one that has a value already;
-    or an item follows such a key at its own depth. Texts with block scalars,
-    quotes or flow brackets over several lines aren't told.
-    """
-    t = col(text)
-    own = F.filter(lines(t), lambda x: x.rlike(r"\A\s*[^\s#]") & ~x.rlike(r"\A(?:---|\.\.\.|%)"))
-    value = r"\A( *)(?:- )*[^\s#\"'\-\[\]{}][^:]*:[ \t]+[^\s#&!|>]"
-    depth = lambda x: F.length(F.regexp_extract(x, r"\A( *)", 1))
-    key, item = r"\A *[^\s#\"'\-\[\]{}][^:]*:(?:\s|\z)", r"\A *-(?:\s|\z)"
-
-    def wrong(x: Column, k: Column, all_: Column) -> Column:
-        before = F.get(all_, k - 1)
-        told = before.rlike(value) & ~before.rlike(item)
-        deeper = told & (depth(x) > depth(before)) & x.rlike(key)
-        above = F.try_element_at(F.filter(F.slice(all_, F.lit(1), k), lambda y: depth(y) <= depth(x)), F.lit(-1))
-        mixed = x.rlike(item) & (depth(above) == depth(x)) & above.rlike(value) & ~above.rlike(item)
-        return F.coalesce(deeper | mixed, F.lit(False))
-
-    plain = ~t.rlike(r"(?m)[|>][+-]?\d?[ \t]*$|[\[{][^\]}\n]*$|:[ \t]*[\"'][^\"'\n]*$")
-    broken = F.transform(F.array(own), lambda a: F.exists(F.transform(a, lambda x, k: wrong(x, k, a)), lambda w: w))[0]
-    return F.coalesce(t.rlike(r"(?m)^ *\t+ *[^\s#]") | (plain & broken), F.lit(False))
-
-
 def chunk_yaml(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """One chunk for up to three top-level keys (five items), else one for each key of two lines or more, or groups of 50 items; ``yaml_invalid`` for what is_broken tells."""
+    """Chunks of the first document's top level, with annotations.
+
+    A mapping of up to three keys, a sequence of up to five items, and a scalar
+    are one ``yaml_document``; a larger mapping has a ``yaml_section`` for each
+    key that matters, from the key to the line before the next one; a larger
+    sequence has a ``yaml_sequence_slice`` for every 50 items. A key matters
+    that holds a mapping of two keys or one with a collection of two, a sequence
+    of two items, or a text of over five lines or 200 bytes. What is no YAML is
+    one ``yaml_invalid``.
+    """
     rest = [c for c in docs.columns if c != text]
-    found = docs.where(trim_space(text) != "").withColumn("__t", _first_document(F.col(text)))
-    found = found.withColumn("__l", lines("__t"))
+    found = yamltree.with_nodes(docs.where(trim_space(text) != ""), text)
+    root = F.get("__nodes", F.lit(0))
+    top = F.transform(F.filter(F.transform("__nodes", lambda n, k: F.struct(n.alias("n"), k.alias("k"))), lambda x: x["n"]["parent"] == 0), lambda x: x["n"].withField("at", x["k"]))
+    found = found.withColumn("__l", lines(text)).withColumn("__top", top).withColumn("__root", root)
+    made = "struct<content:string,line_start:int,line_end:int,type:string,identifier:string,annotations:map<string,string>>"
 
-    def start(line: Column, i: Column) -> Column:
-        key = F.regexp_extract(line, r"\A([\"']?[^\s#\"'\-\[\]{}][^:\n]*?[\"']?):(?:\s|\z)", 1)
-        return F.struct(F.when(line.rlike(r"\A-(?:\s|\z)"), "-").otherwise(key).alias("key"), (i + 1).cast("int").alias("at"))
+    def chunk(content: Column, a: Column, b: Column, kind: str, label: Column, **notes: Column) -> Column:
+        noted = F.create_map(F.lit("type"), F.lit(kind), *(x for k, v in notes.items() for x in (F.lit(k), v.cast("string"))))
+        return F.struct(content, a, b, F.lit(kind), label, F.map_filter(noted, lambda _, v: v.isNotNull())).cast(made)
 
-    found = found.withColumn("__s", F.filter(F.transform("__l", start), lambda x: x["key"] != ""))
+    held = lambda a, b: F.array_join(F.slice("__l", a, b - a + 1), "\n")
+    rich = lambda n: n["kind"].isin("mapping", "sequence") & (n["n_children"] >= 2)
 
-    def block(x: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(F.col("__s"), k + 1)["at"], F.size("__l") + 1)
-        return F.struct(x["key"].alias("key"), x["at"].alias("at"), F.slice("__l", x["at"], end - x["at"]).alias("own"))
+    def matters(n: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(F.col("__top"), k + 1)["at"], F.size("__nodes"))
+        inside = F.exists(F.slice("__nodes", n["at"] + 2, after - n["at"] - 1), lambda x: (x["parent"] == n["node"]) & rich(x))
+        return rich(n) | ((n["kind"] == "mapping") & inside) | ((n["kind"] == "scalar") & ((n["value_lines"] > 5) | (n["value_bytes"] > 200)))
 
-    found = found.withColumn("__g", F.transform("__s", block))
-    make = lambda content, a, b, kind, label: F.struct(content.alias("content"), a.cast("int").alias("line_start"), b.cast("int").alias("line_end"), F.lit(kind).alias("type"), label.alias("identifier"))
-    whole = F.array(make(F.col(text), F.lit(1), F.size(lines(text)), "yaml_document", title_name(path)))
-    keys, items = F.filter("__g", lambda g: g["key"] != "-"), F.filter("__g", lambda g: g["key"] == "-")
-    parts = F.transform(F.filter(keys, lambda g: F.size(F.filter(g["own"], lambda x: trim_space(x) != "")) > 2), lambda g: make(F.array_join(g["own"], "\n"), g["at"], g["at"] + F.size(g["own"]) - 1, "yaml_section", g["key"]))
-    n = F.size(items)
+    def section(n: Column) -> Column:
+        end = F.coalesce(F.get(F.col("__top"), n["place"] + 1)["line_start"] - 1, F.col("__root.line_end"))
+        count = lambda kind: F.when(n["kind"] == kind, n["n_children"])
+        return chunk(held(n["line_start"], end), n["line_start"], end, "yaml_section", F.when(n["key"] == "", n["path"]).otherwise(n["key"]), key=n["key"], path=n["path"], value_type=n["kind"], indent=n["depth"], keys_count=count("mapping"), items_count=count("sequence"))
 
     def group(i: Column) -> Column:
-        own = F.slice(items, i * 50 + 1, F.lit(50))
-        first, last = own[0], F.element_at(own, -1)
-        return make(F.array_join(F.transform(own, lambda g: F.array_join(g["own"], "\n")), "\n"), first["at"], last["at"] + F.size(last["own"]) - 1, "yaml_sequence", F.concat(F.lit("items["), (i * 50).cast("string"), F.lit("-"), (F.least((i + 1) * 50, n) - 1).cast("string"), F.lit("]")))
-
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 50).cast("int") - 1, F.lit(0))), group)
-    invalid = F.array(make(F.col(text), F.lit(1), F.size(lines(text)), "yaml_invalid", title_name(path)))
-    chunks = F.when(is_broken(text), invalid).when((F.size(keys) > 3) & (F.size(parts) > 0), parts).when((F.size(keys) == 0) & (n > 5), groups).otherwise(whole)
-    return exploded(found, rest, chunks, "chunk_index", "c").select(*rest, "chunk_index", "c.*")
+        first, last = F.get(F.col("__top"), i * 50), F.get(F.col("__top"), F.least(i * 50 + 49, F.size("__top") - 1))
+        label = F.concat(F.lit("items["), first["place"].cast("string"), F.lit("-"), last["place"].cast("string"), F.lit("]"))
+        return chunk(held(first["line_start"], last["line_end"]), first["line_start"], last["line_end"], "yaml_sequence_slice", label, start_index=first["place"], end_index=last["place"], items_count=last["place"] - first["place"] + 1)
+
+    whole = lambda kind: F.array(chunk(F.col(text), F.lit(1), F.size("__l"), kind, title_name(path), yaml_type=F.when(F.lit(kind == "yaml_document"), F.col("__root.kind"))))
+    parts = F.transform(F.filter("__top", matters), section)
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__top") / 50).cast("int") - 1, F.lit(0))), group)
+    many = F.size("__top")
+    chunks = F.when(F.col("__broken"), whole("yaml_invalid")).when((F.col("__root.kind") == "mapping") & (many > 3), parts).when((F.col("__root.kind") == "sequence") & (many > 5), groups).otherwise(whole("yaml_document"))
+    found = found.withColumn("__chunks", chunks)
+    found = found.withColumn("__chunks", F.when(F.size("__chunks") > 0, F.col("__chunks")).otherwise(whole("yaml_document")))
+    return exploded(found, rest, F.col("__chunks"), "chunk_index", "c").select(*rest, "chunk_index", "c.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, lines, trim_space
-from folio.operators import codeblocks, configs, csvchunks, jsonchunks, markdown, textchunks
+from folio.operators import codeblocks, configs, csvchunks, jsonchunks, markdown, textchunks, yamltree
 from folio.schema import DEFINITION, SYMBOL
 
 _DEFINITIONS, _SYMBOLS = f"array<{DEFINITION.simpleString()}>", f"array<{SYMBOL.simpleString()}>"
@@ -87,25 +87,32 @@ def markdown_metadata(docs: DataFrame, text: str = "text", path: str = "path", k
 
 
 def yaml_metadata(docs: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
-    """Top-level keys as symbols; line kinds, key and item counts, depth by indentation, features as properties."""
-    some = docs.where(F.col(text).isNotNull())
-    own = F.transform(lines(text), lambda x: F.struct(x.alias("x"), trim_space(x).alias("t")))
-    count = lambda test: F.size(F.filter(own, test))
-    is_key = lambda y: y["t"].rlike(r"\A(?:- )*[\"']?[^\s#\"'\-\[\]{}][^:]*:(?:\s|\z)")
-    indents = F.array_distinct(F.transform(F.filter(own, is_key), lambda y: F.length(F.regexp_extract(y["x"], r"\A( *(?:- )*)", 1))))
-    top = F.filter(F.transform(own, lambda y, i: F.struct(F.regexp_extract(y["x"], r"\A[\"']?([^\s#\"'\-\[\]{}][^:\"']*)[\"']?:(?:\s|\z)", 1).alias("k"), (i + 1).alias("n"))), lambda z: z["k"] != "")
-    symbols = F.transform(top, lambda z: _symbol(z["k"], F.lit("key"), z["n"], z["n"], F.lit(True)))
+    """Keys as symbols and, with signatures, definitions; counts of nodes and lines, depth, size and features as properties.
+
+    Keys in a sequence's eleventh and later items count in the totals only.
+    What is no YAML has no symbols and ``valid`` false.
+    """
+    some = yamltree.with_nodes(docs.where(F.col(text).isNotNull()), text)
+    trimmed = F.transform(lines(text), trim_space)
+    count = lambda test: F.size(F.filter(trimmed, test))
+    fine = ~F.col("__broken")
+    keys = F.filter("__nodes", lambda n: fine & n["key"].isNotNull() & (n["widest"] < 10))
+    symbols = F.transform(keys, lambda n: _symbol(n["key"], n["kind"], n["line_start"], n["line_end"], F.lit(True)))
+    definitions = F.transform(F.filter(keys, yamltree.is_complex), lambda n: _definition(n["kind"], n["key"], n["line_start"], n["line_end"], F.lit("public"), yamltree.signature(n), F.lit("")))
+    told = {"root_type": F.get("__nodes", F.lit(0))["kind"], **yamltree.statistics(F.col("__nodes"))}
     properties = _properties(
-        total_lines=F.size(own),
-        comment_lines=count(lambda y: y["t"].startswith("#")),
-        empty_lines=count(lambda y: y["t"] == ""),
-        key_count=count(is_key),
-        item_count=count(lambda y: y["t"].rlike(r"\A-(?:\s|\z)")),
-        depth=F.size(indents),
-        document_count=count(lambda y: y["x"].rlike(r"\A---(?:\s|\z)")) + F.lit(1) - F.when(col(text).startswith("---"), 1).otherwise(0),
+        valid=F.when(fine, "true").otherwise("false"),
+        total_lines=F.size(trimmed),
+        size_bytes=F.octet_length(text),
+        comment_lines=count(lambda t: t.startswith("#")),
+        empty_lines=count(lambda t: t == ""),
+        content_lines=count(lambda t: (t != "") & ~t.startswith("#")),
+        item_count=count(lambda t: t.rlike(r"\A-(?:\s|\z)")),
+        document_count=F.size(F.filter(lines(text), lambda x: x.rlike(r"\A---(?:\s|\z)"))) + F.lit(1) - F.when(col(text).startswith("---"), 1).otherwise(0),
+        **{n: F.when(fine, c) for n, c in told.items()},
         **{n: F.when(c, "true") for n, c in configs.features(text).items()},
     )
-    return _made(some, "yaml", path, key, F.array(), F.array(), symbols, properties)
+    return _made(some, "yaml", path, key, F.array(), definitions, symbols, properties)
 
 
 def code_metadata(docs: DataFrame, language: codeblocks.Language, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:

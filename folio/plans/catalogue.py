@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks
+from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks, yamltree
 from folio.sources import files, registry
 from folio.storage import shared_dir
 from folio.streaming import ingest
@@ -924,6 +924,31 @@ def yaml_chunks(spark, sf_dir):
     return configs.chunk_yaml(rows).select("file_id", "identifier", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
+@query(f"""
+WITH c AS (SELECT c_nationkey AS file_id, c_custkey, row_number() OVER w - 1 AS i, c_custkey % 3 + 4 AS height, 4 + coalesce(sum(c_custkey % 3 + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
+  FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+n AS (SELECT n_nationkey AS file_id, n_name, 3 + sum(height) AS last, count(*) AS n FROM nation JOIN c ON n_nationkey = file_id GROUP BY ALL),
+rows AS (
+  SELECT file_id, 'root' AS path, 'mapping' AS kind, 1 AS line_start, last AS line_end, 3 AS n_children, 0 AS value_bytes FROM n
+  UNION ALL SELECT file_id, 'nation', 'scalar', 1, 1, 0, strlen(n_name) FROM n
+  UNION ALL SELECT file_id, 'region', 'mapping', 2, 2, 2, 0 FROM n
+  UNION ALL SELECT file_id, 'customers', 'sequence', 3, last, n, 0 FROM n
+  UNION ALL SELECT file_id, 'customers[' || i || ']', 'mapping', lo, lo + height - 1, 3, 0 FROM c
+  UNION ALL SELECT file_id, 'customers[' || i || '].id', 'scalar', lo, lo, 0, strlen(c_custkey::VARCHAR) FROM c
+  UNION ALL SELECT file_id, 'customers[' || i || '].tags', 'sequence', lo + 1, lo + 1, 1 + c_custkey % 2, 0 FROM c
+  UNION ALL SELECT file_id, 'customers[' || i || '].note', 'scalar', lo + 2, lo + height - 1, 0, 5 * (c_custkey % 3) + 5 + strlen(c_custkey::VARCHAR) FROM c
+)
+SELECT file_id, path, kind, line_start::INT AS line_start, line_end::INT AS line_end, n_children::INT AS n_children, value_bytes::INT AS value_bytes FROM rows""")
+def yaml_nodes(spark, sf_dir):
+    """Nodes of a file for each nation, which holds its customers as a list."""
+    note = F.concat(F.expr("repeat('    word\n', cast(c_custkey % 3 as int))"), F.lit("    end "), F.col("c_custkey"))
+    one = F.concat(F.lit("- id: "), F.col("c_custkey"), F.lit("  # key\n  tags: ["), F.when(F.col("c_custkey") % 2 == 1, '"a, b", ').otherwise(""), F.lit("c]\n  note: |\n"), note)
+    of = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.struct("c_custkey", one.alias("text")).alias("c")).groupBy("n_nationkey").agg(F.sort_array(F.collect_list("c")).alias("all"))
+    text = F.concat(F.lit("nation: '"), F.col("n_name"), F.lit("'\nregion: {key: "), F.col("n_regionkey"), F.lit(", name: x}\ncustomers:\n"), F.array_join(F.transform("all", lambda x: x["text"]), "\n"))
+    rows = table(spark, sf_dir, "nation").join(of, "n_nationkey").select(F.col("n_nationkey").alias("file_id"), text.alias("text"))
+    return yamltree.yaml_nodes(rows).select("file_id", "path", "kind", "line_start", "line_end", "n_children", "value_bytes")
+
+
 _MARKED = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || '## ') WHEN 1 THEN '# Start' || chr(10) || replace(text, '. ', '.' || chr(10) || '### part ') ELSE text || chr(10) || '```go' || chr(10) || 'func x() {}' || chr(10) || '```' || chr(10) || '# End #' END"
 
 

@@ -568,6 +568,6 @@ def test_metadata_in_one_schema(spark):
     assert got["csv"].properties["row_count"] == "2" and [d.signature for d in got["csv"].definitions] == ["name: text", "n: integer"]
     assert got["json"].properties["array_count"] == "1" and [s.name for s in got["json"].symbols] == ["a", "b"]
     assert got["markdown"].properties["title"] == "Guide" and [(s.name, s.type) for s in got["markdown"].symbols] == [("One", "h1"), ("Two", "h2")] and got["markdown"].properties["author"] == "me"
-    assert got["yaml"].properties["kubernetes_manifest"] == "true" and [s.name for s in got["yaml"].symbols] == ["apiVersion", "spec"] and got["yaml"].properties["item_count"] == "1"
+    assert got["yaml"].properties["kubernetes_manifest"] == "true" and [s.name for s in got["yaml"].symbols] == ["apiVersion", "spec", "image", "items"] and got["yaml"].properties["item_count"] == "1"
     assert got["go"].imports == ["fmt"] and got["go"].properties["package"] == "shop" and got["go"].properties["total_function"] == "1" and got["go"].definitions[0].visibility == "public"
     assert got["protobuf"].properties["syntax"] == "proto3" and got["protobuf"].imports == ["x.proto"] and got["protobuf"].properties["package"] == "a.b"
