@@ -173,7 +173,7 @@ def _nodes() -> Column:
         e, n, skipped = x["e"], x["n"], F.col("__d.line")
         return F.struct(
             x["i"].alias("node"), n["parent"].alias("parent"), n["last"].alias("last"), n["place"].alias("place"), n["depth"].alias("depth"), n["widest"].alias("widest"), n["path"].alias("path"),
-            F.when(e["kind"] == "key", e["name"]).alias("key"), x["kind"].alias("kind"), (e["line"] + skipped).alias("line_start"), (F.when(e["kind"] == "root", F.size("__lines")).otherwise(x["last"]) + skipped).alias("line_end"),
+            F.when(e["kind"] == "key", e["name"]).alias("key"), x["kind"].alias("kind"), (F.greatest(e["line"], F.lit(1)) + skipped).alias("line_start"), (F.when(e["kind"] == "root", F.size("__lines")).otherwise(x["last"]) + skipped).alias("line_end"),
             F.coalesce(x["flow"]["n"], F.when(x["kind"].isin("mapping", "sequence"), n["n_children"]), F.lit(0)).alias("n_children"),
             F.octet_length(x["text"]).alias("value_bytes"), F.size(F.split(x["text"], "\n", -1)).alias("value_lines"), x["flow"].alias("flow"),
         )
