@@ -33,18 +33,21 @@ def _nest(entries: list[dict], root: str) -> list[dict]:
             real = i if inside else real
             out.append({"parent": -2, "last": i, "n_children": 0, "first": -1, "place": -1, "depth": -1, "widest": 0, "path": None})
             continue
-        place, depth, widest, path = 0, 0, 0, root
+        place, depth, widest, path = 0, 0, 0, ""
         if up >= 0:
             over, name = out[up], e["name"]
             place, depth = over["n_children"], over["depth"] + 1
             over["n_children"] += 1
             over["first"] = i if place == 0 else over["first"]
             widest = over["widest"] if name is not None else max(over["widest"], place)
-            path = f"{over['path']}[{place}]" if name is None else name if over["depth"] == 0 else f"{over['path']}.{name}"
+            before = over["path"]
+            path = f"{before or root}[{place}]" if name is None else f"{before}.{name}" if before and name else before or name
         out.append({"parent": up, "last": i, "n_children": 0, "first": -1, "place": place, "depth": depth, "widest": widest, "path": path})
         stack.append(i)
         real = i
     close(None)
+    for o in out:
+        o["path"] = root if o["path"] == "" else o["path"]
     return out
 
 
@@ -54,7 +57,8 @@ def nested(entries: Column, root: str = "root") -> Column:
     An entry stands in the nearest one before it of a lower level. What stands
     in an opaque entry is part of it and no entry of its own; a passing entry
     counts only there. A path is names joined by dots, with places in brackets
-    for entries whose name is null; the first entry's is ``root``.
+    for entries whose name is null; an empty name adds nothing, and where nothing
+    was added a path is ``root``.
     """
 
     @F.arrow_udf(NESTED)

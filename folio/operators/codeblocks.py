@@ -1,8 +1,9 @@
 """Code and schema languages by lines and brace depth: declarations as chunks, and their counts.
 
 Depth is a running sum over one document's lines, with string literals and
-comments blanked first, over several lines as well; a declaration begins at its nesting level and ends
-where the depth returns to it. This finds the constructs that matter for
+comments blanked first, over several lines as well. One pass over a document's
+lines gives each the line that opens what it stands in and the last line of what
+it opens, at any depth; a declaration ends there. This finds the constructs that matter for
 retrieval; it is no compiler front end, and odd layouts stay in one chunk.
 """
 
@@ -13,8 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.nesting import nested
 from folio.functions.text import col, exploded, lines, trim_space
 
+#: For declarations that are looked for at any depth.
+ANY_DEPTH = 1 << 30
+#: For declarations that are looked for right in the body of a class or an interface.
+MEMBER = -1
+#: Declarations whose names are part of the names of those inside.
+_AROUND = ("message", "service", "class", "interface", "enum", "oneof")
+
 
 @dataclass(frozen=True)
 class Language:
@@ -43,7 +52,13 @@ GO = Language(
 )
 PROTO = Language(
     "protobuf",
-    (("message", r"^\s*message\s+(\w+)", 9), ("service", r"^\s*service\s+(\w+)", 0), ("rpc", r"^\s*rpc\s+(\w+)", 1), ("enum", r"^\s*enum\s+(\w+)", 9), ("oneof", r"^\s*oneof\s+(\w+)", 9)),
+    (
+        ("message", r"^\s*message\s+(\w+)", ANY_DEPTH),
+        ("service", r"^\s*service\s+(\w+)", 0),
+        ("rpc", r"^\s*rpc\s+(\w+)", 1),
+        ("enum", r"^\s*enum\s+(\w+)", ANY_DEPTH),
+        ("oneof", r"^\s*oneof\s+(\w+)", ANY_DEPTH),
+    ),
     r'^\s*import\s+(?:public\s+|weak\s+)?"([^"]+)"',
     r".",
 )
@@ -54,6 +69,7 @@ TERRAFORM = Language(
     r".",
     "#",
 )
+_MODIFIERS = r"(?:(?:public|private|protected|static|async|override|readonly|abstract|declare)\s+)*"
 TYPESCRIPT = Language(
     "typescript",
     (
@@ -64,15 +80,17 @@ TYPESCRIPT = Language(
         ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 0),
         ("constant", r"^\s*(?:export\s+)?const\s+(\w+)", 0),
         ("variable", r"^\s*(?:export\s+)?(?:let|var)\s+(\w+)", 0),
-        ("constructor", r"^\s*(?:public\s+|private\s+|protected\s+)?(constructor)\s*\(", 1),
-        ("method", r"^\s+(?:(?:public|private|protected|static|async|override|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b)(\w+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{;]*)?\{", 1),
-        ("property", r"^\s+(?:(?:public|private|protected|static|readonly)\s+)+(\w+)[?!]?\s*[:=]", 1),
+        ("constructor", r"^\s*(?:public\s+|private\s+|protected\s+)?(constructor)\s*\(", MEMBER),
+        ("method", rf"^\s+{_MODIFIERS}(?:get\s+|set\s+)?\*?\s*(#?[\w$]+)\??\s*(?:<[^(]*>)?\(", MEMBER),
+        ("property", rf"^\s+{_MODIFIERS}(#?[\w$]+)[?!]?\s*(?:[:=;]|\z)", MEMBER),
     ),
     r"""^\s*import\b.*?["']([^"']+)["']""",
     r"^\s*export\b|\bpublic\b|^\s*constructor\b",
 )
 #: A Terraform block's attributes and blocks, each on its own line.
 _ATTRIBUTE, _NESTED = r"\A\s*[\w-]+\s*=(?!=)", r'\A\s*[\w-]+(?:\s+"[^"]*")*\s*\{'
+#: A protobuf field and an enum's value.
+_FIELD, _VALUE = r"^\s*(?:repeated\s+|optional\s+|required\s+)?(?:map<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+", r"\A\s*\w+\s*=\s*-?\w+"
 LANGUAGES = {x.name: x for x in (GO, PROTO, TERRAFORM, TYPESCRIPT)}
 
 
@@ -95,14 +113,24 @@ def declaration_lines(docs: DataFrame, language: Language, text: str = "text", k
     rest = [c for c in docs.columns if c != text]
     both = F.arrays_zip(lines(text).alias("line"), lines(bare(text, language)).alias("bare"))
     rows = exploded(docs, rest, both, "line_no", "x").select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.line", "x.bare")
-    change = F.length(F.regexp_replace("bare", r"[^{(]", "")) - F.length(F.regexp_replace("bare", r"[^})]", ""))
+    change = F.length(F.regexp_replace("bare", r"[^{(\[]", "")) - F.length(F.regexp_replace("bare", r"[^})\]]", ""))
     before = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("depth_after", F.sum(change).over(before)).withColumn("depth", F.col("depth_after") - change)
+    opener = F.when((F.col("depth") == 0) & (F.col("depth_after") > 0), F.coalesce(*(F.when(F.col("line").rlike(p), k) for k, p, n in language.declarations if n == 0), F.lit("")))
+    rows = rows.withColumn("__in", F.last(opener, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, pattern, level in reversed(language.declarations):
-        hit = F.col("line").rlike(pattern) & F.col("bare").rlike(r"\S") & (F.col("depth") <= level) & ((F.lit(level) != 1) | (F.col("depth") == 1))
+        place = (F.col("depth") == 1) & F.col("__in").isin("class", "interface") if level == MEMBER else F.col("depth") == 1 if level == 1 else F.col("depth") <= level
+        hit = F.col("line").rlike(pattern) & F.col("bare").rlike(r"\S") & place
         kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(name)
-    return rows.withColumn("kind", kind).withColumn("name", name)
+    said = trim_space("line").rlike(r"\A(?://|/\*|\*|#)")
+    silent = F.max(F.when(~said, F.col("line_no"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("kind", kind).withColumn("name", name).withColumn("comments", F.col("line_no") - 1 - F.coalesce(silent, F.lit(0))).drop("__in")
+    if language.name != "protobuf":
+        return rows.withColumn("stop", F.col("line_no"))
+    # a statement goes on to the next semicolon or brace
+    from_end = Window.partitionBy(key).orderBy(F.desc("line_no"))
+    return rows.withColumn("stop", F.coalesce(F.last(F.when(F.col("bare").rlike("[;{}]"), F.col("line_no")), ignorenulls=True).over(from_end), F.col("line_no")))
 
 
 def balanced(docs: DataFrame, language: Language, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -115,32 +143,27 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
     """A row for each declaration: kind, name, qualified name, lines, content, signature, doc comment, visibility.
 
     It ends on the first line, from its own on, after which the depth is back
-    at its level and a body, if one was opened, has closed.
+    at its level: the last line inside what its line opens, or that line itself.
     """
     rest = [c for c in docs.columns if c != text]
-    per_doc = declaration_lines(docs, language, text, key).groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "depth", "depth_after", "kind", "name"))).alias("all"))
+    per_doc = declaration_lines(docs, language, text, key).groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "depth", "depth_after", "kind", "name", "comments", "stop"))).alias("all"))
+    around = lambda x: F.when(x["kind"].isin(*_AROUND), x["name"]).otherwise("")
+    entries = F.concat(F.array(F.struct(F.lit(-(1 << 30)).alias("level"), F.lit("").alias("name"))), F.transform("all", lambda x: F.struct(x["depth"].cast("int").alias("level"), around(x).alias("name"))))
+    per_doc = per_doc.withColumn("__held", nested(F.transform(entries, lambda x: x.withField("opaque", F.lit(False)).withField("passing", F.lit(False))), ""))
 
     def one(d: Column) -> Column:
-        after = F.slice("all", d["line_no"], F.size("all"))
-        end = F.get(F.filter(after, lambda x: x["depth_after"] <= d["depth"]), F.lit(0))
-        last = F.coalesce(end["line_no"], F.element_at("all", -1)["line_no"])
+        held = F.get(F.col("__held"), d["line_no"])  # the root comes before the first line
+        last = F.get(F.col("__held"), d["stop"])["last"].cast("int")
         own = F.transform(F.slice("all", d["line_no"], last - d["line_no"] + 1), lambda x: x["line"])
-        around = F.filter("all", lambda x: x["kind"].isin("message", "service", "class", "interface", "enum", "oneof") & (x["line_no"] < d["line_no"]) & (x["depth"] < d["depth"]))
-        # Enclosing declarations: for each lower depth the last one before this line.
-        chain = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: F.get(F.reverse(F.filter(around, lambda x: x["depth"] == n)), F.lit(0))), lambda x: x.isNotNull())
+        outer = F.get(F.col("__held"), held["parent"])["path"]
         labels = F.regexp_extract_all(d["name"], F.lit(r'"([^"]*)"'), F.lit(1))
-        name = F.array_join(F.concat(F.array(d["kind"]), labels), ".") if language.name == "terraform" else F.array_join(F.concat(F.transform(chain, lambda x: x["name"]), F.array(d["name"])), ".")
-        above = F.reverse(F.slice("all", F.lit(1), d["line_no"] - 1))
-        said = F.aggregate(
-            above,
-            F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out")),
-            lambda s, x: F.when(s["on"] & trim_space(x["line"]).rlike(r"\A(?://|/\*|\*|#)"), F.struct(F.lit(True).alias("on"), F.concat(F.array(trim_space(F.regexp_replace(x["line"], r"\A\s*(?://+|/\*+|\*+/?|#+)|\*/\s*\z", ""))), s["out"]).alias("out"))).otherwise(F.struct(F.lit(False).alias("on"), s["out"].alias("out"))),
-            lambda s: F.array_join(F.filter(s["out"], lambda x: x != ""), "\n"),
-        )
+        name = F.array_join(F.concat(F.array(d["kind"]), labels), ".") if language.name == "terraform" else F.concat(outer, F.when(outer == "", "").otherwise("."), d["name"])
+        above = F.transform(F.slice("all", d["line_no"] - d["comments"], d["comments"]), lambda x: trim_space(F.regexp_replace(x["line"], r"\A\s*(?://+|/\*+|\*+/?|#+)|\*/\s*\z", "")))
+        said = F.array_join(F.filter(above, lambda x: x != ""), "\n")
         seen = F.when(d["line"].rlike(language.public) if language.name != "go" else d["name"].rlike(language.public), "public").otherwise("private")
         inner = F.filter(F.slice("all", d["line_no"], last - d["line_no"] + 1), lambda x: (x["depth"] == d["depth"] + 1) & (x["line_no"] > d["line_no"]))
         within = lambda pattern: F.size(F.filter(inner, lambda x: x["line"].rlike(pattern)))
-        blocks = [within(_ATTRIBUTE).alias("attribute_count"), within(_NESTED).alias("nested_block_count")] if language.name == "terraform" else []
+        blocks = {"terraform": {"attribute_count": _ATTRIBUTE, "nested_block_count": _NESTED}, "protobuf": {"inner_fields": _FIELD, "inner_values": _VALUE, "inner_rpcs": r"\A\s*rpc\s"}}.get(language.name, {})
         return F.struct(
             d["kind"].alias("kind"),
             d["name"].alias("name"),
@@ -152,8 +175,8 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
             trim_space(F.regexp_replace(d["line"], r"\{.*\z", "")).alias("signature"),
             said.alias("documentation"),
             seen.alias("visibility"),
-            F.size(F.filter(own, lambda x: x.rlike(r"^\s*(?:repeated\s+|optional\s+|required\s+)?(?:map<[^>]*>|[\w.]+)\s+\w+\s*=\s*\d+"))).alias("field_count"),
-            *blocks,
+            F.size(F.filter(own, lambda x: x.rlike(_FIELD))).alias("field_count"),
+            *(within(pattern).alias(n) for n, pattern in blocks.items()),
         )
 
     made = F.transform(F.filter("all", lambda x: x["kind"].isNotNull()), one)  # within the row: no declaration carries the file's lines along
@@ -198,6 +221,36 @@ def rpc_streams(signature: str | Column) -> Column:
     return F.struct(streams(0).alias("takes"), streams(1).alias("gives"))
 
 
+def rpc_signature(signature: str | Column) -> Column:
+    """An rpc's name, request and response, with ``stream`` before those that stream."""
+    part = r"\(\s*(stream\s+)?([\w.]+)\s*\)"
+    text = F.regexp_replace(col(signature), r"\s+", " ")
+    got = lambda k: F.regexp_extract(text, rf"rpc (\w+) ?{part} ?returns ?{part}", k)
+    return F.when(got(1) != "", F.concat(F.lit("rpc "), got(1), F.lit("("), got(2), got(3), F.lit(") returns ("), got(4), got(5), F.lit(")")))
+
+
+def proto_annotations(found: DataFrame) -> DataFrame:
+    """Protobuf declarations with ``annotations``: kind, name, documentation, fields or values or rpcs right inside, and an rpc's types and streams."""
+    named = lambda text, k: F.nullif(F.regexp_extract(F.regexp_replace(text, r"\s+", " "), r"rpc \w+ ?\( ?(?:stream )?([\w.]+) ?\) ?returns ?\( ?(?:stream )?([\w.]+) ?\)", k), F.lit(""))
+    only = lambda kind, value: F.when(F.col("kind") == kind, value)
+    streams = rpc_streams("content")
+    values = {
+        "type": F.col("kind"),
+        "name": F.col("name"),
+        "has_doc": F.col("documentation") != "",
+        "field_count": F.when(F.col("kind").isin("message", "oneof"), F.col("inner_fields")),
+        "value_count": only("enum", F.col("inner_values")),
+        "rpc_count": only("service", F.col("inner_rpcs")),
+        "signature": only("rpc", rpc_signature("content")),
+        "request_type": only("rpc", named(F.col("content"), 1)),
+        "response_type": only("rpc", named(F.col("content"), 2)),
+        "streams_request": only("rpc", streams["takes"]),
+        "streams_response": only("rpc", streams["gives"]),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()))
+    return found.withColumn("annotations", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
+
+
 def go_header(text: str | Column) -> Column:
     """A Go file's package line and its first import block, each with a blank line after it."""
     package = F.regexp_extract(col(text), r"(?m)^package\s+\w+", 0)

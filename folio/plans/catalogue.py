@@ -924,6 +924,29 @@ def yaml_chunks(spark, sf_dir):
     return configs.chunk_yaml(rows).select("file_id", "identifier", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
+@query("""
+WITH f AS (SELECT s_suppkey AS file_id, 1 + s_suppkey % 12 AS deep, 1 + s_suppkey % 3 AS fields, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS tall, s_name FROM supplier),
+m AS (SELECT f.*, u.k FROM f, LATERAL (SELECT unnest(range(0, deep)) AS k) u)
+SELECT file_id, 'message' AS kind, array_to_string(list_transform(range(0, k + 1), lambda i: 'M' || i), '.') AS qualified_name, (k + 1)::INT AS line_start, (2 * deep + fields - k)::INT AS line_end,
+  CASE WHEN k = deep - 1 THEN fields ELSE 0 END::VARCHAR AS inner_count, NULL AS signature, '' AS documentation FROM m
+UNION ALL SELECT file_id, 'service', 'S', (2 * deep + fields + 1)::INT, (2 * deep + fields + 3 + tall)::INT, '1', NULL, '' FROM f
+UNION ALL SELECT file_id, 'rpc', 'S.Get', (2 * deep + fields + 3)::INT, (2 * deep + fields + 2 + tall)::INT, NULL,
+  CASE WHEN tall = 2 THEN 'rpc Get(a.B) returns (stream C)' ELSE 'rpc Get(stream a.B) returns (C)' END, 'For ' || s_name FROM f""")
+def proto_nested(spark, sf_dir):
+    """Declarations of a protobuf file for each supplier: up to twelve messages in each other, and a service."""
+    key = F.col("s_suppkey")
+    deep = (1 + key % 12).cast("int")
+    opened = F.transform(F.sequence(F.lit(0), deep - 1), lambda k: F.concat(F.repeat(F.lit("  "), k), F.lit("message M"), k, F.lit(" {\n")))
+    closed = F.transform(F.sequence(F.lit(1), deep), lambda k: F.concat(F.repeat(F.lit("  "), deep - k), F.lit("}\n")))
+    fields = F.repeat(F.lit("  map<string, a.B> x = 1; // {\n"), (1 + key % 3).cast("int"))
+    rpc = F.when(key % 2 == 0, "  rpc Get(a.B)\n    returns (stream C);\n").otherwise("  rpc Get (stream a.B) returns (C) {}\n")
+    text = F.concat(F.array_join(opened, ""), fields, F.array_join(closed, ""), F.lit("service S {\n  // For "), F.col("s_name"), F.lit("\n"), rpc, F.lit("}"))
+    files_ = table(spark, sf_dir, "supplier").select(key.alias("doc_id"), text.alias("text"))
+    found = codeblocks.proto_annotations(codeblocks.declarations(files_, codeblocks.PROTO))
+    note = lambda k: F.col("annotations")[k]
+    return found.select(F.col("doc_id").alias("file_id"), "kind", "qualified_name", "line_start", "line_end", F.coalesce(note("field_count"), note("rpc_count")).alias("inner_count"), note("signature").alias("signature"), "documentation")
+
+
 @query(f"""
 WITH c AS (SELECT c_nationkey AS file_id, c_custkey, row_number() OVER w - 1 AS i, c_custkey % 3 + 4 AS height, 4 + coalesce(sum(c_custkey % 3 + 4) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
   FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),

@@ -571,3 +571,45 @@ def test_metadata_in_one_schema(spark):
     assert got["yaml"].properties["kubernetes_manifest"] == "true" and [s.name for s in got["yaml"].symbols] == ["apiVersion", "spec", "image", "items"] and got["yaml"].properties["item_count"] == "1"
     assert got["go"].imports == ["fmt"] and got["go"].properties["package"] == "shop" and got["go"].properties["total_function"] == "1" and got["go"].definitions[0].visibility == "public"
     assert got["protobuf"].properties["syntax"] == "proto3" and got["protobuf"].imports == ["x.proto"] and got["protobuf"].properties["package"] == "a.b"
+
+
+def test_declarations_of_any_depth_in_one_pass(spark):
+    deep = "".join(f"{'  ' * k}message M{k} {{\n" for k in range(30)) + "int32 x = 1;\n" + "}\n" * 30
+    rows = codeblocks.declarations(frame(spark, deep), codeblocks.PROTO).orderBy("depth").collect()
+    assert [(r.qualified_name, r.line_start, r.line_end) for r in rows] == [(".".join(f"M{i}" for i in range(k + 1)), k + 1, 61 - k) for k in range(30)]
+    long = "package p\n" + "".join(f"// F{i} does it.\nfunc F{i}(\n\ta int,\n) error {{\n\treturn nil\n}}\n" for i in range(4000))
+    found = codeblocks.declarations(frame(spark, long), codeblocks.GO)
+    got = found.agg(F.count("*"), F.min(F.expr("line_end - line_start")), F.max(F.expr("line_end - line_start")), F.count_if(F.expr("documentation = name || ' does it.'"))).first()
+    assert tuple(got) == (4000, 4, 4, 4000)
+
+
+def test_typescript_members_and_arrow_functions(spark):
+    ts = (
+        "import { a } from './a';\n\nexport const add = (x: number): number => {\n  return x;\n};\n\n/** A thing. */\nexport class Thing<T> extends Base {\n  private n = 1;\n  items: string[] = [\n    'a(',\n  ];\n"
+        "  constructor(\n    readonly a: string,\n  ) {\n    super();\n    if (a) {\n    }\n  }\n  static async load<T>(id: string): Promise<T> {\n    call(id);\n    const inner = 1;\n  }\n  handle = (e: Event) => {\n    run(e);\n  };\n  get size() { return 1; }\n}\n\n"
+        "interface Shape {\n  area(): number;\n  name?: string;\n}\nfunction outer() {\n  const local = 1;\n  call();\n}\n"
+    )
+    rows = [(r.kind, r.qualified_name, r.line_start, r.line_end) for r in codeblocks.declarations(frame(spark, ts), codeblocks.TYPESCRIPT).orderBy("line_start").collect()]
+    assert rows == [
+        ("constant", "add", 3, 5),
+        ("class", "Thing", 8, 28),
+        ("property", "Thing.n", 9, 9),
+        ("property", "Thing.items", 10, 12),
+        ("constructor", "Thing.constructor", 13, 19),
+        ("method", "Thing.load", 20, 23),
+        ("property", "Thing.handle", 24, 26),
+        ("method", "Thing.size", 27, 27),
+        ("interface", "Shape", 30, 33),
+        ("method", "Shape.area", 31, 31),
+        ("property", "Shape.name", 32, 32),
+        ("function", "outer", 34, 37),
+    ]
+
+
+def test_proto_annotations(spark):
+    text = "// Says.\nmessage M {\n  int32 a = 1;\n  oneof o {\n    string s = 2;\n  }\n  enum E {\n    NONE = 0;\n    ONE = 1;\n  }\n}\nservice S {\n  rpc Get(stream x.M) returns (M) {}\n  rpc Put(M)\n      returns (stream x.M);\n}\n"
+    rows = {r["name"]: r.annotations for r in codeblocks.proto_annotations(codeblocks.declarations(frame(spark, text), codeblocks.PROTO)).collect()}
+    assert rows["M"] == {"type": "message", "name": "M", "has_doc": "true", "field_count": "1"}
+    assert rows["E"]["value_count"] == "2" and rows["o"]["field_count"] == "1" and rows["S"]["rpc_count"] == "2"
+    assert rows["Get"]["signature"] == "rpc Get(stream x.M) returns (M)" and rows["Get"]["streams_request"] == "true" and rows["Get"]["request_type"] == "x.M"
+    assert rows["Put"]["signature"] == "rpc Put(M) returns (stream x.M)" and rows["Put"]["streams_response"] == "true" and rows["Put"]["response_type"] == "x.M"
