@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import WHITE, col, exploded, extension, lines, token_estimate, trim_space
+from folio.operators.tokens import Tokenizer, count_tokens, split_by_tokens
 from folio.storage import written
 
 #: Separators from coarse to fine.
@@ -116,25 +117,36 @@ def significant(content: str | Column, least: int = 50, share: float = 0.25, few
     return (F.octet_length(trimmed) >= least) & (solid > 0) & (useful >= fewest) & (useful >= share * solid)
 
 
-def post_process(chunks: DataFrame, size: int | Column, max_lines: int | Column, least: int = 50) -> DataFrame:
-    """Chunks worth keeping, those of over twice ``size`` tokens cut by lines into ``type``_part rows."""
+def post_process(chunks: DataFrame, size: int | Column, max_lines: int | Column, least: int = 50, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Chunks worth keeping, those of over twice ``size`` tokens cut into ``type``_part rows: by tokens with a tokenizer, which needs a fixed ``size``, else by lines."""
     from folio.operators.textchunks import split_lines
 
-    kept = chunks.where(significant("content", least)).withColumn("token_count", token_estimate("content"))
-    blocks = F.filter(split_lines(F.col("content"), max_lines), lambda b: F.octet_length(trim_space(b["content"])) >= least)
+    kept = chunks.where(significant("content", least)).withColumn("token_count", count_tokens("content", tokenizer))
+    shape = "array<struct<k:int,content:string,from:int,to:int>>"
+    if tokenizer is None:
+        blocks = split_lines(F.col("content"), max_lines)
+    else:
+        if isinstance(size, Column):
+            raise ValueError("cuts by a tokenizer need one size for all chunks")
+        kept = kept.withColumn("__t", split_by_tokens(F.when(F.col("token_count") > 2 * size, F.col("content")), size, tokenizer))
+        count = lambda t: F.size(lines(t)) - 1
+        before = F.aggregate(F.transform("__t", lambda x: count(x["content"])), F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+        kept = kept.withColumn("__n", before)
+        blocks = F.transform("__t", lambda x, k: F.struct(k.alias("k"), x["content"].alias("content"), F.get(F.col("__n"), k).alias("from"), F.get(F.col("__n"), k + 1).alias("to"))).cast(shape)
+    blocks = F.filter(blocks, lambda b: F.octet_length(trim_space(b["content"])) >= least)
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("content"), F.lit(0).alias("from"), F.lit(0).alias("to")))
     parts = F.when((F.col("token_count") > 2 * size) & (F.size(blocks) > 0), blocks).otherwise(whole)
     rest = [c for c in chunks.columns if c not in ("content", "type", "line_start", "line_end")]
     out = kept.withColumn("__p", F.explode(parts))
     cut = F.col("__p.k") >= 0
-    return out.select(
+    made = out.select(
         *rest,
         F.col("__p.content").alias("content"),
         F.when(cut, F.concat("type", F.lit("_part_"), (F.col("__p.k") + 1).cast("string"))).otherwise(F.col("type")).alias("type"),
         (F.col("line_start") + F.when(cut, F.col("__p.from")).otherwise(0)).alias("line_start"),
         F.when(cut, F.col("line_start") + F.col("__p.to")).otherwise(F.col("line_end")).alias("line_end"),
-        token_estimate("__p.content").alias("token_count"),
     )
+    return made.withColumn("token_count", count_tokens("content", tokenizer))
 
 
 def split_files(files: DataFrame, registry, text: str = "text", path: str = "path", window: int = 4096) -> DataFrame:
@@ -191,7 +203,7 @@ def file_header(path: str | Column, language: str | Column, imports: str | Colum
     return F.concat(head, F.when(F.size(col(imports)) > 0, listed).otherwise(""))
 
 
-def enrich(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_index", header: str | None = None, window: int = 4096) -> DataFrame:
+def enrich(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_index", header: str | None = None, window: int = 4096, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``enriched_content``: a chunk after its file header and lines of the chunk before, while the token window lasts.
 
     The window function is partitioned by document: a task holds the chunks of some documents, never of all.
@@ -199,13 +211,15 @@ def enrich(chunks: DataFrame, doc: str = "doc_id", index: str = "chunk_index", h
     before = F.lag("content").over(Window.partitionBy(doc).orderBy(index))
     overlap = overlap_lines(F.col("__before"))
     marked = F.concat(F.lit("// Previous context:\n"), overlap, F.lit("\n// Current section:\n"))
-    out = chunks.withColumn("__before", before).withColumn("__marked", marked)
-    own = token_estimate("content")
-    head = F.col(header) if header else F.lit("")
-    takes_head = (head != "") & (own + token_estimate(head) <= window)
-    left = window - own - F.when(takes_head, token_estimate(head)).otherwise(0)
-    takes_overlap = F.col("__marked").isNotNull() & (token_estimate("__marked") <= left)
-    return out.withColumn("enriched_content", F.concat(F.when(takes_overlap, F.col("__marked")).otherwise(""), F.when(takes_head, head).otherwise(""), F.col("content"))).drop("__before", "__marked")
+    out = chunks.withColumn("__before", before).withColumn("__marked", marked).withColumn("__header", F.col(header) if header else F.lit(""))
+    for name in ("content", "__header", "__marked"):
+        out = out.withColumn(f"__n_{name}", count_tokens(name, tokenizer))
+    own, head = F.col("__n_content"), F.col("__header")
+    takes_head = (head != "") & (own + F.col("__n___header") <= window)
+    left = window - own - F.when(takes_head, F.col("__n___header")).otherwise(0)
+    takes_overlap = F.col("__marked").isNotNull() & (F.col("__n___marked") <= left)
+    out = out.withColumn("enriched_content", F.concat(F.when(takes_overlap, F.col("__marked")).otherwise(""), F.when(takes_head, head).otherwise(""), F.col("content")))
+    return out.drop("__before", "__marked", "__header", "__n_content", "__n___header", "__n___marked")
 
 
 def truncate_to_tokens(content: str | Column, most: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks, yamltree
+from folio.operators import chains, codeblocks, configs, csvchunks, evaluate, jsonchunks, markdown, models, pdftext, search, split, store, textchunks, tokens, yamltree
 from folio.sources import files, registry
 from folio.storage import shared_dir
 from folio.streaming import ingest
@@ -924,6 +924,20 @@ def yaml_chunks(spark, sf_dir):
     return configs.chunk_yaml(rows).select("file_id", "identifier", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
+_WORD = r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract(text, '^[ \t\n\x0B\f\r]*') AS lead, regexp_extract_all(text, '{_WORD}') AS words FROM documents WHERE text IS NOT NULL AND text <> ''),
+p AS (SELECT doc_id, lead, words, unnest(range(0, greatest(1, (len(words) + 99) // 100))) AS k FROM d)
+SELECT doc_id, k::INT AS piece, greatest(0, least(100, len(words) - 100 * k))::INT AS tokens,
+  md5(CASE WHEN k = 0 THEN lead ELSE '' END || array_to_string(words[100 * k + 1 : 100 * k + 100], '')) AS content_md5 FROM p""")
+def token_pieces(spark, sf_dir):
+    """Documents cut into pieces of up to 100 tokens of a tokenizer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.split_by_tokens("text", 100, tokens.word_tokenizer()).alias("p"))
+    return docs.select("doc_id", F.posexplode("p").alias("piece", "x")).select("doc_id", "piece", "x.tokens", F.md5("x.content").alias("content_md5"))
+
+
 @query("""
 WITH f AS (SELECT s_suppkey AS file_id, 1 + s_suppkey % 12 AS deep, 1 + s_suppkey % 3 AS fields, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS tall, s_name FROM supplier),
 m AS (SELECT f.*, u.k FROM f, LATERAL (SELECT unnest(range(0, deep)) AS k) u)
