@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import shutil
 import subprocess
 import tempfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, extension, repaired
+from folio.sources.csvfiles import csv_fields, csv_records
 from folio.storage import written
 
 #: Directories that are never read.
@@ -44,21 +47,43 @@ def is_wanted(path: str | Column, length: str | Column, include: Sequence[str] =
 def scan(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), more_dirs: Sequence[str] = (), max_file: int = MAX_FILE, total_budget: int | None = None) -> DataFrame:
     """(path, text, length, modificationTime) of a tree's text files; path is relative to ``root``.
 
-    The length test reaches the file scan, so that large files are not opened.
+    The tests of path and length reach the file list, so that only files that
+    pass them are opened; those in skipped directories never are.
     ``total_budget`` keeps files, in path order, while their sizes add up to no
     more; it needs the sums of ranges of the file list and is off by default.
     """
     if not root:
         raise ValueError("a path is needed")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"\A[a-z]+:/*(?=/)", "")
-    relative = F.regexp_replace(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), base, F.lit(r"/\E")), 2), -1), r"\A/+", "")
-    found = raw.where(F.col("length") <= max_file).withColumn("path", relative).where(is_wanted("path", "length", include, exclude, more_dirs, max_file))
+    found = _listed(spark, root).where(_passing(root, include, exclude, more_dirs, max_file))
+    relative = _relative(F.col("path"), root)
+    found = found.withColumn("path", relative).where(is_wanted("path", "length", include, exclude, more_dirs, max_file))
     if total_budget is not None:
-        found = found.join(_within_budget(found.select("path", "length"), total_budget), "path", "left_semi")
+        within = names(spark, root, include, exclude, more_dirs, max_file).select("path", "length")
+        found = found.join(_within_budget(within, total_budget), "path", "left_semi")
     return found.select("path", repaired("content").alias("text"), "length", "modificationTime")
 
 
+def names(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), more_dirs: Sequence[str] = (), max_file: int = MAX_FILE) -> DataFrame:
+    """(path, length, modificationTime) of the files that ``scan`` would read; none is opened."""
+    found = _listed(spark, root).where(_passing(root, include, exclude, more_dirs, max_file)).withColumn("path", _relative(F.col("path"), root))
+    return found.where(is_wanted("path", "length", include, exclude, more_dirs, max_file)).select("path", "length", "modificationTime")
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
+
+
+def _relative(path: Column, root: str) -> Column:
+    base = re.sub(r"\A[a-z][a-z0-9+.-]*:/*(?=/)", "", root.rstrip("/"))
+    return F.regexp_replace(F.element_at(F.split(path, rf"\Q{base}/\E", 2), -1), r"\A/+", "")
+
+
+def _passing(root: str, *tests) -> Column:
+    """The test of a file on what its listing says alone, so that Spark drops files before it opens any."""
+    path = _relative(F.col("_metadata.file_path"), quote(root, safe="/:@!$&'()*+,;=~"))
+    return is_wanted(path, F.col("_metadata.file_size"), *tests)
+
+
 def _within_budget(names: DataFrame, total: int) -> DataFrame:
     """Paths, in order, whose sizes add up to ``total`` at most: sums of ranges of paths first, then sums within each range."""
     spark = names.sparkSession
@@ -102,8 +127,15 @@ def command_output(spark: SparkSession, command: Sequence[str], timeout: float =
 
 
 def evaluation_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an evaluation file of eight columns or more; those with a bad id or too few columns are left out."""
-    names = ["query_id", "query_text", "c2", "ground_truth_answer", "c4", "c5", "is_selected", "passage_text"]
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", schema=", ".join(f"{n} string" for n in names))
-    ids = F.col("query_id").try_cast("int")
-    return raw.where(ids.isNotNull() & F.col("passage_text").isNotNull()).select(ids.alias("query_id"), "query_text", "ground_truth_answer", F.col("is_selected").try_cast("int").alias("is_selected"), F.trim("passage_text").alias("relevant_passage"))
+    """Rows of evaluation files of eight columns or more; those with a bad id or too few columns are left out.
+
+    ``place`` orders the rows as their file does. A file of any size is read by
+    as many tasks as it has byte ranges.
+    """
+    rows = csv_fields(csv_records(spark, path), 8)
+    cell = lambda i: F.get(F.col("fields"), F.lit(i))
+    query = F.trim(cell(0)).try_cast("int")
+    place = F.struct("file", "block", "number").alias("place")
+    return rows.where((F.size("fields") >= 8) & query.isNotNull()).select(
+        query.alias("query_id"), F.trim(cell(1)).alias("query_text"), F.trim(cell(3)).alias("ground_truth_answer"), F.coalesce(F.trim(cell(6)).try_cast("int"), F.lit(0)).alias("is_selected"), F.trim(cell(7)).alias("relevant_passage"), place
+    )

@@ -83,10 +83,12 @@ class Registry:
             own = named.where(F.col("parser") == name).select("path", "text")
             made = (parser.chunk or chunk_text)(own).select(*(F.col(c).cast("int") if c in ("chunk_index", "line_start", "line_end") else c for c in keep))
             out = made if out is None else out.unionByName(made)
-        every = named.select("path", "text").join(out, "path", "left")
-        alone = F.col("chunk_index").isNull()
-        whole = {"chunk_index": F.lit(0), "content": F.coalesce("text", F.lit("")), "line_start": F.lit(1), "line_end": F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)), "type": F.lit("file"), "identifier": base_name("path")}
-        every = every.select("path", *(F.when(alone, whole[c]).otherwise(F.col(c)).alias(c) for c in keep[1:]))
+        # files without chunks are found by their paths; texts take no part in the join of the others
+        made = written(out, "file_chunks")
+        alone = named.select("path", "text").join(made.select("path").distinct(), "path", "left_anti")
+        text = F.coalesce("text", F.lit(""))
+        whole = alone.select("path", F.lit(0).alias("chunk_index"), text.alias("content"), F.lit(1).alias("line_start"), F.size(F.split(text, "\n", -1)).alias("line_end"), F.lit("file").alias("type"), base_name("path").alias("identifier"))
+        every = made.unionByName(whole)
         return every.withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("path")).cast("int"))
 
 
