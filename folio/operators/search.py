@@ -1,18 +1,23 @@
 """Vector search and filters over collections held as DataFrames.
 
-Searches are exact: a block of queries meets every stored row once. Queries are
-broadcast only while their checked size in bytes stays under a bound; larger
-sets are cut into groups, and groups and blocks of rows meet in an equi-join
-whose keys are as many as there are partitions at least.
+Searches are exact: a block of queries meets every stored row once, as a product
+of matrices whose best rows are scored again one by one. Queries go to the tasks
+only while their checked size in bytes stays under a bound; larger sets are cut
+into groups, and groups and blocks of rows meet in an equi-join whose keys are as
+many as there are partitions at least.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries are broadcast up to so many bytes; past it they are dealt to groups of that size.
 BROADCAST_BYTES = 64 << 20
@@ -46,11 +51,15 @@ def filtered(table: DataFrame, filters: Mapping[str, object] | None) -> DataFram
     return table if test is None else table.where(test)
 
 
+def _size(asked: DataFrame, query_vector: str) -> int:
+    return asked.agg(F.sum(F.lit(8) * F.size(query_vector) + 64).alias("bytes")).first()["bytes"] or 0
+
+
 def with_scores(table: DataFrame, queries: DataFrame, vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """Every stored row with every query and their cosine ``score``; norms are taken once a row."""
     stored = table.withColumn("__v", as_doubles(vector)).withColumn("__n", norm(F.col("__v")))
     asked = queries.select(query_id, as_doubles(query_vector).alias("__q")).withColumn("__m", norm(F.col("__q")))
-    size = asked.agg(F.sum(F.lit(8) * F.size("__q") + 64).alias("bytes")).first()["bytes"] or 0
+    size = _size(asked, "__q")
     if size <= BROADCAST_BYTES:
         met = stored.crossJoin(F.broadcast(asked))
     else:  # each block of rows meets each group of queries
@@ -62,7 +71,7 @@ def with_scores(table: DataFrame, queries: DataFrame, vector: str = "embedding",
     return met.withColumn("score", dot(F.col("__v"), F.col("__q")) / (F.col("__n") * F.col("__m"))).drop("__v", "__q", "__n", "__m")
 
 
-def top_k(table: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, filters: Mapping[str, object] | None = None, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", skip_self: bool = False) -> DataFrame:
+def top_k(table: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, filters: Mapping[str, object] | None = None, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", skip_self: bool = False) -> DataFrame:
     """The k best rows of each query with ``score`` and ``rank``: highest first, ties to the smaller id.
 
     Rows under ``threshold`` are left out, zero by default as in the service
@@ -70,14 +79,74 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0,
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    found = with_scores(filtered(table, filters), queries, vector, query_id)
-    found = found.where(F.col("score") >= threshold)
-    if skip_self:
-        found = found.where(F.col(id_col) != F.col(query_id))
+    rows = filtered(table, filters)
+    if _size(queries, query_vector) <= BROADCAST_BYTES:
+        found = _best_of_blocks(rows, queries, k, threshold, id_col, vector, query_id, query_vector, skip_self)
+    else:
+        found = with_scores(rows, queries, vector, query_id, query_vector).where(F.col("score") >= threshold)
+        found = found.where(F.col(id_col) != F.col(query_id)) if skip_self else found
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _vectors(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the lists of ``dim`` finite values that aren't all zero, and those as a matrix."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False)
+    at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    x = pc.cast(lists.take(pa.array(at)).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), dim)
+    fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    return at[fine], x[fine]
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row with one vector; equal rows have equal ones."""
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum()))
+
+
+def _best_of_blocks(rows: DataFrame, queries: DataFrame, k: int, threshold: float, id_col: str, vector: str, query_id: str, query_vector: str, skip_self: bool) -> DataFrame:
+    """For each Arrow batch of rows, the k best of it for each query, with ``score``.
+
+    Vectors that are null, all zero, of another length than a query's, or hold
+    null or non-finite components have no score.
+    """
+    asked = queries.select(query_id, as_doubles(query_vector).alias("q")).toArrow()
+    ids, lists = asked.column(0).combine_chunks(), asked.column(1).combine_chunks()
+    dims = sorted({int(d) for d in pc.list_value_length(lists).to_pylist() if d})
+    blocks = [(d, *_vectors(lists, d)) for d in dims]  # queries of one length each: places and vectors
+    own = ids.to_pylist()
+    kept = [f for f in rows.schema.fields if f.name.lower() not in (query_id.lower(), "score")]
+    schema = T.StructType([*kept, queries.schema[query_id], T.StructField("score", T.DoubleType())])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array(batch.column(id_col).to_pylist(), object)
+            stored, taken, scores, of = batch.column(vector), [], [], []
+            for dim, places, q in blocks:
+                at, x = _vectors(stored, dim)
+                if not len(at):
+                    continue
+                near = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ (q / np.sqrt((q * q).sum(axis=1, keepdims=True))).T
+                for j, place in enumerate(places.tolist()):
+                    column = near[:, j]
+                    if skip_self:
+                        column = np.where(keys[at] == own[place], -np.inf, column)
+                    least = np.partition(column, len(column) - k)[len(column) - k] if k < len(column) else -np.inf
+                    some = np.flatnonzero(column >= max(least, threshold) - 1e-9)  # a product's last digits may differ
+                    some = some[np.isfinite(column[some])]
+                    exact = _cosines(x[some], q[j])
+                    some, exact = some[exact >= threshold], exact[exact >= threshold]
+                    order = sorted(range(len(some)), key=lambda i: (-exact[i], keys[at[some[i]]] is not None, keys[at[some[i]]]))[:k]
+                    taken.append(at[some[order]])
+                    scores.append(exact[order])
+                    of.append(np.full(len(order), place))
+            if taken:
+                chosen = batch.select(names).take(pa.array(np.concatenate(taken)))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, ids.take(pa.array(np.concatenate(of))), pa.array(np.concatenate(scores))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def search(table: DataFrame, query_vector: Iterable[float], k: int, threshold: float = 0.0, filters: Mapping[str, object] | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best rows for one vector, with scores."""
     if k <= 0:

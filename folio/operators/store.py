@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import is_blank
 from folio.operators import search
 from folio.operators.models import embedder
-from folio.storage import written
+from folio.storage import drop, written
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,7 @@ class Store:
         rows = written(some, "upsert")
         self._write(name, rows, rows.select("id") if old else None)
         count = rows.count()
+        drop(rows)
         self._merge(name)
         return self.spark.createDataFrame([(seen.get["given"], seen.get["blank"], count)], "given long, blank long, written long")
 

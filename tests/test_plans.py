@@ -16,7 +16,8 @@ def test_top_k_prunes_before_the_shuffle(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = plan(search.top_k(v, asked, 5).select("query_id", "vec_id", "rank"))
-    assert "WindowGroupLimit" in found and "BroadcastNestedLoopJoin" in found and "Python" not in found
+    assert "WindowGroupLimit" in found and "MapInArrow" in found and "NestedLoop" not in found
+    assert "In(label, [1,2])" in plan(search.top_k(v, asked, 5, filters={"label": [1, 2]}))
 
 
 def test_filters_reach_the_scan(spark):
