@@ -24,7 +24,7 @@ from folio.llm import words
 from folio.llm.common import per_text, resident, utf8
 from folio.llm.memo import PieceTable
 
-#: White space of more than one byte; texts that hold any take the plain path.
+#: White space of more than one byte; texts that hold any are cut by the pattern itself.
 WIDE_WHITE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 _ONE_WORD = re.compile(b" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -192,7 +192,7 @@ def coder(path: str, pattern: str) -> tuple[BytePairs, PieceTable]:
 
     def build() -> tuple[BytePairs, PieceTable]:
         pairs = BytePairs(load_ranks(path), pattern)
-        return pairs, PieceTable(pairs.pieces)
+        return pairs, PieceTable(pairs.pieces, whole=True)
 
     return resident(f"bytes {path} {pattern}", build)
 
@@ -202,10 +202,15 @@ def encode_batch(array: pa.Array, path: str, pattern: str) -> tuple[BytePairs, n
     pairs, table = coder(path, pattern)
     data, offsets = utf8(array)
     raw = data.tobytes()
-    if WIDE_WHITE.search(raw):
-        each = [np.array(pairs.encode(raw[a:b].decode()), np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pairs, np.concatenate([np.zeros(0, np.int32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     lo, hi = chunks(data, offsets)
+    if WIDE_WHITE.search(raw):
+        wide = np.array([WIDE_WHITE.search(raw, a, b) is not None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        keep = ~wide[np.searchsorted(offsets, lo, "right") - 1]
+        ends = [a + np.cumsum([len(m.group().encode()) for m in pairs.pattern.finditer(raw[a:b].decode())]) for a, b in zip(offsets[:-1][wide].tolist(), offsets[1:][wide].tolist(), strict=True)]
+        starts = [np.concatenate([[a], e[:-1]]) for a, e in zip(offsets[:-1][wide].tolist(), ends, strict=True)]
+        lo, hi = np.concatenate([lo[keep], *starts]).astype(np.int64), np.concatenate([hi[keep], *ends]).astype(np.int64)
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], hi[order]
     ids, sizes = table.look_up(data, lo, hi)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     return pairs, ids, ends[np.searchsorted(lo, offsets)]
