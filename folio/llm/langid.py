@@ -71,10 +71,14 @@ def fit(docs: DataFrame, rows_per_language: int = 300, sample_bytes: int = 8 <<
     The fit is bounded: about ``rows_per_language`` rows of a label (drawn by
     hash, of up to ``max_row_bytes`` bytes each), and fewer where all labels
     together would take more than about ``sample_bytes``; the first row by hash
-    of each label is always in. Counts are kept for the grams that a language has.
+    of each label is always in, or its shortest one if all are longer. Counts
+    are kept for the grams that a language has.
     """
-    rows = training_rows(docs).where(F.octet_length("text").between(1, max_row_bytes))
-    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("text")).alias("size"), F.min(F.pmod("draw", F.lit(1 << 30))).alias("first")).toPandas().sort_values("lang")
+    rows = training_rows(docs).withColumn("size", F.octet_length("text")).where("size > 0")
+    least = rows.groupBy("lang").agg(F.min("size").alias("shortest"), F.min_by("draw", F.struct("size", "draw")).alias("its_draw")).where(F.col("shortest") > max_row_bytes)
+    rows = rows.join(F.broadcast(least.select("lang", "its_draw", "shortest")), "lang", "left")  # a row for each label
+    rows = rows.where(F.when(F.col("shortest").isNull(), F.col("size") <= max_row_bytes).otherwise((F.col("draw") == F.col("its_draw")) & (F.col("size") == F.col("shortest"))))
+    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size"), F.min(F.pmod("draw", F.lit(1 << 30))).alias("first")).toPandas().sort_values("lang")
     if not len(labels):
         return Model([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
     wanted = np.minimum(labels["n"], np.minimum(rows_per_language, sample_bytes / len(labels) / labels["size"]))
@@ -242,8 +246,8 @@ def keep_identified(docs: DataFrame, slack_bits: float = 64.0, **fitting) -> Dat
     language's tree than they have themselves, by over ``slack_bits``.
     """
     columns = docs.columns
-    aside = {c: fresh(f"__{c}", columns) for c in _SCHEMA.names if c in columns}
-    own = docs.withColumns({new: F.col(c) for c, new in aside.items()})
+    aside = {c: fresh(f"__kept{i}", columns) for i, c in enumerate(columns) if c.lower() in _SCHEMA.names}
+    own = docs.withColumns({new: F.col(f"`{c}`") for c, new in aside.items()})
     found = identify(own, fit(docs, **fitting))
     excess = (F.coalesce("bits_per_byte", F.lit(0.0)) - 8) * F.octet_length(F.col("text"))
     found = found.where((F.col("lang_pred") != UNKNOWN) & (excess <= slack_bits))
