@@ -36,12 +36,15 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def bounded_sample(rows: DataFrame, by: list[str], draw: str, least: int, sample_bytes: int, groups: int = 64) -> dict[tuple, tuple[int, np.ndarray]]:
-    """Rows and sampled vectors of the groups with more than ``least`` rows, the ``groups`` largest of them.
+def bounded_sample(rows: DataFrame, by: list[str], draw: str, least: int, sample_bytes: int) -> dict[tuple, tuple[int, np.ndarray]]:
+    """Rows and sampled vectors of the groups with more than ``least`` rows.
 
     Together the samples take about ``sample_bytes``; ``draw`` is a column of
-    random longs. Smaller groups, and any beyond the number, are not in the result.
+    random longs. So that each large group has a few vectors in the sample, there
+    are at most as many groups as 8 KB pieces of it, the largest ones; smaller
+    groups are not in the result.
     """
+    groups = max(1, sample_bytes >> 13)
     size = F.first(F.size("embedding")).alias("size")
     large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), size).where(F.col("n") > least).orderBy(F.desc("n"), *by).limit(groups).collect()
     if not large:
