@@ -116,5 +116,6 @@ def per_text(df: DataFrame, text: str | Column, schema: T.StructType, make: Call
     applied = F.arrow_udf(run, schema).asNondeterministic()  # else a later filter would run it twice
     source = F.col(text) if isinstance(text, str) else text
     made = fresh("__made", df.columns)
-    kept = [F.col(f"`{c}`") for c in small_batches(df).columns if c not in schema.names]
+    names = {n.lower() for n in schema.names}
+    kept = [F.col(f"`{c}`") for c in small_batches(df).columns if c.lower() not in names]
     return df.select(*kept, applied(source).alias(made)).select(*kept, *(F.col(f"`{made}`.`{c}`").alias(c) for c in schema.names))

@@ -356,4 +356,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int =
     roots = connected_components(joined.union(copies)).where("node <> component")
     gone = written(roots.select(F.col("node").alias("doc_id")), "copies")
     drop(all_, reps)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

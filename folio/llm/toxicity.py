@@ -249,7 +249,7 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
     columns = docs.columns
-    aside = fresh("__score", columns)
-    own = docs.withColumn(aside, F.col("score")) if "score" in columns else docs
+    aside, clash = fresh("__score", columns), [c for c in columns if c.lower() == "score"]
+    own = docs.withColumn(aside, F.col(f"`{clash[0]}`")) if clash else docs
     found = score(own, fit(docs, labels, **fitting)).where(F.col("score") < threshold)
-    return found.select(*(F.col(aside).alias(c) if c == "score" else F.col(f"`{c}`") for c in columns))
+    return found.select(*(F.col(aside).alias(c) if c in clash else F.col(f"`{c}`") for c in columns))
