@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from folio.llm.common import per_text
 
 #: Elements whose content is no text of a page's body.
-DROPPED = frozenset("script style noscript template head title iframe object embed canvas svg math select button textarea input label option datalist audio video map legend".split())
+DROPPED = frozenset("script style noscript template head title iframe select button textarea input label option datalist legend".split())
 #: Elements that mark their content as no article text.
 ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 #: Elements that begin and end a line.
@@ -49,6 +49,8 @@ ENDS = {
     "tr": (("tr",), ("table", *_PART)),
     **dict.fromkeys(_PART, (_PART, ("table",))),
 }
+#: Elements that ends of others look for or stop at.
+_STOPS = frozenset(("p", "a", "head", *_AROUND_P, *(t for ends, stop in ENDS.values() for t in (*ends, *stop))))
 #: Words of class, id or role that mark what is no article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|masthead|"
@@ -69,29 +71,36 @@ class Line(NamedTuple):
     linked: int  # characters inside of links
     tags: int  # tags of inline elements
     article: bool
-    holders: tuple[int, ...]  # numbers of the elements around it that can hold an article
-    marks: tuple[int, ...]  # numbers of the elements around it that mark it as no article
+    at: int  # number of the innermost element around it, 0 for none
+
+
+class Element(NamedTuple):
+    parent: int
+    holder: bool  # can hold an article
+    root: bool  # html or body
+    article: bool
+    marked: bool  # as no article
+    other: bool  # as an article of others, or hidden
 
 
 class Lines(HTMLParser):
-    """Collects lines, and which marked elements hold an article."""
+    """Collects lines and the tree of elements, numbered from 1 in the order of their starts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.holding: set[int] = set()  # marked elements with an article inside
-        self.roots: set[int] = set()  # numbers of html and body elements
-        self.open: list[tuple[str, bool, bool, bool, int]] = []  # element, drops its content, is an article, is marked, number
-        self.other: set[int] = set()  # marked elements that are articles of others, or hidden
-        self.dropping = self.articles = self.links = self.number = 0
+        self.elements: list[Element] = [Element(0, False, False, False, False, False)]
+        self.open: list[tuple[str, bool, bool, int]] = []  # element, drops its content, is an article, number
+        self.counts: dict[str, int] = {}  # of open elements
+        self.placed: list[int] = []  # places, among the open ones, of elements that ends of others stop at
+        self.dropping = self.articles = self.links = 0
         self.linked = self.tags = 0
         self.words: list[str] = []
 
     def flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.words)).strip()
         if text:
-            holders = tuple(x[4] for x in self.open if x[0] in HOLDERS)
-            self.lines.append(Line(text, self.linked, self.tags, self.articles > 0, holders, tuple(x[4] for x in self.open if x[3])))
+            self.lines.append(Line(text, self.linked, self.tags, self.articles > 0, self.open[-1][3] if self.open else 0))
             self.linked = self.tags = 0
         self.words = []
 
@@ -130,14 +139,11 @@ class Lines(HTMLParser):
         own = dict(attrs)
         marked, other = self._is_marked(tag, own)
         article = not marked and (tag in ("article", "main") or own.get("role") in ("main", "article"))
-        if article and not any(x[3] and x[4] in self.other for x in self.open):
-            self.holding.update(x[4] for x in self.open if x[3])
-        self.number += 1
-        if other:
-            self.other.add(self.number)
-        if tag in ("html", "body"):
-            self.roots.add(self.number)
-        self.open.append((tag, tag in DROPPED, article, marked, self.number))
+        self.elements.append(Element(self.open[-1][3] if self.open else 0, tag in HOLDERS, tag in ("html", "body"), article, marked, other))
+        if tag in _STOPS:
+            self.placed.append(len(self.open))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.open.append((tag, tag in DROPPED, article, len(self.elements) - 1))
         self.dropping += tag in DROPPED
         self.articles += article
         self.links += tag == "a"
@@ -146,13 +152,19 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def _close_to(self, *tags: str, stop: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
+        if not any(self.counts.get(t) for t in tags):
+            return
+        # where something stops the search, only elements that can stop or end it are looked at
+        for k in reversed(self.placed) if stop else range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
-                for tag, dropped, article, _, _ in self.open[k:]:
+                for tag, dropped, article, _ in self.open[k:]:
                     self.dropping -= dropped
                     self.articles -= article
                     self.links -= tag == "a"
+                    self.counts[tag] -= 1
                 del self.open[k:]
+                while self.placed and self.placed[-1] >= k:
+                    self.placed.pop()
                 return
             if self.open[k][0] in stop:
                 return
@@ -185,13 +197,29 @@ def marked_lines(page: Lines, most: float = 0.9) -> np.ndarray:
     Marks don't count on elements around ``most`` of the page's text, or around
     an article and half of the text: those hold the page, not a part of it.
     """
-    size: dict[int, int] = {}
-    for line in page.lines:
-        for mark in line.marks:
-            size[mark] = size.get(mark, 0) + len(line.text)
-    total = sum(len(x.text) for x in page.lines)
-    void = {m for m, n in size.items() if m not in page.other and n >= (0.5 if m in page.holding else most) * total}
-    return np.array([next((m for m in x.marks if m not in void), 0) for x in page.lines])
+    tree = page.elements
+    size = summed(page, [len(x.text) for x in page.lines])
+    apart, holding = [False] * len(tree), [False] * len(tree)  # inside of another's article; around an article
+    for k, x in enumerate(tree[1:], 1):
+        apart[k] = apart[x.parent] or (x.marked and x.other)
+        holding[k] = x.article and not apart[x.parent]
+    for k in range(len(tree) - 1, 0, -1):
+        holding[tree[k].parent] |= holding[k]
+    total, outermost = size[0], [0] * len(tree)
+    for k, x in enumerate(tree[1:], 1):
+        counts = x.marked and (x.other or size[k] < (0.5 if holding[k] else most) * total)
+        outermost[k] = outermost[x.parent] or (k if counts else 0)
+    return np.array([outermost[x.at] for x in page.lines])
+
+
+def summed(page: Lines, values: list[int]) -> list[int]:
+    """For each element, the sum of the values of the lines inside of it; number 0 has all."""
+    out = [0] * len(page.elements)
+    for line, v in zip(page.lines, values, strict=True):
+        out[line.at] += v
+    for k in range(len(out) - 1, 0, -1):
+        out[page.elements[k].parent] += out[k]
+    return out
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -252,18 +280,18 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.7) -> str:
         return ""
     chosen, _, marks = selected(page, sigma)
     weight = [len(x.text) * (4 if x.article else 1) * bool(ok) for x, ok in zip(lines, chosen, strict=True)]
-    votes: dict[int, int] = {}
-    for line, n in zip(lines, weight, strict=True):
-        for number in line.holders if n else ():
-            votes[number] = votes.get(number, 0) + n
-    holder = max((k for k, v in votes.items() if v >= share * sum(weight) and k not in page.roots), default=None)  # a later number is further inside
+    votes, tree = summed(page, weight), page.elements
+    holder = max((k for k, v in enumerate(votes) if v and v >= share * votes[0] and tree[k].holder and not tree[k].root), default=None)  # a later number is further inside
     if holder is None:
         first, last = np.flatnonzero(chosen)[[0, -1]]
         while first and not marks[first - 1] and 2 * lines[first - 1].linked <= len(lines[first - 1].text):
             first -= 1  # a title is short
         inside = (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
     else:
-        inside = np.array([holder in x.holders for x in lines])
+        within = [k == holder for k in range(len(tree))]
+        for k in range(holder + 1, len(tree)):
+            within[k] = within[tree[k].parent]
+        inside = np.array([within[x.at] for x in lines])
     listed = link_lists(lines, inside)
     keep = inside & (chosen | ((marks == 0) & ~listed))
     for way in (1, -1):  # links next to prose are smoothed up

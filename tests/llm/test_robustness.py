@@ -60,3 +60,22 @@ def test_components_of_a_long_path(spark):
     order = np.random.default_rng(1).permutation(n).tolist()
     edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
     assert components.connected_components(edges).where("component = 0").count() == n
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    from folio.llm import html
+
+    start = time.perf_counter()
+    assert html.main_text("<div>" * 100_000 + "text of it" + "</div>" * 100_000) == "text of it"
+    assert len(html.main_text("<font><p>one line of text</p>" * 20_000)) == 20_000 * 17 - 1
+    assert html.main_text("<p><div>" + "<font>" * 8000 + "<h1>x</h1>" * 8000).count("x") == 8000
+    assert time.perf_counter() - start < 20
+
+
+def test_content_of_an_article_is_kept():
+    from folio.llm import html
+
+    page = "<body><nav><a>m</a></nav><article><p>Energy <math><mi>E</mi>=m</math> is a long enough sentence.</p><object>a fallback</object><script>x</script><form>f</form></article></body>"
+    assert html.main_text(page) == "Energy E=m is a long enough sentence. a fallback"
