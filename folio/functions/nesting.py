@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,21 @@ def _nest(entries: list[dict], root: str) -> list[dict]:
     return out
 
 
+def running_sums(values: Column) -> Column:
+    """The sums of an array's integers up to and with each place, in one pass; nulls in it count as zero."""
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            sizes = np.where(lists.is_valid(), lists.value_lengths().fill_null(0), 0)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sums = np.concatenate([[0], np.cumsum(lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            own = sums[1:] - np.repeat(sums[ends[:-1]], sizes)
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(~lists.is_valid().to_numpy(zero_copy_only=False), False)), pa.array(own.astype(np.int32)))
+
+    return run.asNondeterministic()(values.cast("array<int>"))
+
+
 def nested(entries: Column, root: str = "root") -> Column:
     """How the entries of an array of structs (level, name, opaque, passing) hold each other, in one pass over the array.
 

@@ -68,6 +68,21 @@ def retrieval_hits(cases: DataFrame, found: DataFrame) -> DataFrame:
     return cases.join(first, "query_id", "left").withColumn("hit", F.coalesce(F.col("__p") == trim_space("relevant_passage"), F.lit(False))).drop("__p")
 
 
+def evaluated(cases: DataFrame, found: DataFrame, answers: DataFrame) -> DataFrame:
+    """``cases`` with hit, passed, seconds and error: each against its own first passage and its own answer.
+
+    ``found`` has query_id, rank and passage, ``answers`` query_id, answer, seconds
+    and error. A case with an error, or without any answer, neither hits nor
+    passes. Texts meet by query_id alone, so that the work grows with the cases.
+    """
+    own = answers.select("query_id", "answer", "seconds", F.col("error").alias("__e"))
+    joined = retrieval_hits(cases, found).join(own, "query_id", "left")
+    error = F.coalesce("__e", F.when(F.col("answer").isNull(), "no answer"))
+    fine = error.isNull()
+    passed = fine & F.coalesce(answers_match("answer", "ground_truth_answer"), F.lit(False))
+    return joined.withColumn("error", error).withColumn("hit", F.col("hit") & fine).withColumn("passed", passed).drop("__e", "answer")
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row: cases, retrieval, generation and overall accuracy in percent, mean seconds of cases without error, errors."""
     n = F.count(F.lit(1))

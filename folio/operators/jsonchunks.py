@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.nesting import nested, running_sums
 from folio.functions.text import col, count_of, exploded, lines, title_name, trim_space
-from folio.storage import written
 
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 
@@ -116,30 +116,35 @@ def signature(value: Column) -> Column:
     return F.when(k == "object", F.concat(F.lit("object{"), n, F.lit(" properties}"))).when(k == "array", F.concat(F.lit("array["), n, F.lit("]"), F.when(first.isNotNull(), F.concat(F.lit(" of "), kind(first))).otherwise(""))).otherwise(k)
 
 
+#: Tokens of JSON: strings, signs, and what stands between them.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]+'
+
+
 def paths(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each value of each valid text: ``path`` (root, a.b[0]), ``key``, ``value_type`` (object, array, primitive), ``level``.
 
-    One level of nesting is unfolded at a time, for as long as any document has
-    a further one; a level is written to the shared folder before the next.
+    A text's tokens become values with levels, and one pass over them gives the
+    paths, however deep they are. An empty key adds nothing to a path.
     """
     rest = [c for c in docs.columns if c != text]
-    names = {c: F.col(f"`{c}`") for c in rest}
-    level = docs.select(*names.values(), F.lit("root").alias("path"), F.lit("").alias("key"), F.col(text).alias("__t")).where(is_valid("__t"))
-    out, depth = None, 0
-    while True:
-        now = written(level.withColumn("__k", kind(F.parse_json("__t"))), "json-level")
-        if now.isEmpty():
-            break
-        own = now.select(*names.values(), "path", "key", F.when(F.col("__k").isin("object", "array"), F.col("__k")).otherwise("primitive").alias("value_type"), F.lit(depth).alias("level"))
-        out = own if out is None else out.union(own)
-        at_root = F.col("path") == "root"
-        fields = now.where("__k = 'object'").select(*names.values(), "path", F.explode(F.map_entries(F.parse_json("__t").cast(_MAP))).alias("e"))
-        fields = fields.select(*names.values(), F.when(at_root, F.col("e.key")).otherwise(F.concat("path", F.lit("."), "e.key")).alias("path"), F.col("e.key").alias("key"), F.to_json("e.value").alias("__t"))
-        items = now.where("__k = 'array'").select(*names.values(), "path", F.posexplode(F.parse_json("__t").cast(_LIST)).alias("i", "e"))
-        place = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]"))
-        level = fields.union(items.select(*names.values(), F.concat("path", place).alias("path"), place.alias("key"), F.to_json("e").alias("__t")))
-        depth += 1
-    return out if out is not None else now.select(*names.values(), "path", "key", F.lit("").alias("value_type"), F.lit(0).alias("level"))
+    found = docs.where(is_valid(text)).withColumn("__tokens", F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0)))
+    found = found.withColumn("__depth", running_sums(F.transform("__tokens", lambda t: t.isin("{", "[").cast("int") - t.isin("}", "]").cast("int"))))
+    token = lambda i: F.coalesce(F.get(F.col("__tokens"), i), F.lit(""))
+
+    def value(t: Column, i: Column) -> Column:
+        opens = t.isin("{", "[")
+        named = token(i - 1) == ":"
+        name = F.when(named, F.try_parse_json(token(i - 2)).try_cast("string"))
+        kept = ~t.isin("}", "]", ",", ":") & (token(i + 1) != ":")
+        kind_ = F.when(t == "{", "object").when(t == "[", "array").otherwise("primitive")
+        return F.when(kept, F.struct((F.get(F.col("__depth"), i) - opens.cast("int")).alias("level"), F.when(i == 0, "").otherwise(name).alias("name"), F.lit(False).alias("opaque"), F.lit(False).alias("passing"), kind_.alias("kind")))
+
+    found = found.withColumn("__values", F.filter(F.transform("__tokens", value), lambda v: v.isNotNull()))
+    found = found.withColumn("__nested", nested(F.transform("__values", lambda v: v.dropFields("kind"))))
+    row = F.transform(F.arrays_zip(F.col("__values").alias("v"), F.col("__nested").alias("n")), lambda x: F.struct(
+        x["n"]["path"].alias("path"), F.coalesce(x["v"]["name"], F.concat(F.lit("["), x["n"]["place"].cast("string"), F.lit("]"))).alias("key"), x["v"]["kind"].alias("value_type"), x["v"]["level"].alias("level")
+    ))
+    return found.select(*(F.col(f"`{c}`") for c in rest), F.inline(row))
 
 
 def json_metadata(docs: DataFrame, text: str = "text") -> DataFrame:

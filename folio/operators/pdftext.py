@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, count_of, exploded, fields, lines, sanitised, trim_space
+from folio.functions.text import WHITE, col, count_of, exploded, fields, is_blank, lines, sanitised, trim_space
+from folio.storage import written
 
 _BREAK = r"(?:\r\n|\r|\n){2,}"
 
@@ -127,6 +128,17 @@ def paragraphs(docs: DataFrame, text: str = "text", min_bytes: int = 20) -> Data
     return exploded(docs, rest, F.aggregate(numbered, start, step, lambda s: s["out"]), "__k", "x").select(*rest, F.col("x.n").alias("paragraph"), "x.content", "x.line_start", "x.line_end")
 
 
+#: Ends a page in a text that holds several.
+PAGE_END = "\f"
+
+
+def text_pages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each page of texts in which a form feed ends a page: ``page`` from 1."""
+    rest = [c for c in docs.columns if c != text]
+    made = exploded(docs, rest, F.split(F.col(text), PAGE_END, -1), "__k", text)
+    return made.withColumn("page", F.col("__k") + 1).drop("__k")
+
+
 def likely_title(text: str | Column) -> Column:
     """Of the first five lines (the fifth with all that follows), the first of 11 to 149 trimmed bytes that is among the first two or mostly capitalised."""
     first = F.transform(F.split(col(text), "\n", 5), lambda x, i: F.struct(trim_space(x).alias("t"), i.alias("i")))
@@ -150,6 +162,34 @@ def page_chunks(pages: DataFrame, text: str = "text", name: str = "path", page:
     return found.withColumn("identifier", F.concat(sanitised(F.element_at(F.split(name, "/", -1), -1)), F.lit("_pg"), F.col(page).cast("string"), F.lit("_para"), F.col("paragraph").cast("string"))).withColumn("type", F.lit("paragraph"))
 
 
+def paged_lines(pages: DataFrame, text: str = "text", path: str = "path", page: str = "page") -> DataFrame:
+    """Cleaned pages that hold text, with ``first_line``: where a page's text begins in its document, in which a marker line stands before each page's."""
+    some = pages.where(~is_blank(text)).withColumn(text, trim_space(cleaned(text)))
+    before = Window.partitionBy(path).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    return some.withColumn("first_line", F.coalesce(F.sum(F.size(lines(text)) + 1).over(before), F.lit(0)).cast("int") + 2)
+
+
+def chunk_document_pages(pages: DataFrame, text: str = "text", path: str = "path", page: str = "page", most: int = 500, min_bytes: int = 30) -> DataFrame:
+    """From pages to chunks: a document's sections, or its pages' paragraphs where it has none; too large ones are cut, small ones left out.
+
+    Columns: path, chunk_index, content, line_start, line_end, type, identifier,
+    page. Lines are those of the document, in which a marker line stands before
+    each page's text. Pages without text take no part; several rows of one page
+    are in any order.
+    """
+    placed = paged_lines(pages, text, path, page).select(F.col(path).alias("path"), F.col(page).cast("int").alias("page"), F.col(text).alias("text"), "first_line")
+    marker = F.concat(F.lit(PAGE_MARKER), F.col("page").cast("string"), F.lit(" ---\n"), F.col("text"))
+    whole = placed.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_line", marker.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    keep = ["path", "content", "line_start", "line_end", "type", "identifier", "page"]
+    found = written(sections(whole, "text", min_bytes).select("path", "content", "line_start", "line_end", F.lit("document_section").alias("type"), sanitised("title").alias("identifier"), F.col("start_page").alias("page")), "sections")
+    plain = placed.join(found.select("path").distinct(), "path", "left_anti")
+    moved = [(F.col(c) + F.col("first_line") - 1).cast("int").alias(c) for c in ("line_start", "line_end")]
+    parts = page_chunks(plain, min_bytes=min_bytes).select("path", "content", *moved, "type", "identifier", "page").select(*keep)
+    made = split_oversized(found.select(*keep).unionByName(parts), most, min_bytes)
+    order = Window.partitionBy("path").orderBy("line_start", "identifier")
+    return made.withColumn("chunk_index", F.row_number().over(order) - 1).select("path", "chunk_index", "content", "line_start", "line_end", "type", "identifier", "page")
+
+
 def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
     """(path, page, text) of files (path, content) by a function from a file's bytes to its pages' texts."""
 

@@ -349,6 +349,41 @@ def pdf_sections(spark, sf_dir):
     return made.select("doc_id", "section", "title", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
+_PAGED = rf"""
+WITH cut AS (SELECT doc_id, u.k + 1 AS page, {_trim("regexp_replace(regexp_replace(array_to_string(string_split(text, chr(10))[u.k * 12 + 1 : u.k * 12 + 12], chr(10)), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g')")} AS page_text
+  FROM documents, LATERAL (SELECT unnest(range(0, (len(string_split(text, chr(10))) + 11) // 12)) AS k) u),
+pages_of AS (SELECT doc_id, page, page_text AS text, 2 + coalesce(sum(2 + strlen(page_text) - strlen(replace(page_text, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line
+  FROM cut WHERE page_text <> ''),
+whole AS (SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || text, chr(10) ORDER BY page) AS text FROM pages_of GROUP BY doc_id),"""
+
+
+@query(_PAGED + _LINES.replace("\nWITH raw", "\nraw").replace("FROM documents", "FROM whole") + rf""",
+w AS (SELECT doc_id, line_no, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper FROM lines WHERE NOT contains(t, '--- Page')),
+heads AS ({_HEADERS} UNION ALL SELECT doc_id, line_no, t, 99 FROM w WHERE strlen(t) BETWEEN 5 AND 100 AND len({_words('t')}) BETWEEN 1 AND 10
+  AND (regexp_matches(t, '^(?:[0-9]+\.|Chapter[{W}]+[0-9]+|Section[{W}]+[0-9]+)') OR (letters > 0 AND upper > 0.6 * letters))),
+spans AS (SELECT *, lead(line_no) OVER (PARTITION BY doc_id, p ORDER BY line_no) AS next FROM heads),
+bodies AS (SELECT s.doc_id, s.p, s.line_no, s.t, {_trim("string_split(any_value(d.text), chr(10))[s.line_no + 1 : coalesce(s.next - 1, 1000000000)].array_to_string(chr(10))")} AS content
+  FROM spans s JOIN whole d USING (doc_id) GROUP BY s.doc_id, s.p, s.line_no, s.t, s.next),
+good AS (SELECT * FROM bodies WHERE strlen(content) >= 30),
+best AS (SELECT doc_id, min(p) AS p FROM good GROUP BY doc_id),
+parts AS (SELECT doc_id, page, first_line, string_split_regex(text, '\n{{2,}}') AS parts FROM pages_of WHERE doc_id NOT IN (SELECT doc_id FROM best)),
+e AS (SELECT doc_id, page, first_line, unnest(range(1, len(parts) + 1)) AS n, unnest(parts) AS raw FROM parts),
+s AS (SELECT *, {_trim('raw')} AS content, strlen(raw) - strlen(replace(raw, chr(10), '')) AS breaks FROM e),
+paragraphs AS (SELECT doc_id, page, content, first_line + coalesce(sum(breaks + 2) OVER (PARTITION BY doc_id, page ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start FROM s),
+made AS (
+  SELECT doc_id, 'document_section' AS type, line_no AS line_start, content, (SELECT max(page) FROM pages_of x WHERE x.doc_id = good.doc_id AND x.first_line <= good.line_no + 1) AS page FROM good JOIN best USING (doc_id, p)
+  UNION ALL SELECT doc_id, 'paragraph', line_start, content, page FROM paragraphs WHERE strlen(content) >= 30
+)
+SELECT doc_id, type, line_start::INT AS line_start, (line_start + strlen(content) - strlen(replace(content, chr(10), '')))::INT AS line_end, page::INT AS page, md5(content) AS content_md5 FROM made""")
+def pdf_chain(spark, sf_dir):
+    """Documents as pages of twelve lines: sections or paragraphs with the document's lines."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(T.lines("text")) - 1) / 12).cast("int")), lambda k: F.array_join(F.slice(T.lines("text"), k * 12 + 1, F.lit(12)), "\n"))
+    paged = docs.select("doc_id", F.posexplode(cut).alias("k", "text")).select(F.col("doc_id").cast("string").alias("path"), (F.col("k") + 1).alias("page"), "text")
+    made = pdftext.chunk_document_pages(paged, most=1 << 30)
+    return made.select(F.col("path").cast("long").alias("doc_id"), "type", "line_start", "line_end", "page", F.md5("content").alias("content_md5"))
+
+
 _PARAGRAPHS = rf"""
 WITH p AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{{2,}}') AS parts FROM documents),
 e AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS n, unnest(parts) AS raw FROM p),
@@ -769,6 +804,40 @@ def keyword_overlap(spark, sf_dir):
     return made.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), "matches")
 
 
+@query(f"""
+WITH cases AS (SELECT item_id AS query_id, {_trim('b.text')} AS truth, {_trim('d.text')} AS wanted FROM benchmark b JOIN documents d ON doc_id = item_id),
+near AS (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format('q.embedding', 'c.embedding')} DESC, c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON q.vec_id IN (SELECT query_id FROM cases) AND (q.vec_id % 3 = 0 OR q.vec_id <> c.vec_id) WHERE {_COS.format('q.embedding', 'c.embedding')} >= 0),
+first AS (SELECT query_id, text FROM near JOIN documents ON doc_id = vec_id WHERE rank = 1),
+r AS (SELECT c.query_id, wanted, truth, f.text AS passage, CASE WHEN c.query_id % 4 = 0 THEN f.text ELSE d.text END AS answer, d.n_chars / 1000.0 AS seconds,
+    CASE WHEN c.query_id % 11 = 5 THEN 'time out' WHEN CASE WHEN c.query_id % 4 = 0 THEN f.text ELSE d.text END IS NULL THEN 'no answer' END AS error
+  FROM cases c LEFT JOIN first f USING (query_id) JOIN documents d ON d.doc_id = c.query_id),
+g AS (SELECT *, lower({_trim('answer')}) AS a, lower(truth) AS t FROM r),
+o AS (SELECT *, error IS NULL AND coalesce({_trim('passage')} = wanted, false) AS hit,
+    error IS NULL AND answer <> '' AND truth <> '' AND (contains(a, t) OR contains(t, a) OR
+      len(list_filter({_words('t')}, lambda w: strlen(w) > 2 AND list_contains({_words('a')}, w)))::DOUBLE / greatest(len({_words('a')}), len({_words('t')}), 1) > 0.5) AS passed FROM g)
+SELECT count(*) AS cases, round(count_if(hit) * 100.0 / count(*), 6) AS retrieval_accuracy, round(count_if(passed) * 100.0 / count(*), 6) AS generation_accuracy,
+  round((count_if(hit) + count_if(passed)) * 50.0 / count(*), 6) AS overall_accuracy, round(avg(seconds) FILTER (WHERE error IS NULL), 6) AS mean_seconds, count_if(error IS NOT NULL) AS errors FROM o""")
+def evaluation_of_cases(spark, sf_dir):
+    """Cases from search to summary, each against its own passage and its own answer.
+
+    A case is a benchmark item and the document of its number; every third one
+    may find that document's own vector, every fourth is answered with the
+    passage that was found, and some time out.
+    """
+    docs, v = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "embeddings")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.trim_space("text").alias("ground_truth_answer"))
+    own = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("own"), "n_chars")
+    cases = items.join(own, "query_id")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")).join(cases.select("query_id"), "query_id", "left_semi")
+    best = [search.top_k(v, asked.where(where), 1, skip_self=skip).select("query_id", "vec_id", "rank") for where, skip in (("query_id % 3 = 0", False), ("query_id % 3 <> 0", True))]
+    found = best[0].unionByName(best[1]).join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage")), "vec_id").select("query_id", "rank", "passage")
+    said = cases.join(found, "query_id", "left").select("query_id", F.when(F.col("query_id") % 4 == 0, F.col("passage")).otherwise(F.col("own")).alias("answer"), (F.col("n_chars") / 1000.0).alias("seconds"), F.when(F.col("query_id") % 11 == 5, "time out").alias("error"))
+    given = cases.select("query_id", "ground_truth_answer", F.col("own").alias("relevant_passage"))
+    made = evaluate.summary(evaluate.evaluated(given, found, said))
+    return made.select("cases", *(F.round(c, 6).alias(c) for c in ("retrieval_accuracy", "generation_accuracy", "overall_accuracy", "mean_seconds")), "errors")
+
+
 _RESULTS = "SELECT l.doc_id, quality = 1 AS hit, toxic = 0 AS passed, n_chars / 1000.0 AS seconds, CASE WHEN n_chars < 100 THEN 'short' END AS error FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
 

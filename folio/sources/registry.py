@@ -94,7 +94,7 @@ class Registry:
 
 def default_registry() -> Registry:
     """Parsers of the ten formats; their names, extensions and bare names are fixed values."""
-    from folio.operators import codeblocks, configs, csvchunks, jsonchunks, markdown, textchunks
+    from folio.operators import codeblocks, configs, csvchunks, jsonchunks, markdown, pdftext, textchunks
 
     def code(language: codeblocks.Language) -> Callable[[DataFrame], DataFrame]:
         def chunk(files: DataFrame) -> DataFrame:
@@ -113,13 +113,17 @@ def default_registry() -> Registry:
         found = markdown.chunk_markdown(files.withColumn("file", F.col("path")), "text", "path", "file")
         return found.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("line_start")) - 1)
 
+    def paged(files: DataFrame) -> DataFrame:
+        """Texts of paged files, as tools print them: a form feed ends a page."""
+        return pdftext.chunk_document_pages(pdftext.text_pages(files.select("path", "text")))
+
     out = Registry()
     for parser in (
         Parser("go", (".go",), grouped, refuses=r"_test\.go\z"),
         Parser("markdown", (".md", ".markdown"), marked),
         Parser("json", (".json",), jsonchunks.chunk_json),
         Parser("yaml", (".yaml", ".yml"), configs.chunk_yaml),
-        Parser("pdf", (".pdf",)),
+        Parser("pdf", (".pdf",), paged),
         Parser("text", (".txt", ".text", ".log", ".readme", ".changelog", ".license"), textchunks.chunk_text, ("readme", "license", "changelog", "authors", "contributors", "makefile")),
         Parser("csv", (".csv", ".tsv"), csvchunks.chunk_csv),
         Parser("terraform", (".tf", ".tfvars", ".hcl"), code(codeblocks.TERRAFORM)),

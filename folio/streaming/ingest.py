@@ -41,6 +41,19 @@ def ingest(spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None
     return stream_files(spark, root, **options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
+def table_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to a part of a Parquet table of its own, named by the batch number.
+
+    A batch that is handed over again, whole or in part, takes the place of its
+    first writing, so that each chunk is in the table once.
+    """
+
+    def write(chunks: DataFrame, n: int) -> None:
+        chunks.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
+
+    return write
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Events by type and time window, closed once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

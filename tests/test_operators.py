@@ -613,3 +613,51 @@ def test_proto_annotations(spark):
     assert rows["E"]["value_count"] == "2" and rows["o"]["field_count"] == "1" and rows["S"]["rpc_count"] == "2"
     assert rows["Get"]["signature"] == "rpc Get(stream x.M) returns (M)" and rows["Get"]["streams_request"] == "true" and rows["Get"]["request_type"] == "x.M"
     assert rows["Put"]["signature"] == "rpc Put(M) returns (stream x.M)" and rows["Put"]["streams_response"] == "true" and rows["Put"]["response_type"] == "x.M"
+
+
+def test_json_of_any_depth_in_one_pass(spark):
+    deep = "[" * 400 + '{"a":[1,{"b c":"x,[y"}],"q\\"":null}' + "]" * 400
+    rows = jsonchunks.paths(spark.createDataFrame([(1, deep), (2, '{"k": {"l": [true, []]}}'), (3, "{")], "doc_id long, text string")).collect()
+    assert {(r.path, r.key, r.value_type, r.level) for r in rows if r.doc_id == 2} == {("root", "", "object", 0), ("k", "k", "object", 1), ("k.l", "l", "array", 2), ("k.l[0]", "[0]", "primitive", 3), ("k.l[1]", "[1]", "array", 3)}
+    top = "root" + "[0]" * 400
+    assert {(r.path, r.level) for r in rows if r.doc_id == 1 and r.level >= 400} == {(top, 400), (f"{top}.a", 401), (f'{top}.q"', 401), (f"{top}.a[0]", 402), (f"{top}.a[1]", 402), (f"{top}.a[1].b c", 403)}
+
+
+def test_pages_to_chunks(spark):
+    from folio.sources.registry import default_registry
+
+    one = "Abstract\nWords of the abstract that are long enough.\n\nsecond, part\fno header, here\fConclusion\nWhat follows from all of the words above."
+    two = "a paragraph of the first page, long enough\f \fshort\n\n\na paragraph of the third page, long enough"
+    files_ = spark.createDataFrame([("one.pdf", one), ("two.pdf", two)], "path string, text string")
+    rows = default_registry().chunk_files(files_).orderBy("path", "chunk_index").collect()
+    assert [(r.path, r.type, r.identifier, r.line_start, r.line_end) for r in rows] == [
+        ("one.pdf", "document_section", "abstract", 2, 9),
+        ("two.pdf", "paragraph", "two_pdf_pg1_para1", 2, 2),
+        ("two.pdf", "paragraph", "two_pdf_pg3_para2", 6, 6),
+    ]
+    assert rows[0].content.startswith("Words of the abstract") and "--- Page 3 ---" in rows[0].content
+    cut = pdftext.chunk_document_pages(pdftext.text_pages(files_), most=45, min_bytes=5)
+    assert {r.type for r in cut.collect()} >= {"document_section_split", "paragraph"} and cut.where("line_end < line_start or page is null").count() == 0
+
+
+def test_a_batch_that_is_handed_over_again_is_written_once(spark, tmp_path):
+    from folio.streaming.ingest import ingest, table_sink
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    for i in range(3):
+        (root / f"f{i}.txt").write_text(f"plain words of text {i} that is long enough to be kept")
+    write, calls = table_sink(out), []
+
+    def failing(chunks, n):
+        write(chunks, n)
+        calls.append(n)
+        if len(calls) == 2:
+            raise RuntimeError("lost after writing")
+
+    first = ingest(spark, str(root), failing, str(tmp_path / "cp"), files_per_batch=1)
+    with pytest.raises(Exception, match="lost after writing"):
+        first.awaitTermination()
+    ingest(spark, str(root), failing, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    assert calls == [0, 1, 1, 2]
+    assert spark.read.parquet(out).groupBy("path").count().where("count = 1").count() == 3
