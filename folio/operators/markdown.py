@@ -1,7 +1,7 @@
 """Markdown by lines: fences, headings, sections, tables, lists, front matter, statistics.
 
-Blocks are recognised line by line (ATX headings, fenced code, tables, lists);
-nesting comes from heading levels alone.
+Headings and fences are those that the pass over blocks finds; statistics look at
+each line by itself. Nesting comes from heading levels alone.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import WHITE, col, count_of, exploded, lines, title_name, trim_space
+from folio.operators import mdblocks
 
 _SEPARATOR = rf"\A\|?([{WHITE}]*:?-+:?[{WHITE}]*\|)+[{WHITE}]*:?-+:?[{WHITE}]*\|?\z"
 
@@ -55,15 +56,20 @@ def front_values(text: str | Column) -> Column:
 def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each line with ``in_code`` (an opening fence counts, its closing one doesn't), ``level`` and ``title`` of headings.
 
-    The fence state is a running sum over one document's lines.
+    Headings begin with signs or are underlined; they and fences are those of
+    the text itself, not of its lists and quotes. An underlined heading of
+    several lines counts at its first one.
     """
-    rows = exploded(docs, [c for c in docs.columns if c != text], lines(text), "line_no", "line").withColumn("line_no", F.col("line_no") + 1)
-    fence = trim_space("line").startswith("```")
-    before = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.withColumn("is_fence", fence).withColumn("in_code", F.sum(F.col("is_fence").cast("int")).over(before) % 2 == 1)
-    heading = F.regexp_extract("line", rf"\A(#{{1,6}})[{WHITE}]+", 1)
-    level = F.when(~F.col("in_code") & ~F.col("is_fence"), F.length(heading)).otherwise(0)
-    return rows.withColumn("level", level).withColumn("title", F.when(F.col("level") > 0, trim_space(F.regexp_replace("line", rf"\A#+[{WHITE}]+|[{WHITE}]+#+[{WHITE}]*\z", ""))))
+    rest = [c for c in docs.columns if c != text]
+    found = docs.withColumn("__l", lines(text)).withColumn("__b", mdblocks.line_blocks(F.col("__l")))
+    both = F.arrays_zip(F.col("__l").alias("line"), F.col("__b").alias("b"))
+    starts = lambda x, i: (i == 0) | (F.get(F.col("__b"), i - 1)["block"] != x["b"]["block"])
+    rows = F.transform(both, lambda x, i: F.struct(
+        x["line"].alias("line"), (x["b"]["fence"] > 0).alias("is_fence"), ((x["b"]["kind"] == "code") & (x["b"]["fence"] < 2)).alias("in_code"),
+        F.when((x["b"]["kind"] == "heading") & starts(x, i), x["b"]["level"]).otherwise(0).alias("level"),
+    ))
+    made = exploded(found, rest, rows, "line_no", "x").select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.*")
+    return made.withColumn("title", F.when(F.col("level") > 0, trim_space(F.regexp_replace("line", rf"\A {{0,3}}#+[{WHITE}]+|[{WHITE}]+#+[{WHITE}]*\z", ""))))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -106,9 +112,9 @@ def chunk_markdown(docs: DataFrame, text: str = "text", key: str = "doc_id", pat
         above = F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("line_no"))).over(ordered)
         rows = rows.withColumn(f"__h{n}", F.when(last["line_no"] > F.coalesce(above, F.lit(0)), last["title"]))
     rows = rows.withColumn("block", F.sum((F.col("is_fence") & F.col("in_code")).cast("int")).over(ordered)).withColumn("code", F.col("in_code") | F.col("is_fence"))
-    blocks = rows.where("code").groupBy(*rest, "__title", "section", "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("own"), F.max("is_fence").alias("f"))
-    blocks = blocks.withColumn("content", F.array_join(F.transform(F.filter("own", lambda x: ~trim_space(x["line"]).startswith("```")), lambda x: x["line"]), "\n"))
-    split_off = blocks.where(is_code_worth_splitting(F.col("content"))).withColumn("language", F.regexp_extract(F.col("own")[0]["line"], r"```([A-Za-z0-9_+#-]*)", 1))
+    blocks = rows.where("code").groupBy(*rest, "__title", "section", "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "is_fence"))).alias("own"), F.max("is_fence").alias("f"))
+    blocks = blocks.withColumn("content", F.array_join(F.transform(F.filter("own", lambda x: ~x["is_fence"]), lambda x: x["line"]), "\n"))
+    split_off = blocks.where(is_code_worth_splitting(F.col("content"))).withColumn("language", F.regexp_extract(F.col("own")[0]["line"], r"(?:`{3,}|~{3,})[ \t]*([A-Za-z0-9_+#-]*)", 1))
     taken = split_off.select(key, F.col("block").alias("__block"))
     body = rows.join(taken, (rows[key] == taken[key]) & F.col("code") & (F.col("block") == F.col("__block")), "left_anti")
     chain = F.array_join(F.filter(F.array(*(F.when(F.col("l") > n, F.col(f"h{n}")) for n in range(1, 7))), lambda x: x.isNotNull()), " > ")
