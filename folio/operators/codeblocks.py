@@ -177,6 +177,7 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
             seen.alias("visibility"),
             F.size(F.filter(own, lambda x: x.rlike(_FIELD))).alias("field_count"),
             *(within(pattern).alias(n) for n, pattern in blocks.items()),
+            *([_attributes(F.transform(inner, lambda x: x["line"]), d["line"]).alias("attributes")] if language.name == "terraform" else []),
         )
 
     made = F.transform(F.filter("all", lambda x: x["kind"].isNotNull()), one)  # within the row: no declaration carries the file's lines along
@@ -188,6 +189,56 @@ def imports(text: str | Column, language: Language) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(col(text), F.lit("(?m)" + language.imports), F.lit(1)), lambda x: x != ""))
 
 
+_STRING, _NUMBER = r'"(?:[^"\\$%]|\\.|[$%](?!\{))*"', r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_SCALAR = rf"(?:{_STRING}|{_NUMBER}|true|false)"
+
+
+def _attributes(inner: Column, first: Column) -> Column:
+    """name -> value, as written and without a comment after it, of the attributes right in a block; a block of one line has them between its braces."""
+    alone = F.regexp_extract(first, r"\{(.*)\}\s*\z", 1)
+    own = F.filter(F.concat(inner, F.when(alone != "", F.array(alone)).otherwise(F.array().cast("array<string>"))), lambda x: x.rlike(_ATTRIBUTE))
+    value = lambda x: F.regexp_extract(x, r'\A\s*[\w-]+\s*=\s*((?:"(?:[^"\\]|\\.)*"|[^"#/]|/(?!/))*?)\s*(?:(?:#|//).*)?\z', 1)
+    named = F.transform(own, lambda x: F.struct(F.regexp_extract(x, r"\A\s*([\w-]+)", 1).alias("key"), value(x).alias("value")))
+    first_ones = F.filter(named, lambda p, i: F.array_position(F.transform(named, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first_ones)
+
+
+def _number(text: Column) -> Column:
+    """A number without a zero fraction or an exponent."""
+    exact = F.regexp_replace(text.try_cast("double").cast("decimal(38,15)").cast("string"), r"\.?0+\z", "")
+    return F.when(text.rlike(r"\A-?(?:0|[1-9][0-9]*)\z"), text).otherwise(F.when(exact.isin("", "-"), "0").otherwise(exact))
+
+
+def terraform_literal(value: str | Column) -> Column:
+    """What a value comes to that needs nothing else: a string in quotes, a number, a boolean or a list of these; ``<expression>`` for all others."""
+    v = F.trim(col(value))
+    items = F.regexp_extract_all(v, F.lit(_SCALAR), F.lit(0))
+    plain = lambda x: F.when(x.rlike(rf"\A{_NUMBER}\z"), _number(x)).otherwise(x)
+    listed = F.concat(F.lit("["), F.array_join(F.transform(items, plain), ", "), F.lit("]"))
+    return F.when(v.rlike(rf"\A{_SCALAR}\z"), plain(v)).when(v.rlike(rf"\A\[\s*(?:{_SCALAR}(?:\s*,\s*{_SCALAR})*\s*,?)?\s*\]\z"), listed).otherwise("<expression>")
+
+
+def terraform_signatures(found: DataFrame) -> DataFrame:
+    """Terraform declarations whose ``signature`` says what matters for their kind of block, by their literals."""
+    labels = F.regexp_extract_all("name", F.lit(r'"([^"]*)"'), F.lit(1))
+    has = lambda k: F.map_contains_key("attributes", F.lit(k))
+    got = lambda k, label=None: F.when(has(k), F.concat(F.lit(f"{label or k} = "), terraform_literal(F.col("attributes")[k])))
+    label = lambda name: F.when(F.size(labels) > 0, F.concat(F.lit(f"{name} = "), labels[0]))
+    parts = {
+        "resource": [label("type"), *map(got, ("name", "id", "ami", "instance_type", "image"))],
+        "data": [label("type")],
+        "module": [got("source"), got("version")],
+        "variable": [got("type"), F.when(has("default"), "has_default = true"), got("description")],
+        "output": [got("description"), F.when(has("sensitive") & (terraform_literal(F.col("attributes")["sensitive"]) == "true"), "sensitive = true")],
+        "locals": [F.concat(F.lit("local_values = "), F.size(F.map_keys("attributes")).cast("string"))],
+        "provider": [label("provider"), got("alias")],
+    }
+    said = F.lit("")
+    for kind, values in parts.items():
+        said = F.when(F.col("kind") == kind, F.array_join(F.filter(F.array(*values), lambda x: x.isNotNull()), ", ")).otherwise(said)
+    return found.withColumn("signature", said)
+
+
 def terraform_annotations(found: DataFrame) -> DataFrame:
     """Terraform declarations with ``annotations``: block type, counts, and what the labels say for each type of block."""
     labels = F.regexp_extract_all("name", F.lit(r'"([^"]*)"'), F.lit(1))

@@ -217,6 +217,16 @@ def text_list_items(spark, sf_dir):
     return rows.where("kind = 'list_item'").select("doc_id", "line_no", "line")
 
 
+_ITEMIZED = "replace(replace(text, '. ', '.' || chr(10) || CASE doc_id % 4 WHEN 0 THEN '- ' WHEN 1 THEN '  12. ' WHEN 2 THEN 'b) ' ELSE 'IV. ' END), ', ', ',' || chr(10))"
+
+
+@query(f"{_LINES.replace('FROM documents', f'FROM (SELECT doc_id, {_ITEMIZED} AS text FROM documents)')} SELECT doc_id, line_no, line FROM lines WHERE t <> '' AND i AND NOT h")
+def text_list_items_marked(spark, sf_dir):
+    """List items of documents whose sentences are made items, with all four kinds of marks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ITEMIZED.replace("chr(10)", "'\\n'")).alias("text"))
+    return textchunks.line_table(docs).where("kind = 'list_item'").select("doc_id", "line_no", "line")
+
+
 _SECTIONS = f"""{_LINES},
 kinds AS (SELECT *, CASE WHEN t = '' THEN 'b' WHEN h THEN 'h' WHEN i THEN 'i' ELSE 'p' END AS k FROM lines),
 marked AS (SELECT *, sum((k = 'h')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec, max(line_no) OVER (PARTITION BY doc_id) AS n,
@@ -681,6 +691,22 @@ def repository_chunks(spark, sf_dir):
     return made.select("path", "chunk_index", "total_chunks", "type", F.md5("content").alias("content_md5"), "line_start", "line_end")
 
 
+@query(f"""{_SECTIONS},
+p AS (SELECT doc_id, text, 'notes/a_' || doc_id || '.txt' AS path FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, CASE WHEN type = 'heading' THEN 1 ELSE 0 END AS late, line_start, line_end FROM sections WHERE strlen({_trim('content')}) >= 20),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_end, late) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM parts)
+SELECT path, k::VARCHAR AS chunk_index, total::VARCHAR AS total_chunks, line_start::VARCHAR AS line_start, line_end::VARCHAR AS line_end, 'text_section' AS chunk_type,
+  'loader' AS origin, CASE WHEN k % 2 = 0 THEN 'noted' ELSE 'given' END AS mark FROM n JOIN p USING (doc_id)""")
+def chunk_metadata(spark, sf_dir):
+    """The metadata of text chunks: their own columns, what the loader adds, and annotations, which win."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.expr("'notes/a_' || doc_id || '.txt'").alias("path"), "text")
+    made = registry.default_registry().chunk_files(docs).where("type = 'text_section'")
+    noted = made.withColumn("notes", F.when(F.col("chunk_index") % 2 == 0, F.create_map(F.lit("mark"), F.lit("noted"))))
+    full = registry.with_metadata(noted, [("origin", F.lit("loader")), ("mark", F.lit("given"))], "notes").select("metadata")
+    got = lambda k, name=None: F.col("metadata")[k].alias(name or k)
+    return full.select(got("source", "path"), *map(got, ("chunk_index", "total_chunks", "line_start", "line_end", "chunk_type", "origin", "mark")))
+
+
 def _significant(x: str) -> str:
     """SQL: content worth keeping."""
     t = _trim(x)
@@ -922,6 +948,26 @@ def terraform_chunks(spark, sf_dir):
     return _declared(_files(rows, "s_nationkey", "s_suppkey", _spelled(*_TF, id_="s_suppkey", name="s_name")), codeblocks.TERRAFORM)
 
 
+@query("""
+WITH s AS (SELECT s_suppkey AS file_id, s_name, s_suppkey % 3 AS third FROM supplier)
+SELECT file_id, 'resource' AS kind, 'type = aws_disk, name = "' || s_name || '", ami = <expression>, instance_type = ' || file_id || CASE WHEN third = 0 THEN '.25' ELSE '' END AS signature, 3 AS n_attributes FROM s
+UNION ALL SELECT file_id, 'variable', 'type = <expression>, has_default = true, description = ' || CASE WHEN third = 1 THEN '<expression>' ELSE '"of # ' || s_name || '"' END, 3 FROM s
+UNION ALL SELECT file_id, 'locals', 'local_values = ' || (1 + third), 1 + third FROM s
+UNION ALL SELECT file_id, 'output', 'sensitive = true', 1 FROM s""")
+def terraform_signatures(spark, sf_dir):
+    """Signatures of a Terraform file for each supplier."""
+    key = F.col("s_suppkey")
+    third = key % 3
+    text = F.concat(
+        F.lit('resource "aws_disk" "d" {\n  name = "'), F.col("s_name"), F.lit('" // its name\n  ami = var.ami\n  instance_type = '), key, F.when(third == 0, ".250").otherwise(".0"), F.lit('\n  ebs {\n    id = 1\n  }\n}\n'),
+        F.lit('variable "v" {\n  type = string\n  default = [1, "a"]\n  description = "of '), F.when(third == 1, "${").otherwise("# "), F.col("s_name"), F.when(third == 1, '}"\n}\n').otherwise('"\n}\n'),
+        F.lit("locals {\n"), F.array_join(F.transform(F.sequence(F.lit(0), third.cast("int")), lambda k: F.concat(F.lit("  l"), k, F.lit(" = {\n    a = 1\n  }\n"))), ""), F.lit("}\noutput \"o\" { sensitive = true }\n"),
+    )
+    files_ = table(spark, sf_dir, "supplier").select(key.alias("doc_id"), text.alias("text"))
+    found = codeblocks.terraform_signatures(codeblocks.declarations(files_, codeblocks.TERRAFORM))
+    return found.select(F.col("doc_id").alias("file_id"), "kind", "signature", F.size(F.map_keys("attributes")).alias("n_attributes"))
+
+
 @query(f"SELECT file_id, id::BIGINT AS id, 'resource' AS block_type, 'supplier' AS resource_type, '4' AS line_count, '2' AS attribute_count, '0' AS nested_block_count FROM ({_SUPPLIERS})")
 def terraform_annotations(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")

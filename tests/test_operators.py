@@ -661,3 +661,12 @@ def test_a_batch_that_is_handed_over_again_is_written_once(spark, tmp_path):
     ingest(spark, str(root), failing, str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
     assert calls == [0, 1, 1, 2]
     assert spark.read.parquet(out).groupBy("path").count().where("count = 1").count() == 3
+
+
+def test_terraform_literals(spark):
+    cases = {
+        '"plain"': '"plain"', '"a ${b}"': "<expression>", '"50%"': '"50%"', "1.50": "1.5", "-2": "-2", "3.0": "3", "1e3": "1000", "true": "true", "null": "<expression>",
+        '[1, "a,]", true,]': '[1, "a,]", true]', "[]": "[]", "[var.x]": "<expression>", "var.x": "<expression>", "{ a = 1 }": "<expression>", "007": "7", "0.0": "0",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", codeblocks.terraform_literal("v").alias("x")).collect()
+    assert {r.v: r.x for r in rows} == cases
