@@ -172,7 +172,7 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
             last.alias("line_end"),
             d["depth"].alias("depth"),
             F.array_join(own, "\n").alias("content"),
-            trim_space(F.regexp_replace(d["line"], r"\{.*\z", "")).alias("signature"),
+            F.when(d["kind"].isin("function", "method", "constructor"), _head(own)).otherwise(trim_space(F.regexp_replace(d["line"], r"\{.*\z", ""))).alias("signature"),
             said.alias("documentation"),
             seen.alias("visibility"),
             F.size(F.filter(own, lambda x: x.rlike(_FIELD))).alias("field_count"),
@@ -184,6 +184,14 @@ def declarations(docs: DataFrame, language: Language, text: str = "text", key: s
     return exploded(per_doc, rest, made, "__k", "d").select(*rest, "d.*")
 
 
+def _head(own: Column) -> Column:
+    """A function's lines up to its body, as one: receiver, parameters and results, however many lines they take."""
+    k = F.array_position(F.transform(own, lambda x: x.rlike(r"\{\s*(?://.*)?\z")), True)
+    head = F.array_join(F.transform(F.slice(own, F.lit(1), F.greatest(k.cast("int"), F.lit(1))), lambda x: F.regexp_replace(x, r"(?:\A|\s+)//.*\z", "")), " ")
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"\s+", " "), r"\( ", "("), r",? \)", ")")
+    return trim_space(F.regexp_replace(tidy, r"\s*\{(?:(?:[^{}]|\{[^{}]*\})*\}[\s;]*)?\z", ""))
+
+
 def imports(text: str | Column, language: Language) -> Column:
     """Imported names, distinct, in order of appearance."""
     return F.array_distinct(F.filter(F.regexp_extract_all(col(text), F.lit("(?m)" + language.imports), F.lit(1)), lambda x: x != ""))

@@ -670,3 +670,9 @@ def test_terraform_literals(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", codeblocks.terraform_literal("v").alias("x")).collect()
     assert {r.v: r.x for r in rows} == cases
+
+
+def test_signatures_over_several_lines(spark):
+    go = "package p\n\nfunc (s *Store[T]) Add(\n\tctx context.Context, // why\n\tvals map[string]interface{},\n) (n int, err error) {\n\treturn\n}\nfunc f(a interface{}, g func(int) error) error {\n\treturn g(1)\n}\nfunc one() { x := T{1} }\n"
+    rows = {r["name"]: r.signature for r in codeblocks.declarations(frame(spark, go), codeblocks.GO).collect()}
+    assert rows == {"Add": "func (s *Store[T]) Add(ctx context.Context, vals map[string]interface{}) (n int, err error)", "f": "func f(a interface{}, g func(int) error) error", "one": "func one()"}
