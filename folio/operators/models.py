@@ -71,6 +71,32 @@ def embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]]
     return F.pandas_udf(run, "array<float>")
 
 
+def spaced(call: Callable[[list], list], interval: float) -> Callable[[list], list]:
+    """``call``, begun ``interval`` seconds after the one before at the earliest."""
+    begun = -interval
+
+    def run(batch: list) -> list:
+        nonlocal begun
+        time.sleep(max(0.0, begun + interval - time.monotonic()))
+        begun = time.monotonic()
+        return call(batch)
+
+    return run
+
+
+def paced(rows: DataFrame, text: str, into: str, connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]], slots: int = 8, interval: float = 0.0, batch: int = 32, **retrying) -> DataFrame:
+    """``rows`` with ``into``, the embedding of ``text``, by at most ``slots`` calls at once over the whole cluster.
+
+    Rows are dealt to as many partitions as there are slots, and each calls for
+    itself, one call after the other, ``interval`` seconds apart. A result stays
+    with its row. Speculative copies of tasks would add calls.
+    """
+    if slots < 1:
+        raise ValueError("one slot at least")
+    made = embedder(lambda: spaced(connect(), interval), batch, **retrying)
+    return rows.repartition(slots).withColumn(into, made(F.col(text)))
+
+
 def try_embedder(connect: Callable[[], Callable[[list[str]], list[Sequence[float]]]], batch: int = 32, **retrying) -> Callable[[Column], Column]:
     """Like ``embedder``, but a struct (vector, error): a batch that fails for good costs its own rows only."""
 

@@ -676,3 +676,28 @@ def test_signatures_over_several_lines(spark):
     go = "package p\n\nfunc (s *Store[T]) Add(\n\tctx context.Context, // why\n\tvals map[string]interface{},\n) (n int, err error) {\n\treturn\n}\nfunc f(a interface{}, g func(int) error) error {\n\treturn g(1)\n}\nfunc one() { x := T{1} }\n"
     rows = {r["name"]: r.signature for r in codeblocks.declarations(frame(spark, go), codeblocks.GO).collect()}
     assert rows == {"Add": "func (s *Store[T]) Add(ctx context.Context, vals map[string]interface{}) (n int, err error)", "f": "func f(a interface{}, g func(int) error) error", "one": "func one()"}
+
+
+def test_calls_at_once_are_bounded_and_spaced(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def connect():
+        import os
+        import time
+        import uuid
+
+        def call(texts):
+            name = f"{folder}/{uuid.uuid4().hex}.open"
+            open(name, "w").close()
+            time.sleep(0.15)
+            at_once = sum(f.endswith(".open") for f in os.listdir(folder))
+            os.remove(name)
+            return [[float(len(t)), float(at_once)] for t in texts]
+
+        return call
+
+    rows = spark.range(16).selectExpr("id", "repeat('x', cast(id as int)) as t")
+    made = models.paced(rows, "t", "v", connect, slots=2, interval=0.2, batch=2).orderBy("id").collect()
+    assert [r.v[0] for r in made] == [float(i) for i in range(16)] and max(r.v[1] for r in made) <= 2
+    started, call = [], models.spaced(lambda batch: started.append(__import__("time").monotonic()) or batch, 0.1)
+    assert [call([k]) for k in range(3)] == [[0], [1], [2]] and all(b - a >= 0.09 for a, b in zip(started, started[1:]))
