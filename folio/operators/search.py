@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Queries are broadcast up to so many bytes; past it they are dealt to groups of that size.
 BROADCAST_BYTES = 64 << 20
+#: A product of a batch of rows with some queries has so many scores at most.
+_PRODUCT = 1 << 22
 
 
 def as_doubles(vector: str | Column) -> Column:
@@ -118,31 +120,36 @@ def _best_of_blocks(rows: DataFrame, queries: DataFrame, k: int, threshold: floa
     schema = T.StructType([*kept, queries.schema[query_id], T.StructField("score", T.DoubleType())])
     names = [f.name for f in kept]
 
+    def best(stored: np.ndarray, vectors_: np.ndarray, keys: np.ndarray, q: np.ndarray, place: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows for one query, by their approximate scores first."""
+        if skip_self:
+            near = np.where(keys == own[place], -np.inf, near)
+        least = np.partition(near, len(near) - k)[len(near) - k] if k < len(near) else -np.inf
+        some = np.flatnonzero(np.isfinite(near) & (near >= max(least, threshold) - 1e-9))  # a product's last digits may differ
+        exact = _cosines(vectors_[some], q)
+        some, exact = some[exact >= threshold], exact[exact >= threshold]
+        order = sorted(range(len(some)), key=lambda i: (-exact[i], keys[some[i]] is not None, 0 if keys[some[i]] is None else keys[some[i]]))[:k]
+        return stored[some[order]], exact[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array(batch.column(id_col).to_pylist(), object)
-            stored, taken, scores, of = batch.column(vector), [], [], []
+            ids_here = np.array(batch.column(id_col).to_pylist(), object)
             for dim, places, q in blocks:
-                at, x = _vectors(stored, dim)
+                at, x = _vectors(batch.column(vector), dim)
+                if skip_self:  # a row without an id can't be told from the query
+                    named = np.array([key is not None for key in ids_here[at]], bool)
+                    at, x = at[named], x[named]
                 if not len(at):
                     continue
-                near = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ (q / np.sqrt((q * q).sum(axis=1, keepdims=True))).T
-                for j, place in enumerate(places.tolist()):
-                    column = near[:, j]
-                    if skip_self:
-                        column = np.where(keys[at] == own[place], -np.inf, column)
-                    least = np.partition(column, len(column) - k)[len(column) - k] if k < len(column) else -np.inf
-                    some = np.flatnonzero(column >= max(least, threshold) - 1e-9)  # a product's last digits may differ
-                    some = some[np.isfinite(column[some])]
-                    exact = _cosines(x[some], q[j])
-                    some, exact = some[exact >= threshold], exact[exact >= threshold]
-                    order = sorted(range(len(some)), key=lambda i: (-exact[i], keys[at[some[i]]] is not None, keys[at[some[i]]]))[:k]
-                    taken.append(at[some[order]])
-                    scores.append(exact[order])
-                    of.append(np.full(len(order), place))
-            if taken:
-                chosen = batch.select(names).take(pa.array(np.concatenate(taken)))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, ids.take(pa.array(np.concatenate(of))), pa.array(np.concatenate(scores))], names=schema.names)
+                keys, unit = ids_here[at], x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                step = max(1, _PRODUCT // len(at))
+                for lo in range(0, len(q), step):
+                    some = q[lo : lo + step]
+                    near = unit @ (some / np.sqrt((some * some).sum(axis=1, keepdims=True))).T
+                    found = [best(at, x, keys, v, place, near[:, j]) for j, (v, place) in enumerate(zip(some, places[lo : lo + step].tolist(), strict=True))]
+                    of = np.repeat(places[lo : lo + step], [len(f[0]) for f in found])
+                    chosen = batch.select(names).take(pa.array(np.concatenate([f[0] for f in found])))
+                    yield pa.RecordBatch.from_arrays([*chosen.columns, ids.take(pa.array(of)), pa.array(np.concatenate([f[1] for f in found]))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -701,3 +701,23 @@ def test_calls_at_once_are_bounded_and_spaced(spark, tmp_path):
     assert [r.v[0] for r in made] == [float(i) for i in range(16)] and max(r.v[1] for r in made) <= 2
     started, call = [], models.spaced(lambda batch: started.append(__import__("time").monotonic()) or batch, 0.1)
     assert [call([k]) for k in range(3)] == [[0], [1], [2]] and all(b - a >= 0.09 for a, b in zip(started, started[1:]))
+
+
+def test_blocks_give_exact_best_rows_with_ties_and_odd_vectors(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(300, 5)).round(1)
+    vectors[100:200] = vectors[7]  # ties go to the smaller id
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, vectors[7].tolist()), (None, vectors[7].tolist()), (900, None), (901, [0.0] * 5), (902, [float("nan")] * 5), (903, [1.0, None, 1.0, 1.0, 1.0]), (904, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 9 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    monkeypatch.setattr(search, "_PRODUCT", 400)  # a few queries at a time
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.top_k(df, asked, 4, skip_self=True).collect()}
+    for q in range(7, 300, 9):
+        a = vectors[q]
+        score = lambda v: float((v * a).sum() / (np.sqrt((v * v).sum()) * np.sqrt((a * a).sum())))
+        every = sorted((-score(np.array(v)), i is not None, i or 0, i) for i, v in rows[:302] if i != q and i is not None)
+        want = [x[3] for x in every if -x[0] >= 0][:4]
+        assert [got.get((q, k)) for k in range(1, len(want) + 1)] == want
+    assert search.top_k(df, asked.limit(0), 2).collect() == []
