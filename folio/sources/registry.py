@@ -78,8 +78,10 @@ class Registry:
         from folio.operators.textchunks import chunk_text
 
         keep = ["path", "chunk_index", "content", "line_start", "line_end", "type", "identifier"]
-        out = None
+        out, there = None, {r["parser"] for r in named.select("parser").distinct().collect()}  # at most as many as there are parsers
         for name, parser in self.parsers.items():
+            if name not in there and (there or out is not None):
+                continue  # it would be a plan for no files at all
             own = named.where(F.col("parser") == name).select("path", "text")
             made = (parser.chunk or chunk_text)(own).select(*(F.col(c).cast("int") if c in ("chunk_index", "line_start", "line_end") else c for c in keep))
             out = made if out is None else out.unionByName(made)

@@ -33,10 +33,11 @@ def ingest(spark: SparkSession, root: str, sink: Callable[[DataFrame, int], None
 
     def batch(files: DataFrame, n: int) -> None:
         dealt = parsers.deal(files)
+        chunks = parsers.chunk_dealt(dealt)
         try:
-            sink(parsers.chunk_dealt(dealt), n)
+            sink(chunks, n)
         finally:
-            drop(dealt)
+            drop(chunks)  # the files and their chunks
 
     return stream_files(spark, root, **options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
