@@ -3,6 +3,7 @@
 import duckdb
 
 from folio.operators import jsonchunks
+from folio.sources import registry
 
 TEXTS = [
     *('{"a": 1} and more', "12 monkeys", '"a" b', "[1] ]", "{}{}", "1,2", "[1]\f", '"\\ud800"', '"\\ude00"', "[,]", "[1,,2]", '{"a" 1}', "[1, 2", "01", "", " ", "{,}", '{"a":}'),
@@ -18,3 +19,13 @@ def test_one_whole_value(spark):
     meta = {r.doc_id: r.is_valid for r in jsonchunks.json_metadata(docs).collect()}
     assert meta == got | {-1: False}
     assert jsonchunks.properties(docs.where("doc_id = 0")).count() == 0 and jsonchunks.paths(docs.where("doc_id in (0, 1)")).count() == 0
+
+
+FILES = {"1 text that only begins like JSON, with words that are significant and long enough to be kept": "json_invalid", "[" + ", ".join(['"words that are long enough"'] * 4) + ",]": "json_document"}
+
+
+def test_chunks_say_whether_a_file_is_json(spark):
+    files = spark.createDataFrame([("a.json", t) for t in FILES][:1], "path string, text string")
+    assert [r.type for r in registry.default_registry().chunk_files(files).collect()] == ["json_invalid"]
+    files = spark.createDataFrame([("b.json", t) for t in FILES][1:], "path string, text string")
+    assert [r.type for r in registry.default_registry().chunk_files(files).collect()] == ["json_document"]
