@@ -2,7 +2,7 @@
 
 import duckdb
 
-from folio.operators import jsonchunks
+from folio.operators import jsonchunks, split
 from folio.sources import registry
 
 TEXTS = [
@@ -29,3 +29,8 @@ def test_chunks_say_whether_a_file_is_json(spark):
     assert [r.type for r in registry.default_registry().chunk_files(files).collect()] == ["json_invalid"]
     files = spark.createDataFrame([("b.json", t) for t in FILES][1:], "path string, text string")
     assert [r.type for r in registry.default_registry().chunk_files(files).collect()] == ["json_document"]
+
+
+def test_enriched_chunks_say_whether_a_file_is_json(spark):
+    files = spark.createDataFrame([(f"{k}.json", t) for k, t in zip("ab", FILES)], "path string, text string")
+    assert {r.path[0]: r.type for r in split.split_files(files, registry.default_registry()).collect()} == dict(zip("ab", FILES.values()))
