@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,43 +14,49 @@ from pyspark.sql import functions as F
 #: entry inside it, how many stand right in it and the first of them, its own place there, its depth, the largest
 #: place of a nameless entry on the way to it, and the path of names and places to it.
 NESTED = "array<struct<parent:int,last:int,n_children:int,first:int,place:int,depth:int,widest:int,path:string>>"
-_FIELDS = pa.struct([(n, pa.string() if n == "path" else pa.int32()) for n in ("parent", "last", "n_children", "first", "place", "depth", "widest", "path")])
-
-
-def _nest(entries: list[dict], root: str) -> list[dict]:
-    out: list[dict] = []
-    stack: list[int] = []
-    real = -1  # the latest entry that counts
-
-    def close(level: int | None) -> None:
-        while stack and (level is None or entries[stack[-1]]["level"] >= level):
-            out[stack.pop()]["last"] = real
-
-    for i, e in enumerate(entries):
-        if not e["passing"]:
-            close(e["level"])
-        up = stack[-1] if stack else -1
-        inside = up >= 0 and entries[up]["opaque"] and entries[up]["level"] < e["level"]
-        if inside or e["passing"]:
-            real = i if inside else real
-            out.append({"parent": -2, "last": i, "n_children": 0, "first": -1, "place": -1, "depth": -1, "widest": 0, "path": None})
-            continue
-        place, depth, widest, path = 0, 0, 0, ""
-        if up >= 0:
-            over, name = out[up], e["name"]
-            place, depth = over["n_children"], over["depth"] + 1
-            over["n_children"] += 1
-            over["first"] = i if place == 0 else over["first"]
-            widest = over["widest"] if name is not None else max(over["widest"], place)
-            before = over["path"]
-            path = f"{before or root}[{place}]" if name is None else f"{before}.{name}" if before and name else before or name
-        out.append({"parent": up, "last": i, "n_children": 0, "first": -1, "place": place, "depth": depth, "widest": widest, "path": path})
-        stack.append(i)
-        real = i
-    close(None)
-    for o in out:
-        o["path"] = root if o["path"] == "" else o["path"]
-    return out
+_PLACES = ("parent", "last", "n_children", "first", "place", "depth", "widest")
+_FIELDS = [*(pa.field(n, pa.int32()) for n in _PLACES), pa.field("path", pa.string())]
+#: How many entries a pass holds at a time; a longer array is one pass.
+_ENTRIES = 1 << 16
+
+
+def _nest(ends: list[int], entries: pa.StructArray, root: str) -> pa.StructArray:
+    """What is told of the entries of several arrays, which end at ``ends``; all but the paths is kept in plain machine integers."""
+    levels, names, opaque, passing = (entries.field(n).to_pylist() for n in ("level", "name", "opaque", "passing"))
+    parent, last, n_children, first, place, depth, widest = told = [array("i", bytes(4 * len(levels))) for _ in _PLACES]
+    path: list[str | None] = [None] * len(levels)
+    start = 0
+    for end in ends:
+        stack: list[int] = []
+        real = start - 1  # the latest entry that counts
+        for i in range(start, end):
+            level, passes = levels[i], passing[i]
+            if not passes:
+                while stack and levels[stack[-1]] >= level:
+                    last[stack.pop()] = real - start
+            up = stack[-1] if stack else -1
+            inside = up >= 0 and opaque[up] and levels[up] < level
+            if inside or passes:
+                real = i if inside else real
+                parent[i], last[i], first[i], place[i], depth[i] = -2, i - start, -1, -1, -1
+                continue
+            if up >= 0:
+                name, before, at = names[i], path[up], n_children[up]
+                parent[i], place[i], depth[i], n_children[up] = up - start, at, depth[up] + 1, at + 1
+                if at == 0:
+                    first[up] = i - start
+                widest[i] = widest[up] if name is not None else max(widest[up], at)
+                path[i] = f"{before or root}[{at}]" if name is None else f"{before}.{name}" if before and name else before or name
+            else:
+                parent[i], path[i] = -1, ""
+            first[i] = -1
+            stack.append(i)
+            real = i
+        while stack:
+            last[stack.pop()] = real - start
+        start = end
+    paths = pa.array([root if x == "" else x for x in path], pa.string())
+    return pa.StructArray.from_arrays([*(pa.array(np.frombuffer(x, np.int32)) for x in told), paths], fields=_FIELDS)
 
 
 def running_sums(values: Column) -> Column:
@@ -80,6 +87,15 @@ def nested(entries: Column, root: str = "root") -> Column:
     @F.arrow_udf(NESTED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([None if x is None else _nest(x, root) for x in lists.to_pylist()], pa.list_(_FIELDS))
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.where(known, lists.value_lengths().fill_null(0), 0))
+            at = 0
+            while at < len(lists):  # a pass for as many arrays as make up so many entries
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + _ENTRIES, "right")))
+                own = (ends[at:to] - before).astype(np.int32)
+                offsets = pa.array(np.concatenate([[0], own]).astype(np.int32), mask=np.append(~known[at:to], False))
+                yield pa.ListArray.from_arrays(offsets, _nest(own.tolist(), lists.slice(at, to - at).flatten(), root))
+                at = to
 
     return run.asNondeterministic()(entries)  # else it would be moved into lambdas that use its result
