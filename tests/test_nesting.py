@@ -41,3 +41,10 @@ def test_arrays_of_all_lengths_in_a_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert all(got[i][0] == (70_000 if i == 7 else i if i % 5 else None) for i in got)
     assert got[1] == (1, "root") and got[4] == (4, "root[1]") and got[11][1] == "root[3][0]"
+
+
+def test_yaml_items_take_few_bytes_each():
+    items = [{"level": -1, "name": "", "opaque": False, "passing": False}] + [{"level": v, "name": n, "opaque": False, "passing": False} for _ in range(20_000) for v, n in ((1, None), (2, "id"), (2, "tags"), (2, "note"))]
+    size, made = _peak(items)
+    assert size < 250
+    assert made.slice(6, 1).to_pylist()[0]["path"] == "root[1].id"
