@@ -10,13 +10,17 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions.text import col, token_estimate
 
 Spans = list[tuple[int, int]]
+#: Bytes of text that a task turns into spans at a time.
+_SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -57,14 +61,25 @@ def file_tokenizer(path: str, name: str | None = None, **sizes: int) -> Tokenize
     return Tokenizer(name or path.rsplit("/", 1)[-1], make, **sizes)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of up to ``_SLICE`` bytes; a longer text is a part of its own. Spans take many times their text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + _SLICE, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def _mapped(text: str | Column, tokenizer: Tokenizer, returns: str, kind: pa.DataType, work: Callable[[str, Spans], object]) -> Column:
     @F.arrow_udf(returns)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spans_of = tokenizer.make()
-        for texts in batches:
-            known = [t for t in texts.to_pylist() if t is not None]
-            found = iter(zip(known, spans_of(known), strict=True))
-            yield pa.array([work(*next(found)) if valid else None for valid in texts.is_valid().to_pylist()], kind)
+        for batch in batches:
+            for texts in _slices(batch):
+                known = [t for t in texts.to_pylist() if t is not None]
+                found = iter(zip(known, spans_of(known), strict=True))
+                yield pa.array([work(*next(found)) if valid else None for valid in texts.is_valid().to_pylist()], kind)
 
     return run.asNondeterministic()(col(text))
 
