@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, fields, trim_space
+from folio.functions.text import WHITE_CHARACTERS, col, fields, trim_space
+
+#: Bytes of truths that are sent to every task; with more, pairs meet by a shuffle.
+TRUTH_BYTES = 64 << 20
+#: Bytes of answers that a task compares at a time.
+_SLICE = 1 << 18
 
 
 def distinct_passages(rows: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -41,14 +53,75 @@ def answers_match(generated: str | Column, truth: str | Column) -> Column:
 def overlapping_pairs(truths: DataFrame, answers: DataFrame, truth_id: str, answer_id: str, text: str = "text") -> DataFrame:
     """Every pair of a truth and an answer that share a word of over two bytes: its ``overlap``, and whether they match.
 
-    Pairs meet through their words: words are counted within each answer first,
-    so that a frequent word is one row a document. Whether one text holds the
-    other is only looked up where all but two of one's words (those that a cut
-    may have shortened) are in the other.
+    Up to ``TRUTH_BYTES`` of truths go to every task, as lists of truths by
+    word; each answer meets them where it stands and nothing is shuffled. More
+    truths and the answers meet through their words in a join. Whether one text
+    holds the other is only looked up where all but two of one's words (those
+    that a cut may have shortened) are in the other. Ids are unique.
     """
+    size = truths.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    made = _met_locally if size <= TRUTH_BYTES else _met_by_join
+    return made(truths, answers, truth_id, answer_id, text)
+
+
+def _low(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(F.col(key), F.lower(trim_space(text)).alias("t")).where("t <> ''")
+
+
+def _met_locally(truths: DataFrame, answers: DataFrame, truth_id: str, answer_id: str, text: str) -> DataFrame:
+    a, b = _low(truths, truth_id, text), _low(answers, answer_id, text)
+    sent = truths.sparkSession.sparkContext.broadcast(a.toArrow())
+    words = re.compile(f"[^{WHITE_CHARACTERS}]+").findall
+    long = lambda w: len(w) > 2 or len(w.encode()) > 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = sent.value.column(0), sent.value.column(1).to_pylist()
+        split = [words(t) for t in texts]
+        sizes, known = np.array([len(x) for x in split]), [{w for w in x if long(w)} for x in split]
+        longs, by_word = np.array([len(x) for x in known]), {}
+        for k, own in enumerate(known):
+            for w in own:
+                by_word.setdefault(w, []).append(k)
+        by_word = {w: np.array(x) for w, x in by_word.items()}
+
+        def compared(t: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The truths that share a word with an answer, the overlaps, and whether they match."""
+            found = words(t)
+            counts = Counter(found)
+            shared = [(by_word[w], n) for w, n in counts.items() if w in by_word]
+            if not shared:
+                return np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+            met = np.concatenate([x for x, _ in shared])
+            n = np.bincount(met, np.repeat([n for _, n in shared], [len(x) for x, _ in shared]), len(texts))
+            common = np.bincount(met, minlength=len(texts))
+            at = np.flatnonzero(common)
+            overlap = n[at] / np.maximum(sizes[at], len(found))
+            matches = overlap > 0.5
+            may_hold = common[at] >= np.minimum(longs[at], sum(map(long, counts))) - 2
+            for k in np.flatnonzero(may_hold & ~matches):
+                matches[k] = t in texts[at[k]] or texts[at[k]] in t
+            return at, overlap, matches
+
+        for batch in batches:
+            sums = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(sums):
+                to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + _SLICE, "right")))
+                made = [compared(x) for x in batch.column(1).slice(at, to - at).to_pylist()]
+                place = np.repeat(np.arange(at, to), [len(x) for x, _, _ in made])
+                truth, overlap, matches = (np.concatenate(x) for x in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.chunked_array(ids.take(pa.array(truth))).combine_chunks(), batch.column(0).take(pa.array(place)), pa.array(overlap), pa.array(matches)], names=[truth_id, answer_id, "overlap", "matches"])
+                at = to
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*a.schema.fields[:1], *b.schema.fields[:1])}
+    return b.mapInArrow(run, f"`{truth_id}` {kinds[truth_id]}, `{answer_id}` {kinds[answer_id]}, overlap double, matches boolean")
+
+
+def _met_by_join(truths: DataFrame, answers: DataFrame, truth_id: str, answer_id: str, text: str) -> DataFrame:
+    """Words are counted within each answer first, so that a frequent word is one row a document."""
     sides = []
     for rows, key in ((truths, truth_id), (answers, answer_id)):
-        low = rows.select(F.col(key), F.lower(trim_space(text)).alias("t")).where("t <> ''")
+        low = _low(rows, key, text)
         words = low.select(key, F.explode(fields("t")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
         sizes = words.groupBy(key).agg(F.sum("n").alias("total"), F.count_if(F.octet_length("w") > 2).alias("long"))
         sides.append((low, words.where(F.octet_length("w") > 2), sizes))
