@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, count_of, exploded, lines, stem, trim_space
+from folio.functions.text import WHITE, bound, count_of, exploded, lines, stem, trim_space
 
 #: What makes a trimmed line a heading.
 HEADINGS = (rf"\A[A-Z][A-Z{WHITE}]+\z", rf"\A#+[{WHITE}]+.*\z", r"\A=+\z", r"\A-+\z", rf"\A[0-9]+\.[{WHITE}]+[A-Z].*\z", r"\A[A-Z][^.!?]*:\z")
@@ -21,11 +21,16 @@ def _any(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike(r"(?s)\A(?:" + "|".join(p.removeprefix(r"\A") for p in patterns) + ")")  # one anchor: no other place is tried
 
 
+def _words(trimmed: Column) -> Column:
+    """The words of a trimmed text that isn't empty; many times faster than to count matches of a word."""
+    return F.split(trimmed, rf"[{WHITE}]+", -1)
+
+
 def is_heading(trimmed: Column) -> Column:
     """A heading by pattern, or a short line most of whose words begin with a capital, digit or sign (ASCII)."""
-    words = F.regexp_count(trimmed, F.lit(rf"[^{WHITE}]+"))
-    capital = F.regexp_count(trimmed, F.lit(rf"(?:\A|[{WHITE}])[\x{{00}}-\x{{08}}\x{{0E}}-\x{{1F}}\x{{21}}-\x{{60}}\x{{7B}}-\x{{7F}}]"))
-    titled = (F.octet_length(trimmed) < 60) & words.between(1, 8) & (capital > 0.6 * words)
+    capital = lambda w: w.rlike(r"\A[\x{00}-\x{60}\x{7B}-\x{7F}]")
+    most = lambda words: F.size(words).between(1, 8) & (F.size(F.filter(words, capital)) > 0.6 * F.size(words))
+    titled = F.when(F.octet_length(trimmed) < 60, bound(_words(trimmed), most)).otherwise(False)  # longer lines aren't split
     return (trimmed != "") & (_any(trimmed, HEADINGS) | titled)
 
 
@@ -178,7 +183,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "list_items": count(lambda x: x["i"]),
             "long_lines": count(lambda x: F.octet_length(x["line"]) > 80),
             "short_lines": count(lambda x: (F.octet_length(x["line"]) <= 80) & (F.octet_length(x["t"]) < 20)),
-            "word_count": total(lambda x: F.regexp_count(x["t"], F.lit(rf"[^{WHITE}]+"))),
+            "word_count": total(lambda x: F.size(_words(x["t"]))),
             "sentence_count": total(lambda x: F.regexp_count(x["t"], F.lit("[.!?]+"))),
         }
     ).drop("__lines")
