@@ -13,3 +13,11 @@ def test_kinds_of_lines(spark):
     assert [r.kind for r in rows.collect()] == ["text", "heading", "text", "heading", "blank", "blank", "text", "heading", "text", "heading", "text"]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan  # of each word a text, to count them
+
+
+def test_word_counts(spark):
+    docs = spark.createDataFrame([(1, TEXT), (2, ""), (3, " \t\n"), (4, "one two")], "doc_id long, text string")
+    made = textchunks.text_statistics(docs)
+    assert {r.doc_id: r.word_count for r in made.collect()} == {1: len(TEXT.split()), 2: 0, 3: 0, 4: 2}
+    plan = made.select(F.col("word_count"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
