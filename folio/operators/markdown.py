@@ -6,10 +6,11 @@ each line by itself. Nesting comes from heading levels alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WHITE, col, count_of, exploded, lines, title_name, trim_space
+from folio.functions.nesting import nested
+from folio.functions.text import WHITE, col, count_of, exploded, lines, staged, title_name, trim_space
 from folio.operators import mdblocks
 
 _SEPARATOR = rf"\A\|?([{WHITE}]*:?-+:?[{WHITE}]*\|)+[{WHITE}]*:?-+:?[{WHITE}]*\|?\z"
@@ -61,15 +62,24 @@ def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     several lines counts at its first one.
     """
     rest = [c for c in docs.columns if c != text]
+    made = exploded(_with_lines(docs, rest, text), rest, F.col("__rows"), "__i", "x").select(*rest, "x.line_no", "x.line", "x.is_fence", "x.in_code", "x.level")
+    return made.withColumn("title", F.when(F.col("level") > 0, _heading("line")))
+
+
+def _heading(line: str | Column) -> Column:
+    return trim_space(F.regexp_replace(col(line), rf"\A {{0,3}}#+[{WHITE}]+|[{WHITE}]+#+[{WHITE}]*\z", ""))
+
+
+def _with_lines(docs: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """``kept`` of ``docs`` with __rows: a struct for each line of each text."""
     found = docs.withColumn("__l", lines(text)).withColumn("__b", mdblocks.line_blocks(F.col("__l")))
     both = F.arrays_zip(F.col("__l").alias("line"), F.col("__b").alias("b"))
     starts = lambda x, i: (i == 0) | (F.get(F.col("__b"), i - 1)["block"] != x["b"]["block"])
     rows = F.transform(both, lambda x, i: F.struct(
-        x["line"].alias("line"), (x["b"]["fence"] > 0).alias("is_fence"), ((x["b"]["kind"] == "code") & (x["b"]["fence"] < 2)).alias("in_code"),
+        (i + 1).alias("line_no"), x["line"].alias("line"), (x["b"]["fence"] > 0).alias("is_fence"), ((x["b"]["kind"] == "code") & (x["b"]["fence"] < 2)).alias("in_code"),
         F.when((x["b"]["kind"] == "heading") & starts(x, i), x["b"]["level"]).otherwise(0).alias("level"),
     ))
-    made = exploded(found, rest, rows, "line_no", "x").select(*rest, (F.col("line_no") + 1).alias("line_no"), "x.*")
-    return made.withColumn("title", F.when(F.col("level") > 0, trim_space(F.regexp_replace("line", rf"\A {{0,3}}#+[{WHITE}]+|[{WHITE}]+#+[{WHITE}]*\z", ""))))
+    return found.select(*kept, rows.alias("__rows"))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,51 +110,87 @@ def chunk_markdown(docs: DataFrame, text: str = "text", key: str = "doc_id", pat
 
     ``parent_context`` names the chain of headings above; ``context_level`` is
     the heading's level. A document without headings is one ``document`` chunk.
+    Row by row: no line crosses a shuffle, and the text is gone over once.
     """
     rest = [c for c in docs.columns if c != text]
     named = docs.where(trim_space(text) != "").withColumn("__title", title(text, path))
-    rows = line_table(named, text, key)
-    ordered = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(ordered))
-    # The nearest heading of each lower level that no nearer one of a still lower level hides.
-    for n in range(1, 7):
-        last = F.max(F.when(F.col("level") == n, F.struct("line_no", "title"))).over(ordered)
-        above = F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("line_no"))).over(ordered)
-        rows = rows.withColumn(f"__h{n}", F.when(last["line_no"] > F.coalesce(above, F.lit(0)), last["title"]))
-    rows = rows.withColumn("block", F.sum((F.col("is_fence") & F.col("in_code")).cast("int")).over(ordered)).withColumn("code", F.col("in_code") | F.col("is_fence"))
-    blocks = rows.where("code").groupBy(*rest, "__title", "section", "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "is_fence"))).alias("own"), F.max("is_fence").alias("f"))
-    blocks = blocks.withColumn("content", F.array_join(F.transform(F.filter("own", lambda x: ~x["is_fence"]), lambda x: x["line"]), "\n"))
-    split_off = blocks.where(is_code_worth_splitting(F.col("content"))).withColumn("language", F.regexp_extract(F.col("own")[0]["line"], r"(?:`{3,}|~{3,})[ \t]*([A-Za-z0-9_+#-]*)", 1))
-    taken = split_off.select(key, F.col("block").alias("__block"))
-    body = rows.join(taken, (rows[key] == taken[key]) & F.col("code") & (F.col("block") == F.col("__block")), "left_anti")
-    chain = F.array_join(F.filter(F.array(*(F.when(F.col("l") > n, F.col(f"h{n}")) for n in range(1, 7))), lambda x: x.isNotNull()), " > ")
-    grouped = body.groupBy(*rest, "__title", "section").agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("own"), F.max("level").alias("l"), F.max("title").alias("name"), *(F.max(F.when(F.col("level") > 0, F.col(f"__h{n}"))).alias(f"h{n}") for n in range(1, 7))
-    )
-    text_ = F.array_join(F.transform("own", lambda x: x["line"]), "\n")
-    made = grouped.select(
-        *rest,
-        trim_space(text_).alias("content"),
-        F.col("own")[0]["line_no"].alias("line_start"),
-        F.element_at("own", -1)["line_no"].alias("line_end"),
-        F.when(F.col("l") > 0, "section").otherwise("document").alias("type"),
-        F.coalesce("name", "__title").alias("identifier"),
-        chain.alias("parent_context"),
-        F.col("l").alias("context_level"),
-        F.lit(None).cast("string").alias("language"),
-    ).where("content <> ''")
-    code = split_off.select(
-        *rest,
-        "content",
-        F.col("own")[0]["line_no"].alias("line_start"),
-        F.element_at("own", -1)["line_no"].alias("line_end"),
-        F.lit("code_block").alias("type"),
-        F.concat(F.col("__title"), F.lit(" - code "), F.col("block").cast("string")).alias("identifier"),
-        F.lit("").alias("parent_context"),
-        F.lit(0).alias("context_level"),
-        F.when(F.col("language") != "", F.col("language")).alias("language"),
-    )
-    return made.unionByName(code)
+    found = _with_lines(named, [*rest, "__title"], text)
+    # A document's lines in parts that begin at its first line, at headings and at opening fences; a block of code is in one part.
+    cuts = F.transform("__rows", lambda x, i: F.struct(i.alias("i"), x["level"].alias("level"), (x["is_fence"] & x["in_code"]).alias("opens")))
+    found = found.withColumn("__cuts", F.filter(cuts, lambda c: (c["i"] == 0) | (c["level"] > 0) | c["opens"]))
+    found = found.withColumn("__parts", staged(F.col("__cuts"), _part_lines, _part_code, _part_kept))
+    heads = F.transform("__parts", lambda p, j: F.struct(j.alias("j"), p["level"].alias("level"), F.when(p["level"] > 0, _heading(p["own"][0]["line"])).alias("title")))
+    found = found.withColumn("__heads", F.filter(heads, lambda h: (h["j"] == 0) | (h["level"] > 0)))
+    found = found.withColumn("__nested", nested(F.transform("__heads", lambda h: F.struct(h["level"].alias("level"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("opaque"), F.lit(False).alias("passing")))))
+    sections = F.filter(F.transform(staged(F.col("__heads"), _section_lines, *(_above(n) for n in range(1, 6))), _section_chunk), lambda c: c["content"] != "")
+    numbered = F.transform(F.filter("__parts", lambda p: p["opens"]), lambda p, k: F.struct((k + 1).alias("block"), p.alias("p")))
+    blocks = F.transform(F.filter(numbered, lambda b: b["p"]["worth"]), _block_chunk)
+    return exploded(found, rest, F.concat(sections, blocks), "__k", "c").select(*rest, "c.*")
+
+
+_CHUNK = "struct<content:string,line_start:int,line_end:int,type:string,identifier:string,parent_context:string,context_level:int,language:string>"
+
+
+def _joined(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
+
+
+def _is_code(x: Column) -> Column:
+    return x["in_code"] | x["is_fence"]
+
+
+def _part_lines(c: Column, j: Column) -> dict[str, Column]:
+    return {"own": F.slice("__rows", c["i"] + 1, F.coalesce(F.get(F.col("__cuts"), j + 1)["i"], F.size("__rows")) - c["i"])}
+
+
+def _part_code(p: Column, _: Column) -> dict[str, Column]:
+    code = F.when(p["opens"], F.filter(p["own"], _is_code))
+    return {"code": code, "content": _joined(F.filter(code, lambda x: ~x["is_fence"]))}
+
+
+def _part_kept(p: Column, _: Column) -> dict[str, Column]:
+    worth = p["opens"] & is_code_worth_splitting(p["content"])
+    return {"worth": worth, "kept": F.when(worth, F.filter(p["own"], lambda x: ~_is_code(x))).otherwise(p["own"])}
+
+
+def _section_lines(h: Column, k: Column) -> dict[str, Column]:
+    """The lines of a section's parts, and the place of the heading above."""
+    parts = F.slice("__parts", h["j"] + 1, F.coalesce(F.get(F.col("__heads"), k + 1)["j"], F.size("__parts")) - h["j"])
+    return {"own": F.flatten(F.transform(parts, lambda p: p["kept"])), "up1": F.get(F.col("__nested"), k)["parent"]}
+
+
+def _above(n: int):
+    return lambda h, _: {f"up{n + 1}": F.get(F.col("__nested"), h[f"up{n}"])["parent"]}
+
+
+def _section_chunk(h: Column) -> Column:
+    own = h["own"]
+    chain = F.filter(F.array(*(F.get(F.col("__heads"), h[f"up{n}"])["title"] for n in range(6, 0, -1))), lambda x: x.isNotNull())
+    return F.struct(
+        trim_space(_joined(own)),
+        F.get(own, F.lit(0))["line_no"],
+        F.get(own, F.size(own) - 1)["line_no"],
+        F.when(h["level"] > 0, "section").otherwise("document"),
+        F.coalesce(h["title"], F.col("__title")),
+        F.array_join(chain, " > "),
+        h["level"],
+        F.lit(None),
+    ).cast(_CHUNK)
+
+
+def _block_chunk(b: Column) -> Column:
+    p = b["p"]
+    language = F.regexp_extract(p["own"][0]["line"], r"(?:`{3,}|~{3,})[ \t]*([A-Za-z0-9_+#-]*)", 1)
+    return F.struct(
+        p["content"],
+        p["code"][0]["line_no"],
+        F.get(p["code"], F.size(p["code"]) - 1)["line_no"],
+        F.lit("code_block"),
+        F.concat(F.col("__title"), F.lit(" - code "), b["block"].cast("string")),
+        F.lit(""),
+        F.lit(0),
+        F.nullif(language, F.lit("")),
+    ).cast(_CHUNK)
 
 
 def title(text: str | Column, path: str | Column) -> Column:

@@ -82,6 +82,26 @@ def test_sections_by_all_kinds_of_headings(spark):
     assert (code.content, code.language) == ("# not one\nfunc main() {}", "go")
 
 
+def test_chunks_row_by_row(spark):
+    text = "before\n```\nplain\n```\n# A\n### B\n```js\nfunction f() {}\n```\nmore\n```go\nfunc g() {}\n## C\n```\n## D\n# E\n#### F\nend\n### G"
+    made = markdown.chunk_markdown(spark.createDataFrame([("1", text, "a.md"), (None, text, "a.md"), ("2", " \n", "b.md"), ("3", None, "c.md")], "doc_id string, text string, path string"))
+    assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Join"))
+    for key in ("1", None):  # sections in order, then blocks
+        rows = [(r.type, r.identifier, r.parent_context, r.context_level, r.line_start, r.line_end, r.language) for r in made.where(made.doc_id.eqNullSafe(key)).collect()]
+        assert rows == [
+            ("document", "A", "", 0, 1, 4, None),
+            ("section", "A", "", 1, 5, 5, None),
+            ("section", "B", "A", 3, 6, 10, None),
+            ("section", "D", "A", 2, 15, 15, None),
+            ("section", "E", "", 1, 16, 16, None),
+            ("section", "F", "E", 4, 17, 18, None),
+            ("section", "G", "E", 3, 19, 19, None),
+            ("code_block", "A - code 2", "", 0, 7, 9, "js"),
+            ("code_block", "A - code 3", "", 0, 11, 14, "go"),
+        ]
+    assert made.count() == 18
+
+
 def test_odd_markdown(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "```"), (4, "---\n---\n"), (5, "a\n\n" * 5000), (6, "- \n" * 3000)], "doc_id long, text string")
     counts = {r.doc_id: r["count"] for r in mdblocks.elements(df).groupBy("doc_id").count().collect()}
