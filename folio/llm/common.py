@@ -16,7 +16,7 @@ from folio.storage import drop, shared_dir, written
 #: Rows in an Arrow batch; texts may be long, and a batch is held by Spark and by Python.
 _BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "500"
 
-__all__ = ["drop", "fresh", "flat", "held_out", "meet", "per_text", "resident", "shared_dir", "slices", "small_batches", "utf8", "written"]
+__all__ = ["drop", "fresh", "flat", "held_out", "meet", "per_text", "released", "resident", "shared_dir", "slices", "small_batches", "utf8", "written"]
 
 #: Python-side working set: texts are handled in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
@@ -40,6 +40,18 @@ def meet(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str], oth
     return pairs.join(left, by).repartition(width, *other).join(right, other)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after each of whose batches Arrow gives back what it holds unused; it would keep that for the worker's life."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(batches):
+            yield made
+            del made
+            pa.default_memory_pool().release_unused()
+
+    return each
+
+
 _resident: dict[str, object] = {}
 
 

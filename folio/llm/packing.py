@@ -11,6 +11,7 @@ fewer shards, so that leftovers of many shards share sequences.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import words
-from folio.llm.common import drop, resident, slices, small_batches, utf8, written
+from folio.llm.common import drop, released, resident, slices, small_batches, utf8, written
 from folio.llm.memo import PieceTable
 
 
@@ -34,6 +35,7 @@ class WordCoder:
     """
 
     def __init__(self, path: str, together: int = 500):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side; each thread would hold memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.together = together
@@ -119,7 +121,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) ->
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "draw"],
                 )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), PIECE)
 
 
 Bins = list[list[int]]

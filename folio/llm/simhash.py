@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import words
-from folio.llm.common import drop, flat, meet, per_text, slices, small_batches, utf8, written
+from folio.llm.common import drop, flat, meet, per_text, released, slices, small_batches, utf8, written
 from folio.llm.components import connected_components, merge_labels
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -211,7 +211,7 @@ def _sketches(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
                 columns = [pa.array(x.view(np.int64)) for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns, pa.array(np.diff(at).astype(np.int32))], names=["doc_id", "key", "fp", "fp2", "n"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), _SKETCH)
 
 
 def _sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, at).view(np.int64)), lists], names=["key", "items"])
 
-    return small_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "key long, items array<long>")
+    return small_batches(docs).select(F.col("text").cast("string")).mapInArrow(released(run), "key long, items array<long>")
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], radius: int, both: int) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import words
-from folio.llm.common import drop, flat, fresh, slices, small_batches, utf8, written
+from folio.llm.common import drop, flat, fresh, released, slices, small_batches, utf8, written
 
 _Q = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -103,7 +103,7 @@ def _blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     names=["doc_id", "at", "n", "anchor", "content"],
                 )
 
-    return small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, _BLOCK)
+    return small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(released(run), _BLOCK)
 
 
 _WINDOW = "doc_id long, at int, one long, two long"
@@ -127,7 +127,7 @@ def _window_hashes(parts: DataFrame, window: int) -> DataFrame:
                 one, two = (t.run(start, window, which) for which in (0, 1))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(own.astype(np.int32)), _signed(one), _signed(two)], names=["doc_id", "at", "one", "two"])
 
-    return parts.mapInArrow(run, _WINDOW)
+    return parts.mapInArrow(released(run), _WINDOW)
 
 
 def seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
