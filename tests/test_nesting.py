@@ -48,3 +48,28 @@ def test_yaml_items_take_few_bytes_each():
     size, made = _peak(items)
     assert size < 250
     assert made.slice(6, 1).to_pylist()[0]["path"] == "root[1].id"
+
+
+def test_one_long_array_takes_a_part_of_it_at_a_time():
+    levels = pa.array([-1] + [1, 2, 2, 2, 4] * 80_000, pa.int32())
+    names = pa.array(["", *([None, "id", "tags", "note", ""] * 80_000)], pa.string())
+    opaque = pa.array([False] + [False, False, False, True, False] * 80_000, pa.bool_())
+    given = pa.StructArray.from_arrays([levels, names, opaque, pa.array([False] * len(levels), pa.bool_())], fields=list(ENTRY))
+    tracemalloc.start()
+    try:
+        made = nesting._nest([len(given)], given, "root")
+        size = tracemalloc.get_traced_memory()[1] / len(given)
+    finally:
+        tracemalloc.stop()
+    assert size < 100  # 28 bytes of integers, the path, and a part's Python objects
+    told = made.slice(len(given) - 5, 5).to_pylist()
+    assert [(x["parent"], x["place"], x["path"]) for x in told] == [(0, 79_999, "root[79999]"), *((400_000 - 4, k, f"root[79999].{n}") for k, n in enumerate(("id", "tags", "note"))), (-2, -1, None)]
+    assert made[0].as_py()["n_children"] == 80_000 and made[0].as_py()["last"] == 400_000
+
+
+def test_parts_of_an_array_join_without_a_seam(monkeypatch):
+    monkeypatch.setattr(nesting, "_ENTRIES", 3)
+    entries = pa.array([{"level": v, "name": n, "opaque": n == "o", "passing": n == "c"} for v, n in ((0, "é"), (1, None), (2, "o"), (3, "x"), (3, "c"), (2, "a"), (0, ""), (5, None), (0, "b"))], ENTRY)
+    made = nesting._nest([7, 9], entries, "root").to_pylist()
+    assert [x["path"] for x in made] == ["root", "root[0]", "root[0].o", None, None, "root[0].a", "root", "root", "root"]
+    assert [x["parent"] for x in made] == [-1, 0, 1, -2, -2, 1, -1, -1, -1]
