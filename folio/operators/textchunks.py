@@ -15,6 +15,8 @@ from folio.functions.text import WHITE, bound, count_of, exploded, lines, stem,
 HEADINGS = (rf"\A[A-Z][A-Z{WHITE}]+\z", rf"\A#+[{WHITE}]+.*\z", r"\A=+\z", r"\A-+\z", rf"\A[0-9]+\.[{WHITE}]+[A-Z].*\z", r"\A[A-Z][^.!?]*:\z")
 #: What makes a trimmed line a list item.
 LIST_ITEMS = (rf"\A[-*+][{WHITE}]+.*\z", rf"\A[0-9]+\.[{WHITE}]+.*\z", rf"\A[a-z]\)[{WHITE}]+.*\z", rf"\A[IVX]+\.[{WHITE}]+.*\z")
+#: Fixed value: white space but for the space; the bounds around the rare ones are what most letters fail at.
+_OTHER_WHITE = r"[\t\n\x0B\f\r\x{85}\x{A0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -26,6 +28,11 @@ def _words(trimmed: Column) -> Column:
     return F.split(trimmed, rf"[{WHITE}]+", -1)
 
 
+def word_count(trimmed: Column) -> Column:
+    """The number of words of a trimmed text that isn't empty: one more than its spaces, where these stand alone and no other white space is met."""
+    return F.when(F.contains(trimmed, F.lit("  ")) | trimmed.rlike(_OTHER_WHITE), F.size(_words(trimmed))).otherwise(count_of(trimmed, " ") + 1)
+
+
 def is_heading(trimmed: Column) -> Column:
     """A heading by pattern, or a short line most of whose words begin with a capital, digit or sign (ASCII)."""
     capital = lambda w: w.rlike(r"\A[\x{00}-\x{60}\x{7B}-\x{7F}]")
@@ -172,7 +179,6 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     seen = docs.withColumn("__lines", F.transform(_classified(text), lambda x: F.struct(x["line"].alias("line"), x["trimmed"].alias("t"), (x["kind"] == "heading").alias("h"), is_list_item(x["trimmed"]).alias("i"))))
     some = F.filter("__lines", lambda x: x["t"] != "")
     count = lambda test: F.size(F.filter(some, test))
-    total = lambda of: F.aggregate(F.transform(some, of), F.lit(0), lambda a, b: a + b)
     out = seen.withColumns(
         {
             "total_lines": F.size("__lines"),
@@ -183,8 +189,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "list_items": count(lambda x: x["i"]),
             "long_lines": count(lambda x: F.octet_length(x["line"]) > 80),
             "short_lines": count(lambda x: (F.octet_length(x["line"]) <= 80) & (F.octet_length(x["t"]) < 20)),
-            "word_count": total(lambda x: F.size(_words(x["t"]))),
-            "sentence_count": total(lambda x: F.regexp_count(x["t"], F.lit("[.!?]+"))),
+            "word_count": F.aggregate(some, F.lit(0), lambda n, x: n + word_count(x["t"])),
+            "sentence_count": F.regexp_count(text, F.lit("[.!?]+")),  # no run of marks goes on over a line's end
         }
     ).drop("__lines")
     structure = F.when(F.col("heading_count") > 0, "sectioned").when(F.col("list_items") > 0, "list_based").otherwise("simple")
